@@ -137,7 +137,7 @@ class Words:
     index of its first word (n+1 entries); hash: a 64-bit hash of each word.
     """
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, i: int, j: int):
+    def __init__(self, data: np.ndarray, off: np.ndarray, i: int, j: int, blank: np.ndarray = SPACE):
         n = j - i
         lens = off[i + 1 : j + 1] - off[i:j]
         at = np.zeros(n + 1, np.int64)
@@ -149,7 +149,7 @@ class Words:
         buf[dest] = src
         self.buf = buf = LOWER[buf]
         self.at = at
-        word = ~SPACE[buf]
+        word = ~blank[buf]
         edge = np.flatnonzero(word[1:] != word[:-1]) + 1
         if word[0]:
             edge = np.concatenate(([0], edge))
@@ -181,3 +181,18 @@ def word_hash(word: str) -> int:
     w = word.encode()
     d = np.frombuffer(w, np.uint8)
     return int(Words(d, np.array([0, len(d)]), 0, 1).hash[0])
+
+
+def added(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch with columns added; one of the same name is replaced."""
+    keep = [n for n in batch.schema.names if n not in columns]
+    return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in keep] + list(columns.values()), names=keep + list(columns))
+
+
+def added_schema(df: DataFrame, columns: str) -> str:
+    """DDL of ``df`` with columns (name type, comma-separated) added as by :func:`added`."""
+    from pyspark.sql.types import StructField, StructType
+
+    new = StructType.fromDDL(columns)
+    names = set(new.names)
+    return StructType([StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name not in names] + list(new.fields))

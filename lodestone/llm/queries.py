@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.quality_fm import op5_quality_classifier
+from lodestone.llm.secret_scan import op2_secret_scans
 from lodestone.llm.spotsigs import op10_document_fingerprints
+from lodestone.llm.toxicity import op6_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op2_secret_scans": op2_secret_scans,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.exact_topk import OP8_SQL, op8_exact_topk
+from lodestone.llm.mixing import op9_mixing
 from lodestone.llm.quality_fm import op5_quality_classifier
 from lodestone.llm.secret_scan import op2_secret_scans
 from lodestone.llm.spotsigs import op10_document_fingerprints
@@ -17,7 +19,11 @@ QUERIES: dict[str, Query] = {
     "op2_secret_scans": op2_secret_scans,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
+    "op8_exact_topk": op8_exact_topk,
+    "op9_mixing": op9_mixing,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_topk": OP8_SQL,
+}

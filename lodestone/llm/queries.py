@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.exact_topk import OP8_SQL, op8_exact_topk
+from lodestone.llm.jaccard_join import OP4_SQL, op4_ngram_jaccard_join
 from lodestone.llm.mixing import op9_mixing
 from lodestone.llm.quality_fm import op5_quality_classifier
 from lodestone.llm.secret_scan import op2_secret_scans
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_secret_scans": op2_secret_scans,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
     "op8_exact_topk": op8_exact_topk,
@@ -25,5 +27,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": OP4_SQL,
     "op8_exact_topk": OP8_SQL,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.exact_topk import OP8_SQL, op8_exact_topk
 from lodestone.llm.jaccard_join import OP4_SQL, op4_ngram_jaccard_join
+from lodestone.llm.katz import op7_lm_scoring
 from lodestone.llm.mixing import op9_mixing
 from lodestone.llm.quality_fm import op5_quality_classifier
 from lodestone.llm.secret_scan import op2_secret_scans
@@ -21,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_exact_topk": op8_exact_topk,
     "op9_mixing": op9_mixing,
     "op10_document_fingerprints": op10_document_fingerprints,

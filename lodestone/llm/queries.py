@@ -13,12 +13,14 @@ from lodestone.llm.mixing import op9_mixing
 from lodestone.llm.quality_fm import op5_quality_classifier
 from lodestone.llm.secret_scan import op2_secret_scans
 from lodestone.llm.spotsigs import op10_document_fingerprints
+from lodestone.llm.suffix_dedup import op3_suffix_dedup
 from lodestone.llm.toxicity import op6_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_secret_scans": op2_secret_scans,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,

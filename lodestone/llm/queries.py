@@ -10,6 +10,7 @@ from lodestone.llm.exact_topk import OP8_SQL, op8_exact_topk
 from lodestone.llm.jaccard_join import OP4_SQL, op4_ngram_jaccard_join
 from lodestone.llm.katz import op7_lm_scoring
 from lodestone.llm.mixing import op9_mixing
+from lodestone.llm.piece_sampling import op1_sentencepiece_sampling
 from lodestone.llm.quality_fm import op5_quality_classifier
 from lodestone.llm.secret_scan import op2_secret_scans
 from lodestone.llm.spotsigs import op10_document_fingerprints
@@ -19,6 +20,7 @@ from lodestone.llm.toxicity import op6_toxicity
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece_sampling": op1_sentencepiece_sampling,
     "op2_secret_scans": op2_secret_scans,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,

@@ -7,6 +7,7 @@ the longest single text, never the partition.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -58,6 +59,9 @@ def dropped(*tables: DataFrame) -> None:
             jvm = t.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    if tables:  # shuffle files go once the driver has forgotten their plans
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def n_partitions(spark: SparkSession) -> int:

@@ -13,11 +13,12 @@ another hash, so that emptiness is not a signature.
 Verification: sets are cut into ``CUTS`` fragments; partial overlaps are counted per
 fragment and pair, and summed per pair.
 
-Within the texts that share a signature not all pairs are made. Pivots (those with most
-signatures first) are compared with all members of other components; links join
-components; pivots leave; the number of pivots doubles each round. What remains
-unlinked has been compared, directly or by its component, so no link between
-components is lost and equal sets are one class throughout.
+Within the texts that share signatures not all pairs are made. First each is compared
+with one pivot, the text with most signatures in common company; links join
+components. Then, within each cluster of candidates, pairs of different components are
+looked at in blocks through sketches (the content hash of each of ``FINE`` fragments):
+sets that differ in more fragments than they may differ in n-grams cannot link. Only
+pairs that pass are verified, so no link between components is lost.
 
 Edge cases: null and empty texts, or texts without words, have an empty set, no links and
 their own id as component; fewer words than n give one n-gram of all words; equal
@@ -38,6 +39,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import U64, Words, dropped, mix, n_partitions, slices, text_buffers, written
 
 CUTS = 4
+FINE = 256
+CLUSTER_BLOCK = 2048
 FLUSH = 1 << 20
 ODD = [U64(x) for x in (0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -210,6 +213,9 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, do
         return pd.DataFrame({"key": k[many], "cid": c[many]})
 
     groups = written(passed.filter("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInPandas(shared_keys, "key bigint, cid bigint"), "groups")
+    sizes = written(sizes, "sizes")
+    classes = sizes.filter("n > 0").groupBy("s1").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"))
+    dropped(passed)
     labels = linked(docs, groups, classes, n, num, den)
     known = classes.join(labels.select(F.col("node").alias("s1"), "label"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
     comp = known.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -218,12 +224,38 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, do
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """16 bits of content hash for each of FINE fragments of a set."""
+    total = np.zeros(len(s) + 1, U64)
+    np.cumsum(mix(s ^ ODD[5]), out=total[1:])
+    edge = np.searchsorted(s >> U64(56), np.arange(FINE + 1, dtype=U64))
+    return (mix(total[edge[1:]] - total[edge[:-1]]) >> U64(48)).astype(np.uint16).tobytes()
+
+
+def near_in_sketch(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Pairs of a block of a cluster (or of two blocks) in different components whose sketches let them link."""
+    one = int(pdf["one"].iloc[0])
+    x = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, FINE)
+    cid, n, label, part = (pdf[c].to_numpy() for c in ("cid", "n", "label", "part"))
+    left = np.flatnonzero(part == one)
+    right = np.flatnonzero(part == int(pdf["two"].iloc[0]))
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in left:
+        j = right[(label[right] != label[i]) & ((cid[right] > cid[i]) if one == int(pdf["two"].iloc[0]) else True)]
+        j = j[(np.minimum(n[j], n[i]) * den >= np.maximum(n[j], n[i]) * num)]
+        if len(j):
+            apart = (x[j] != x[i]).sum(axis=1)
+            j = j[apart <= (n[j] + n[i]) * (den - num) // (den + num)]
+            out.append((np.full(len(j), i), j))
+    i, j = (np.concatenate(y) for y in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+    return pd.DataFrame({"a": np.minimum(cid[i], cid[j]), "b": np.maximum(cid[i], cid[j]), "both": n[i] + n[j]})
+
+
 def linked(docs: DataFrame, groups: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """node, label of the classes that have links; groups: key, cid of classes that share keys."""
+    """node, label of the classes that may have links; groups: key, cid of classes that share keys."""
     spark = docs.sparkSession
-    empty = spark.createDataFrame([], "node bigint, label bigint")
     if not groups.limit(1).count():
-        return empty
+        return spark.createDataFrame([], "node bigint, label bigint")
     degree = groups.groupBy("cid").agg(F.count("*").alias("degree"))
     members = written(degree.join(classes.withColumnRenamed("s1", "cid"), "cid"), "members")
 
@@ -234,41 +266,42 @@ def linked(docs: DataFrame, groups: DataFrame, classes: DataFrame, n: int, num:
                 rows = []
                 for cid, s in zip(b.column(0).slice(i, j - i).to_pylist(), sets_of(data, off, i, j, n)):
                     edge = np.searchsorted((s >> U64(62)).astype(np.int64), np.arange(CUTS + 1))
-                    rows += [(cid, f, s[edge[f] : edge[f + 1]].view(np.int64)) for f in range(CUTS)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["cid", "f", "grams"])
+                    rows += [(cid, f, s[edge[f] : edge[f + 1]].view(np.int64), sketch(s) if f == 0 else None) for f in range(CUTS)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())], names=["cid", "f", "grams", "sketch"])
 
-    rep = members.select("cid", F.col("rep").alias("doc_id"))
-    own = docs.join(rep, F.col("text").isNotNull() & docs["doc_id"].eqNullSafe(rep["doc_id"])).select("cid", "text")
-    fragments = written(own.mapInArrow(cut, "cid bigint, f int, grams array<bigint>").dropDuplicates(["cid", "f"]), "fragments")
-    sides = members.select("cid", "n", "degree")
-    labels = written(members.select(F.col("cid").alias("node"), F.col("cid").alias("label")), "labels")
-    links: DataFrame | None = None
-    left = written(groups.join(sides, "cid"), "left")
-    dropped(groups)
-    k = 1
-    while True:
-        now = left.join(labels.select(F.col("node").alias("cid"), "label"), "cid")
-        open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-        now = written(now.join(open_, "key", "left_semi"), "now")
-        if not now.limit(1).count():
-            break
-        slot = F.pmod(F.xxhash64("cid"), F.lit(k))
-        pivots = now.groupBy("key", slot.alias("slot")).agg(F.min(F.struct((-F.col("degree")).alias("d"), "cid", "n", "label")).alias("p")).select("key", F.col("p.cid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl"))
-        pivots = written(pivots, "pivots")
-        pairs = now.join(pivots, "key").filter("label != pl").filter(F.least("n", "pn") * den >= F.greatest("n", "pn") * num)
-        pairs = pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), F.when(F.col("cid") < F.col("pivot"), F.col("n")).otherwise(F.col("pn")).alias("na"), (F.col("n") + F.col("pn")).alias("both")).distinct()
+    rep = members.select("cid", F.col("rep").alias("_rep"))
+    own = docs.join(rep, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("cid", "text")
+    fragments = written(own.mapInArrow(cut, "cid bigint, f int, grams array<bigint>, sketch binary").dropDuplicates(["cid", "f"]), "fragments")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Partial overlaps are counted per fragment, and summed per pair."""
         one, two = fragments.select(F.col("cid").alias("a"), "f", F.col("grams").alias("ga")), fragments.select(F.col("cid").alias("b"), "f", F.col("grams").alias("gb"))
         partial = pairs.join(one, "a").join(two, ["b", "f"]).select("a", "b", "both", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
-        found = partial.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("both").alias("both")).filter(F.col("o") * (num + den) >= F.col("both") * num)
-        found = written(found.select("a", "b"), "links")
-        links = found if links is None else links.unionByName(found)
-        if found.limit(1).count():
-            reached = components(links)
-            labels = written(labels.select("node").join(reached, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-        left = written(now.select("key", "cid", "n", "degree").join(pivots.select("key", F.col("pivot").alias("cid")), ["key", "cid"], "left_anti"), "left")
-        dropped(now, pivots)
-        k *= 2
-    return labels
+        found = partial.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("both").alias("both"))
+        return written(found.filter(F.col("o") * (num + den) >= F.col("both") * num).select("a", "b"), "links")
+
+    sides = members.select("cid", "n", "degree")
+    first = groups.join(sides, "cid").groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "cid", "n")).alias("p"))
+    star = groups.join(first, "key").groupBy("cid").agg(F.min("p").alias("p")).select("cid", F.col("p.cid").alias("pivot"), F.col("p.n").alias("pn"))
+    star = star.filter("cid != pivot").join(sides, "cid").filter(F.least("n", "pn") * den >= F.greatest("n", "pn") * num)
+    links = verified(star.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), (F.col("n") + F.col("pn")).alias("both")).distinct())
+    nodes = members.select(F.col("cid").alias("node"))
+    labels = written(nodes.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    labelled = groups.join(labels.select(F.col("node").alias("cid"), "label"), "cid")
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("cid").alias("to")).filter("lo != hi").select("key", "to")
+    edges = written(labelled.join(open_, "key").select("cid", "to").distinct(), "edges")
+    clusters = components(edges, "cid", "to").select(F.col("node").alias("cid"), F.col("label").alias("cluster"))
+    sketches = fragments.filter("sketch is not null").select("cid", "sketch")
+    held = clusters.join(labels.select(F.col("node").alias("cid"), "label"), "cid").join(members.select("cid", "n"), "cid")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("blocks"))
+    held = held.join(blocks, "cluster").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    work = held.withColumn("other", other).withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
+    work = work.join(sketches, "cid").select("cluster", "one", "two", "part", "cid", "n", "label", "sketch")
+    near = work.groupBy("cluster", "one", "two").applyInPandas(lambda pdf: near_in_sketch(pdf, num, den), "a bigint, b bigint, both bigint")
+    more = verified(written(near, "near"))
+    dropped(groups, edges)
+    return written(nodes.join(components(links.unionByName(more)), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,10 @@ A text's set is its distinct word n-grams. The global order of n-grams is that o
 their 64-bit hashes, and is cut into fragments.
 
 Candidates: sets of sizes that can reach the threshold differ in at most t n-grams, so
-of t + 1 fragments at least one is equal in both. Each set emits one signature per
-fragment (the fragment's whole content), in the size band of its own and in the next
-lower one. A passage that many texts share makes no candidate unless everything else
-in that stretch of the order is equal too. A fragment that is empty is cut anew by
-another hash, so that emptiness is not a signature.
+of more than t fragments at least one is equal in both. Each set emits one signature per
+filled fragment (the fragment's whole content), in the size band of its own and in the
+next lower one. A passage that many texts share makes no candidate unless everything
+else in that stretch of the order is equal too.
 
 Verification: sets are cut into ``CUTS`` fragments; partial overlaps are counted per
 fragment and pair, and summed per pair.
@@ -75,11 +74,11 @@ class Bands:
             self.low.append(self.low[-1] * self.den // self.num + 1)
         return int(np.searchsorted(self.low, n, side="right")) - 1
 
-    def fragments(self, band: int) -> int:
-        """One more than the most n-grams in which a set of this band and a larger partner can differ."""
+    def apart(self, band: int) -> int:
+        """The most n-grams in which a set of this band and a larger partner can differ."""
         self.of(self.low[band] if band < len(self.low) else 1)
         top = self.low[band] * self.den // self.num
-        return top * (self.den - self.num) // self.num + 1
+        return top * (self.den - self.num) // self.num
 
 
 def fragment_sums(h: np.ndarray, m: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -92,26 +91,29 @@ def fragment_sums(h: np.ndarray, m: int, salt: int = 0) -> tuple[np.ndarray, np.
     return total[edge[1:]] - total[edge[:-1]], np.diff(edge)
 
 
-def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of a set; sets over the threshold share at least one."""
+def signatures(h: np.ndarray, bands: Bands, levels: int = 4) -> np.ndarray:
+    """Keys of a set; sets over the threshold share at least one.
+
+    If partners differ in at most t n-grams, at most t of m fragments differ. While more
+    than t of a set's fragments are filled, one that is equal is filled. A set with fewer
+    adds the fragments of another order, level by level; partners that need a level both have it.
+    """
     if not len(h):
         return np.zeros(0, U64)
     own = bands.of(len(h))
     out = []
     for band in {own, max(own - 1, 0)}:
-        m = bands.fragments(band)
-        todo = [(0, 0)]
-        while todo:
-            salt, depth = todo.pop()
-            content, size = fragment_sums(h, m, salt)
-            place = mix(np.arange(m, dtype=U64) * ODD[1] + U64((band * 0x9E3779B1 + salt * 0x85EBCA77) % (1 << 64)))
+        t = bands.apart(band)
+        m = t + 3 + t // 10
+        for level in range(levels):
+            content, size = fragment_sums(h, m, level)
+            place = mix(np.arange(m, dtype=U64) * ODD[1] + U64(band * 0x9E3779B1 + level * 0x85EBCA77))
             full = size > 0
             out.append(mix(content[full] * ODD[2] + place[full]))
-            for k in np.flatnonzero(~full):
-                if depth < 3:
-                    todo.append(((salt * 1000003 + int(k) + 1) % (1 << 40), depth + 1))
-                else:
-                    out.append(mix(place[k : k + 1]))
+            if full.sum() > t:
+                break
+        else:
+            out.append(mix(place[~full]))
     return np.unique(np.concatenate(out))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import kernels
+
 
 def exact_map(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
     """doc_id, duplicate_of (first row of equal text), is_duplicate; the hash is aggregated before the join."""
@@ -48,10 +50,9 @@ def near_pairs(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int
 
     Texts that share a band bucket are compared with the bucket's smallest id, so a bucket of n texts gives n - 1 pairs.
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    chars = docs.select("doc_id", F.sha2(low, 256).alias("h"), F.split(low, "").alias("c"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - shingle + 1, F.lit(1))), lambda k: F.xxhash64(F.slice("c", k, F.lit(shingle)))))
-    own = chars.select("doc_id", "h", grams.alias("g")).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("g").alias("g"))
+    low = F.sha2(F.lower(F.coalesce(F.col(text), F.lit(""))), 256)
+    one = docs.groupBy(low.alias("h")).agg(F.min_by(F.struct("doc_id", text), "doc_id").alias("d")).select("d.*")
+    own = kernels.shingles(one, shingle, text)
     # one-permutation MinHash: each bin of the hash space keeps its least shingle
     bins = own.select("doc_id", F.explode("g").alias("x")).withColumn("bin", F.pmod("x", F.lit(bands * rows))).groupBy("doc_id", "bin").agg(F.min("x").alias("x"))
     banded = bins.groupBy("doc_id", F.floor(F.col("bin") / rows).alias("band")).agg(F.xxhash64(F.array_sort(F.collect_list("x"))).alias("sig"))

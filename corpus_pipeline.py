@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document, with their piece ids."""
-    return piece_sampling.encoded(docs.select("doc_id", "lang", "source", "text"), piece_sampling.model_bytes()).drop("text")
+    return piece_sampling.encoded(docs.select("doc_id", "lang", "source", "text"), piece_sampling.model_bytes(), keep_text=False)
 
 
 STAGES = [

@@ -41,6 +41,7 @@ SEED = 29
 BATCH = 2 << 20
 C = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 MARK = "▁"
+LONGER, PREFIX = 1 << 30, -2
 
 
 def salt(*parts: tuple[int, int]) -> np.uint64:
@@ -74,13 +75,17 @@ class Pieces:
     @classmethod
     def of(cls, text: list[bytes], logp: np.ndarray, matched: np.ndarray, byte_id: np.ndarray) -> Pieces:
         """matched: ids of the pieces that text can match; byte_id: the piece of each byte."""
-        size = 1 << max(4, int(np.ceil(np.log2(4 * len(matched) + 1))))
+        # proper prefixes of pieces are entries too, so that a search ends where no longer piece is
+        longer = {text[i].decode()[:k].encode() for i in matched for k in range(1, len(text[i].decode()))}
+        entries = {text[i]: int(i) + (LONGER if text[i] in longer else 0) for i in matched}
+        entries |= {x: PREFIX for x in longer if x not in entries}
+        size = 1 << max(4, int(np.ceil(np.log2(4 * len(entries) + 1))))
         keys, ids, reach = np.zeros(size, U64), np.full(size, -1, np.int64), 0
-        buf = np.frombuffer(b"".join(text[i] for i in matched), np.uint8)
-        edge = np.concatenate(([0], np.cumsum([len(text[i]) for i in matched])))
-        for h, i in zip(substring_hash(prefix_sums(buf), edge[:-1], edge[1:]), matched):
+        buf = np.frombuffer(b"".join(entries), np.uint8)
+        edge = np.concatenate(([0], np.cumsum([len(x) for x in entries])))
+        for h, i in zip(substring_hash(prefix_sums(buf), edge[:-1], edge[1:]), entries.values()):
             at, k = int(h) % size, 0
-            while ids[(at + k) % size] >= 0:
+            while ids[(at + k) % size] != -1:
                 k += 1
             keys[(at + k) % size], ids[(at + k) % size], reach = h, i, max(reach, k)
         alone = np.zeros(256, bool)
@@ -113,23 +118,33 @@ class Pieces:
         return cls.of(text, score, matched, byte_id)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece of each hash, or -1."""
+        """Piece of each hash (plus LONGER if it begins a longer one), PREFIX if it only begins pieces, or -1."""
         size = len(self.keys)
         at = (h % U64(size)).astype(np.int64)
         out = np.where(self.keys[at] == h, self.ids[at], -1)
-        miss = np.flatnonzero((out < 0) & (self.ids[at] >= 0))
+        miss = np.flatnonzero((self.keys[at] != h) & (self.ids[at] != -1))
         for k in range(1, self.reach + 1):
             if not len(miss):
                 break
             to = (at[miss] + k) % size
             hit = self.keys[to] == h[miss]
             out[miss[hit]] = self.ids[to[hit]]
-            miss = miss[~hit & (self.ids[to] >= 0)]
+            miss = miss[~hit & (self.ids[to] != -1)]
         return out
 
+    def __post_init__(self) -> None:
+        self.size = np.array([len(t) for t in self.text], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.text), np.uint8)
+
+    def decoded_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """UTF-8 of piece ids; the space put before the text goes."""
+        size = self.size[ids]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.start[ids] - end + size, size) + np.arange(end[-1])][1:] if len(ids) else self.flat[:0]
+
     def decode(self, ids: np.ndarray) -> str:
-        """The text of piece ids; the space put before it goes."""
-        return b"".join(map(self.text.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
+        return self.decoded_bytes(ids).tobytes().decode("utf-8", "replace")
 
 
 class Lattice:
@@ -173,17 +188,21 @@ class Lattice:
 
     def _edges(self, total: np.ndarray) -> None:
         p, parts = self.pieces, []
+        s = np.arange(len(self.rem))
         for length in range(1, p.longest + 1):
-            s = np.flatnonzero(self.rem >= length)
+            s = s[self.rem[s] >= length]
             if not len(s):
                 break
             piece = p.find(substring_hash(total, self.char[s], self.char[s + length]))
+            prefix = piece == PREFIX
             on = piece >= 0
             if length == 1:
                 parts.append((s[~on], np.ones((~on).sum(), np.int64), np.full((~on).sum(), -1)))
-            parts.append((s[on], np.full(on.sum(), length), piece[on]))
+            ends = on & (piece < LONGER)
+            parts.append((s[on], np.full(on.sum(), length), piece[on] % LONGER))
+            s = s[(prefix | on) & ~ends]  # the rest of the texts can go on
         node, length, piece = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
-        order = np.lexsort((length, node, self.rem[node]))
+        order = np.argsort((self.rem[node] << 40) + node * 32 + length)
         node, self.length, self.piece = node[order], length[order], piece[order]
         bytes_ = self.char[node + 1] - self.char[node] if len(node) else node
         fall = p.logp[p.byte_id[0]]
@@ -244,19 +263,24 @@ class Lattice:
     def ids(self, path: np.ndarray) -> np.ndarray:
         """Piece ids of a path's edges."""
         piece = self.piece[path]
-        if (piece >= 0).all():
+        bare = np.flatnonzero(piece < 0)
+        if not len(bare):
+            return piece
+        if (self.n_ids[path[bare]] == 1).all():
+            piece[bare] = self.pieces.byte_id[self.buf[self.char[self.node[path[bare]]]]]
             return piece
         n = self.n_ids[path]
         out = np.repeat(piece, n)
-        at = np.cumsum(n) - n
-        for k in np.flatnonzero(piece < 0):
-            a = self.char[self.node[path[k]]]
-            out[at[k] : at[k] + n[k]] = self.pieces.byte_id[self.buf[a : a + n[k]]]
+        bare = np.flatnonzero(out < 0)
+        # a byte's place: its character's first byte, and how far the id is into the character
+        into = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
+        first = np.repeat(self.char[self.node[path]], n)
+        out[bare] = self.pieces.byte_id[self.buf[first[bare] + into[bare]]]
         return out
 
 
 def gumbel(key: np.ndarray) -> np.ndarray:
-    u = ((mix(key) >> U64(12)).astype(float) + 0.5) * 2.0**-52
+    u = ((mix(key) >> U64(32)).astype(float) + 0.5) * 2.0**-32
     return -np.log(-np.log(u))
 
 
@@ -292,7 +316,7 @@ class Search:
         own = len(self.found) - 1
         base = np.array([self.key], U64) + salt((own + 1, 1), (1, 0))
         best, at = np.zeros(0), np.zeros(0, np.int64)
-        a, z = since, int(np.searchsorted(-before[: len(path)], 40 - before[since], side="right")) if since < len(path) else 0
+        a, z = since, int(np.searchsorted(-before[: len(path)], 25 - before[since], side="right")) if since < len(path) else 0
         while a < z:
             t = np.arange(a, z)
             t = t[lat.degree[lat.node[path[t]]] > 1]
@@ -302,8 +326,8 @@ class Search:
             if len(best) > keep + 1:
                 few = np.argpartition(best, keep)[: keep + 1]
                 best, at = best[few], at[few]
-            # no noise is over 37 and ``before`` only falls: places below this cannot matter
-            end = len(path) if len(best) <= keep else int(np.searchsorted(-before[: len(path)], best.max() + 37, side="right"))
+            # no noise is over 23 and ``before`` only falls: places below this cannot matter
+            end = len(path) if len(best) <= keep else int(np.searchsorted(-before[: len(path)], best.max() + 23, side="right"))
             a, z = z, min(end, z + 4 * (z - a))
         for b, t in zip(best.tolist(), at.tolist()):
             heapq.heappush(self.open, (b, own, t, (int(path[t]),)))
@@ -389,34 +413,39 @@ def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
 COLUMNS = "sample int, n_pieces bigint, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean"
 
 
-def encoded(df: DataFrame, model: bytes, k: int = SAMPLES, seed: int = SEED, text: str = "text", key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+def encoded(df: DataFrame, model: bytes, k: int = SAMPLES, seed: int = SEED, text: str = "text", key: str = "doc_id", with_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """Each row up to k times: sample (from 1), figures of the segmentation, and its piece ids (array<int>) if asked for."""
     shared = df.sparkSession.sparkContext.broadcast(Pieces.loaded(model))  # as large as the vocabulary
     names = [c.split()[0] for c in COLUMNS.split(", ")] + ["ids"] * with_ids
+    gone = set() if keep_text else {text}
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
         for b in batches:
             data, off = text_buffers(b.column(b.schema.get_field_index(text)))
             keys = row_keys(b.column(b.schema.get_field_index(key)), seed)
-            keep = [m for m, c in enumerate(b.schema.names) if c not in names]
+            keep = [m for m, c in enumerate(b.schema.names) if c not in names and c not in gone]
+            rest = b.select([b.schema.names[m] for m in keep])
             for i, j in slices(off, BATCH):
                 lat, found = sample_texts(pieces, data, off, i, j, keys[i:j], k)
                 rows: list[list] = [[] for _ in range(8)]
                 at = []
                 for d, own in enumerate(found):
-                    raw = data[off[i + d] : off[i + d + 1]].tobytes()
+                    raw = data[off[i + d] : off[i + d + 1]]
                     for m, x in enumerate(own):
                         ids = lat.ids(x.path).astype(np.int32)
-                        back = b"".join(map(pieces.text.__getitem__, ids.tolist()))[1:]
+                        back = pieces.decoded_bytes(ids)
                         at.append(i + d)
-                        for c, v in zip(rows, (m + 1, len(ids), x.logp, x.score, x.inclusion, hashlib.sha256(ids.tobytes()).hexdigest(), back == raw, ids)):
+                        for c, v in zip(rows, (m + 1, len(ids), x.logp, x.score, x.inclusion, hashlib.sha256(ids.tobytes()).hexdigest(), np.array_equal(back, raw), ids)):
                             c.append(v)
                 kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
-                t = b.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([t.column(m) for m in keep] + [pa.array(c, kind) for c, kind in zip(rows, kinds)][: len(names)], names=[t.schema.names[m] for m in keep] + names)
+                t = rest.take(pa.array(at, pa.int64()))
+                if not with_ids:
+                    rows = rows[:-1]
+                yield pa.RecordBatch.from_arrays(t.columns + [pa.array(c, kind) for c, kind in zip(rows, kinds)], names=t.schema.names + names)
+                del lat, found, rows
 
-    return df.mapInArrow(kernel, added_schema(df, COLUMNS + ", ids array<int>" * with_ids))
+    return df.mapInArrow(kernel, added_schema(df.drop(*gone), COLUMNS + ", ids array<int>" * with_ids))
 
 
 def decoded(df: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
@@ -441,4 +470,4 @@ def model_bytes(path: str = MODEL) -> bytes:
 def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encoded(docs, model_bytes(), with_ids=False).drop("text")
+    return encoded(docs, model_bytes(), with_ids=False, keep_text=False)

@@ -1,0 +1,94 @@
+"""Picture operators: line items stand for findings of an order's picture; boxes come from integer arithmetic on their keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import geometry as g
+from lodestone.operators import picture
+from lodestone.queries import query, table
+
+W, H = 400.0, 300.0
+_F = """SELECT l_orderkey AS image_id, l_orderkey * 10 + l_linenumber AS id, ['face', 'plate', 'text_pii', 'unsafe', 'other'][l_partkey % 5 + 1] AS category, (l_partkey % 100) / 100.0::DOUBLE AS score,
+  (l_partkey % 200)::DOUBLE AS x, (l_suppkey % 150)::DOUBLE AS y, (40 + l_partkey % 60)::DOUBLE AS w, (30 + l_suppkey % 50)::DOUBLE AS h FROM lineitem"""
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    names = F.array(*[F.lit(c) for c in ("face", "plate", "text_pii", "unsafe", "other")])
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("image_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.element_at(names, (p % 5 + 1).cast("int")).alias("category"),
+        ((p % 100) / 100.0).alias("score"), g.box(p % 200, s % 150, 40 + p % 60, 30 + s % 50).alias("box"),
+    )
+
+
+_IOU = f"""WITH f AS ({_F}), j AS (SELECT a.image_id, a.id, b.id AS other, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS o, a.w * a.h AS sa, b.w * b.h AS sb
+  FROM f a JOIN f b ON a.image_id = b.image_id AND a.id < b.id) """
+
+
+@query(_IOU + "SELECT image_id, id, other, round(o / (sa + sb - o), 9) AS iou, round(o / least(sa, sb), 9) AS containment FROM j WHERE o / (sa + sb - o) > 0.05 OR o / least(sa, sb) >= 0.75")
+def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = findings(spark, sf_dir)
+    return picture.near_boxes(f, f).withColumns({c: F.round(c, 9) for c in ("iou", "containment")})
+
+
+@query()
+def finding_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = picture.merged(findings(spark, sf_dir))
+    return m.select("image_id", "id", "category", "score")
+
+
+@query(f"""SELECT id, mode, round(greatest(x - w * p, 0), 6) AS x0, round(greatest(y - h * p, 0), 6) AS y0, round(least(x + w * (1 + p), {W}), 6) AS x1, round(least(y + h * (1 + p), {H}), 6) AS y1
+FROM (SELECT *, CASE category WHEN 'face' THEN 'blur' ELSE 'fill' END AS mode, CASE category WHEN 'face' THEN 0.1 WHEN 'plate' THEN 0.05 ELSE 0.02 END::DOUBLE AS p FROM ({_F}) WHERE category IN ('face', 'plate', 'text_pii'))""")
+def redaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = F.col("box")
+    r = picture.redaction_plan(findings(spark, sf_dir), W, H)
+    return r.select("id", "mode", *[F.round(c, 6).alias(n) for c, n in ((b["x"], "x0"), (b["y"], "y0"), (b["x"] + b["w"], "x1"), (b["y"] + b["h"], "y1"))])
+
+
+@query(f"""SELECT image_id, CASE WHEN d THEN 'drop' WHEN u THEN 'review' WHEN r THEN 'pass_redacted' ELSE 'pass_raw' END AS decision, s AS hidden_share, CASE WHEN s > 0.45 THEN 'low' ELSE 'normal' END AS education_value
+FROM (SELECT image_id, bool_or(category = 'unsafe' AND score >= 0.7) AS d, bool_or(category = 'unsafe' AND score < 0.7) AS u, bool_or(category IN ('face', 'plate', 'text_pii')) AS r,
+  round(coalesce(sum(w * h) FILTER (category IN ('face', 'plate', 'text_pii')), 0) / {W * H}, 6)::DOUBLE AS s FROM ({_F}) WHERE score >= 0.5 GROUP BY image_id)""")
+def picture_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return picture.policy(findings(spark, sf_dir), W, H)
+
+
+@query(f"SELECT image_id, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, count(*) AS boxes FROM ({_F}) GROUP BY image_id")
+def union_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return picture.union_box(findings(spark, sf_dir), "image_id")
+
+
+@query(f"SELECT image_id, id, category FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category ORDER BY score DESC, id) AS r FROM ({_F})) WHERE r <= CASE category WHEN 'unsafe' THEN 2 ELSE 1 END")
+def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return picture.top_per_category(findings(spark, sf_dir), {"unsafe": 2}, 1).select("image_id", "id", "category")
+
+
+@query("""WITH l AS (SELECT doc_id AS image_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)
+SELECT image_id, line::INTEGER AS line, coalesce(sum(length(t) + 1) OVER (PARTITION BY image_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(t)::INTEGER AS n FROM l WHERE t <> ''""")
+def ocr_line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand for recognised pages of one block."""
+    blocks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.lit(0).alias("block_id"), "text")
+    return picture.ocr_text(blocks).select("image_id", "line", "start", F.length("t").alias("n"))
+
+
+@query("SELECT conv_id AS image_id, count(*) AS blocks, round(avg(length(text) % 100), 4) AS confidence, sum(length(text))::BIGINT AS text_length FROM conversations GROUP BY conv_id")
+def ocr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("image_id"), "text", (F.length("text") % 100).alias("confidence"))
+    return picture.ocr_summary(c)
+
+
+@query("""SELECT p_partkey, round(10 + 100 * (len(regexp_extract_all(left(p_name, 3), '[^ .,:;''|!]')) + 0.5 * len(regexp_extract_all(left(p_name, 3), '[ .,:;''|!]'))) / t, 6) AS x,
+  round(100 * (len(regexp_extract_all(substr(p_name, 4, 5), '[^ .,:;''|!]')) + 0.5 * len(regexp_extract_all(substr(p_name, 4, 5), '[ .,:;''|!]'))) / t, 6) AS w
+FROM (SELECT *, len(regexp_extract_all(p_name, '[^ .,:;''|!]')) + 0.5 * len(regexp_extract_all(p_name, '[ .,:;''|!]')) AS t FROM part)""")
+def ocr_char_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = g.box(F.lit(10), F.lit(0), F.lit(100), F.lit(12))
+    b = picture.char_box(line, F.col("p_name"), F.lit(3), F.lit(8))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(b["x"], 6).alias("x"), F.round(b["w"], 6).alias("w"))
+
+
+@query("""SELECT l_orderkey AS image_id, l_linenumber AS n, CASE WHEN a < 0.6 OR a > 1.8 OR c < 40 THEN 'document' WHEN c > 70 THEN 'photo' ELSE 'mixed' END AS route
+FROM (SELECT *, (40 + l_partkey % 60) / (30 + l_suppkey % 50)::DOUBLE AS a, l_quantity * 2 AS c FROM lineitem)""")
+def route_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = picture.route(40 + F.col("l_partkey") % 60, (30 + F.col("l_suppkey") % 50).cast("double"), F.col("l_quantity") * 2)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("n"), r.alias("route"))

@@ -1,0 +1,138 @@
+"""Video operators: a user's events stand for the frames of an asset, in milliseconds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import geometry as g
+from lodestone.operators import audio, video
+from lodestone.queries import query, table
+
+_E = """SELECT user_id AS asset_id, event_id AS frame_id, epoch_ns(ts) // 1000000 AS pts_ms, event_type AS route, value, event_id % 7 AS hash FROM events"""
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("asset_id"), F.col("event_id").alias("frame_id"), ms.alias("pts_ms"), F.col("event_type").alias("route"), "value", (F.col("event_id") % 7).alias("hash"))
+
+
+_SEV = "['low', 'medium', 'high', 'critical']"
+_R = f"""SELECT asset_id, frame_id AS risk_id, route AS category, pts_ms AS start_ms, pts_ms + 1000 * (frame_id % 900) AS end_ms, {_SEV}[frame_id % 4 + 1] AS severity, (frame_id % 100) / 100.0::DOUBLE AS confidence, frame_id % 3 = 0 AS bare FROM ({_E})"""
+
+
+def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.col("frame_id")
+    sev = F.element_at(F.array(*[F.lit(s) for s in ("low", "medium", "high", "critical")]), (f % 4 + 1).cast("int"))
+    return frames(spark, sf_dir).select(
+        "asset_id", f.alias("risk_id"), F.col("route").alias("category"), F.col("pts_ms").alias("start_ms"), (F.col("pts_ms") + 1000 * (f % 900)).alias("end_ms"), sev.alias("severity"),
+        ((f % 100) / 100.0).alias("confidence"), F.when(f % 3 != 0, g.box(f % 50, f % 40, F.lit(60), F.lit(50))).alias("box"),
+    )
+
+
+@query(f"""WITH n AS (SELECT *, CASE WHEN lag(route) OVER w IS NOT DISTINCT FROM route THEN 0 ELSE 1 END AS x FROM ({_E}) WINDOW w AS (PARTITION BY asset_id ORDER BY pts_ms, frame_id)),
+i AS (SELECT *, sum(x) OVER (PARTITION BY asset_id ORDER BY pts_ms, frame_id)::BIGINT AS segment FROM n)
+SELECT asset_id, segment, any_value(route) AS route, min(pts_ms) AS start_ms, max(pts_ms) AS end_ms, count(*) AS frames FROM i GROUP BY asset_id, segment""")
+def route_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.segments(frames(spark, sf_dir))
+
+
+@query()
+def scene_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.scene_boundaries(frames(spark, sf_dir))
+
+
+_C = """SELECT c_custkey AS asset_id, 0::BIGINT AS start_ms, (c_custkey % 37) * 1000 + 500 AS end_ms FROM customer"""
+
+
+@query(f"""SELECT asset_id, clip, clip * 4000 AS clip_start, least(clip * 4000 + 5000, end_ms) AS clip_end FROM (SELECT *, unnest(range(0, greatest(0, ceil((end_ms - 5000) / 4000.0))::BIGINT + 1)) AS clip FROM ({_C}))""")
+def clip_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    s = table(spark, sf_dir, "customer").select(k.alias("asset_id"), F.lit(0).cast("bigint").alias("start_ms"), ((k % 37) * 1000 + 500).alias("end_ms"))
+    return video.clip_windows(s).select("asset_id", "clip", "clip_start", "clip_end")
+
+
+@query(f"""WITH c AS (SELECT asset_id, clip, lo + clip * 80000000 AS a, least(lo + clip * 80000000 + 100000000, hi) AS b FROM (SELECT *, unnest(range(0, greatest(0, ceil((hi - lo - 100000000) / 80000000.0))::BIGINT + 1)) AS clip
+  FROM (SELECT asset_id, min(pts_ms) AS lo, max(pts_ms) + 1 AS hi FROM ({_E}) GROUP BY asset_id)))
+SELECT c.asset_id, clip, count(*) AS frames FROM c JOIN ({_E}) e ON e.asset_id = c.asset_id AND pts_ms >= a AND pts_ms < b GROUP BY ALL""")
+def clip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    whole = f.groupBy("asset_id").agg(F.min("pts_ms").alias("start_ms"), (F.max("pts_ms") + 1).alias("end_ms"))
+    clips = video.clip_windows(whole, 100_000_000, 80_000_000)
+    return video.clip_members(clips, f).groupBy("asset_id", "clip").agg(F.count("*").alias("frames"))
+
+
+@query(f"""WITH p AS (SELECT o_orderkey AS point_id, o_custkey % 15 + 1 AS asset_id, 1704067200000 + (o_orderkey % 2592000) * 1000 AS at_ms FROM orders), e AS (SELECT asset_id, pts_ms FROM ({_E}))
+SELECT p.asset_id, point_id, CASE WHEN b.pts_ms IS NULL THEN a.pts_ms WHEN a.pts_ms IS NULL THEN b.pts_ms WHEN at_ms - b.pts_ms <= a.pts_ms - at_ms THEN b.pts_ms ELSE a.pts_ms END AS nearest_ms
+FROM p ASOF LEFT JOIN e b ON p.asset_id = b.asset_id AND at_ms >= b.pts_ms ASOF LEFT JOIN e a ON p.asset_id = a.asset_id AND at_ms <= a.pts_ms""")
+def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    p = table(spark, sf_dir, "orders").select(k.alias("point_id"), (F.col("o_custkey") % 15 + 1).alias("asset_id"), (F.lit(1704067200000) + (k % 2592000) * 1000).alias("at_ms"))
+    return video.nearest_frame(p, frames(spark, sf_dir))
+
+
+_KEYS = "SELECT asset_id AS track_id, pts_ms, (frame_id % 90)::DOUBLE AS x FROM e WHERE frame_id % 5 = 0"
+
+
+@query(f"""WITH e AS ({_E}), k AS (SELECT *, lead(pts_ms) OVER w AS t1, lead(x) OVER w AS x1 FROM ({_KEYS}) WINDOW w AS (PARTITION BY track_id ORDER BY pts_ms))
+SELECT track_id, frame_id, round(x + (x1 - x) * (e.pts_ms - k.pts_ms) / (t1 - k.pts_ms), 6) AS x FROM k JOIN e ON e.asset_id = track_id AND e.pts_ms > k.pts_ms AND e.pts_ms < t1 WHERE t1 - k.pts_ms <= 40000000 AND t1 > k.pts_ms""")
+def bbox_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir).withColumnRenamed("asset_id", "track_id")
+    keys = f.filter("frame_id % 5 = 0").select("track_id", "pts_ms", g.box(F.col("frame_id") % 90, F.lit(0), F.lit(1), F.lit(1)).alias("box"))
+    return video.interpolated(keys, f, most=40_000_000).select("track_id", "frame_id", F.round("box.x", 6).alias("x"))
+
+
+@query(f"SELECT asset_id, frame_id, first_value(frame_id) OVER w AS source_frame, frame_id <> first_value(frame_id) OVER w AS cached FROM ({_E}) WINDOW w AS (PARTITION BY asset_id, hash ORDER BY pts_ms, frame_id)")
+def frame_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.cached(frames(spark, sf_dir))
+
+
+@query(f"""WITH r AS ({_R}), n AS (SELECT *, CASE WHEN start_ms <= max(end_ms) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3600000 THEN 0 ELSE 1 END AS x FROM r WINDOW w AS (PARTITION BY asset_id, category ORDER BY start_ms, end_ms, risk_id)),
+i AS (SELECT *, sum(x) OVER (PARTITION BY asset_id, category ORDER BY start_ms, end_ms, risk_id)::BIGINT AS island FROM n)
+SELECT asset_id, category, island, min(start_ms) AS start_ms, max(end_ms) AS end_ms, {_SEV}[max(list_position({_SEV}, severity))] AS severity, max(confidence) AS confidence, count(*) AS risks FROM i GROUP BY asset_id, category, island""")
+def gap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.risk_windows(risks(spark, sf_dir), 3_600_000)
+
+
+@query()
+def temporal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.temporal_merge(risks(spark, sf_dir).filter("box is not null"), 86_400_000)
+
+
+@query(f"SELECT asset_id, arg_max(route, (n, -f)) AS route FROM (SELECT asset_id, route, count(*) AS n, min(pts_ms) AS f FROM ({_E}) GROUP BY ALL) GROUP BY asset_id")
+def main_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.main_route(frames(spark, sf_dir))
+
+
+@query(f"SELECT asset_id, CASE max(list_position({_SEV}, severity)) WHEN 4 THEN 'reject' WHEN 3 THEN 'review' WHEN 2 THEN 'quarantine' ELSE 'allow' END AS decision, count(*) AS risks FROM ({_R}) GROUP BY asset_id")
+def governance_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.governance(risks(spark, sf_dir))
+
+
+@query(f"SELECT risk_id, CASE WHEN NOT bare AND severity <> 'low' THEN 'mask_region' WHEN severity IN ('high', 'critical') THEN 'cut_clip' ELSE 'review' END AS action FROM ({_R}) WHERE severity <> 'low'")
+def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.action_plan(risks(spark, sf_dir)).select("risk_id", "action")
+
+
+@query(f"SELECT * FROM (SELECT risk_id, concat_ws(',', CASE WHEN confidence < 0.55 THEN 'low_confidence' END, CASE WHEN severity IN ('high', 'critical') THEN 'high_severity' END, CASE WHEN bare THEN 'unlocated' END) AS reasons FROM ({_R})) WHERE reasons <> ''")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.review_queue(risks(spark, sf_dir)).select("risk_id", "reasons")
+
+
+@query(f"SELECT asset_id, count(*) AS risks, count(*) FILTER (bare) AS unlocated, count(*) FILTER (confidence < 0.55) AS low_confidence, count(DISTINCT category) AS categories FROM ({_R}) GROUP BY asset_id")
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.quality_report(risks(spark, sf_dir))
+
+
+@query(f"""WITH n AS (SELECT *, CASE WHEN pts_ms <= lag(pts_ms) OVER w + 3600000 THEN 0 ELSE 1 END AS x FROM ({_E}) WINDOW w AS (PARTITION BY asset_id ORDER BY pts_ms)),
+i AS (SELECT *, sum(x) OVER (PARTITION BY asset_id ORDER BY pts_ms, frame_id)::BIGINT AS island FROM n) SELECT asset_id, island, min(pts_ms) AS start_time, max(pts_ms) AS end_time, count(*) AS parts FROM i GROUP BY asset_id, island""")
+def session_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch form of the streaming session merge."""
+    f = frames(spark, sf_dir).select("asset_id", F.col("pts_ms").alias("start_time"), F.col("pts_ms").alias("end_time"))
+    return audio.merged(f, "asset_id", gap=3_600_000)
+
+
+@query(f"SELECT asset_id, route, min(frame_id) AS frame_id FROM ({_E}) GROUP BY asset_id, route")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch form of the streaming first-seen rule."""
+    return frames(spark, sf_dir).groupBy("asset_id", "route").agg(F.min("frame_id").alias("frame_id"))

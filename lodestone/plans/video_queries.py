@@ -62,12 +62,12 @@ def clip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video.clip_members(clips, f).groupBy("asset_id", "clip").agg(F.count("*").alias("frames"))
 
 
-@query(f"""WITH p AS (SELECT o_orderkey AS point_id, o_custkey % 15 + 1 AS asset_id, 1704067200000 + (o_orderkey % 2592000) * 1000 AS at_ms FROM orders), e AS (SELECT asset_id, pts_ms FROM ({_E}))
+@query(f"""WITH p AS (SELECT o_orderkey AS point_id, o_custkey % 15 AS asset_id, 1704067200000 + (o_orderkey % 2592000) * 1000 AS at_ms FROM orders), e AS (SELECT asset_id, pts_ms FROM ({_E}))
 SELECT p.asset_id, point_id, CASE WHEN b.pts_ms IS NULL THEN a.pts_ms WHEN a.pts_ms IS NULL THEN b.pts_ms WHEN at_ms - b.pts_ms <= a.pts_ms - at_ms THEN b.pts_ms ELSE a.pts_ms END AS nearest_ms
 FROM p ASOF LEFT JOIN e b ON p.asset_id = b.asset_id AND at_ms >= b.pts_ms ASOF LEFT JOIN e a ON p.asset_id = a.asset_id AND at_ms <= a.pts_ms""")
 def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    p = table(spark, sf_dir, "orders").select(k.alias("point_id"), (F.col("o_custkey") % 15 + 1).alias("asset_id"), (F.lit(1704067200000) + (k % 2592000) * 1000).alias("at_ms"))
+    p = table(spark, sf_dir, "orders").select(k.alias("point_id"), (F.col("o_custkey") % 15).alias("asset_id"), (F.lit(1704067200000) + (k % 2592000) * 1000).alias("at_ms"))
     return video.nearest_frame(p, frames(spark, sf_dir))
 
 

@@ -39,7 +39,7 @@ from lodestone.llm.common import U64, Words, dropped, mix, n_partitions, slices,
 
 CUTS = 4
 FINE = 256
-CLUSTER_BLOCK = 2048
+CLUSTER_BLOCK = 1024
 FLUSH = 1 << 20
 ODD = [U64(x) for x in (0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -289,10 +289,12 @@ def linked(docs: DataFrame, groups: DataFrame, classes: DataFrame, n: int, num:
     links = verified(star.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), (F.col("n") + F.col("pn")).alias("both")).distinct())
     nodes = members.select(F.col("cid").alias("node"))
     labels = written(nodes.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-    labelled = groups.join(labels.select(F.col("node").alias("cid"), "label"), "cid")
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("cid").alias("to")).filter("lo != hi").select("key", "to")
-    edges = written(labelled.join(open_, "key").select("cid", "to").distinct(), "edges")
-    clusters = components(edges, "cid", "to").select(F.col("node").alias("cid"), F.col("label").alias("cluster"))
+    # clusters are found over pivots, each of which stands for the texts it was compared with
+    stands = written(groups.join(first, "key").groupBy("cid").agg(F.min("p").alias("p")).select("cid", F.col("p.cid").alias("pivot")), "stands")
+    labelled = groups.join(labels.select(F.col("node").alias("cid"), "label"), "cid").join(stands, "cid")
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("pivot").alias("to")).filter("lo != hi").select("key", "to")
+    edges = written(labelled.join(open_, "key").select("pivot", "to").distinct(), "edges")
+    clusters = components(edges, "pivot", "to").withColumnRenamed("node", "pivot").join(stands, "pivot").select("cid", F.col("label").alias("cluster"))
     sketches = fragments.filter("sketch is not null").select("cid", "sketch")
     held = clusters.join(labels.select(F.col("node").alias("cid"), "label"), "cid").join(members.select("cid", "n"), "cid")
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("blocks"))
@@ -302,7 +304,7 @@ def linked(docs: DataFrame, groups: DataFrame, classes: DataFrame, n: int, num:
     work = work.join(sketches, "cid").select("cluster", "one", "two", "part", "cid", "n", "label", "sketch")
     near = work.groupBy("cluster", "one", "two").applyInPandas(lambda pdf: near_in_sketch(pdf, num, den), "a bigint, b bigint, both bigint")
     more = verified(written(near, "near"))
-    dropped(groups, edges)
+    dropped(groups, edges, stands)
     return written(nodes.join(components(links.unionByName(more)), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
 
 

@@ -59,9 +59,14 @@ def dropped(*tables: DataFrame) -> None:
             jvm = t.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-    if tables:  # shuffle files go once the driver has forgotten their plans
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+    if tables:
+        released(tables[0].sparkSession)
+
+
+def released(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go once the driver has forgotten their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def n_partitions(spark: SparkSession) -> int:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.blobs import pack, pack_sorted, unpack, unpack_sorted
-from lodestone.llm.common import U64, Words, crc_mod, dropped, mix, n_partitions, slices, text_buffers, written
+from lodestone.llm.common import U64, Words, crc_mod, mix, n_partitions, released, slices, text_buffers, written
 
 CHUNK_BYTES = 24 << 20
 TOP = 5
@@ -89,17 +89,23 @@ class Chunk:
 
     def __init__(self, blob: bytes):
         x = pickle.loads(blob)
-        self.vocab, self.tokens = unpack_sorted(x["vocab"]), unpack(x["tokens"]).astype(np.int64)
+        self.vocab, self.tokens = unpack_sorted(x["vocab"]), unpack(x["tokens"]).view(np.int32)
         self.size, self.held, self.ids = unpack(x["size"]).astype(np.int64), unpack(x["held"]).astype(bool), x["ids"]
-        self.text = np.repeat(np.arange(len(self.size)), self.size)
+        self.text = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
         last = np.cumsum(self.size) - 1
-        self.before = np.concatenate(([0], self.tokens[:-1]))
+        self.before = np.concatenate((self.tokens[:1], self.tokens[:-1]))
         self.before[np.concatenate(([0], last[:-1] + 1))] = self.tokens[last]  # every text ends with the end token
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct bigram keys in ascending order, a place where each occurs, and each token's bigram."""
-        key = mix(self.vocab[self.before] * U64(0x9FB21C651E98DF25) + mix(self.vocab[self.tokens]))
-        return np.unique(key, return_index=True, return_inverse=True)
+        key = self.vocab[self.before]
+        key *= U64(0x9FB21C651E98DF25)
+        key += mix(self.vocab)[self.tokens]
+        keys, inv = np.unique(mix(key), return_inverse=True)
+        inv = inv.astype(np.int32)
+        at = np.zeros(len(keys), np.int32)
+        at[inv] = np.arange(len(inv), dtype=np.int32)
+        return keys, at, inv
 
 
 def pack_chunk(ids: list, held: list[np.ndarray], hashes: list[np.ndarray], sizes: list[np.ndarray]) -> bytes:
@@ -214,6 +220,8 @@ def score_texts(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", tex
     words, pairs = figures[WORD], figures[PAIR]
     model = Model(words[: TOP + 2], pairs[: TOP + 2], int(words[TOP + 2]), int(words[TOP + 3]))
 
+    released(spark)
+
     def histories(pdf: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(pdf.loc[pdf["kind"] == TEXTS, "blob"].iloc[0])
         n1 = np.concatenate([unpack(b) for b in answers(pdf, WORD)]).astype(np.int64) // 2
@@ -229,6 +237,8 @@ def score_texts(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", tex
     told = texts.unionByName(counts.filter("chunk >= 0"))
     alphas = written(told.groupBy("chunk").applyInPandas(histories, ROW).groupBy("bucket").applyInPandas(normalised, ROW), "alphas")
 
+    released(spark)
+
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(pdf.loc[pdf["kind"] == TEXTS, "blob"].iloc[0])
         n1 = np.concatenate([unpack(b) for b in answers(pdf, WORD)]).astype(np.int64) // 2

@@ -53,10 +53,10 @@ def merged(spans: DataFrame, source: str = "source_id", start: str = "start_time
     return islands.groupBy(source, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts"))
 
 
-def asr_quality(units: DataFrame, source: str = "source_id", low: float = 0.65, single: float = 45.0, sparse: float = 12.0) -> DataFrame:
+def asr_quality(units: DataFrame, source: str = "source_id", low: float = 0.65, single: float = 45.0, sparse: float = 12.0, digits: int = 4) -> DataFrame:
     """duration, mean confidence, characters a minute and warnings of each source."""
-    q = units.groupBy(source).agg(F.max("end_time").alias("duration"), F.round(F.avg("confidence"), 4).alias("confidence"), F.sum(F.length("text")).alias("chars"), F.count("*").alias("units"))
-    rate = F.round(F.when(F.col("duration") > 0, F.col("chars") * 60.0 / F.col("duration")).otherwise(0.0), 4)
+    q = units.groupBy(source).agg(F.max("end_time").alias("duration"), F.round(F.avg("confidence"), digits).alias("confidence"), F.sum(F.length("text")).alias("chars"), F.count("*").alias("units"))
+    rate = F.round(F.when(F.col("duration") > 0, F.col("chars") * 60.0 / F.col("duration")).otherwise(0.0), digits)
     q = q.withColumn("chars_per_minute", rate)
     warn = F.array_compact(F.array(F.when(F.col("confidence") < low, "low_confidence"), F.when((F.col("units") == 1) & (F.col("duration") > single), "single_long_segment"), F.when(F.col("chars_per_minute") < sparse, "sparse_text")))
     return q.withColumn("warnings", F.array_join(warn, ","))

@@ -61,10 +61,10 @@ def speaker_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.speaker_of(u.select("source_id", F.col("unit_id").alias("segment_id"), "start_time", "end_time"), turns)
 
 
-@query(f"""SELECT source_id, duration, round(c, 4) AS confidence, chars, units, round(r, 4) AS chars_per_minute, concat_ws(',', CASE WHEN round(c, 4) < 0.65 THEN 'low_confidence' END, CASE WHEN units = 1 AND duration > 45 THEN 'single_long_segment' END, CASE WHEN round(r, 4) < 12 THEN 'sparse_text' END) AS warnings
+@query(f"""SELECT source_id, duration, round(c, 9) AS confidence, chars, units, round(r, 9) AS chars_per_minute, concat_ws(',', CASE WHEN round(c, 9) < 0.65 THEN 'low_confidence' END, CASE WHEN units = 1 AND duration > 45 THEN 'single_long_segment' END, CASE WHEN round(r, 9) < 12 THEN 'sparse_text' END) AS warnings
 FROM (SELECT *, CASE WHEN duration > 0 THEN chars * 60.0 / duration ELSE 0 END::DOUBLE AS r FROM (SELECT source_id, max(end_time) AS duration, avg(confidence) AS c, sum(length(text))::BIGINT AS chars, count(*) AS units FROM ({_UNITS}) GROUP BY source_id))""")
 def asr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.asr_quality(units(spark, sf_dir))
+    return audio.asr_quality(units(spark, sf_dir), digits=9)  # so many digits that no engine meets a tie
 
 
 @query(f"""SELECT source_id, ['allow', 'quarantine', 'review', 'reject'][max(greatest(CASE WHEN n % 29 = 0 THEN 3 ELSE 0 END, CASE WHEN n % 11 = 0 OR n % 13 = 0 THEN 2 ELSE 0 END, CASE WHEN n % 7 > 3 THEN 1 ELSE 0 END)) + 1] AS overall, count(*) AS units

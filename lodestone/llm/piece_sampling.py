@@ -38,7 +38,7 @@ from lodestone.llm.common import BASE, BASE_INV, BYTE_CODE, U64, added_schema, m
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
 SEED = 29
-BATCH = 2 << 20
+BATCH = 3 << 19
 C = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 MARK = "▁"
 LONGER, PREFIX = 1 << 30, -2
@@ -197,17 +197,20 @@ class Lattice:
             prefix = piece == PREFIX
             on = piece >= 0
             if length == 1:
-                parts.append((s[~on], np.ones((~on).sum(), np.int64), np.full((~on).sum(), -1)))
+                parts.append((s[~on].astype(np.int32), np.ones((~on).sum(), np.int8), np.full((~on).sum(), -1, np.int32)))
             ends = on & (piece < LONGER)
-            parts.append((s[on], np.full(on.sum(), length), piece[on] % LONGER))
+            parts.append((s[on].astype(np.int32), np.full(on.sum(), length, np.int8), (piece[on] % LONGER).astype(np.int32)))
             s = s[(prefix | on) & ~ends]  # the rest of the texts can go on
-        node, length, piece = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
-        order = np.argsort((self.rem[node] << 40) + node * 32 + length)
-        node, self.length, self.piece = node[order], length[order], piece[order]
+        node, length, piece = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 3
+        del parts
+        order = np.argsort((self.rem[node] << 40) + node.astype(np.int64) * 32 + length).astype(np.int32)
+        node, self.length, self.piece = node[order], length[order].astype(np.int32), piece[order]
+        del order, length, piece
         bytes_ = self.char[node + 1] - self.char[node] if len(node) else node
         fall = p.logp[p.byte_id[0]]
         score = np.where(self.piece >= 0, p.logp[np.maximum(self.piece, 0)], bytes_ * fall)
-        self.n_ids = np.where(self.piece >= 0, 1, bytes_)
+        self.n_ids = np.where(self.piece >= 0, 1, bytes_).astype(np.int8)
+        del bytes_
         beta = np.zeros(len(self.rem) + 1)
         heads = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
         blocks = np.searchsorted(self.rem[node[heads]], np.arange(1, (self.rem.max() if len(self.rem) else 0) + 2))
@@ -232,6 +235,7 @@ class Lattice:
         self.edge0[node[heads]], self.degree[node[heads]] = heads, ends - heads
         c = np.cumsum(self.p)
         self.cum = c - np.repeat(np.concatenate(([0.0], c))[heads], ends - heads)
+        del c, score
         self.logp = np.log(np.maximum(self.p, 1e-300))
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +273,7 @@ class Lattice:
         if (self.n_ids[path[bare]] == 1).all():
             piece[bare] = self.pieces.byte_id[self.buf[self.char[self.node[path[bare]]]]]
             return piece
-        n = self.n_ids[path]
+        n = self.n_ids[path].astype(np.int64)
         out = np.repeat(piece, n)
         bare = np.flatnonzero(out < 0)
         # a byte's place: its character's first byte, and how far the id is into the character

@@ -66,8 +66,8 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select("path", content).mapInArrow(kernel, "path string, text string")
 
 
-def shingles(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """doc_id, g: hashes of the distinct n-character shingles of the lower-cased text (the whole text if shorter)."""
+def shingle_sets(texts: pa.Array, n: int) -> pa.ListArray:
+    """Hashes of the distinct n-character shingles of each lower-cased text (the whole text if shorter)."""
 
     def hashes(t: str) -> np.ndarray:
         c = np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -79,11 +79,58 @@ def shingles(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
                 out ^= out >> np.uint64(29)
         return np.unique(out).view(np.int64)
 
+    sets = [hashes(t) for t in texts.to_pylist()]
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32))
+    flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+    return pa.ListArray.from_arrays(offsets, flat)
+
+
+def shingles(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
+    """doc_id, g: hashes of the distinct n-character shingles of the lower-cased text (the whole text if shorter)."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [hashes(t) for t in b.column(1).to_pylist()]
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32))
-            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "g"])
+            yield pa.RecordBatch.from_arrays([b.column(0), shingle_sets(b.column(1), n)], names=["doc_id", "g"])
 
     return docs.select("doc_id", text).mapInArrow(kernel, f"doc_id {dict(docs.dtypes)['doc_id']}, g array<bigint>")
+
+
+def overlaps(lists: pa.ListArray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of lists of distinct numbers, left by right."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    out = np.zeros((len(left), len(right)), np.float32)
+    _, col, n = np.unique(flat, return_inverse=True, return_counts=True)
+    # numbers of one list alone add nothing
+    shared = n > 1
+    on = shared[col]
+    row, col = row[on], (np.cumsum(shared) - 1)[col[on]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for at in range(0, int(shared.sum()), width):
+        i, j = np.searchsorted(col, (at, at + width))
+        has = np.zeros((len(lists), min(width, int(col[j - 1]) - at + 1)), np.float32)
+        has[row[i:j], col[i:j] - at] = 1
+        out += has[left] @ has[right].T
+    return out.astype(np.int64)
+
+
+def near_in_tile(t: pa.Table, least: float, n: int) -> pa.Table:
+    """a, b, jaccard of the near pairs between two parts of a group (or within one) that no group of a smaller number gives."""
+    t = t.combine_chunks()
+    one, two, grp = t["one"][0].as_py(), t["two"][0].as_py(), t["grp"][0].as_py()
+    part = t["part"].to_numpy()
+    left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
+    g, groups = shingle_sets(t["text"].chunk(0), n), t["groups"].chunk(0)
+    shared = overlaps(g, left, right)
+    size = g.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    near = shared / (size[left][:, None] + size[right][None, :] - shared)
+    ok = near >= least
+    if one == two:
+        ok &= left[:, None] < right[None, :]
+    if ok.any():
+        below = pa.array([[x for x in xs if x < grp] for xs in groups.to_pylist()], groups.type)
+        ok &= overlaps(below, left, right) == 0
+    i, j = np.nonzero(ok)
+    ids = t["doc_id"].chunk(0)
+    return pa.table({"a": ids.take(pa.array(left[i])), "b": ids.take(pa.array(right[j])), "jaccard": pa.array(near[i, j])})

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import kernels
 
+TILE = 512
+
 
 def exact_map(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
     """doc_id, duplicate_of (first row of equal text), is_duplicate; the hash is aggregated before the join."""
@@ -46,9 +48,11 @@ def greedy_within(rows: DataFrame, group: str, order: str, text: str, least: flo
 
 
 def near_pairs(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4, text: str = "text") -> DataFrame:
-    """Pairs of distinct texts whose character-shingle Jaccard reaches ``least``: MinHash bands propose, exact sets decide.
+    """All pairs of distinct texts whose character-shingle Jaccard reaches ``least``: MinHash bands propose, exact sets decide.
 
-    Texts that share a band bucket are compared with the bucket's smallest id, so a bucket of n texts gives n - 1 pairs.
+    Texts that share a band bucket belong to the group of the bucket's smallest id. Every two texts of a group are
+    compared, in tiles of at most ``TILE`` texts a side, so no group has to fit a task; a pair of several common
+    groups is given by one of them. Pairs, and the work for them, grow with the square of a family of near copies.
     """
     low = F.sha2(F.lower(F.coalesce(F.col(text), F.lit(""))), 256)
     one = docs.groupBy(low.alias("h")).agg(F.min_by(F.struct("doc_id", text), "doc_id").alias("d")).select("d.*")
@@ -57,8 +61,17 @@ def near_pairs(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int
     bins = own.select("doc_id", F.explode("g").alias("x")).withColumn("bin", F.pmod("x", F.lit(bands * rows))).groupBy("doc_id", "bin").agg(F.min("x").alias("x"))
     banded = bins.groupBy("doc_id", F.floor(F.col("bin") / rows).alias("band")).agg(F.xxhash64(F.array_sort(F.collect_list("x"))).alias("sig"))
     banded = banded.select("doc_id", F.xxhash64("band", "sig").alias("key"))
-    lead = banded.groupBy("key").agg(F.min("doc_id").alias("lead"))
-    pairs = banded.join(lead, "key").filter("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    sets = own.select("doc_id", "g")
-    scored = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
-    return scored.withColumn("jaccard", jaccard(F.col("ga"), F.col("gb"))).filter(F.col("jaccard") >= least).select("a", "b", "jaccard")
+    lead = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # small rows (two numbers a text and group), asked three times
+    members = banded.join(lead, "key").select("doc_id", F.xxhash64("lead").alias("grp")).distinct().persist()
+    groups = members.groupBy("doc_id").agg(F.collect_list("grp").alias("groups"))
+    tiles = members.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = members.join(tiles, "grp").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("doc_id", "grp", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
+    # the tiles get texts, which are smaller than their sets
+    texts = one.select("doc_id", F.col(text).alias("text")).join(groups, "doc_id")
+    work = dealt.join(texts, "doc_id").select("grp", "one", "two", "part", "doc_id", "groups", "text")
+    kind = dict(docs.dtypes)["doc_id"]
+    found = work.groupBy("grp", "one", "two").applyInArrow(lambda t: kernels.near_in_tile(t, least, shingle), f"a {kind}, b {kind}, jaccard double")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")

@@ -1,6 +1,7 @@
 """Operators on small fixtures of our own: Chinese rules, conflicts, roll-ups, sources, streams."""
 
 import json
+import random
 import time
 
 import pytest
@@ -95,6 +96,28 @@ def test_near_pairs_are_verified(spark):
     assert got == {(0, 1)}
 
 
+@pytest.mark.parametrize("tile", [512, 7])
+def test_near_pairs_of_a_family(spark, monkeypatch, tile):
+    """Every near pair of families of edited copies, not only those with a bucket's smallest id."""
+    monkeypatch.setattr(dedup, "TILE", tile)
+    rng = random.Random(11)
+    texts = []
+    for copies in (40, 25, 2):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600)]
+        for _ in range(copies):
+            x = list(base)
+            for _ in range(rng.randrange(6, 11)):
+                x[rng.randrange(len(x))] = rng.choice("abcdefghijklmnopqrstuvwxyz ")
+            texts.append("".join(x))
+    rng.shuffle(texts)
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for t in texts]
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {(a, b): near(a, b) for b in range(len(texts)) for a in range(b) if near(a, b) >= 0.8}
+    rows = dedup.near_pairs(docs(spark, *texts, None, "")).collect()
+    assert len(rows) == len({(r["a"], r["b"]) for r in rows}) and len(want) > 2 * len(texts)
+    assert {(r["a"], r["b"]): r["jaccard"] for r in rows} == pytest.approx(want)
+
+
 def test_video_folds(spark):
     f = spark.createDataFrame([("a", 0, 0.0), ("a", 500, 0.9), ("a", 1500, 0.1), ("a", 1600, 0.9), ("a", 4000, 0.95)], "asset_id string, pts_ms bigint, value double")
     assert [r["start_ms"] for r in video.scene_boundaries(f).orderBy("scene").collect()] == [0, 1500]

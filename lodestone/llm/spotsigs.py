@@ -2,18 +2,22 @@
 
 A signature is an anchor (a very common word of one of the languages) with the
 chain of the next content words; words that are anchors themselves are skipped
-inside a chain. A document's fingerprint is its set of signatures. Likeness is
-the Jaccard coefficient of two sets.
-
-Edge cases: a null text counts as empty; a text without any chain (empty ones
-too) has one signature made of the whole text, so that equal texts always have
-equal fingerprints and differing short ones do not match; repeated rows are
+inside a chain. Words are runs of letters, marks and digits in any case, so marks
+around them do not count. A document's fingerprint is its set of signatures.
+Likeness is the Jaccard coefficient of two sets.
+
+Edge cases: a null text counts as empty; a text without any chain has the set of
+its word shingles for signatures (pieces between blanks stand for words where
+there is none, an empty text has one signature), so that equal texts always have
+equal fingerprints and near copies without anchors stay alike; repeated rows are
 fingerprinted row by row; extra columns pass through untouched unless a name
 clashes with a column made here, which then replaces it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,36 +31,67 @@ ANCHORS = (
 ).split()
 
 
-def any_of(words: list[str], first: bool = True) -> str:
-    """A pattern for any of the words, factored by common first letters; the first in either case."""
+# letters, marks and digits make words; all else stands around them
+OTHER = r"[^\p{L}\p{M}\p{N}]++"
+# scripts without blanks between words: each character counts as a word in a text without chains
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
+SHINGLE = 3
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern for any of the words, factored by common first letters."""
     by: dict[str, list[str]] = {}
     for w in sorted(set(words)):
         by.setdefault(w[:1], []).append(w[1:])
-    parts = [(f"[{c.upper()}{c}]" if first else c) + (any_of(rest, False) if rest != [""] else "") for c, rest in sorted(by.items()) if c]
+    parts = [c + (any_of(rest) if rest != [""] else "") for c, rest in sorted(by.items()) if c]
     return "(?:" + "|".join(parts) + ")" + ("?+" if "" in by else "") if parts else ""
 
 
-def chain_pattern(anchors: list[str] = ANCHORS, chain: int = 2) -> str:
-    """Java pattern whose group 1 is an anchor and the content words right after it, ``chain`` at most.
+def content_pattern(anchors: list[str] = ANCHORS) -> str:
+    """Java pattern whose group 1 is a content word with all anchors right before it.
 
-    A chain ends before the next anchor; an anchor followed by another has none.
-    Words are split at ASCII white space. A match begins at a white space, all
-    quantifiers are possessive and matches do not overlap, so the scan is linear.
+    It is for lower-cased words joined by single blanks, each with a blank on either
+    side. All quantifiers are possessive and matches do not overlap, so the scan is linear.
     """
-    blank, letter = r"[ \t\n\x0B\f\r]", r"[^ \t\n\x0B\f\r]"
-    common = any_of(anchors)
-    content = rf"{blank}++(?!{common}{blank}){letter}++"
-    return rf"{blank}({common}(?:{content}){{1,{chain}}}+)"
+    return rf" ((?:{any_of(anchors)} )*+[^ ]++)(?= )"
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once: the lambda binds it."""
+    return F.transform(F.array(value), f).getItem(0)
+
+
+def chains(words: Column, chain: int) -> Column:
+    """Hashes of each anchor with the next ``chain`` content words (fewer where the text ends)."""
+
+    def of_all(parts: Column) -> Column:
+        def of_one(part: Column, at: Column) -> Column:
+            later = [F.substring_index(F.get(parts, at + k), " ", -1) for k in range(1, chain)]
+            each = lambda own: F.transform(F.slice(own, F.lit(1), F.size(own) - 1), lambda a: F.xxhash64(F.concat_ws(" ", a, F.element_at(own, -1), *later)))
+            return F.when(F.instr(part, " ") > 0, bound(F.split(part, " "), each)).otherwise(F.array().cast("array<bigint>"))
+
+        return F.flatten(F.transform(parts, of_one))
+
+    return bound(F.regexp_extract_all(words, F.lit(content_pattern()), F.lit(1)), of_all)
+
+
+def shingled(text: Column, low: Column) -> Column:
+    """Hashes of every ``SHINGLE`` words in a row (all if fewer); of pieces between blanks if there is no word."""
+    words = F.regexp_extract_all(low, F.lit(rf"{UNSPACED}|[\p{{L}}\p{{M}}\p{{N}}&&[^{UNSPACED[1:-1]}]]++"), F.lit(0))
+    pieces = F.filter(F.split(text, r"[ \t\n\x0B\f\r]++"), lambda p: p != "")
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda k: F.xxhash64(F.lit("words"), F.array_join(F.slice(w, k, F.lit(SHINGLE)), " ")))
+    return bound(words, lambda w: F.when(F.size(w) > 0, of(w)).otherwise(bound(pieces, of)))
 
 
 def signatures(text: Column, chain: int = 2) -> Column:
     """Sorted array of the distinct 64-bit signatures of a text; never empty or null."""
-    whole = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
-    chains = F.regexp_extract_all(whole, F.lit(chain_pattern(chain=chain)), F.lit(1))
-    hashed = F.sort_array(F.array_distinct(F.transform(chains, lambda c: F.xxhash64(c))))
-    # the lambda binds the set, which is then made once
-    bound = F.transform(F.array(hashed), lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.xxhash64(F.lit("whole text"), F.coalesce(text, F.lit(""))))))
-    return bound.getItem(0)
+    whole = F.coalesce(text, F.lit(""))
+
+    def of(low: Column) -> Column:
+        found = chains(F.concat(F.lit(" "), F.regexp_replace(low, OTHER, " "), F.lit(" ")), chain)
+        return bound(found, lambda s: F.when(F.size(s) > 0, s).otherwise(shingled(whole, low)))
+
+    return F.sort_array(F.array_distinct(bound(F.lower(whole), of)))
 
 
 def fingerprint(sigs: Column) -> Column:

@@ -182,3 +182,32 @@ def test_spot_pairs(spark):
     got = {(r["id_a"], r["id_b"]) for r in spotsigs.near_pairs(docs).collect()}
     assert got == want and want
     assert Counter(len(p) for p in got) == {2: len(want)}
+
+
+def plain_signatures(text, chain=2):
+    """Sets of (anchor, next content words), or of word shingles where there is no chain."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    content = [k for k, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    found = set()
+    for k, w in enumerate(words):
+        later = [words[j] for j in content if j > k][:chain]
+        if w in spotsigs.ANCHORS and later:
+            found.add((w, *later))
+    return found or {tuple(words[k : k + spotsigs.SHINGLE]) for k in range(max(len(words) - spotsigs.SHINGLE, 0) + 1)}
+
+
+def test_spot_signatures_with_marks_capitals_and_runs_of_anchors(spark):
+    rng = random.Random(6)
+    base = [rng.choice(["the", "of", "a", "on", "für", *WORDS[:9]]) for _ in range(120)]
+    dirty = [f"{w.upper() if rng.random() < 0.5 else w.title()}{rng.choice(['&&&', ',', '!!', ''])}" for w in base]
+    plain = [rng.choice(WORDS) for _ in range(80)]
+    texts = [" ".join(base), " ".join(dirty), "THE!! OF!! AND!! Cat", "the of", "Of THE  (man) of\tthe  house", " ".join(plain), " ".join(plain[:-2]), "one", "one two three four", "", None]
+    sigs = [r["s"] for r in spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).orderBy("doc_id").collect()]
+    sets = [plain_signatures(t) for t in texts]
+    assert [len(s) for s in sigs] == [len(s) for s in sets]
+    assert all(len(set(a) & set(b)) == len(x & y) for a, x in zip(sigs, sets) for b, y in zip(sigs, sets))
+    assert sigs[0] == sigs[1] and len(set(sigs[5]) & set(sigs[6])) == 76
+    han = [r["s"] for r in spark.createDataFrame([("这是一个没有空格的中文句子示例文本",), ("这是一个没有空格的中文句子示例文字",)], "text string").select(spotsigs.signatures(F.col("text")).alias("s")).collect()]
+    assert len(han[0]) > 10 and len(set(han[0]) & set(han[1])) == len(han[0]) - 1
+    marks = [r["s"] for r in spark.createDataFrame([("&& %% !! ?? ;;",), ("&& %% !! ?? ::",)], "text string").select(spotsigs.signatures(F.col("text")).alias("s")).collect()]
+    assert len(set(marks[0]) & set(marks[1])) == 2

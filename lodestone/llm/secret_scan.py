@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order Markov chains over characters are trained from labelled samples,
-one from random strings (keys, digests), one from ordinary identifiers. A run of
-token characters is reported when the ratio of its likelihoods, as a whole and
-per character, is high enough. Pattern matches always stay; model spans are added
-only where they overlap none of them.
+one from random strings (keys, digests), one from ordinary identifiers and long words. A run of
+token characters (16 or more, the least length trained) is reported when the ratio
+of its likelihoods, as a whole and per character, is high enough; no other rule
+picks runs. Pattern matches always stay; what they leave of a run on either side is
+scored as a run of its own.
 
 Edge cases: a null or empty text has no spans; repeated rows are scanned row by
 row; texts are scanned whole, of any length; extra columns pass through, and one
@@ -33,10 +34,8 @@ HEX = np.zeros(256, bool)
 HEX[np.frombuffer(b"0123456789abcdef", np.uint8)] = True
 TOKEN = np.zeros(256, bool)
 TOKEN[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", np.uint8)] = True
-DIGIT = np.zeros(256, bool)
-DIGIT[48:58] = True
-LETTER = TOKEN.copy()
-LETTER[np.frombuffer(b"0123456789+/_=-", np.uint8)] = False
+JOIN = np.zeros(256, bool)
+JOIN[np.frombuffer(b"+/_=-", np.uint8)] = True
 
 # Stems from which ordinary identifiers are put together.
 STEMS = (
@@ -46,9 +45,19 @@ STEMS = (
     "model train test build release branch commit merge report summary daily weekly region customer supplier part"
 ).split()
 
+# Words of four languages, alone or run together, as long words of prose are.
+PROSE = (
+    "und der ein eine nicht werden haben ueber unter zwischen gesellschaft freiheit schwierigkeit wissenschaft entwicklung regierung verwaltung "
+    "versicherung bedeutung zeitung schule arbeit geschichte sicherheit krankheit wirtschaft pflicht pfad kopf empfang platz gesetz besitz "
+    "schreiben sprechen lehrer gegeben berg einheit vereinlich schlicht gleichheit technisch menschlich achtung erfahrung sachlich beitrag "
+    "gouvernement developpement information politique entreprise recherche environnement connaissance "
+    "desarrollo gobierno informacion sociedad trabajo conocimiento empresa responsabilidad "
+    "responsibility understanding international notwithstanding characteristics straightforward strength thought through"
+).split()
+
 
 def labelled_samples(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
-    """Labelled strings: 1 for random ones, 0 for ordinary identifiers. A rule and a seed make them."""
+    """Labelled strings: 1 for random ones, 0 for ordinary identifiers and words. A rule and a seed make them."""
     rng = np.random.default_rng(seed)
     alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789"]
     out = []
@@ -59,6 +68,9 @@ def labelled_samples(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
         style = rng.integers(5)
         if rng.random() < 0.5:
             words.insert(int(rng.integers(1, len(words) + 1)), str(rng.choice([rng.integers(10), rng.integers(100), rng.integers(1990, 2035)])))
+        if rng.random() < 0.4:
+            long = "".join(PROSE[k] for k in rng.integers(len(PROSE), size=rng.integers(1, 4)))
+            out.append((long.capitalize() if rng.random() < 0.5 else long, 0))
         out.append((["_".join(words), "-".join(words), "".join(w.title() for w in words), "_".join(words).upper(), "/".join(words)][style], 0))
     return out
 
@@ -71,7 +83,7 @@ class MarkovPair:
     step: np.ndarray
     least_total: float = 12.0
     least_mean: float = 0.35
-    least_len: int = 20
+    least_len: int = 16
 
     @classmethod
     def trained(cls, samples: list[tuple[str, int]], pseudo: float = 0.5, **limits: float) -> MarkovPair:
@@ -101,6 +113,20 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+def left_over(buf: np.ndarray, a: int, b: int, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What of the run buf[a:b] no base span covers, without the joining marks where it was cut."""
+    at, cut = a, False
+    for p, q in [*sorted(x for x in base if x[0] < b and x[1] > a), (b, b)]:
+        x, y = at, min(p, b)
+        while cut and x < y and JOIN[buf[x]]:
+            x += 1
+        while p < b and x < y and JOIN[buf[y - 1]]:
+            y -= 1
+        if x < y:
+            yield x, y
+        at, cut = max(at, q), True
+
+
 def scan_slice(buf: np.ndarray, off: np.ndarray, model: MarkovPair) -> list[list[tuple[int, int, int]]]:
     """Spans (start, kind, end) in bytes from each text's start; texts are buf[off[i]:off[i+1]]."""
     n = len(off) - 1
@@ -143,16 +169,12 @@ def scan_slice(buf: np.ndarray, off: np.ndarray, model: MarkovPair) -> list[list
                     found[i].append((m.start(), 1, m.end()))
             seen = i
         at = raw.find(b"AKIA", at + 4)
-    s, e, text = by_text(TOKEN[buf], model.least_len)
-    digits = np.flatnonzero(DIGIT[buf])
-    mixed = np.searchsorted(digits, e) > np.searchsorted(digits, s)
-    for a, b, i in zip(s[mixed], e[mixed], text[mixed]):
-        run = buf[a:b]
-        total = model.first[run[0]] + model.step[run[:-1], run[1:]].sum()
-        if LETTER[run].any() and total >= max(model.least_total, model.least_mean * (b - a)):
-            a, b = int(a - off[i]), int(b - off[i])
-            if all(y <= a or x >= b for x, k, y in found[i] if k < 3):
-                found[i].append((a, 3, b))
+    for a, b, i in zip(*by_text(TOKEN[buf], model.least_len)):
+        for x, y in left_over(buf, int(a), int(b), [(off[i] + p, off[i] + q) for p, k, q in found[i] if k < 3]):
+            run = buf[x:y]
+            total = model.first[run[0]] + model.step[run[:-1], run[1:]].sum()
+            if y - x >= model.least_len and total >= max(model.least_total, model.least_mean * (y - x)):
+                found[i].append((int(x - off[i]), 3, int(y - off[i])))
     return [sorted(x) for x in found]
 
 

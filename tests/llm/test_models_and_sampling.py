@@ -50,6 +50,25 @@ def test_secret_spans(spark):
     assert secret_scan.scan(df.limit(0)).count() == 0
 
 
+def test_markov_scores_every_run_and_what_base_spans_leave(spark):
+    m = secret_scan.MarkovPair.trained(secret_scan.labelled_samples())
+    sure = lambda s: m.ratio(s.encode()) >= max(m.least_total, m.least_mean * len(s))
+    rng = random.Random(2)
+    rand = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    runs = [rand(lower + upper, n) for n in (24, 32, 40, 64) * 8] + [rand(lower + upper + "0123456789", n) for n in (16, 17, 18, 19) * 8] + ["user_account_table_index", "requestHandlerFactory", "Geschwindigkeitsbegrenzung", "unwahrscheinlichkeit", rand("XYZQKW", 15)]
+    runs += ["1" * 16, "=" * 30]
+    key, other, digest = rand(lower + upper, 40), rand(lower + upper + "0123456789", 30), rand(HEXES, 26)
+    texts = [f"see {r} here" for r in runs] + [f"é {key}-{digest}/{other} x", f"{digest}-{other}"]
+    got = {r["doc_id"]: {x for x in r["spans"].split(",") if x.startswith("markov")} for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for k, r in enumerate(runs):
+        assert bool(got[k]) == (len(r) >= 16 and sure(r)), r
+    assert all(any(map(sure, runs[a:b])) for a, b in ((0, 32), (32, 64))) and not any(map(sure, runs[64:68]))
+    assert sure(key) and sure(other)
+    assert got[len(runs)] == {"markov:2:42", "markov:70:100"}
+    assert got[len(runs) + 1] == {"markov:27:57"}
+
+
 def test_markov_ratio_on_held_out_samples():
     m = secret_scan.MarkovPair.trained(secret_scan.labelled_samples())
     for s, y in secret_scan.labelled_samples(300, seed=123):

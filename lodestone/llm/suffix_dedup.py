@@ -18,9 +18,10 @@ SPAN - 2Q; only buckets with several members are sorted again. Buckets of more t
 ``HOT`` contexts are split in two by the longer string that either half of the offsets
 shares, again and again, so no bucket has to fit a task.
 
-Edge cases: null and empty texts have no bytes and no spans; ids should be unique (rows
-of equal id share their spans, clipped to each text); a null id counts as the largest;
-equal texts differ by id alone; extra columns are ignored.
+Edge cases: null and empty texts have no bytes and no spans; a null id counts as the
+largest; rows of equal id (or null) are ordered by the hash of their text, and of rows
+equal in both the first stays; equal texts of several ids differ by id alone; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -305,13 +306,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, spans array<struct<s, e>> -> figures of what goes and what stays, and the text that stays."""
+    """doc_id, text, spans array<struct<s, e>>, first -> figures of what goes and what stays, and the text that stays.
+
+    A row that is not the first of equal ones repeats throughout.
+    """
     for b in batches:
         data, off = text_buffers(b.column(1))
         cols: list[list] = [[], [], [], [], []]
-        for i, spans in enumerate(b.column(2).to_pylist()):
+        for i, (spans, first) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
             text = data[off[i] : off[i + 1]]
             gone = np.zeros(len(text) + 1, np.int32)
+            if not first and len(text) >= SPAN:
+                spans = [{"s": 0, "e": len(text)}]
             for x in spans or ():
                 gone[min(x["s"], len(text))] += 1
                 gone[min(x["e"], len(text))] -= 1
@@ -323,13 +329,32 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def with_keys(own: DataFrame) -> DataFrame:
+    """Add key bigint, in the order of ids (null last) and one for each row of its own, and first (false for further equal rows).
+
+    Ids that are told apart are keys themselves. Else the pairs of id and text hash are
+    numbered in order; rows equal in both share the first one's key but not ``first``.
+    """
+    told = own.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if not told.filter((F.col("n") > 1) | (F.col("doc_id") == LAST)).limit(1).count():
+        return own.withColumn("key", F.coalesce("doc_id", F.lit(LAST))).withColumn("first", F.lit(True))
+    hashed = own.withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256))
+    pairs = hashed.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    # numbers of a sorted table grow with its order; once written they stay
+    keys = written(pairs.orderBy(F.col("doc_id").asc_nulls_last(), "h").withColumn("key", F.monotonically_increasing_id()), "keys")
+    same = (F.col("k.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("k.h") == F.col("r.h"))
+    one = hashed.dropDuplicates(["doc_id", "h"])
+    rows = one.alias("r").join(keys.alias("k"), same).select("r.doc_id", "r.text", "k.key", F.explode(F.sequence(F.lit(1), "k.n")).alias("copy"))
+    return written(rows.select("doc_id", "text", "key", (F.col("copy") == 1).alias("first")), "rows")
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every row."""
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    keyed = own.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    spans = repeated_spans(keyed).groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    out = keyed.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
+    keyed = with_keys(own)
+    spans = repeated_spans(keyed.filter("first").select(F.col("key").alias("doc_id"), "text")).groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = spans.withColumnRenamed("doc_id", "key")
+    return keyed.join(spans, "key", "left").select("doc_id", "text", "spans", "first").mapInArrow(removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

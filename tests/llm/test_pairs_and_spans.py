@@ -113,6 +113,19 @@ def test_repeated_strings(spark, corpus, monkeypatch, hot):
     assert any(0 < w[1] < w[0] for w in want.values())
 
 
+def test_repeated_strings_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    passage, twice, null_twice = make(150), make(300), make(240)
+    rows = [(5, twice)] * 3 + [(7, make(50) + twice[20:200])] + [(9, make(40) + passage), (9, passage + make(60)), (9, "short")] + [(9, "short")]
+    rows += [(None, null_twice)] * 2 + [(None, make(90) + null_twice[:120]), (None, make(200)), (None, None), (2**63 - 1, make(110)), (3, passage[10:140]), (-4, "")]
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect())
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    want = brute_removed([(k, t) for k, (_, t) in enumerate(order)])
+    assert got == Counter((order[k][0], *w) for k, w in want.items())
+    assert sum(n for r, n in got.items() if r[0] == 5 and r[2] == 0) == 1
+
+
 def test_repeated_strings_empty_table(spark):
     assert suffix_dedup.deduplicated(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 

@@ -47,6 +47,33 @@ def greedy_within(rows: DataFrame, group: str, order: str, text: str, least: flo
     return out.select(group, F.col("r.o").alias(order), F.col("r.dup").alias("duplicate_of"))
 
 
+def normalised(text: Column) -> Column:
+    """Lower-cased text with its white space reduced to single blanks."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s\x1c-\x1f]+", " "))
+
+
+def exact_then_within(rows: DataFrame, group: str, order: str, text: str, least: float) -> DataFrame:
+    """In order of group and ``order``: a row goes for the kept one of equal normalised text in any group, else as in :func:`greedy_within`.
+
+    group, order, duplicate_of_group, duplicate_of (of the kept row, or null). A row's lot hangs on earlier
+    rows only, so rounds of both phases, each with the kept rows of the round before, end in the one
+    result of going row by row; they stop when no text's first kept row changes.
+    """
+    units = rows.select(group, order, text, F.sha2(normalised(F.col(text)), 256).alias("h"), F.struct(group, order).alias("at"))
+    first = units.groupBy("h").agg(F.min("at").alias("first"))
+    while True:
+        marked = units.join(first, "h", "left").withColumn("exact", F.coalesce(F.col("first") < F.col("at"), F.lit(False)))
+        near = greedy_within(marked.filter("not exact"), group, order, text, least)
+        kept = near.filter("duplicate_of is null").select(group, order)
+        following = units.join(kept, [group, order]).groupBy("h").agg(F.min("at").alias("first")).persist()
+        old = first.withColumnRenamed("first", "old")
+        if not following.join(old, "h", "full").filter(~F.col("first").eqNullSafe(F.col("old"))).limit(1).count():
+            break
+        first = following
+    exact = marked.filter("exact").select(group, order, F.col(f"first.{group}").alias("duplicate_of_group"), F.col(f"first.{order}").cast("bigint").alias("duplicate_of"))
+    return exact.unionByName(near.select(group, order, F.when(F.col("duplicate_of").isNotNull(), F.col(group)).alias("duplicate_of_group"), "duplicate_of"))
+
+
 def near_pairs(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4, text: str = "text") -> DataFrame:
     """All pairs of distinct texts whose character-shingle Jaccard reaches ``least``: MinHash bands propose, exact sets decide.
 

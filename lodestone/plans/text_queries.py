@@ -85,7 +85,7 @@ def near_dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def token_jaccard_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.greedy_within(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 0.8)
+    return dedup.exact_then_within(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 0.8)
 
 
 # Patterns that the SQL engine reads the same way: no look-around is among them.

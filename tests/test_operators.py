@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import time
 
 import pytest
@@ -90,6 +91,34 @@ def test_greedy_dedup_keeps_order(spark):
     assert got == {(1, 1): None, (1, 2): 1, (1, 3): None, (1, 4): 1, (2, 1): None}
 
 
+def test_exact_copies_over_groups_then_greedy(spark):
+    """Against going row by row, with copies over groups of rows that go themselves as near ones."""
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefghijklmnop") + str(k) for k in range(8)] for _ in range(6)]
+    rows = []
+    for g in range(12):
+        for o in range(10):
+            t = list(rng.choice(base))
+            if rng.random() < 0.7:
+                t[rng.randrange(3)] = rng.choice("xyz")
+            rows.append((g, o, rng.choice([" ".join(t), "  ".join(t).upper() + "\n", " ".join(t), "", None]) if rng.random() < 0.9 else "unique " + str((g, o)) * 2))
+    rows += [(20, 1, "k1 k2 k3 k4 k5"), (20, 2, "k1 k2 k3 k4 k5 k6"), (21, 1, "K1 k2  k3 k4 k5 k6"), (22, 1, "k1 k2 k3 k4 k5 k6"), (22, 2, "k1 k2 k3 k4 k5")]
+    seen, kept, want = {}, {}, {}
+    for g, o, t in rows:
+        low = " ".join((t or "").lower().split())
+        words = set(re.findall(r"\w+", low))
+        by = seen.get(low) or next((k for k, w in kept.get(g, []) if len(w & words) >= 0.8 * len(w | words)), None)
+        want[g, o] = by or (None, None)
+        if by is None:
+            seen[low] = (g, o)
+            kept.setdefault(g, []).append(((g, o), words))
+    df = spark.createDataFrame(rows, "g int, o bigint, text string").repartition(5)
+    got = {(r["g"], r["o"]): (r["duplicate_of_group"], r["duplicate_of"]) for r in dedup.exact_then_within(df, "g", "o", "text", 0.8).collect()}
+    assert got == want
+    assert got[21, 1] == (None, None) and got[22, 1] == (21, 1) and got[22, 2] == (20, 1)
+    spark.catalog.clearCache()
+
+
 def test_near_pairs_are_verified(spark):
     base = "the quick brown fox jumps over the lazy dog and runs away from all the noise of the town " * 3
     got = {(r["a"], r["b"]) for r in dedup.near_pairs(docs(spark, base, base + "x", "something else entirely here", base)).collect()}

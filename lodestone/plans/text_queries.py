@@ -127,13 +127,15 @@ def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(first, "doc_id").select("doc_id", "start", before.alias("context_before"), after.alias("context_after"))
 
 
+SECRETS = "|".join(f"(?:{scans.NAMED[k]})" for k in scans.SECRET_NAMES)  # a flag holds within its group
 _SECRETS = "|".join(f"(?:{scans.NAMED[k].replace('(?i)', '')})" for k in scans.SECRET_NAMES)
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{_SECRETS.replace(chr(39), chr(39) * 2)}'))::INTEGER AS secrets FROM documents WHERE regexp_matches(text, '{_SECRETS.replace(chr(39), chr(39) * 2)}')")
 def secret_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(_SECRETS))
-    return d.select("doc_id", F.size(scans.spans(F.col("text"), _SECRETS)).alias("secrets"))
+    """The SQL reads key names in lower case alone; the operator reads them in any case."""
+    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(SECRETS))
+    return d.select("doc_id", F.size(scans.spans(F.col("text"), SECRETS)).alias("secrets"))
 
 
 _LIC = ", ".join(f"CASE WHEN regexp_matches(text, '{v}') THEN '{k}' END" for k, v in scans.LICENCES.items())

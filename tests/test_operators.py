@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import audio, content, decisions, dedup, picture, privacy, scans, spans, text_prep, video
-from lodestone.plans import profiles
+from lodestone.plans import profiles, text_queries
 from lodestone.sources import packages
 from lodestone.streaming import facade
 
@@ -147,6 +147,14 @@ def test_near_pairs_of_a_family(spark, monkeypatch, tile):
     assert {(r["a"], r["b"]): r["jaccard"] for r in rows} == pytest.approx(want)
 
 
+def test_secret_hits_ignore_case_of_key_names(spark, tmp_path):
+    key = "abcdEFGH12345678"
+    names = [f"API_KEY={key}", f"Api-Key: {key}", f'APIKEY "{key}"', f"api_key={key} Api_Secret={key}", "API_KEY=short", "akia" + "A" * 16, "AKIA" + "A" * 16]
+    docs(spark, *names).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["secrets"] for r in text_queries.secret_hits(spark, str(tmp_path)).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 2, 6: 1}
+
+
 def test_video_folds(spark):
     f = spark.createDataFrame([("a", 0, 0.0), ("a", 500, 0.9), ("a", 1500, 0.1), ("a", 1600, 0.9), ("a", 4000, 0.95)], "asset_id string, pts_ms bigint, value double")
     assert [r["start_ms"] for r in video.scene_boundaries(f).orderBy("scene").collect()] == [0, 1500]

@@ -266,14 +266,21 @@ def linked(docs: DataFrame, groups: DataFrame, classes: DataFrame, n: int, num:
             data, off = text_buffers(b.column(1))
             for i, j in slices(off):
                 rows = []
-                for cid, s in zip(b.column(0).slice(i, j - i).to_pylist(), sets_of(data, off, i, j, n)):
+                for asked, s in zip(b.column(0).slice(i, j - i).to_pylist(), sets_of(data, off, i, j, n)):
+                    cid = set_ids(s)[0]
+                    if asked not in (None, cid):  # another text of the same id
+                        continue
                     edge = np.searchsorted((s >> U64(62)).astype(np.int64), np.arange(CUTS + 1))
                     rows += [(cid, f, s[edge[f] : edge[f + 1]].view(np.int64), sketch(s) if f == 0 else None) for f in range(CUTS)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())], names=["cid", "f", "grams", "sketch"])
 
-    rep = members.select("cid", F.col("rep").alias("_rep"))
-    own = docs.join(rep, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("cid", "text")
-    fragments = written(own.mapInArrow(cut, "cid bigint, f int, grams array<bigint>, sketch binary").dropDuplicates(["cid", "f"]), "fragments")
+    kinds = "cid bigint, f int, grams array<bigint>, sketch binary"
+    rep = members.filter("rep is not null").select("cid", F.col("rep").alias("_rep"))
+    own = docs.join(rep, F.col("doc_id") == F.col("_rep")).select("cid", "text").mapInArrow(cut, kinds)
+    # classes of null ids alone are found by the hash of the set, as no id leads to their texts
+    nameless = docs.filter("doc_id is null").select(F.lit(None).cast("bigint").alias("cid"), "text").mapInArrow(cut, kinds)
+    nameless = nameless.join(members.filter("rep is null").select("cid"), "cid", "left_semi")
+    fragments = written(own.unionByName(nameless).dropDuplicates(["cid", "f"]), "fragments")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Partial overlaps are counted per fragment, and summed per pair."""

@@ -84,6 +84,25 @@ def test_jaccard_empty_and_repeated_rows(spark):
     assert got == [(-1, 2), (2, 2), (4, 2), (4, 2), (9, 9)]
 
 
+def test_jaccard_different_texts_of_null_or_equal_id(spark):
+    """Families whose classes share a null id, or an id with other texts: every link is verified on the right sets."""
+    rng = random.Random(12)
+    base = [[rng.choice(WORDS) for _ in range(100)] for _ in range(8)]
+    copy = lambda x: " ".join([*x[:-1], rng.choice(WORDS)])
+    rows = [(None, copy(x)) for x in base for _ in range(3)] + [(100 + k, copy(x)) for k, x in enumerate(base[:4])]
+    rows += [(7, copy(x)) for x in base[4:]] + [(200 + k, copy(x)) for k, x in enumerate(base[4:])]
+    rows += [(None, " ".join(rng.choice(WORDS) for _ in range(50))), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(docs, 3, 9, 10).collect())
+    plain = brute_components(list(enumerate((t for _, t in rows))), 3, 9, 10)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[plain[k][1]] = min(i, least.get(plain[k][1], i))
+    assert got == Counter((i, plain[k][0], least.get(plain[k][1], i)) for k, (i, _) in enumerate(rows))
+    assert sum(n for (i, _, c), n in got.items() if i is None and c is not None) == 24
+
+
 def brute_removed(rows):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +29,17 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` when the cluster names one; where it is unset (tests,
-    local mode) a temporary folder is made and set once a session.
+    ``spark.checkpoint.dir`` when the cluster names one; where it is unset in local
+    mode (tests) a temporary folder is made and set once a session. On a cluster a
+    machine's own folder would lose rows, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = sc.getCheckpointDir()
         if not found:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
             found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -73,6 +77,39 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def n_ranges(df: DataFrame, size: int) -> int:
+    """How many key ranges to deal ``df`` into: one for ``size`` bytes of what its plan reads, eight a shuffle partition at least."""
+    read = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(max(8 * n_partitions(df.sparkSession), min(int(str(read)) // size, 1 << 20)))
+
+
+BITS = 26
+
+
+def bit_of(keys: np.ndarray) -> np.ndarray:
+    return mix(keys.astype(np.int64).view(U64) * U64(BASE) + U64(17)) >> U64(64 - BITS)
+
+
+def bitmap(df: DataFrame, col: str) -> Broadcast:
+    """Bits of the hashes of a bigint column, of fixed size (2**BITS), broadcast; at most 2**(BITS - 6) words reach the driver."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(bit_of(b.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> U64(6)).astype(np.int32)), pa.array((U64(1) << (at & U64(63))).view(np.int64))], names=["w", "bits"])
+
+    got = df.select(F.col(col).cast("bigint").alias("k")).mapInArrow(words, "w int, bits bigint").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), U64)
+    out[got["w"].to_numpy()] = got["bits"].to_numpy().view(U64)
+    return df.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be among those of the bitmap (never wrong about those that are)."""
+    at = bit_of(keys)
+    return (bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & U64(1)).astype(bool)
+
+
 def crc_mod(col: str, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % m

@@ -24,8 +24,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ BATCH = 3 << 19
 C = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 MARK = "▁"
 LONGER, PREFIX = 1 << 30, -2
+#: edges that a task keeps for later texts
+KEPT = 6 << 20
 
 
 def salt(*parts: tuple[int, int]) -> np.uint64:
@@ -133,7 +138,9 @@ class Pieces:
         return out
 
     def __post_init__(self) -> None:
+        self.kept = Kept()
         self.size = np.array([len(t) for t in self.text], np.int64)
+        self.names = np.array(self.text, object)
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(self.text), np.uint8)
 
@@ -143,15 +150,122 @@ class Pieces:
         end = np.cumsum(size)
         return self.flat[np.repeat(self.start[ids] - end + size, size) + np.arange(end[-1])][1:] if len(ids) else self.flat[:0]
 
+    def same_as(self, ids: np.ndarray, at: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bool]:
+        """Whether each stretch ids[at[i]:at[i+1]] decodes to data[start[i]:end[i]]."""
+        out = []
+        for a, z, p, q in zip(at.tolist(), at[1:].tolist(), start.tolist(), end.tolist()):
+            out.append(b"".join(self.names[ids[a:z]].tolist())[1:] == data[p:q].tobytes())
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         return self.decoded_bytes(ids).tobytes().decode("utf-8", "replace")
 
 
+def built(p: Pieces, own: np.ndarray, edge: np.ndarray) -> dict[str, np.ndarray]:
+    """Lattices of the units own[edge[i]:edge[i+1]]: bytes, nodes and edges."""
+    char = np.flatnonzero((own & 0xC0) != 0x80)
+    node0 = np.searchsorted(char, edge[:-1])  # first node of each unit
+    unit = np.searchsorted(edge, char, side="right") - 1
+    rem = (np.searchsorted(char, edge[1:])[unit] - np.arange(len(char))).astype(np.int32)
+    char = np.concatenate((char, [len(own)])).astype(np.int32)
+    total, parts = prefix_sums(own), []
+    s = np.arange(len(rem))
+    degree = np.zeros(len(rem), np.int32)
+    for length in range(1, p.longest + 1):
+        s = s[rem[s] >= length]
+        if not len(s):
+            break
+        piece = p.find(substring_hash(total, char[s], char[s + length]))
+        on = piece >= 0
+        if length == 1:  # a character without a piece has its bytes
+            parts.append((s, np.full(len(s), 1, np.int32), degree[s], np.where(on, piece % LONGER, -1).astype(np.int32)))
+            degree[s] = 1
+        else:
+            at = s[on]
+            parts.append((at, np.full(len(at), length, np.int32), degree[at], (piece[on] % LONGER).astype(np.int32)))
+            degree[at] += 1
+        s = s[(piece == PREFIX) | (on & (piece >= LONGER))]  # the rest of the texts cannot go on
+    node, length, nth, piece = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
+    del parts
+    # nodes in order of what remains after them, the edges of each by length
+    by = np.argsort(rem.astype(np.uint16) if len(rem) and rem.max() < 1 << 16 else rem, kind="stable")
+    edge0 = np.zeros(len(rem), np.int32)
+    edge0[by] = np.cumsum(degree[by]) - degree[by]
+    order = np.empty(len(node), np.int32)
+    order[edge0[node] + nth] = np.arange(len(node), dtype=np.int32)
+    node, length, piece = node[order].astype(np.int32), length[order].astype(np.int32), piece[order].astype(np.int32)
+    del order, nth
+    bytes_ = char[node + 1] - char[node] if len(node) else node
+    score = np.where(piece >= 0, p.logp[np.maximum(piece, 0)], bytes_ * p.logp[p.byte_id[0]])
+    n_ids = np.where(piece >= 0, 1, bytes_).astype(np.int8)
+    beta = np.zeros(len(rem) + 1)
+    heads = edge0[by]
+    blocks = np.searchsorted(rem[by], np.arange(1, (rem.max() if len(rem) else 0) + 2))
+    prob = np.zeros(len(node))
+    ends = np.concatenate((heads[1:], [len(node)]))
+    for a, z in zip(blocks, blocks[1:]):
+        if a == z:
+            continue
+        lo, hi = heads[a], ends[z - 1]
+        to = node[lo:hi] + length[lo:hi]
+        v = score[lo:hi] + np.where(length[lo:hi] == rem[node[lo:hi]], 0.0, beta[to])
+        h = heads[a:z] - lo
+        top = np.maximum.reduceat(v, h)
+        reps = np.diff(np.concatenate((h, [hi - lo])))
+        w = np.exp(v - np.repeat(top, reps))
+        s = np.add.reduceat(w, h)
+        beta[by[a:z]] = top + np.log(s)
+        prob[lo:hi] = w / np.repeat(s, reps)
+    c = np.cumsum(prob)
+    cum = c - np.repeat(np.concatenate(([0.0], c))[heads], ends - heads)
+    return {"buf": own, "char": char, "node0": node0, "rem": rem, "edge0": edge0, "degree": degree, "node": node, "length": length, "piece": piece, "n_ids": n_ids, "p": prob, "cum": cum}
+
+
+class Kept:
+    """Lattices of units by their hash, in arrays that grow at the end."""
+
+    NAMES = ("buf", "char", "node0", "rem", "edge0", "degree", "node", "length", "piece", "n_ids", "p", "cum")
+
+    def __init__(self) -> None:
+        self.hashes, self.order = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.edges = 0
+        self.room: dict[str, np.ndarray] = {}
+
+    def find(self, units: np.ndarray) -> np.ndarray:
+        """Number of each unit, or -1."""
+        if not len(self.hashes):
+            return np.full(len(units), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, units), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == units, self.order[at], -1)
+
+    def add(self, units: np.ndarray, new: dict[str, np.ndarray]) -> np.ndarray:
+        """Numbers of new units."""
+        first = not self.room
+        was = {} if first else {n: len(getattr(self, n)) for n in self.NAMES}
+        shift = {} if first else {"char": len(self.buf), "node0": len(self.rem), "edge0": self.edges, "node": len(self.rem)}
+        for n in self.NAMES:
+            x = new[n] + new[n].dtype.type(shift[n]) if n in shift else new[n]
+            at = was.get(n, 0) - (n == "char" and not first)  # the end mark of the last one makes way
+            if first or at + len(x) > len(self.room[n]):
+                room = np.empty(at + len(x) if first else (at + len(x)) * 5 // 4, x.dtype)
+                if not first:
+                    room[:at] = self.room[n][:at]
+                self.room[n] = room
+            self.room[n][at : at + len(x)] = x
+            setattr(self, n, self.room[n][: at + len(x)])
+        numbers = np.arange(len(units)) + was.get("node0", 0)
+        at = np.searchsorted(self.hashes, units)
+        self.hashes, self.order = np.insert(self.hashes, at, units), np.insert(self.order, at, numbers)
+        self.edges = len(self.node)
+        return numbers
+
+
 class Lattice:
     """Lattices of the distinct units of some texts.
 
     A unit is a run of spaces with what follows up to the next space: no piece reaches
-    beyond it. Nodes are characters of distinct units; edges are grouped by node.
+    beyond it. Nodes are characters of distinct units; edges are grouped by node. Units
+    of earlier texts of the task stay, up to ``KEPT`` edges, so that common ones are built once.
     """
 
     def __init__(self, pieces: Pieces, data: np.ndarray, off: np.ndarray, i: int, j: int):
@@ -174,98 +288,57 @@ class Lattice:
         end = np.concatenate((start[1:], [len(buf)])).astype(np.int64)
         self.first = np.searchsorted(start, at)  # units of each text
         total = prefix_sums(buf)
-        _, head, self.kind = np.unique(substring_hash(total, start, end), return_index=True, return_inverse=True)
-        size = (end - start)[head]
+        units, head, kind = np.unique(substring_hash(total, start, end), return_index=True, return_inverse=True)
+        have = pieces.kept
+        known = have.find(units)
+        if have.edges > KEPT:
+            have = pieces.kept = Kept()
+            known[:] = -1
+        fresh = np.flatnonzero(known < 0)
+        size = (end - start)[head[fresh]]
         edge = np.concatenate(([0], np.cumsum(size)))
-        self.buf = own = buf[np.repeat(start[head] - edge[:-1], size) + np.arange(edge[-1])]
-        char = np.flatnonzero((own & 0xC0) != 0x80)
-        self.char = np.concatenate((char, [len(own)]))
-        self.node0 = np.searchsorted(char, edge[:-1])  # first node of each kind of unit
-        unit = np.searchsorted(edge, char, side="right") - 1
-        last = np.searchsorted(char, edge[1:])
-        self.rem = (last[unit] - np.arange(len(char))).astype(np.int64)
-        self._edges(prefix_sums(own))
-
-    def _edges(self, total: np.ndarray) -> None:
-        p, parts = self.pieces, []
-        s = np.arange(len(self.rem))
-        for length in range(1, p.longest + 1):
-            s = s[self.rem[s] >= length]
-            if not len(s):
-                break
-            piece = p.find(substring_hash(total, self.char[s], self.char[s + length]))
-            prefix = piece == PREFIX
-            on = piece >= 0
-            if length == 1:
-                parts.append((s[~on].astype(np.int32), np.ones((~on).sum(), np.int8), np.full((~on).sum(), -1, np.int32)))
-            ends = on & (piece < LONGER)
-            parts.append((s[on].astype(np.int32), np.full(on.sum(), length, np.int8), (piece[on] % LONGER).astype(np.int32)))
-            s = s[(prefix | on) & ~ends]  # the rest of the texts can go on
-        node, length, piece = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 3
-        del parts
-        order = np.argsort((self.rem[node] << 40) + node.astype(np.int64) * 32 + length).astype(np.int32)
-        node, self.length, self.piece = node[order], length[order].astype(np.int32), piece[order]
-        del order, length, piece
-        bytes_ = self.char[node + 1] - self.char[node] if len(node) else node
-        fall = p.logp[p.byte_id[0]]
-        score = np.where(self.piece >= 0, p.logp[np.maximum(self.piece, 0)], bytes_ * fall)
-        self.n_ids = np.where(self.piece >= 0, 1, bytes_).astype(np.int8)
-        del bytes_
-        beta = np.zeros(len(self.rem) + 1)
-        heads = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
-        blocks = np.searchsorted(self.rem[node[heads]], np.arange(1, (self.rem.max() if len(self.rem) else 0) + 2))
-        self.p = np.zeros(len(node))
-        ends = np.concatenate((heads[1:], [len(node)]))
-        for a, z in zip(blocks, blocks[1:]):
-            if a == z:
-                continue
-            lo, hi = heads[a], ends[z - 1]
-            to = node[lo:hi] + self.length[lo:hi]
-            v = score[lo:hi] + np.where(self.length[lo:hi] == self.rem[node[lo:hi]], 0.0, beta[to])
-            h = heads[a:z] - lo
-            top = np.maximum.reduceat(v, h)
-            reps = np.diff(np.concatenate((h, [hi - lo])))
-            w = np.exp(v - np.repeat(top, reps))
-            s = np.add.reduceat(w, h)
-            beta[node[heads[a:z]]] = top + np.log(s)
-            self.p[lo:hi] = w / np.repeat(s, reps)
-        self.node = node
-        self.edge0 = np.zeros(len(self.rem), np.int64)
-        self.degree = np.zeros(len(self.rem), np.int64)
-        self.edge0[node[heads]], self.degree[node[heads]] = heads, ends - heads
-        c = np.cumsum(self.p)
-        self.cum = c - np.repeat(np.concatenate(([0.0], c))[heads], ends - heads)
-        del c, score
-        self.logp = np.log(np.maximum(self.p, 1e-300))
+        own = buf[np.repeat(start[head[fresh]] - edge[:-1], size) + np.arange(edge[-1])]
+        known[fresh] = have.add(units[fresh], built(pieces, own, edge))
+        self.kind = known[kind]
+        for name in Kept.NAMES:
+            setattr(self, name, getattr(have, name))
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random path to the unit's end from each node: edges of all paths one after another, and their numbers."""
-        who = np.arange(len(node))
+        who: np.ndarray | None = None  # all, before the first step
         taken: list[tuple[np.ndarray, np.ndarray]] = []
-        count = np.zeros(len(node), np.int64)
+        count = np.ones(len(node), np.int64)
         step = 0
-        while len(who):
-            u = (mix(key[who] + salt((step + 1, 3))) >> U64(11)).astype(float) * 2.0**-53
-            e = self.edge0[node]
+        while len(node):
+            u = (mix((key if who is None else key[who]) + salt((step + 1, 3))) >> U64(11)).astype(float)
+            u *= 2.0**-53
+            e = self.edge0[node].astype(np.int64)
             last = e + self.degree[node] - 1
             move = np.flatnonzero((u >= self.cum[e]) & (e < last))
-            while len(move):
-                e[move] += 1
-                move = move[(u[move] >= self.cum[e[move]]) & (e[move] < last[move])]
+            if len(move):
+                at, u, last = e[move] + 1, u[move], last[move]
+                while True:
+                    on = np.flatnonzero((u >= self.cum[at]) & (at < last))
+                    if len(on) < len(at):
+                        e[move] = at
+                    if not len(on):
+                        break
+                    move, at, u, last = move[on], at[on] + 1, u[on], last[on]
             taken.append((who, e))
+            step_to = self.length[e]
+            go = np.flatnonzero(step_to < self.rem[node])
+            node = node[go] + step_to[go]
+            who = go if who is None else who[go]
             count[who] += 1
-            go = self.length[e] < self.rem[node]
-            node = (node + self.length[e])[go]
-            who = who[go]
             step += 1
         out = np.zeros(int(count.sum()), np.int64)
         at = np.cumsum(count) - count
         for k, (w, e) in enumerate(taken):
-            out[at[w] + k] = e
+            out[at if w is None else at[w] + k] = e
         return out, count
 
     def ids(self, path: np.ndarray) -> np.ndarray:
-        """Piece ids of a path's edges."""
+        """Piece ids of edges."""
         piece = self.piece[path]
         bare = np.flatnonzero(piece < 0)
         if not len(bare):
@@ -282,6 +355,12 @@ class Lattice:
         out[bare] = self.pieces.byte_id[self.buf[first[bare] + into[bare]]]
         return out
 
+    def ids_of(self, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all paths one after another, and where each path's begin (one more entry at the end)."""
+        flat = np.concatenate(paths) if paths else np.zeros(0, np.int64)
+        edge = np.concatenate(([0], np.cumsum(self.n_ids[flat], dtype=np.int64)))
+        return self.ids(flat).astype(np.int32), edge[np.concatenate(([0], np.cumsum([len(p) for p in paths]))).astype(np.int64)]
+
 
 def gumbel(key: np.ndarray) -> np.ndarray:
     u = ((mix(key) >> U64(32)).astype(float) + 0.5) * 2.0**-32
@@ -295,77 +374,142 @@ def cut_off(g: np.ndarray, at: np.ndarray | float) -> np.ndarray:
 
 @dataclass
 class Sample:
-    """A sampled segmentation of a text: edges, log-probability, perturbed score, log inclusion."""
+    """A sampled segmentation of a text: edges, log-probability before each of them and of all, perturbed score, log inclusion."""
 
     path: np.ndarray
-    logp: float
+    before: np.ndarray
     score: float
     inclusion: float = 0.0
 
+    @property
+    def logp(self) -> float:
+        return float(self.before[-1])
+
+
+def one(key: int) -> int:
+    """:func:`mix` of a single number."""
+    key &= (1 << 64) - 1
+    key = (key ^ key >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    key = (key ^ key >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+    return key ^ key >> 31
+
 
 class Search:
     """The open sets of one text: (-bound, path number, place in the path, edges left out there)."""
 
-    def __init__(self, lattice: Lattice, key: np.uint64, units: np.ndarray):
+    def __init__(self, lattice: Lattice, key: int, units: np.ndarray):
         self.lattice, self.key, self.units = lattice, key, units
         self.found: list[Sample] = []
         self.open: list[tuple[float, int, int, tuple[int, ...]]] = []
 
-    def emit(self, path: np.ndarray, score: float, since: int, keep: int) -> None:
-        """Take a path whose first ``since`` pieces are fixed, and open the sets that leave it later."""
-        lat = self.lattice
-        lp = lat.logp[path]
-        before = np.concatenate(([0.0], np.cumsum(lp)))
-        self.found.append(Sample(path, float(before[-1]), score))
-        own = len(self.found) - 1
-        base = np.array([self.key], U64) + salt((own + 1, 1), (1, 0))
-        best, at = np.zeros(0), np.zeros(0, np.int64)
-        a, z = since, int(np.searchsorted(-before[: len(path)], 25 - before[since], side="right")) if since < len(path) else 0
-        while a < z:
-            t = np.arange(a, z)
-            t = t[lat.degree[lat.node[path[t]]] > 1]
-            other = np.log(np.maximum(1 - lat.p[path[t]], 1e-300)) + before[t]
-            best = np.concatenate((best, -cut_off(other + gumbel(base + t.astype(U64) * C[2]), score)))
-            at = np.concatenate((at, t))
-            if len(best) > keep + 1:
-                few = np.argpartition(best, keep)[: keep + 1]
-                best, at = best[few], at[few]
-            # no noise is over 23 and ``before`` only falls: places below this cannot matter
-            end = len(path) if len(best) <= keep else int(np.searchsorted(-before[: len(path)], best.max() + 23, side="right"))
-            a, z = z, min(end, z + 4 * (z - a))
-        for b, t in zip(best.tolist(), at.tolist()):
-            heapq.heappush(self.open, (b, own, t, (int(path[t]),)))
-
     def branch(self) -> tuple[float, np.ndarray, int, int] | None:
         """Pop the best set: its bound, the fixed pieces with the new one, and the unit and node where the rest is free."""
         if not self.open:
             return None
         neg, own, t, out = heapq.heappop(self.open)
         lat, path = self.lattice, self.found[own].path
-        node = lat.node[path[t]]
-        left = np.array([e for e in range(lat.edge0[node], lat.edge0[node] + lat.degree[node]) if e not in out])
-        share = lat.p[left]
+        node = int(lat.node[path[t]])
+        a = int(lat.edge0[node])
+        left = [e for e in range(a, a + int(lat.degree[node])) if e not in out]
+        share = lat.p[left].tolist()
         k = len(self.found)
-        own_key = np.array([self.key], U64)
-        pick = float(mix(own_key + salt((k, 2), (1, 3)))[0] >> U64(11)) * 2.0**-53
-        total = share.sum()
-        e = int(left[min(int(np.searchsorted(np.cumsum(share), pick * total, side="right")), len(left) - 1)])
+        total = sum(share)
+        pick = (one(self.key + int(salt((k, 2), (1, 3)))) >> 11) * 2.0**-53 * total
+        so_far = list(accumulate(share))
+        e = left[min(bisect_right(so_far, pick), len(left) - 1)]
         if len(left) > 1:
-            before = float(lat.logp[path[:t]].sum())
-            rest = max(total - lat.p[e], 1e-300)
-            noise = gumbel(own_key + salt((k, 3), (1, 1)))[0]
-            heapq.heappush(self.open, (-float(cut_off(np.log(rest) + before + noise, -neg)), own, t, (*out, e)))
-        fixed = np.concatenate((path[:t], [e]))
+            rest = max(total - float(lat.p[e]), 1e-300)
+            noise = -math.log(-math.log(((one(self.key + int(salt((k, 3), (1, 1)))) >> 32) + 0.5) * 2.0**-32))
+            heapq.heappush(self.open, (-float(cut_off(math.log(rest) + float(self.found[own].before[t]) + noise, -neg)), own, t, (*out, e)))
+        done = path[:t]
         # units that the first t pieces pass: those whose last piece lies before place t
-        passed = int((lat.length[path[:t]] == lat.rem[lat.node[path[:t]]]).sum())
-        return -neg, fixed, passed, int(node + lat.length[e]) if lat.length[e] < lat.rem[node] else -1
+        passed = int((lat.length[done] == lat.rem[lat.node[done]]).sum())
+        return -neg, np.append(done, e), passed, int(node + lat.length[e]) if lat.length[e] < lat.rem[node] else -1
+
+
+def smallest(x: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest of each stretch of x (n: their lengths), in order of stretch and value."""
+    x = x.copy()
+    on = np.flatnonzero(n)
+    size = n[on]
+    head = np.cumsum(size) - size
+    found = []
+    for r in range(min(k, int(size.max(initial=0)))):
+        low = np.minimum.reduceat(x, head)
+        at = np.flatnonzero(x == np.repeat(low, size))
+        which = np.searchsorted(head, at, side="right") - 1
+        new = np.ones(len(at), bool)
+        new[1:] = which[1:] != which[:-1]
+        at, which = at[new], which[new]
+        ok = size[which] > r
+        found.append((on[which[ok]] * k + r, at[ok]))
+        x[at] = np.inf
+    if not found:
+        return np.zeros(0, np.int64)
+    key, at = (np.concatenate(v) for v in zip(*found))
+    return at[np.argsort(key)]
+
+
+#: places whose probability so far has fallen by this much are looked at only where the bounds ask for it
+FALL = 32.0
+
+
+def emit(searches: list[Search], paths: list[np.ndarray], scores: list[float], since: list[int], left: int) -> None:
+    """Take a path for each search, whose first ``since`` pieces are fixed, and open the sets that leave it later.
+
+    Only the best ``left`` + 1 of all open sets can still matter: those of the paths to come, and the threshold.
+    """
+    lat, keep = searches[0].lattice, left
+    limit = np.array([heapq.nsmallest(keep + 1, s.open)[-1][0] if len(s.open) > keep else np.inf for s in searches])
+    start, until, befores = [], [], []
+    for path, a in zip(paths, since):  # sums of a text do not depend on its neighbours
+        before = np.zeros(len(path) + 1)
+        np.cumsum(np.log(np.maximum(lat.p[path], 1e-300)), out=before[1:])
+        befores.append(before)
+        start.append(float(before[min(a, len(path))]))
+        until.append(int(np.searchsorted(-before[: len(path)], FALL - start[-1], side="right")))
+    # no noise is over 23 and ``before`` only falls: places below cannot bring what is better than the open sets
+    until = [min(z, int(np.searchsorted(-b[: len(p)], x + 23, side="right"))) if x < np.inf else z for z, b, p, x in zip(until, befores, paths, limit.tolist())]
+    for s, p, score, before in zip(searches, paths, scores, befores):
+        s.found.append(Sample(p, before, score))
+    own = [len(s.found) - 1 for s in searches]
+    base = np.array([s.key for s in searches], U64) + np.array([salt((k + 1, 1), (1, 0)) for k in own], U64)
+    top, floor = np.array(scores), np.array(start) - FALL
+    todo = np.arange(len(paths))
+    for first in (True, False):
+        cut = [(since[d], until[d] if first else len(paths[d])) for d in todo.tolist()]
+        n = np.array([max(z - a, 0) for a, z in cut], np.int64)
+        text = np.repeat(todo, n)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n - np.array([a for a, _ in cut], np.int64), n)
+        step = np.concatenate([paths[d][a:z] for d, (a, z) in zip(todo.tolist(), cut)] + [np.zeros(0, np.int64)])
+        so_far = np.concatenate([befores[d][a : max(a, z)] for d, (a, z) in zip(todo.tolist(), cut)] + [np.zeros(0)])
+        ok = lat.degree[lat.node[step]] > 1
+        text, place, step, so_far = text[ok], place[ok], step[ok], so_far[ok]
+        other = np.log(np.maximum(1 - lat.p[step], 1e-300)) + so_far
+        best = -cut_off(other + gumbel(base[text] + place.astype(U64) * C[2]), top[text])
+        n = np.bincount(text, minlength=len(paths))
+        order = smallest(best, n, keep + 1)
+        text, place, step, best = text[order], place[order], step[order], best[order]
+        if first:
+            worst = limit.copy()
+            last = np.flatnonzero(np.append(text[1:] != text[:-1], True)) if len(text) else np.zeros(0, np.int64)
+            last = last[n[text[last]] > keep]
+            worst[text[last]] = np.minimum(worst[text[last]], best[last])
+            # places left out for being FALL below ``since``, where what is found says too little
+            todo = np.flatnonzero((worst + 23 > -floor) & np.array([z < len(p) for z, p in zip(until, paths)], bool))
+            again = np.isin(text, todo)
+            text, place, step, best = text[~again], place[~again], step[~again], best[~again]
+        for k, t, e, b in zip(text.tolist(), place.tolist(), step.tolist(), best.tolist()):
+            heapq.heappush(searches[k].open, (b, own[k], t, (e,)))
+        if not len(todo):
+            break
 
 
 def sample_texts(pieces: Pieces, data: np.ndarray, off: np.ndarray, i: int, j: int, keys: np.ndarray, k: int) -> tuple[Lattice, list[list[Sample]]]:
     """Up to k distinct segmentations of each text, best perturbed score first."""
     lat = Lattice(pieces, data, off, i, j)
     n = j - i
-    searches = [Search(lat, keys[d], lat.kind[lat.first[d] : lat.first[d + 1]]) for d in range(n)]
+    searches = [Search(lat, int(keys[d]), lat.kind[lat.first[d] : lat.first[d + 1]]) for d in range(n)]
 
     def tails(jobs: list[tuple[int, int, int]], number: int) -> list[np.ndarray]:
         """For (text, first free unit, node inside the unit before it or -1): a random rest."""
@@ -376,15 +520,14 @@ def sample_texts(pieces: Pieces, data: np.ndarray, off: np.ndarray, i: int, j: i
                 own = np.concatenate(([inner], own))
             place = np.arange(len(searches[d].units) - len(own), len(searches[d].units))
             nodes.append(own)
-            key.append(place.view(U64) * C[1] + searches[d].key)
+            key.append(place.view(U64) * C[1] + U64(searches[d].key))
             sizes.append(len(own))
         path, count = lat.walk(np.concatenate(nodes), mix(np.concatenate(key) + salt((number + 1, 0))))
         edge = np.concatenate(([0], np.cumsum(count)))[np.concatenate(([0], np.cumsum(sizes)))]
         return [path[a:z] for a, z in zip(edge, edge[1:])]
 
-    top = gumbel(keys + C[2])
-    for d, path in enumerate(tails([(d, 0, -1) for d in range(n)], 0)):
-        searches[d].emit(path, float(top[d]), 0, k)
+    if n:
+        emit(searches, tails([(d, 0, -1) for d in range(n)], 0), gumbel(keys + C[2]).tolist(), [0] * n, k - 1)
     for number in range(1, k):
         jobs, heads = [], []
         for d, s in enumerate(searches):
@@ -395,8 +538,8 @@ def sample_texts(pieces: Pieces, data: np.ndarray, off: np.ndarray, i: int, j: i
                 heads.append((bound, fixed))
         if not jobs:
             break
-        for (d, _, _), (bound, fixed), rest in zip(jobs, heads, tails(jobs, number)):
-            searches[d].emit(np.concatenate((fixed, rest)), bound, len(fixed), k)
+        paths = [np.concatenate((fixed, rest)) for (_, fixed), rest in zip(heads, tails(jobs, number))]
+        emit([searches[d] for d, _, _ in jobs], paths, [b for b, _ in heads], [len(f) for _, f in heads], k - 1 - number)
     for s in searches:
         floor = -s.open[0][0] if s.open else -np.inf
         for x in s.found:
@@ -432,22 +575,19 @@ def encoded(df: DataFrame, model: bytes, k: int = SAMPLES, seed: int = SEED, tex
             rest = b.select([b.schema.names[m] for m in keep])
             for i, j in slices(off, BATCH):
                 lat, found = sample_texts(pieces, data, off, i, j, keys[i:j], k)
-                rows: list[list] = [[] for _ in range(8)]
-                at = []
-                for d, own in enumerate(found):
-                    raw = data[off[i + d] : off[i + d + 1]]
-                    for m, x in enumerate(own):
-                        ids = lat.ids(x.path).astype(np.int32)
-                        back = pieces.decoded_bytes(ids)
-                        at.append(i + d)
-                        for c, v in zip(rows, (m + 1, len(ids), x.logp, x.score, x.inclusion, hashlib.sha256(ids.tobytes()).hexdigest(), np.array_equal(back, raw), ids)):
-                            c.append(v)
-                kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
-                t = rest.take(pa.array(at, pa.int64()))
-                if not with_ids:
-                    rows = rows[:-1]
-                yield pa.RecordBatch.from_arrays(t.columns + [pa.array(c, kind) for c, kind in zip(rows, kinds)], names=t.schema.names + names)
-                del lat, found, rows
+                every = [(d, m, x) for d, own in enumerate(found) for m, x in enumerate(own)]
+                ids, at = lat.ids_of([x.path for _, _, x in every])
+                text_of = np.array([d for d, _, _ in every], np.int64)
+                same = pieces.same_as(ids, at, data, off[i + text_of], off[i + text_of + 1])
+                figures = [
+                    pa.array([m + 1 for _, m, _ in every], pa.int32()), pa.array(np.diff(at)), *(pa.array(v, pa.float64()) for v in ([x.logp for _, _, x in every], [x.score for _, _, x in every], [x.inclusion for _, _, x in every])),
+                    pa.array([hashlib.sha256(ids[a:z]).hexdigest() for a, z in zip(at.tolist(), at[1:].tolist())], pa.string()), pa.array(same),
+                ]
+                if with_ids:
+                    figures.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
+                t = rest.take(pa.array(i + text_of))
+                yield pa.RecordBatch.from_arrays(t.columns + figures, names=t.schema.names + names)
+                del lat, found, every
 
     return df.mapInArrow(kernel, added_schema(df.drop(*gone), COLUMNS + ", ids array<int>" * with_ids))
 

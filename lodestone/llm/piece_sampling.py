@@ -41,12 +41,12 @@ from lodestone.llm.common import BASE, BASE_INV, BYTE_CODE, U64, added_schema, m
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
 SEED = 29
-BATCH = 3 << 19
+BATCH = 1 << 18
 C = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 MARK = "▁"
 LONGER, PREFIX = 1 << 30, -2
 #: edges that a task keeps for later texts
-KEPT = 6 << 20
+KEPT = 5 << 19
 
 
 def salt(*parts: tuple[int, int]) -> np.uint64:
@@ -208,14 +208,16 @@ def built(p: Pieces, own: np.ndarray, edge: np.ndarray) -> dict[str, np.ndarray]
             continue
         lo, hi = heads[a], ends[z - 1]
         to = node[lo:hi] + length[lo:hi]
-        v = score[lo:hi] + np.where(length[lo:hi] == rem[node[lo:hi]], 0.0, beta[to])
+        v = score[lo:hi] + np.where(length[lo:hi] == rem[by[a]], 0.0, beta[to])
         h = heads[a:z] - lo
         top = np.maximum.reduceat(v, h)
-        reps = np.diff(np.concatenate((h, [hi - lo])))
-        w = np.exp(v - np.repeat(top, reps))
+        reps = degree[by[a:z]]
+        v -= np.repeat(top, reps)
+        w = np.exp(v, out=v)
         s = np.add.reduceat(w, h)
         beta[by[a:z]] = top + np.log(s)
-        prob[lo:hi] = w / np.repeat(s, reps)
+        w /= np.repeat(s, reps)
+        prob[lo:hi] = w
     c = np.cumsum(prob)
     cum = c - np.repeat(np.concatenate(([0.0], c))[heads], ends - heads)
     return {"buf": own, "char": char, "node0": node0, "rem": rem, "edge0": edge0, "degree": degree, "node": node, "length": length, "piece": piece, "n_ids": n_ids, "p": prob, "cum": cum}
@@ -451,7 +453,7 @@ def smallest(x: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
 
 
 #: places whose probability so far has fallen by this much are looked at only where the bounds ask for it
-FALL = 32.0
+FALL = 27.0
 
 
 def emit(searches: list[Search], paths: list[np.ndarray], scores: list[float], since: list[int], left: int) -> None:

@@ -1,17 +1,19 @@
 """Exact top-k search by inner product over norm-bucketed vectors.
 
-Vectors are grouped by length into buckets and packed into blocks, longest first.
-A query's k-th best score against the longest vectors is a lower bound; against a
-bucket it becomes a local cosine threshold. Where that is over 1 the bucket is
-skipped; where it is high only a prefix of the longest vectors is looked at; in
-between, the query's largest coordinates bound the product (coordinate pruning);
-else all are. What is left is verified with exact integer products.
+Vectors are grouped by length into buckets, and those of a bucket dealt by id into
+blocks, longest first in each. A query's k-th best score against the longest vectors is a
+lower bound; against a bucket it becomes a local cosine threshold. Where that is over 1
+for all of a block of queries, no vector of theirs goes to the bucket. Query blocks move
+to the candidate blocks that are left; there, where the threshold is high only a prefix of
+the longest vectors is looked at; in between, the query's largest coordinates bound the
+product (coordinate pruning); else all are. What is left is verified with exact integer products.
 
 Edge cases: vectors that are null, hold a null or a non-finite component, or have no
 id take no part; only vectors of equal dimension meet; an id given to several queries
 is one query (its smallest vector), and rows with the query's own id are not its
-candidates; other repeated rows are candidates each; ties go to the smaller id; extra
-columns are ignored; an empty table gives no rows.
+candidates; other repeated rows are candidates each; ties go to the smaller id; scores
+are ranked exactly at any size, and one that does not fit a long is given as the
+nearest long; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql.window import Window
 from lodestone.llm.common import n_partitions
 
 #: rows of a block of candidates and of queries
-BLOCK, QUERY_BLOCK = 4096, 512
+BLOCK, QUERY_BLOCK = 1024, 512
 #: vectors of greatest length that give every query its first bound
 HEAD = 2048
 FOCUS = 8
@@ -39,7 +41,8 @@ def usable(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", scale:
     """id bigint, v array<double> (floor(scale * x)), dim int, norm double."""
     x = F.col(vec)
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    v = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("double"))
+    # doubles of 2**53 and over are whole already
+    v = F.transform(x, lambda e: F.when(F.abs(e.cast("double") * scale) < EXACT, F.floor(e.cast("double") * scale).cast("double")).otherwise(e.cast("double") * scale))
     out = df.filter(x.isNotNull() & F.col(id_col).isNotNull()).filter(~bad).select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"))
     return out.withColumn("dim", F.size("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)))
 
@@ -54,8 +57,9 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact inner products of whole-numbered vectors: floats while no sum can pass 2**53."""
     if not q.size or not c.size:
         return np.zeros((len(q), len(c)))
-    if np.sqrt((q * q).sum(axis=1).max() * (c * c).sum(axis=1).max()) < EXACT:
-        return q @ c.T
+    with np.errstate(over="ignore", invalid="ignore"):
+        if np.sqrt((q * q).sum(axis=1).max()) * np.sqrt((c * c).sum(axis=1).max()) < EXACT:
+            return q @ c.T
     return np.array([[sum(int(a) * int(b) for a, b in zip(x, y)) for y in c] for x in q], dtype=object)
 
 
@@ -65,7 +69,21 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int]]:
         floor = np.partition(scores, len(scores) - k)[len(scores) - k]
         keep = scores >= floor
         ids, scores = ids[keep], scores[keep]
-    return [(int(s), int(i)) for s, i in heapq.nsmallest(k, zip(scores, ids), key=lambda x: (-x[0], x[1]))]
+    return [(int(s), int(i)) for s, i in heapq.nsmallest(k, zip(scores.tolist(), ids.tolist()), key=lambda x: (-x[0], x[1]))]
+
+
+def order_key(score: int) -> bytes:
+    """Bytes that sort as the scores do, of any size."""
+    raw = abs(score).to_bytes((abs(score).bit_length() + 7) // 8, "big")
+    raw = len(raw).to_bytes(4, "big") + raw
+    return b"\x01" + raw if score >= 0 else b"\x00" + bytes(255 - b for b in raw)
+
+
+def as_float(score: float) -> float:
+    try:
+        return float(score)
+    except OverflowError:
+        return np.inf if score > 0 else -np.inf
 
 
 def search_block(q: np.ndarray, qn: np.ndarray, qid: np.ndarray, theta: np.ndarray, c: np.ndarray, cn: np.ndarray, cid: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
@@ -74,6 +92,7 @@ def search_block(q: np.ndarray, qn: np.ndarray, qid: np.ndarray, theta: np.ndarr
     slack = 1 + 1e-9
     with np.errstate(divide="ignore", invalid="ignore"):
         local = np.where(qn * longest > 0, theta / (qn * longest), np.where(theta > 0, np.inf, -np.inf))
+    local = np.where(np.isfinite(qn) & np.isfinite(longest) & ~np.isnan(local), local, -np.inf)  # lengths beyond doubles bound nothing
     alive = np.flatnonzero(local <= slack)
     whole = alive[local[alive] < 0.3]
     if len(whole):
@@ -103,6 +122,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     marks = [i / parts for i in range(1, parts)]
     edges = rows.select(F.percentile_approx("norm", marks, 10000).alias("e")).first()["e"] if marks else None
     edges = sorted(set(edges or []), reverse=True)
+    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e > F.col("norm"))) if edges else F.lit(0)
+    # a row a bucket, and there are no more of them than shuffle partitions
+    known = rows.groupBy(bucket.alias("bucket")).agg(F.max("norm").alias("top"), F.count("*").alias("n")).collect()
+    blocks = {r["bucket"]: -(-r["n"] // BLOCK) for r in known}
     head = rows.orderBy(F.col("norm").desc(), "id").limit(HEAD).select("id", "v", "dim", "norm").toArrow()
     heads: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in set(head["dim"].to_pylist()):
@@ -124,36 +147,34 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                         got = products(q, c)
                         for r, i in enumerate(ids):
                             top = best(cid[cid != i], got[r][cid != i], k)
-                            theta[r] = float(top[-1][0]) if len(top) == k else -np.inf
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{d}:{ids[0]}:{len(ids)}"]), pa.array([d], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(np.int64), q, p["norm"].to_numpy().astype(float), theta))], names=["qb", "dim", "qid", "q", "qn", "theta"])
-
-    def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            for d in sorted(set(t["dim"].to_pylist())):
-                p = t.filter(pa.compute.equal(t["dim"], d)).sort_by([("norm", "descending"), ("id", "ascending")])
-                for at in range(0, p.num_rows, BLOCK):
-                    x = p.slice(at, BLOCK)
-                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([y.tobytes()], pa.binary()) for y in (x["id"].to_numpy().astype(np.int64), matrix(x["v"], d), x["norm"].to_numpy().astype(float)))], names=["dim", "cid", "c", "cn"])
-
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= 4 * BLOCK:
-                yield from out()
-                held, n = [], 0
-        if held:
-            yield from out()
-
-    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e > F.col("norm"))) if edges else F.lit(0)
-    packed_q = queries.mapInArrow(pack_queries, "qb string, dim int, qid binary, q binary, qn binary, theta binary").checkpoint()
-    packed_c = rows.select("id", "v", "dim", "norm").withColumn("bucket", bucket).repartition(F.col("bucket")).select("id", "v", "dim", "norm").mapInArrow(pack_rows, "dim int, cid binary, c binary, cn binary")
-    by_dim = packed_q.groupBy("dim").agg(F.collect_list("qb").alias("qbs"))
+                            theta[r] = as_float(top[-1][0]) if len(top) == k else -np.inf
+                    qn = p["norm"].to_numpy().astype(float)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        need = np.where((qn > 0) & np.isfinite(qn), theta / qn, np.where(theta > 0, np.inf, -np.inf))
+                    need = -np.inf if np.isnan(need).any() or np.isinf(qn).any() else float(need.min())
+                    yield pa.RecordBatch.from_arrays([pa.array([need]), pa.array([d], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(np.int64), q, qn, theta))], names=["need", "dim", "qid", "q", "qn", "theta"])
+
+    def pack_rows(pdf: pa.Table) -> pa.Table:
+        """A block's vectors, longest first; one row a dimension."""
+        out = []
+        for d in sorted(set(pdf["dim"].to_pylist())):
+            x = pdf.filter(pa.compute.equal(pdf["dim"], d)).sort_by([("norm", "descending"), ("id", "ascending")])
+            out.append((pdf["block"][0].as_py(), d, *(y.tobytes() for y in (x["id"].to_numpy().astype(np.int64), matrix(x["v"], d), x["norm"].to_numpy().astype(float)))))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array([r[m] for r in out], t) for m, t in enumerate(kinds)], names=["block", "dim", "cid", "c", "cn"])
+
+    if not known:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    width = F.element_at(F.create_map(*[F.lit(x) for b, n in blocks.items() for x in (b, n)]), F.col("bucket"))
+    dealt = rows.select("id", "v", "dim", "norm", bucket.alias("bucket")).withColumn("block", F.col("bucket").cast("bigint") * (1 << 32) + F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), width.cast("bigint")))
+    packed_c = dealt.select("block", "id", "v", "dim", "norm").groupBy("block").applyInArrow(pack_rows, "block bigint, dim int, cid binary, c binary, cn binary")
+    packed_q = queries.mapInArrow(pack_queries, "need double, dim int, qid binary, q binary, qn binary, theta binary")
+    # the buckets that a query block needs, before any vector moves; then their blocks
+    bounds = F.array(*[F.struct(F.lit(float(r["top"])).alias("top"), F.lit(r["bucket"]).cast("bigint").alias("b"), F.lit(blocks[r["bucket"]]).cast("bigint").alias("n")) for r in known])
+    asked = packed_q.withColumn("x", F.explode(F.filter(bounds, lambda x: x["top"] * (1 + 1e-9) >= F.col("need"))))
+    asked = asked.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("x.n") - 1), lambda i: i + F.col("x.b") * (1 << 32)))).drop("x", "need")
     # a stated query set against all rows, block by block
-    pairs = packed_c.join(by_dim, "dim").select("cid", "c", "cn", F.explode("qbs").alias("qb")).join(packed_q, "qb")
+    pairs = packed_c.join(asked.hint("merge"), ["block", "dim"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list[tuple[int, int]]] = {}
@@ -168,19 +189,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     have += top
                     if len(have) > 8 * k:
                         have[:] = heapq.nsmallest(k, have, key=lambda x: (-x[0], x[1]))
-        rows = [(i, v, s) for i, have in kept.items() for s, v in heapq.nsmallest(k, have, key=lambda x: (-x[0], x[1]))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows], pa.int64()) for m in range(3)], names=["query_id", "vec_id", "score"])
+        rows = [(i, v, max(-(2**63), min(s, 2**63 - 1)), order_key(s)) for i, have in kept.items() for s, v in heapq.nsmallest(k, have, key=lambda x: (-x[0], x[1]))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows], pa.binary() if m == 3 else pa.int64()) for m in range(4)], names=["query_id", "vec_id", "score", "key"])
 
-    found = pairs.select("dim", "qid", "q", "qn", "theta", "cid", "c", "cn").mapInArrow(kernel, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = pairs.select("dim", "qid", "q", "qn", "theta", "cid", "c", "cn").mapInArrow(kernel, "query_id bigint, vec_id bigint, score bigint, key binary")
+    order = Window.partitionBy("query_id").orderBy(F.col("key").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best partners of every fiftieth vector."""
-    from lodestone.llm.common import shared_dir
-
-    shared_dir(spark)
     rows = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return search(rows, rows.filter(F.col("id") % 50 == 0), 5)
 

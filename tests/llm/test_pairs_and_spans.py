@@ -1,6 +1,7 @@
 """Joins, repeated strings and searches against brute force, with nulls, ties and repeated rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -149,26 +150,31 @@ def test_repeated_strings_empty_table(spark):
     assert suffix_dedup.deduplicated(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-def test_exact_topk_matches_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 16])
+def test_exact_topk_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(exact_topk, "BLOCK", block)
     rng = random.Random(3)
     rows = [(k, [rng.gauss(0, 1) * (1 + k % 7) for _ in range(8)]) for k in range(300)]
-    rows += [(300, None), (301, [1.0] * 7 + [None]), (302, [float("nan")] * 8), (None, [1.0] * 8), (303, [float("inf")] * 8), (304, [0.0] * 8), (350, [1.0] * 8), (350, [1.0] * 8), (351, [1.0, 2.0]), (400, [2.0, 1.0]), (450, [1e20] * 8)]
+    rows += [(300, None), (301, [1.0] * 7 + [None]), (302, [float("nan")] * 8), (None, [1.0] * 8), (303, [float("inf")] * 8), (304, [0.0] * 8), (350, [1.0] * 8), (350, [1.0] * 8), (351, [1.0, 2.0]), (400, [2.0, 1.0]), (450, [1e20] * 8), (451, [1e20] * 7 + [-1e20]), (452, [-1e150] * 8), (500, [1e160] + [1.0] * 7)]
+    rows += [(600 + k, [math.cos(k), math.sin(k)]) for k in range(120)]  # equal lengths
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     use = exact_topk.usable(df)
-    use = use.filter("id != 450")
     got = {}
     for r in exact_topk.search(use, use.filter(F.col("id") % 50 == 0), 5).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    import math
-
-    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i not in (None, 450) and v and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     for q, v in {i: v for i, v in good if i % 50 == 0}.items():
         s = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q and len(w) == len(v)))[:5]
-        assert sorted(got.get(q, [])) == [(k + 1, i, -x) for k, (x, i) in enumerate(s)]
+        assert sorted(got.get(q, [])) == [(k + 1, i, max(-(2**63), min(-x, 2**63 - 1))) for k, (x, i) in enumerate(s)]
     empty = exact_topk.usable(spark.createDataFrame([], "vec_id bigint, embedding array<double>"))
     assert exact_topk.search(empty, empty, 5).count() == 0
 
 
+def test_topk_order_keys():
+    scores = [0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 2**200, -(2**200), 2**200 + 1]
+    assert sorted(scores, key=exact_topk.order_key) == sorted(scores)
+
+
 def test_topk_prunes_by_length_and_coordinates():
     import numpy as np
 

@@ -7,11 +7,13 @@ the longest single text, never the partition.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,14 +75,31 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def given_back() -> None:
+    """A Python worker outlives its task: memory that it has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The kernel, giving memory back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        given_back()
+
+    return run
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def n_ranges(df: DataFrame, size: int) -> int:
-    """How many key ranges to deal ``df`` into: one for ``size`` bytes of what its plan reads, eight a shuffle partition at least."""
+def n_ranges(df: DataFrame, size: int, least: int = 8) -> int:
+    """How many key ranges to deal ``df`` into: one for ``size`` bytes of what its plan reads, ``least`` a shuffle partition at least."""
     read = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(max(8 * n_partitions(df.sparkSession), min(int(str(read)) // size, 1 << 20)))
+    return int(max(least * n_partitions(df.sparkSession), min(int(str(read)) // size, 1 << 17)))
 
 
 BITS = 26

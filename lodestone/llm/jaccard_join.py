@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.blobs import pack, pack_sorted, unpack, unpack_sorted
-from lodestone.llm.common import U64, Words, bitmap, dropped, in_bitmap, mix, n_ranges, slices, text_buffers, written
+from lodestone.llm.common import U64, Words, bitmap, dropped, in_bitmap, mix, n_ranges, slices, text_buffers, tidied, written
 
 CUTS = 4
 #: least and most fragments of a sketch, as powers of two
@@ -224,7 +224,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, do
         if held:
             yield from flush()
 
-    passed = written(docs.mapInArrow(first_pass, "doc_id bigint, n bigint, cid binary, node bigint, bucket int, blob binary"), "passed")
+    passed = written(docs.mapInArrow(tidied(first_pass), "doc_id bigint, n bigint, cid binary, node bigint, bucket int, blob binary"), "passed")
     shared = passed.filter("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInPandas(stars, "pivot bigint, node bigint")
     edges = written(shared.distinct(), "stars")
     rows = written(passed.filter("bucket is null").select("doc_id", "n", "cid", "node"), "rows")
@@ -336,7 +336,7 @@ def fetched(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
                 kinds = (pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["cid", "src", "f", "grams", "sketch"])
 
-    return docs.mapInArrow(cut, "cid binary, src bigint, f int, grams array<bigint>, sketch binary")
+    return docs.mapInArrow(tidied(cut), "cid binary, src bigint, f int, grams array<bigint>, sketch binary")
 
 
 def linked(docs: DataFrame, edges: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:

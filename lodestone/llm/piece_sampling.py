@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import BASE, BASE_INV, BYTE_CODE, U64, added_schema, mix, powers, slices, text_buffers
+from lodestone.llm.common import BASE, BASE_INV, BYTE_CODE, U64, added_schema, mix, powers, slices, text_buffers, tidied
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
@@ -590,8 +590,9 @@ def encoded(df: DataFrame, model: bytes, k: int = SAMPLES, seed: int = SEED, tex
                 t = rest.take(pa.array(i + text_of))
                 yield pa.RecordBatch.from_arrays(t.columns + figures, names=t.schema.names + names)
                 del lat, found, every
+        pieces.kept = Kept()
 
-    return df.mapInArrow(kernel, added_schema(df.drop(*gone), COLUMNS + ", ids array<int>" * with_ids))
+    return df.mapInArrow(tidied(kernel), added_schema(df.drop(*gone), COLUMNS + ", ids array<int>" * with_ids))
 
 
 def decoded(df: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:

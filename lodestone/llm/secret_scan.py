@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import SLICE_BYTES, added, added_schema, slices, text_buffers
+from lodestone.llm.common import SLICE_BYTES, added, added_schema, slices, text_buffers, tidied
 
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -211,7 +211,7 @@ def scan(df: DataFrame, text: str = "text", model: MarkovPair | None = None) ->
                     every[row] = ",".join(x for _, x in said)
             yield added(batch, {f"n_{KINDS[k]}": pa.array(counts[k]) for k in range(4)} | {"base_sha256": pa.array(base), "spans": pa.array(every)})
 
-    return df.mapInArrow(kernel, added_schema(df, "n_assign bigint, n_access bigint, n_hex bigint, n_markov bigint, base_sha256 string, spans string"))
+    return df.mapInArrow(tidied(kernel), added_schema(df, "n_assign bigint, n_access bigint, n_hex bigint, n_markov bigint, base_sha256 string, spans string"))
 
 
 def masked(df: DataFrame, text: str = "text", mark: str = "[SECRET]", model: MarkovPair | None = None) -> DataFrame:
@@ -238,7 +238,7 @@ def masked(df: DataFrame, text: str = "text", mark: str = "[SECRET]", model: Mar
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
             yield batch
 
-    return df.mapInArrow(kernel, df.schema)
+    return df.mapInArrow(tidied(kernel), df.schema)
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, Words, added, added_schema, crc_mod, mix, slices, text_buffers
+from lodestone.llm.common import U64, Words, added, added_schema, crc_mod, mix, slices, text_buffers, tidied
 from lodestone.llm.labelled import training_sample
 
 BUCKETS = 1 << 20
@@ -137,7 +137,7 @@ def counted(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
         at = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[1, at].astype(np.int64)), pa.array(sums[0, at].astype(np.int64))], names=["b", "toxic", "clean"])
 
-    got = sample.select("text", "y").mapInArrow(kernel, "b bigint, toxic bigint, clean bigint").groupBy("b").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    got = sample.select("text", "y").mapInArrow(tidied(kernel), "b bigint, toxic bigint, clean bigint").groupBy("b").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
     out = np.zeros((2, BUCKETS + 1), np.int64)
     at = got["b"].to_numpy()
     out[1, at], out[0, at] = got["toxic"].to_numpy(), got["clean"].to_numpy()
@@ -166,7 +166,7 @@ def fit(sample: DataFrame) -> ToxicityModel:
                 rows = [(max((x[0] for x in f), default=0.0), int(z - a), [x[0] for x in f]) for f, a, z in zip(best, w.first, w.first[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(y[i:j].astype(np.int32)), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([hist.tolist()] + [None] * (j - i - 1), pa.list_(pa.int64()))], names=["y", "s", "n", "all", "hist"])
 
-    got = sample.select("text", "y").mapInArrow(kernel, "y int, s double, n bigint, all array<double>, hist array<bigint>").toArrow()
+    got = sample.select("text", "y").mapInArrow(tidied(kernel), "y int, s double, n bigint, all array<double>, hist array<bigint>").toArrow()
     y, s, n = got["y"].to_numpy().astype(float), got["s"].to_numpy(), got["n"].to_numpy()
     hist = np.sum([h for h in got["hist"].to_pylist() if h], axis=0) + 1e-9
     values = LOW + np.arange(bins) * (HIGH - LOW) / (bins - 1)
@@ -215,7 +215,7 @@ def scored(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFra
             p = m.score(np.array(best, float), np.array(many, float))
             yield added(b, {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32)), "n_passages": pa.array(many, pa.int64()), "passages": pa.array(spans, pa.string())})
 
-    return docs.mapInArrow(kernel, added_schema(docs, "score double, predicted int, n_passages bigint, passages string"))
+    return docs.mapInArrow(tidied(kernel), added_schema(docs, "score double, predicted int, n_passages bigint, passages string"))
 
 
 def fitted_on(docs: DataFrame, labels: DataFrame) -> ToxicityModel:

@@ -17,8 +17,9 @@ for a bigram in the sums that normalise alpha. Nothing that grows is broadcast.
 Edge cases: a null or empty text is the end token alone; null ids count as the empty
 text for the fold; repeated rows count as often as they occur; extra columns are
 ignored; an empty table gives no rows; without training texts N = V = 0, base is
-log10 1 = 0 a token and the model knows the unknown class only. Discounts that
-Good-Turing cannot give (counts of counts too thin) are absolute discounts instead.
+log10 1 = 0 a token and the model knows the unknown class only. Counts of counts are
+smoothed before they are used (a log-linear fit over their gaps), so Good-Turing gives
+every count up to ``TOP`` a discount, however thin or uneven the counts of counts are.
 """
 
 from __future__ import annotations
@@ -34,10 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.blobs import pack, pack_sorted, unpack, unpack_sorted
-from lodestone.llm.common import U64, Words, crc_mod, mix, n_partitions, released, slices, text_buffers, written
+from lodestone.llm.common import U64, Words, crc_mod, given_back, mix, n_ranges, released, slices, text_buffers, tidied, written
 
 CHUNK_BYTES = 24 << 20
+STEP = 1 << 19
 TOP = 5
+#: counts of counts are gathered up to this count
+RANKS = 64
+#: input bytes a hash range of the count tables
+RANGE_BYTES = 8 << 20
 FOLD, HELD = 7, 2
 END = U64(0xE5D0_0F7E_0FD0_C5A1)
 ROW = "chunk bigint, kind int, bucket int, blob binary"
@@ -49,20 +55,27 @@ def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
     return ((key >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
 
 
+def slope(n: np.ndarray) -> float:
+    """Slope of log Z_r over log r by least squares; n[r]: how many things were seen r times.
+
+    Z_r spreads n[r] over the gap between its neighbours that occur. With one point the
+    slope is -2 (Zipf's law); one that is not below -1 gives counts no discount, and is moved there.
+    """
+    r = np.flatnonzero(n[1:]) + 1
+    if len(r) < 2:
+        return -2.0
+    before = np.concatenate(([0], r[:-1]))
+    after = np.concatenate((r[1:], [2 * r[-1] - before[-1]]))
+    x, y = np.log(r), np.log(2.0 * n[r] / (after - before))
+    return float(min(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum(), -1.05))
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
-    """Factor for counts 0..TOP+1 (index by min(c, TOP+1)); n[r]: how many things were seen r times, r up to TOP+1."""
-    d = np.ones(TOP + 2)
-    d[0] = 0
+    """Factor for counts 0..TOP+1 (index by min(c, TOP+1)): Good-Turing's r*/r with smoothed counts of counts, moved so that it ends at TOP."""
+    e = slope(n) + 1
     r = np.arange(1, TOP + 1)
-    if (n[1 : TOP + 2] > 0).all():
-        common = (TOP + 1) * n[TOP + 1] / n[1]
-        good = ((r + 1) * n[r + 1] / (n[r] * r) - common) / (1 - common) if common < 1 else np.zeros(TOP)
-        if ((good > 0) & (good < 1)).all():
-            d[1 : TOP + 1] = good
-            return d
-    cut = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    d[1 : TOP + 1] = (r - cut) / r
-    return d
+    common = (TOP + 1.0) ** e  # (TOP + 1) Z[TOP + 1] / Z[1]
+    return np.concatenate(([0.0], ((1 + 1 / r) ** e - common) / (1 - common), [1.0]))
 
 
 class Model:
@@ -101,11 +114,15 @@ class Chunk:
         key = self.vocab[self.before]
         key *= U64(0x9FB21C651E98DF25)
         key += mix(self.vocab)[self.tokens]
-        keys, inv = np.unique(mix(key), return_inverse=True)
-        inv = inv.astype(np.int32)
-        at = np.zeros(len(keys), np.int32)
-        at[inv] = np.arange(len(inv), dtype=np.int32)
-        return keys, at, inv
+        key = mix(key)
+        order = np.argsort(key)  # np.unique would hold several more arrays of this length
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        inv = np.empty(len(key), np.int32)
+        inv[order] = np.cumsum(new, dtype=np.int32) - 1
+        at = order[new].astype(np.int32)
+        return key[new], at, inv
 
 
 def pack_chunk(ids: list, held: list[np.ndarray], hashes: list[np.ndarray], sizes: list[np.ndarray]) -> bytes:
@@ -170,8 +187,7 @@ def counted(pdf: pd.DataFrame) -> pd.DataFrame:
     owner[np.unique(inv, return_index=True)[1]] = 1
     said = total[inv] * U64(2) + owner
     out = [(c, kind, bucket, pack(said[a:z].astype(np.uint32) if said.size and said.max() < 2**32 else said[a:z])) for c, a, z in zip(chunks, edge, edge[1:])]
-    hist = np.bincount(np.minimum(total, TOP + 1).astype(np.int64), minlength=TOP + 2)
-    hist[TOP + 1] = int((total == TOP + 1).sum())
+    hist = np.bincount(np.minimum(total, RANKS + 1).astype(np.int64), minlength=RANKS + 2)[: RANKS + 1]
     figures = np.array([*hist, int(total.sum()), int((total > 0).sum())], np.int64)
     return pd.DataFrame([*out, (-1, STATS + kind, bucket, figures.tobytes())], columns=["chunk", "kind", "bucket", "blob"])
 
@@ -197,8 +213,8 @@ def answers(pdf: pd.DataFrame, kind: int) -> list[bytes]:
 def score_texts(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows where ``held`` is false are learnt from."""
     spark = docs.sparkSession
-    buckets = 2 * n_partitions(spark)
-    texts = written(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(held).alias("held")).mapInArrow(packed, ROW), "texts")
+    buckets = n_ranges(docs, RANGE_BYTES, 2)
+    texts = written(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(held).alias("held")).mapInArrow(tidied(packed), ROW), "texts")
 
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,12 +229,12 @@ def score_texts(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", tex
                 for r in asked(name, PAIR, keys, [n], buckets):
                     yield rows([r])
 
-    counts = written(texts.mapInArrow(questions, ROW).groupBy("kind", "bucket").applyInPandas(counted, ROW), "counts")
-    figures = {WORD: np.zeros(TOP + 4, np.int64), PAIR: np.zeros(TOP + 4, np.int64)}
+    counts = written(texts.mapInArrow(tidied(questions), ROW).groupBy("kind", "bucket").applyInPandas(counted, ROW), "counts")
+    figures = {WORD: np.zeros(RANKS + 3, np.int64), PAIR: np.zeros(RANKS + 3, np.int64)}
     for r in counts.filter("chunk = -1").collect():  # a row for each hash range
         figures[r["kind"] - STATS] += np.frombuffer(bytes(r["blob"]), np.int64)
     words, pairs = figures[WORD], figures[PAIR]
-    model = Model(words[: TOP + 2], pairs[: TOP + 2], int(words[TOP + 2]), int(words[TOP + 3]))
+    model = Model(words[: RANKS + 1], pairs[: RANKS + 1], int(words[RANKS + 1]), int(words[RANKS + 2]))
 
     released(spark)
 
@@ -231,6 +247,7 @@ def score_texts(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", tex
         u, v, n2 = c.before[at[own]], c.tokens[at[own]], said[own] // 2
         mass = np.bincount(u, model.discounted(n2), minlength=len(c.vocab))
         lower = np.bincount(u, model.p1(n1[v]), minlength=len(c.vocab))
+        given_back()
         out = list(asked(int(pdf["chunk"].iloc[0]), HISTORY, c.vocab, [mass, lower, n1.astype(float), np.ones(len(n1))], buckets))
         return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "blob"])
 
@@ -246,14 +263,20 @@ def score_texts(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", tex
         ab = [pickle.loads(b) for b in answers(pdf, HISTORY)]
         alpha, factor = (np.concatenate([unpack(x[m]) for x in ab]) for m in range(2))
         _, _, inv = c.pairs()
-        n2, known = n2[inv], n1[c.tokens]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.log10(model.discounted(n2) / n1[c.before]) + factor[c.before]
-            off = alpha[c.before] + np.log10(model.p1(known))
-        logp = np.where(n2 > 0, seen, off)
-        base = np.log10((known + 1) / (model.n + (model.v + 1)))
-        total = lambda x: np.bincount(c.text, x, minlength=len(c.size))
-        return pd.DataFrame({"doc_id": pd.array(c.ids, "Int64"), "held_out": c.held, "n_tokens": c.size, "n_known": total(known > 0).astype(np.int64), "train_tokens": model.n, "base_score": total(base), "score": total(logp)})
+        sums = np.zeros((3, len(c.size)))
+        for a in range(0, len(inv), STEP):  # tokens in steps, so that few arrays are as long as the chunk
+            cut = slice(a, a + STEP)
+            before, text, pair, known = c.before[cut], c.text[cut], n2[inv[cut]], n1[c.tokens[cut]]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                seen = np.log10(model.discounted(pair) / n1[before]) + factor[before]
+                off = alpha[before] + np.log10(model.p1(known))
+            base = np.log10((known + 1) / (model.n + (model.v + 1)))
+            for k, x in enumerate((known > 0, base, np.where(pair > 0, seen, off))):
+                lo = int(text[0])
+                part = np.bincount(text - lo, x)
+                sums[k, lo : lo + len(part)] += part
+        given_back()
+        return pd.DataFrame({"doc_id": pd.array(c.ids, "Int64"), "held_out": c.held, "n_tokens": c.size, "n_known": sums[0].astype(np.int64), "train_tokens": model.n, "base_score": sums[1], "score": sums[2]})
 
     told = texts.unionByName(counts.filter("chunk >= 0")).unionByName(alphas)
     return told.groupBy("chunk").applyInPandas(final, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import statistics
 import zlib
 
 import numpy as np
@@ -138,7 +139,7 @@ def test_katz_against_brute_force_and_normalised(spark, monkeypatch):
     tok = {i: (t or "").lower().split() + [None] for i, t in enumerate(texts)}
     train = [i for i in tok if i % 7 != 2]
     u, b = collections.Counter(w for i in train for w in tok[i]), collections.Counter(p for i in train for p in zip([None] + tok[i], tok[i]))
-    hist = lambda c: np.array([sum(v == k for v in c.values()) for k in range(katz.TOP + 2)])
+    hist = lambda c: np.array([sum(v == k for v in c.values()) for k in range(katz.RANKS + 1)])
     n = sum(u.values())
     m = katz.Model(hist(u), hist(b), n, len(u))
     p1 = {w: float(m.p1(np.array([c]))[0]) for w, c in u.items()}
@@ -167,6 +168,27 @@ def test_katz_against_brute_force_and_normalised(spark, monkeypatch):
     assert katz.score_texts(df.limit(0)).count() == 0
 
 
+def test_good_turing_by_hand():
+    """Counts of counts where the plain estimate fails: n5 > n4, and things seen 6 times are missing."""
+    n = np.zeros(katz.RANKS + 1)
+    n[[1, 2, 3, 4, 5, 8]] = 120, 40, 24, 10, 16, 9
+    z = {1: 120.0, 2: 40.0, 3: 24.0, 4: 10.0, 5: 16 / 2.0, 8: 9 / 3.0}  # gaps: 4..8 around 5, 5..11 around 8
+    xs, ys = [math.log(r) for r in z], [math.log(v) for v in z.values()]
+    b, a = statistics.linear_regression(xs, ys)
+    smooth = lambda r: math.exp(a + b * math.log(r))
+    spare = 6 * smooth(6) / smooth(1)
+    want = [((r + 1) * smooth(r + 1) / (r * smooth(r)) - spare) / (1 - spare) for r in range(1, 6)]
+    got = katz.discounts(n)
+    assert list(got[1:6]) == pytest.approx(want) and (got[0], got[6]) == (0, 1)
+    assert all(0 < x < 1 for x in want) and want == sorted(want)
+    absolute = (120 / (120 + 2 * 40))
+    assert max(abs(x - (r - absolute) / r) for r, x in enumerate(got[1:6], 1)) > 0.01
+    for odd in ([0, 7], [0], [0, 0, 0, 5], [0, 1, 50, 900]):
+        n = np.zeros(katz.RANKS + 1)
+        n[: len(odd)] = odd
+        assert ((katz.discounts(n)[1:6] > 0) & (katz.discounts(n)[1:6] < 1)).all()
+
+
 def test_budgets_go_to_siblings_first():
     t = {("a", "x", "1"): 10, ("a", "x", "2"): 100, ("a", "y", "3"): 300, ("b", "z", "4"): 1000}
     even = lambda path, n: 1.0

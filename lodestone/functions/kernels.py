@@ -11,29 +11,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def rule_spans(docs: DataFrame, rules: dict[str, tuple[str, int, int]], text: str = "text") -> DataFrame:
-    """doc_id, ord, rule, start, end, match of group ``g`` for every match of rules name -> (pattern, flags, g).
+#: digits (blanks and dashes between them) that any rule for long numbers asks for; the mark of such rules among hints
+LONG_NUMBER = re.compile(r"(?:\d[ -]?){7}")
+DIGITS = "0-9"
 
-    One pass over a text for all rules; patterns are compiled once a worker. ord numbers a document's findings in rule order.
+
+def folded(t: str) -> str:
+    """Text in which a literal of small letters stands wherever a pattern that ignores case could match it."""
+    return t.casefold().replace("\u0131", "i").replace("\u0307", "")
+
+
+def rule_spans(docs: DataFrame, rules: dict[str, tuple[str, int, int]], text: str = "text", hints: dict[str, tuple[str, ...]] | None = None, around: int = 0) -> DataFrame:
+    """doc_id, ord, rule, start, end, match, near of group ``g`` for every match of rules name -> (pattern, flags, g).
+
+    One pass over a text for all rules; patterns are compiled once a worker. A rule with hints runs only on texts that hold
+    one of them. ord numbers a document's findings in rule order; near is the match with ``around`` characters on either side.
     """
+    hints = hints or {}
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [(name, re.compile(rx, flags), g) for name, (rx, flags, g) in rules.items()]
+        ready = [(name, re.compile(rx, flags), g, hints.get(name)) for name, (rx, flags, g) in rules.items()]
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                k = 0
-                for name, rx, g in ready:
-                    for m in rx.finditer(t or ""):
+                if not t:
+                    continue
+                k, low, numbers = 0, folded(t), LONG_NUMBER.search(t) is not None
+                for name, rx, g, need in ready:
+                    if need is not None and not any(numbers if h == DIGITS else h in low for h in need):
+                        continue
+                    for m in rx.finditer(t):
                         if m.group(g) is not None:
-                            for c, v in zip(cols, (doc, k, name, m.start(g), m.end(g), m.group(g))):
+                            s, e = m.span(g)
+                            for c, v in zip(cols, (doc, k, name, s, e, t[s:e], t[max(s - around, 0) : e + around])):
                                 c.append(v)
                             k += 1
-            kinds = (b.column(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "ord", "rule", "start", "end", "match"])
+            kinds = (b.column(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "ord", "rule", "start", "end", "match", "near"])
 
     key = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text).mapInArrow(kernel, f"doc_id {key}, ord int, rule string, start int, end int, match string")
+    return docs.select("doc_id", text).mapInArrow(kernel, f"doc_id {key}, ord int, rule string, start int, end int, match string, near string")
 
 
 def nfc(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -9,54 +9,108 @@ from pyspark.sql.window import Window
 from lodestone.functions import geometry as g
 from lodestone.ranks import lookup
 
-# For a category, how much of the box is hidden and how far it is padded.
-PLAN = {"face": ("blur", 0.10), "plate": ("fill", 0.05), "text_pii": ("fill", 0.02), "qr": ("pixelate", 0.08)}
+# Category -> (mode, part of the box that is hidden: left, top, width, height).
+CORE = {
+    "face": ("gaussian_blur", 0.18, 0.22, 0.64, 0.38), "license_plate": ("black_box", 0.12, 0.22, 0.76, 0.56), "badge": ("pixelate", 0.08, 0.25, 0.84, 0.55),
+    "id_card": ("black_box", 0.08, 0.28, 0.84, 0.48), "student_id_card": ("black_box", 0.08, 0.28, 0.84, 0.48), "stamp": ("gaussian_blur", 0.18, 0.18, 0.64, 0.64),
+    "signature": ("pixelate", 0.04, 0.12, 0.92, 0.76), "avatar": ("pixelate", 0.08, 0.12, 0.84, 0.76), "account_region": ("pixelate", 0.08, 0.12, 0.84, 0.76), "school_class_identifier": ("pixelate", 0.08, 0.12, 0.84, 0.76),
+}
+# Category -> padding ratios (x, y) of codes, at least 4 pixels.
+PADDED = {"qr_code": (0.05, 0.05), "barcode": (0.08, 0.04)}
+# Modes by category where the plan has none of its own.
+MODES = {
+    "text_pii": "black_box", "face": "gaussian_blur", "qr_code": "black_box", "barcode": "black_box", "signature": "solid_fill", "stamp": "solid_fill", "id_card": "black_box", "bank_card": "black_box",
+    "bank_account": "black_box", "address": "black_box", "student_id": "black_box", "date_time": "black_box", "pii_entity": "black_box", "badge": "black_box", "license_plate": "black_box",
+}
+# Categories that drop a picture, and that are redacted in text and in the picture; those that ask for review.
+DROP = ("explicit", "graphic_violence", "self_harm", "other_nsfw")
+DROP_TEXT = ("violence", "sexual_content", "self_harm", "hate_speech", "illegal_instruction", "ocr_extraction_failed")
+REDACT_TEXT = ("person_name", "phone_number", "email", "id_card", "bank_card", "bank_account", "address", "license_plate", "student_id", "date_time", "pii_entity")
+REDACT_VISION = ("face", "id_card", "badge", "qr_code", "barcode", "license_plate", "signature", "stamp")
+CONSTRAINED = ("face", "badge", "signature", "stamp", "qr_code", "barcode")
 MAX_REDACTED = 0.45
 BOX = "struct<x:double,y:double,w:double,h:double>"
 
 
 def near_boxes(a: DataFrame, b: DataFrame, image: str = "image_id", least_iou: float = 0.05, least_in: float = 0.75) -> DataFrame:
     """Pairs of boxes of one image by overlap: IoU over one bound or containment of another."""
-    r = b.select(F.col(image).alias("_i"), F.col("id").alias("other"), F.col("box").alias("_b"))
-    j = a.join(r, (F.col("_i") == F.col(image)) & (F.col("id") < F.col("other")))
-    j = j.withColumn("iou", g.iou(F.col("box"), F.col("_b"))).withColumn("containment", g.containment(F.col("box"), F.col("_b")))
-    return j.filter((F.col("iou") > least_iou) | (F.col("containment") >= least_in)).select(image, "id", "other", "iou", "containment")
+    flat = lambda df, p: df.select(F.col(image).alias(f"{p}i"), F.col("id").alias(f"{p}id"), *[F.col("box")[n].alias(p + n) for n in "xywh"], (F.col("box.x") + F.col("box.w")).alias(f"{p}r"), (F.col("box.y") + F.col("box.h")).alias(f"{p}b"))
+    meet = (F.col("pi") == F.col("qi")) & (F.col("pid") < F.col("qid")) & (F.col("px") < F.col("qr")) & (F.col("qx") < F.col("pr")) & (F.col("py") < F.col("qb")) & (F.col("qy") < F.col("pb"))
+    j = flat(a, "p").join(flat(b, "q"), meet)
+    both = (F.least("pr", "qr") - F.greatest("px", "qx")) * (F.least("pb", "qb") - F.greatest("py", "qy"))
+    j = j.withColumn("o", both).withColumn("sp", F.col("pw") * F.col("ph")).withColumn("sq", F.col("qw") * F.col("qh"))
+    out = j.select(F.col("pi").alias(image), F.col("pid").alias("id"), F.col("qid").alias("other"), (F.col("o") / (F.col("sp") + F.col("sq") - F.col("o"))).alias("iou"), (F.col("o") / F.least("sp", "sq")).alias("containment"))
+    return out.filter((F.col("iou") > least_iou) | (F.col("containment") >= least_in))
 
 
 def merged(findings: DataFrame, image: str = "image_id", least: float = 0.5) -> DataFrame:
-    """Findings that stay: best first, one goes if a better one of its category overlaps it by more than ``least``."""
-    item = F.struct((-F.col("score")).alias("s"), F.col("id").alias("id"), "category", "box")
+    """Findings that stay, in order of id: one that overlaps an earlier one of its category by more than ``least`` goes, or replaces it (at the end) if its score is higher."""
+    item = F.struct("id", "score", "category", "box")
     per = findings.groupBy(image).agg(F.array_sort(F.collect_list(item)).alias("x"))
-    init = F.array().cast(f"array<struct<s:double,id:bigint,category:string,box:{BOX}>>")
+    init = F.array().cast(f"array<struct<id:bigint,score:double,category:string,box:{BOX}>>")
 
     def step(kept: Column, f: Column) -> Column:
-        hit = F.exists(kept, lambda k: (k["category"] == f["category"]) & (g.iou(k["box"], f["box"]) > least))
-        return F.when(hit, kept).otherwise(F.concat(kept, F.array(f)))
-
-    return per.select(image, F.explode(F.aggregate("x", init, step)).alias("f")).select(image, "f.id", "f.category", (-F.col("f.s")).alias("score"), "f.box")
-
-
-def redaction_plan(findings: DataFrame, width: float, height: float) -> DataFrame:
-    """mode and padded box of every finding with a region and a category that is redacted."""
-    f = findings.filter(F.col("box").isNotNull() & F.col("category").isin(*PLAN))
-    out = f.withColumn("mode", lookup(F.col("category"), {c: m for c, (m, _) in PLAN.items()}))
-    grown = F.lit(None).cast(BOX)
-    for c, (_, pad) in PLAN.items():
-        grown = F.when(F.col("category") == c, g.padded(F.col("box"), pad, width, height)).otherwise(grown)
-    return out.withColumn("box", grown)
+        at = F.array_min(F.array_compact(F.transform(kept, lambda k, i: F.when((k["category"] == f["category"]) & (g.iou(k["box"], f["box"]) > least), i))))
+        better = f["score"] > F.get(kept, at)["score"]
+        return F.when(at.isNull(), F.concat(kept, F.array(f))).when(better, F.concat(F.filter(kept, lambda k, i: i != at), F.array(f))).otherwise(kept)
+
+    return per.select(image, F.posexplode(F.aggregate("x", init, step)).alias("place", "f")).select(image, "place", "f.id", "f.category", "f.score", "f.box")
+
+
+def redaction_plan(findings: DataFrame) -> DataFrame:
+    """mode and hidden box of every finding with a region: the part that tells who it is, a padded code, or the whole box; text is hidden whole."""
+    b, c, text = F.col("box"), F.col("category"), F.col("finding_type").isin("text_pii", "text_content")
+    mode = F.when(~text, lookup(c, {k: v[0] for k, v in CORE.items()}))
+    box = b
+    for k, (x, y) in PADDED.items():
+        px, py = F.greatest(F.lit(4.0), b["w"] * x), F.greatest(F.lit(4.0), b["h"] * y)
+        box = F.when(~text & (c == k), g.box(b["x"] - px, b["y"] - py, b["w"] + 2 * px, b["h"] + 2 * py)).otherwise(box)
+    for k, (_, x, y, w, h) in CORE.items():
+        box = F.when(~text & (c == k), g.box(b["x"] + b["w"] * x, b["y"] + b["h"] * y, F.greatest(F.lit(1.0), b["w"] * w), F.greatest(F.lit(1.0), b["h"] * h))).otherwise(box)
+    return findings.filter(b.isNotNull()).withColumn("mode", F.coalesce(mode, lookup(c, MODES, "black_box"))).withColumn("box", box)
+
+
+def policy(findings: DataFrame, context: DataFrame | None = None, least: float = 0.5, drop: float = 0.7, image: str = "image_id") -> DataFrame:
+    """image, decision, dataset_action, review_required, reasons of each image.
+
+    findings: image, finding_type, category, score, box, localization_required, redact_only. context: image,
+    restricted_use_case, restricted_enabled, authorized, education_value, ordinary_enabled. Unsafe content drops; then a
+    restricted use needs authority; then a picture that redaction would spoil drops; then what is private is redacted.
+    """
+    t, c, s = F.col("finding_type"), F.col("category"), F.col("score")
+    text, vision, said, unsafe = t == "text_pii", t == "vision_object", t == "text_content", t == "safety"
+    lost = vision & c.isin(*REDACT_VISION) & F.col("box").isNull() & F.col("localization_required")
+    hide = (text & c.isin(*REDACT_TEXT)) | (vision & c.isin(*REDACT_VISION) & ~lost) | (unsafe & F.col("redact_only"))
+    gone = lost | (said & c.isin(*DROP_TEXT)) | (unsafe & ~F.col("redact_only") & c.isin(*DROP) & (s >= drop))
+    look = lost | said | (unsafe & ~F.col("redact_only")) | (vision & c.isin(*CONSTRAINED))
+    prefix = F.when(text & hide, "PII_").when(lost, "VISION_UNLOCALIZED_").when(vision & hide, "VISION_").when(said, "TEXT_CONTENT_").when(unsafe, "SAFETY_")
+    # what identifies is listed whatever its score
+    marks = F.bool_or(c.isin(*CONSTRAINED))
+    use = s >= least
+    a = findings.groupBy(image).agg(
+        F.bool_or(use & gone).alias("d"), F.bool_or(use & hide).alias("h"), F.bool_or(use & look).alias("l"), marks.alias("m"),
+        F.array_join(F.array_sort(F.collect_set(F.when(use, F.concat(prefix, F.upper(c))))), ",").alias("reasons"),
+    )
+    if context is not None:
+        a = context.join(a, image, "left").fillna(False, ["d", "h", "l", "m"]).fillna("", ["reasons"])
+    else:
+        a = a.withColumns({"restricted_use_case": F.lit(""), "restricted_enabled": F.lit(False), "authorized": F.lit(False), "education_value": F.lit(True), "ordinary_enabled": F.lit(True)})
+    case = F.trim("restricted_use_case") != ""
+    action = (
+        F.when(F.col("d"), "do_not_deliver").when(case, F.when(F.col("restricted_enabled") & F.col("authorized"), "deliver_raw_restricted").otherwise("do_not_deliver")).when(~F.col("education_value"), "do_not_deliver")
+        .when(F.col("h"), F.when(F.col("l") | F.col("m"), "deliver_redacted_with_constraints").otherwise("deliver_redacted")).when(~F.col("ordinary_enabled") & F.col("restricted_enabled"), "deliver_raw_restricted").otherwise("deliver_raw")
+    )
+    out = a.withColumn("dataset_action", action)
+    act = F.col("dataset_action")
+    decision = F.when(act == "do_not_deliver", "drop").when(act.startswith("deliver_redacted"), "pass_redacted").otherwise("pass_raw")
+    spoiled = ~F.col("d") & ~case & ~F.col("education_value")
+    return out.select(image, decision.alias("decision"), "dataset_action", (F.col("l") | spoiled).alias("review_required"), "reasons")
 
 
-def policy(findings: DataFrame, width: float, height: float, least: float = 0.5, drop: float = 0.7, image: str = "image_id") -> DataFrame:
-    """decision (drop, pass_redacted, review, pass_raw) and hidden share of each image: unsafe findings drop, then review of uncertain ones, then redaction."""
-    f = findings.filter(F.col("score") >= least)
-    unsafe, private = F.col("category") == "unsafe", F.col("category").isin(*PLAN)
-    a = f.groupBy(image).agg(
-        F.bool_or(unsafe & (F.col("score") >= drop)).alias("dropped"), F.bool_or(unsafe & (F.col("score") < drop)).alias("unsure"), F.bool_or(private).alias("redact"),
-        F.coalesce(F.sum(F.when(private, g.area(F.col("box")))), F.lit(0.0)).alias("hidden"),
-    )
-    share = F.round(F.col("hidden") / (width * height), 6)
-    choice = F.when(F.col("dropped"), "drop").when(F.col("unsure"), "review").when(F.col("redact"), "pass_redacted").otherwise("pass_raw")
-    return a.select(image, choice.alias("decision"), share.alias("hidden_share"), F.when(share > MAX_REDACTED, "low").otherwise("normal").alias("education_value"))
+def education_value(operations: DataFrame, width: float, height: float, image: str = "image_id") -> DataFrame:
+    """image, hidden_share, education_value: false where more than ``MAX_REDACTED`` of the picture is hidden."""
+    share = F.round(F.sum(g.area(F.col("box"))) / (width * height), 6)
+    return operations.groupBy(image).agg(share.alias("hidden_share")).withColumn("education_value", F.col("hidden_share") <= MAX_REDACTED)
 
 
 def ocr_text(blocks: DataFrame, image: str = "image_id", order: str = "block_id") -> DataFrame:
@@ -83,8 +137,8 @@ def char_box(line: Column, text: Column, start: Column, end: Column) -> Column:
 def union_box(blocks: DataFrame, by: str) -> DataFrame:
     """Bounding box and mean confidence of a group of boxes."""
     b = F.col("box")
-    agg = blocks.groupBy(by).agg(F.min(b["x"]).alias("x"), F.min(b["y"]).alias("y"), F.max(b["x"] + b["w"]).alias("x1"), F.max(b["y"] + b["h"]).alias("y1"), F.count("*").alias("boxes"))
-    return agg.select(by, "x", "y", (F.col("x1") - F.col("x")).alias("w"), (F.col("y1") - F.col("y")).alias("h"), "boxes")
+    agg = blocks.groupBy(by).agg(F.min(b["x"]).alias("x"), F.min(b["y"]).alias("y"), F.max(b["x"] + b["w"]).alias("x1"), F.max(b["y"] + b["h"]).alias("y1"), F.count("*").alias("boxes"), F.avg("score").alias("confidence"))
+    return agg.select(by, "x", "y", (F.col("x1") - F.col("x")).alias("w"), (F.col("y1") - F.col("y")).alias("h"), "boxes", "confidence")
 
 
 def top_per_category(findings: DataFrame, k: dict[str, int], other: int, image: str = "image_id") -> DataFrame:

@@ -41,6 +41,18 @@ RULES = {
     "secret_api_key": ("secret", "critical", "<SECRET>", True, r"((?:sk|pk|ak|api[_-]?key|token|secret)[-_A-Za-z0-9]{8,}|(?:EduPass|Pass|Password|Pwd)[@:_-]?[A-Za-z0-9@#$%^&*._-]{4,})"),
     "minor_age": ("minor_info", "high", "<MINOR_INFO>", False, r"((?:\d{1,2}\s*岁|[一二三四五六七八九]年级(?:[一二三四五六七八九十]+班)?|初[一二三四五六七八九][^，。；;\n]{0,8}))"),
 }
+# What a text must hold for a rule to match it, in small letters; rules without an entry are always run.
+HINTS = {
+    "person_name_cn": ("姓名",), "person_name_en": ("name", "student", "parent", "guardian"), "student_name_context_cn": ("学生", "同学"), "teacher_name_context_cn": ("班主任",),
+    "guardian_name_context_cn": ("监护人", "开户名", "妈妈叫", "父亲叫", "母亲叫"), "email": ("@",), "phone_cn": (kernels.DIGITS,), "phone_spoken_cn": ("手机号", "电话", "联系方式"),
+    "phone_generic": (kernels.DIGITS,), "phone_context_generic": ("phone", "tel", "mobile", "联系方式", "电话"), "id_card_cn": (kernels.DIGITS,), "id_card_spoken_cn": ("身份证",),
+    "passport": ("护照", "passport"), "bank_card": (kernels.DIGITS,), "student_id": ("学号", "学生编号", "student"), "student_id_spoken_cn": ("学号", "学生编号", "准考证号"),
+    "parent_contact": ("家长", "parent"), "social_account": ("微信", "qq", "钉钉", "社交账号", "social"), "payment_account": ("支付宝", "支付账号", "收款账号", "payment"),
+    "address": ("住址", "地址", "address"), "score_record": ("分", "成绩单", "成绩记录", "report", "exam"), "disciplinary_record": ("多次迟到", "旷课", "处分", "违纪", "漏交作业", "写入成长档案", "德育处"),
+    "medical_psychological_record": ("焦虑", "抑郁", "睡眠差", "睡眠不好", "胃痛", "心理咨询", "心理测评", "压力评估", "校医室", "病历", "健康随访"),
+    "secret_api_key": ("sk", "pk", "ak", "api", "token", "secret", "pass", "pwd"), "minor_age": ("岁", "年级", "初"),
+}
+AROUND = 12
 # Risk types that need adjudication, that make an identity, and that are strong spans.
 ADJUDICATED = ("person_name", "education_record", "bank_card")
 IDENTITY = ("person_name", "phone_number", "id_card", "address", "student_id", "parent_contact", "bank_card")
@@ -51,7 +63,8 @@ ID_CARD = r"^[1-9]\d{5}(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])
 MOBILE = r"^(?:\+?86[-\s]?)?1[3-9]\d{9}$"
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 PHONE_MARKS = "电话|手机号|联系方式|联系电话|tel|phone"
-BAD_NAME = "本人手机号|联系电话|联系方式|家庭住址|家长联系|常用邮箱|手机号|住址|邮箱"
+BAD_NAMES = ("本人手机号", "联系电话", "联系方式", "家庭住址", "家长联系", "常用邮箱")
+BAD_NAME = "手机号|联系电话|联系方式|住址|邮箱"
 
 
 def spoken_digits(value: Column) -> Column:
@@ -67,7 +80,7 @@ def confidence_of(severity: Column, adjudicated: Column) -> Column:
 def recall(docs: DataFrame, text: str = "text", rules: dict | None = None) -> DataFrame:
     """Findings before post-processing: doc_id, ord, rule, risk_type, policy_tag, severity, confidence, needs_adjudication, replacement, start, end, match."""
     rules = rules or RULES
-    found = kernels.rule_spans(docs, {n: (r[4], re.IGNORECASE if r[3] else 0, 1) for n, r in rules.items()}, text)
+    found = kernels.rule_spans(docs, {n: (r[4], re.IGNORECASE if r[3] else 0, 1) for n, r in rules.items()}, text, HINTS if rules is RULES else None, AROUND)
     rule = F.col("rule")
     out = found.withColumn("risk_type", lookup(rule, {n: r[0] for n, r in rules.items()})).withColumn("severity", lookup(rule, {n: r[1] for n, r in rules.items()}))
     out = out.withColumn("replacement", lookup(rule, {n: r[2] for n, r in rules.items()})).withColumn("policy_tag", F.concat(F.lit("pii."), F.col("risk_type")))
@@ -75,25 +88,26 @@ def recall(docs: DataFrame, text: str = "text", rules: dict | None = None) -> Da
     return out.withColumn("confidence", confidence_of(F.col("severity"), F.col("needs_adjudication")))
 
 
-def post_processed(findings: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Findings whose value holds up; each later step sees what the earlier ones kept."""
-    f = findings.join(docs.select("doc_id", F.col(text).alias("_t")), "doc_id")
-    value = F.trim("match")
-    around = F.lower(F.substr("_t", F.greatest(F.col("start") - 12, F.lit(0)) + 1, F.col("end") + 12 - F.greatest(F.col("start") - 12, F.lit(0))))
+def post_processed(findings: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Findings whose value holds up; each later step sees what the earlier ones kept.
+
+    All that a step looks at came with the finding (near: its match with ``AROUND`` characters on either side), so texts are not read again.
+    """
+    value, around = F.trim("match"), F.lower("near")
     digits, spoken = F.regexp_replace(value, r"\D", ""), spoken_digits(value)
     rule, risk = F.col("rule"), F.col("risk_type")
-    bad = ((rule == "person_name_cn") & value.rlike(BAD_NAME)) | ((risk == "phone_number") & rule.isin("phone_generic", "phone_context_generic") & digits.rlike(ID_CARD))
-    bad = bad | ((rule == "phone_generic") & ~value.rlike(MOBILE) & ~value.rlike(r"[-\s()]") & ~around.rlike(PHONE_MARKS))
-    bad = bad | ((rule == "phone_spoken_cn") & ((F.length(spoken) != 11) | ~spoken.rlike(MOBILE))) | ((rule == "id_card_spoken_cn") & ~spoken.rlike(ID_CARD))
+    named = (rule == "person_name_cn") & (value.isin(*BAD_NAMES) | value.rlike(BAD_NAME) | ((F.col("confidence") <= 0.45) & ((F.length(value) > 4) | ~value.rlike("^[一-鿿·]*$"))))
+    generic = (rule == "phone_generic") & (digits.rlike(ID_CARD) | (~value.rlike(MOBILE) & ~value.rlike(r"[-\s()]") & ~around.rlike(PHONE_MARKS)))
+    bad = named | generic | ((rule == "phone_spoken_cn") & ((F.length(spoken) != 11) | ~spoken.rlike(MOBILE))) | ((rule == "id_card_spoken_cn") & ~spoken.rlike(ID_CARD))
     bad = bad | ((rule == "student_id_spoken_cn") & (F.length(spoken) < 5)) | ((risk == "bank_card") & digits.rlike(ID_CARD))
-    f = f.filter(~bad)
-    # addresses: without blanks around and without a leading copula; too short ones go
-    lead = F.length("match") - F.length(F.ltrim("match"))
-    copula = F.when(risk == "address", F.length(F.regexp_extract(F.trim("match"), "^(登记为|为|是)", 1))).otherwise(0)
-    shift = F.when(risk == "address", lead + copula).otherwise(0)
-    trail = F.when(risk == "address", F.length("match") - F.length(F.rtrim("match"))).otherwise(0)
-    f = f.withColumn("start", F.col("start") + shift).withColumn("end", F.col("end") - trail).withColumn("match", F.substr("_t", F.col("start") + 1, F.col("end") - F.col("start")))
-    f = f.filter((risk != "address") | (F.col("end") - F.col("start") >= 4)).drop("_t")
+    bad = bad | ((risk == "address") & (value.contains("共同出现") | value.rlike("^[、，,]")))
+    f = findings.filter(~bad)
+    # addresses: without blanks around and without a leading copula, up to the next field; too short ones go
+    cut = F.regexp_replace(F.regexp_replace(value, "^(登记为|为|是)", ""), r"(?s)(?:，监护人|，家长|，联系电话|，家校|，邮箱|。|；|;|\n).*$", "")
+    lead = F.length("match") - F.length(F.ltrim("match")) + F.length(F.regexp_extract(value, "^(登记为|为|是)", 1))
+    f = f.withColumn("_cut", F.when(risk == "address", cut)).withColumn("start", F.when(risk == "address", F.col("start") + lead).otherwise(F.col("start")))
+    f = f.withColumn("end", F.when(risk == "address", F.col("start") + F.length("_cut")).otherwise(F.col("end"))).withColumn("match", F.coalesce("_cut", "match"))
+    f = f.filter((risk != "address") | (F.length("match") >= 4)).drop("_cut", "near")
     return deduplicated(outside_stronger(f).filter((risk != "email") | F.col("match").rlike(EMAIL)))
 
 

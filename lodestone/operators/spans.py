@@ -23,29 +23,40 @@ def priority(risk: Column, source: Column) -> Column:
     return lookup(risk, PRIORITY, 10) + adjust
 
 
+def unfit(source: str = "rule") -> Column:
+    """Why a finding is no personal data, or null: label_only_span or invalid_privacy_span."""
+    risk, value, tool = F.col("risk_type"), F.trim("match"), F.lower(source)
+    label = (risk == "person_name") & F.lower(value).isin(*LABELS)
+    name = (risk == "person_name") & (value.rlike("手机号|联系电话|联系方式|住址|邮箱") | (tool.contains("person_name_cn") & (F.col("confidence") <= 0.45) & (F.length(value) > 4)))
+    address = (risk == "address") & (value.rlike("^[、，,]") | value.rlike("共同出现|唯一定位"))
+    return F.when(label, "label_only_span").when(name | address, "invalid_privacy_span")
+
+
 def resolved(findings: DataFrame, source: str = "rule") -> DataFrame:
-    """A document a row: selected and suppressed spans.
+    """A document a row: selected spans, and suppressed ones (by: the finding that won, or null with the reason in why).
 
-    Findings come best first (priority, severity, confidence, length, then order of
+    Field labels and invalid values are suppressed first (see :func:`unfit`). Findings come best first (priority, severity, confidence, length, then order of
     finding); one that overlaps none selected so far is selected, another is suppressed
     by the selected one it overlaps most. A document's findings are folded in one expression.
     """
     f = findings.filter(F.col("end") > F.col("start"))
-    label = (F.col("risk_type") == "person_name") & F.lower(F.trim("match")).isin(*LABELS)
     rank = lookup(F.col("severity"), {s: i + 1 for i, s in enumerate(SEVERITY)}, 0)
     size = F.col("end") - F.col("start")
     # negated keys, so that ascending order is best first and ties keep their order
     item = F.struct((-priority(F.col("risk_type"), F.col(source))).cast("int").alias("p"), (-rank).alias("s"), (-F.col("confidence")).alias("c"), (-size).alias("n"), F.col("ord").alias("o"), "start", "end", F.col("risk_type").alias("risk"), "replacement")
-    per = f.filter(~label).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    init = F.struct(F.array().cast(f"array<{ITEM}>").alias("kept"), F.array().cast("array<struct<o:int,by:int>>").alias("lost"))
+    why = unfit(source)
+    fit = F.filter(F.collect_list(F.struct(why.alias("why"), item.alias("x"))), lambda v: v["why"].isNull())
+    out = F.filter(F.collect_list(F.struct(F.col("ord").alias("o"), F.lit(None).cast("int").alias("by"), why.alias("why"))), lambda v: v["why"].isNotNull())
+    per = f.groupBy("doc_id").agg(F.array_sort(F.transform(fit, lambda v: v["x"])).alias("items"), F.array_sort(out).alias("out"))
+    init = F.struct(F.array().cast(f"array<{ITEM}>").alias("kept"), F.col("out").alias("lost"))
 
     def step(acc: Column, x: Column) -> Column:
         hits = F.filter(acc["kept"], lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
-        best = F.array_max(F.transform(hits, lambda k: F.struct((F.least(k["end"], x["end"]) - F.greatest(k["start"], x["start"])).alias("v"), (-k["p"]).alias("p"), (-k["s"]).alias("s"), (-k["c"]).alias("c"), (-k["n"]).alias("n"), k["o"].alias("o"))))
+        best = F.array_max(F.transform(hits, lambda k: F.struct((F.least(k["end"], x["end"]) - F.greatest(k["start"], x["start"])).alias("v"), (-k["p"]).alias("p"), (-k["s"]).alias("s"), (-k["c"]).alias("c"), (-k["n"]).alias("n"), (-k["o"]).alias("o"))))
         free = F.size(hits) == 0
         return F.struct(
             F.when(free, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"),
-            F.when(free, acc["lost"]).otherwise(F.concat(acc["lost"], F.array(F.struct(x["o"].alias("o"), best["o"].alias("by"))))).alias("lost"),
+            F.when(free, acc["lost"]).otherwise(F.concat(acc["lost"], F.array(F.struct(x["o"].alias("o"), (-best["o"]).alias("by"), F.lit("overlap").alias("why"))))).alias("lost"),
         )
 
     return per.select("doc_id", F.aggregate("items", init, step).alias("r")).select("doc_id", F.col("r.kept").alias("kept"), F.col("r.lost").alias("lost"))

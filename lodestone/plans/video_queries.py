@@ -18,15 +18,22 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEV = "['low', 'medium', 'high', 'critical']"
-_R = f"""SELECT asset_id, frame_id AS risk_id, route AS category, pts_ms AS start_ms, pts_ms + 1000 * (frame_id % 900) AS end_ms, {_SEV}[frame_id % 4 + 1] AS severity, (frame_id % 100) / 100.0::DOUBLE AS confidence, frame_id % 3 = 0 AS bare FROM ({_E})"""
+# Integer arithmetic on a frame's number makes a risk of it: category, modality, whether it is excluded, eligible or without a place.
+_CATS = ["content.violence", "privacy.face", "privacy.phone", "visual.poster", "privacy.badge", "privacy.address", "privacy.qr_code", "content.hate", "visual.unknown"]
+_MODS = ["visual", "audio", "video_clip", "ocr_text", "safety"]
+_R = f"""SELECT asset_id, frame_id AS risk_id, CASE WHEN asset_id % 4 = 0 AND frame_id % 99 = 5 THEN 'content.sexual_minor' WHEN asset_id % 3 = 1 AND frame_id % 9 IN (0, 7) THEN 'visual.poster' ELSE {_CATS}[frame_id % 9 + 1] END AS category,
+  {_MODS}[frame_id % 5 + 1] AS modality, pts_ms AS start_ms, pts_ms + 1000 * (frame_id % 900) AS end_ms, {_SEV}[frame_id % 4 + 1] AS severity, (frame_id % 100) / 100.0::DOUBLE AS confidence, frame_id % 3 = 0 AS bare,
+  frame_id % 13 = 0 AS excluded, frame_id % 7 <> 1 AS eligible FROM ({_E})"""
 
 
 def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = F.col("frame_id")
-    sev = F.element_at(F.array(*[F.lit(s) for s in ("low", "medium", "high", "critical")]), (f % 4 + 1).cast("int"))
+    f, a = F.col("frame_id"), F.col("asset_id")
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(s) for s in names]), (k + 1).cast("int"))
+    category = F.when((a % 4 == 0) & (f % 99 == 5), "content.sexual_minor").when((a % 3 == 1) & (f % 9).isin(0, 7), "visual.poster").otherwise(pick(_CATS, f % 9))
     return frames(spark, sf_dir).select(
-        "asset_id", f.alias("risk_id"), F.col("route").alias("category"), F.col("pts_ms").alias("start_ms"), (F.col("pts_ms") + 1000 * (f % 900)).alias("end_ms"), sev.alias("severity"),
-        ((f % 100) / 100.0).alias("confidence"), F.when(f % 3 != 0, g.box(f % 50, f % 40, F.lit(60), F.lit(50))).alias("box"),
+        "asset_id", f.alias("risk_id"), category.alias("category"), pick(_MODS, f % 5).alias("modality"), F.col("pts_ms").alias("start_ms"), (F.col("pts_ms") + 1000 * (f % 900)).alias("end_ms"),
+        pick(("low", "medium", "high", "critical"), f % 4).alias("severity"), ((f % 100) / 100.0).alias("confidence"), F.when(f % 3 != 0, g.box(f % 50, f % 40, F.lit(60), F.lit(50))).alias("box"),
+        (f % 13 == 0).alias("excluded"), (f % 7 != 1).alias("eligible"), F.lit("").alias("text_span"),
     )
 
 
@@ -96,7 +103,15 @@ def gap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def temporal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return video.temporal_merge(risks(spark, sf_dir).filter("box is not null"), 86_400_000)
+    return video.temporal_merge(risks(spark, sf_dir), 86_400_000)
+
+
+# Events without a place, all of one kind: their merge is gaps and islands, so that SQL can say it.
+@query(f"""WITH r AS (SELECT * FROM ({_R}) WHERE bare AND modality = 'audio'), n AS (SELECT *, CASE WHEN start_ms <= max(end_ms) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 600000 THEN 0 ELSE 1 END AS x
+  FROM r WINDOW w AS (PARTITION BY asset_id, category ORDER BY start_ms, risk_id)), i AS (SELECT *, sum(x) OVER (PARTITION BY asset_id, category ORDER BY start_ms, risk_id) AS island FROM n)
+SELECT asset_id, category, 'audio' AS modality, arg_min(risk_id, (start_ms, risk_id)) AS risk_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, {_SEV}[max(list_position({_SEV}, severity))] AS severity, max(confidence) AS confidence, count(*)::INTEGER AS parts FROM i GROUP BY asset_id, category, island""")
+def temporal_merge_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.temporal_merge(risks(spark, sf_dir).filter("box is null and modality = 'audio'"), 600_000)
 
 
 @query(f"SELECT asset_id, arg_max(route, (n, -f)) AS route FROM (SELECT asset_id, route, count(*) AS n, min(pts_ms) AS f FROM ({_E}) GROUP BY ALL) GROUP BY asset_id")
@@ -104,22 +119,45 @@ def main_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video.main_route(frames(spark, sf_dir))
 
 
-@query(f"SELECT asset_id, CASE max(list_position({_SEV}, severity)) WHEN 4 THEN 'reject' WHEN 3 THEN 'review' WHEN 2 THEN 'quarantine' ELSE 'allow' END AS decision, count(*) AS risks FROM ({_R}) GROUP BY asset_id")
+_C5 = "CASE WHEN NOT excluded AND category = 'content.sexual_minor' THEN 5 WHEN NOT excluded AND starts_with(category, 'content.') THEN 3 WHEN NOT excluded AND eligible AND starts_with(category, 'privacy.') THEN 2 ELSE 1 END"
+_GOV = f"""SELECT asset_id, ['allow', 'allow_with_risk_labels', 'transform_required', 'review_required', 'restricted', 'reject'][max(c) + 1] AS decision, bool_or(c IN (3, 5)) AS requires_review,
+  coalesce(max(risk_id) FILTER (c = 2), -1) > coalesce(max(risk_id) FILTER (c = 5), -1) AS requires_transformation, count(*) AS risks,
+  coalesce(string_agg(DISTINCT CASE c WHEN 5 THEN 'REJECT' WHEN 3 THEN 'REVIEW' WHEN 2 THEN 'PLAN_REDACTION_FOR' END || CASE c WHEN 2 THEN '_ENABLED_OPERATOR_' ELSE '_ENABLED_OPERATOR_' END || upper(replace(category, '.', '_')), ',' ORDER BY CASE c WHEN 5 THEN 'REJECT' WHEN 3 THEN 'REVIEW' WHEN 2 THEN 'PLAN_REDACTION_FOR' END || CASE c WHEN 2 THEN '_ENABLED_OPERATOR_' ELSE '_ENABLED_OPERATOR_' END || upper(replace(category, '.', '_'))), '') AS reasons
+FROM (SELECT *, {_C5} AS c FROM ({_R})) GROUP BY asset_id"""
+
+
+@query(_GOV)
 def governance_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video.governance(risks(spark, sf_dir))
 
 
-@query(f"SELECT risk_id, CASE WHEN NOT bare AND severity <> 'low' THEN 'mask_region' WHEN severity IN ('high', 'critical') THEN 'cut_clip' ELSE 'review' END AS action FROM ({_R}) WHERE severity <> 'low'")
+_PLAN = f"""SELECT asset_id, risk_id, bare, modality, CASE WHEN category = 'privacy.face' THEN 'gaussian_blur' WHEN category IN ('privacy.qr_code', 'privacy.phone', 'privacy.address') THEN 'black_box' WHEN modality = 'audio' THEN 'mute' ELSE 'black_box' END AS operation
+FROM ({_R}) WHERE NOT excluded AND eligible AND starts_with(category, 'privacy.') AND (modality = 'audio' OR NOT bare)"""
+
+
+@query(f"SELECT risk_id, operation FROM ({_PLAN})")
 def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return video.action_plan(risks(spark, sf_dir)).select("risk_id", "action")
+    return video.action_plan(risks(spark, sf_dir)).select("risk_id", "operation")
+
+
+_QUEUE = f"""SELECT * FROM (SELECT asset_id, risk_id, CASE WHEN severity IN ('critical', 'high') THEN 'high' WHEN confidence < 0.65 OR (bare AND modality <> 'audio') OR modality = 'video_clip' THEN 'medium' END AS priority,
+  concat_ws(',', CASE WHEN severity IN ('high', 'critical') THEN 'high_severity' END, CASE WHEN confidence < 0.65 THEN 'low_confidence' END, CASE WHEN bare AND modality <> 'audio' THEN 'unlocated' END,
+  CASE WHEN starts_with(category, 'privacy.') AND bare AND modality <> 'audio' THEN 'not_redactable' END, CASE WHEN modality = 'video_clip' THEN 'clip_behaviour' END) AS reasons FROM ({_R})) WHERE priority IS NOT NULL"""
 
 
-@query(f"SELECT * FROM (SELECT risk_id, concat_ws(',', CASE WHEN confidence < 0.55 THEN 'low_confidence' END, CASE WHEN severity IN ('high', 'critical') THEN 'high_severity' END, CASE WHEN bare THEN 'unlocated' END) AS reasons FROM ({_R})) WHERE reasons <> ''")
+@query(f"SELECT risk_id, priority, reasons FROM ({_QUEUE})")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return video.review_queue(risks(spark, sf_dir)).select("risk_id", "reasons")
+    return video.review_queue(risks(spark, sf_dir)).select("risk_id", "priority", "reasons")
+
+
+@query(f"""SELECT 'policy_review_' || asset_id AS review_id, asset_id, 'high' AS priority, 'policy_decision' AS review_type FROM ({_GOV}) WHERE requires_review
+UNION ALL SELECT 'review_' || risk_id, asset_id, priority, 'risk_annotation' FROM ({_QUEUE}) UNION ALL SELECT 'operation_region_' || risk_id, asset_id, 'medium', 'redaction_region_missing' FROM ({_PLAN}) WHERE bare AND modality <> 'audio'""")
+def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = risks(spark, sf_dir)
+    return video.review_items(r, video.governance(r), video.action_plan(r))
 
 
-@query(f"SELECT asset_id, count(*) AS risks, count(*) FILTER (bare) AS unlocated, count(*) FILTER (confidence < 0.55) AS low_confidence, count(DISTINCT category) AS categories FROM ({_R}) GROUP BY asset_id")
+@query(f"SELECT asset_id, count(*) AS risks, count(*) FILTER (bare) AS unlocated, count(*) FILTER (confidence < 0.65) AS low_confidence, count(DISTINCT category) AS categories FROM ({_R}) GROUP BY asset_id")
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video.quality_report(risks(spark, sf_dir))
 

@@ -27,4 +27,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-from lodestone.plans import adjudication_queries, audio_queries, governance_queries, picture_queries, text_queries, video_queries  # noqa: E402, F401
+from lodestone.plans import adjudication_queries, audio_queries, governance_queries, picture_queries, policy_queries, text_queries, video_queries  # noqa: E402, F401

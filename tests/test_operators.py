@@ -1,6 +1,7 @@
 """Operators on small fixtures of our own: Chinese rules, conflicts, roll-ups, sources, streams."""
 
 import json
+import math
 import random
 import re
 import time
@@ -8,7 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import audio, content, decisions, dedup, picture, privacy, scans, spans, text_prep, video
+from lodestone.operators import audio, content, decisions, dedup, picture, policies, privacy, scans, spans, text_prep, video, vision
 from lodestone.plans import profiles, text_queries
 from lodestone.sources import packages
 from lodestone.streaming import facade
@@ -53,13 +54,13 @@ def test_conflicts_and_redaction(spark):
     r = spans.resolved(f)
     t = sorted((x["start"], x["end"], x["replacement"]) for x in spans.targets(r).collect())
     assert t == [(10, 28, "<I>"), (30, 36, "<E>")]
-    assert {(x["o"], x["by"]) for x in r.first()["lost"]} == {(0, 1), (3, 2)}
+    assert {(x["o"], x["by"], x["why"]) for x in r.first()["lost"]} == {(0, 1, "overlap"), (3, 2, "overlap"), (4, None, "label_only_span")}
     d = docs(spark, "0123456789" + "1" * 18 + "--a@b.co!")
     assert spans.redacted(d, spans.targets(r)).first()["redacted"] == "0123456789<I>--<E>!"
 
 
 def test_run_profiles(spark):
-    d = docs(spark, "fine text", "mail me at a@b.co now", "you idiot, history says", "kill them", "a@b.co", None)
+    d = docs(spark, "fine text", "mail me at a@b.co now", "no bullying here, a textbook says", "a bomb", "a@b.co", None)
     full = {r["doc_id"]: r["disposition"] for r in profiles.run(d).decisions.collect()}
     assert full == {0: "P0", 1: "P1", 2: "P3", 3: "P4", 4: "P1", 5: "P0"}
     only = {r["doc_id"]: r["disposition"] for r in profiles.run(d, "privacy_only").decisions.collect()}
@@ -77,12 +78,138 @@ def test_two_orders_of_decisions(spark):
     assert audio.overall_decision(rows.withColumn("k", F.lit(1)), ["k"]).first()["overall"] == "review"
 
 
-def test_windows_cover_the_text(spark):
-    t = "One. " * 100 + "x" * 500 + ". End"
-    w = sorted((r["start"], r["end"]) for r in content.packed_windows(docs(spark, t)).collect())
-    assert w[0][0] == 0 and w[-1][1] == len(t)
-    assert all(a[1] == b[0] for a, b in zip(w, w[1:]))
-    assert all(b - a <= 360 for a, b in w if b - a != max(y - x for x, y in w))
+def plain_windows(t, most=360):
+    found = [(m.start(), m.end()) for m in re.finditer(r".+?(?:[。！？!?]|$)", t, re.S) if m.group(0).strip()]
+    out, held = [], 0
+    for a, z in found:
+        if out and held + z - a <= most:
+            out[-1], held = (out[-1][0], z), held + z - a
+        else:
+            out.append((a, z))
+            held = z - a
+    return out
+
+
+def test_windows_against_a_plain_version(spark):
+    rng = random.Random(1)
+    texts = ["One! " * 100 + "x" * 500 + "! End", "no end", "   ", "", "a. b. c", "你好。再见！ ?"] + ["".join(rng.choice("abc !?。\n") for _ in range(rng.randrange(900))) for _ in range(40)]
+    got = {}
+    for r in content.packed_windows(docs(spark, *texts)).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    for k, t in enumerate(texts):
+        assert sorted(got.get(k, [])) == plain_windows(t), t
+
+
+def test_ties_of_conflicts_go_to_the_first_selected(spark):
+    rows = [(0, k, "email", "email", "high", 0.88, "<E>", a, b, "x" * (b - a)) for k, (a, b) in enumerate([(0, 6), (8, 14), (4, 10)])]
+    f = spark.createDataFrame(rows, "doc_id bigint, ord int, rule string, risk_type string, severity string, confidence double, replacement string, start int, end int, match string")
+    assert {(x["o"], x["by"]) for x in spans.resolved(f).first()["lost"]} == {(2, 0)}
+
+
+def iou_of(a, b):
+    w, h = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    both = max(w, 0) * max(h, 0)
+    return both, both / (a[2] * a[3] + b[2] * b[3] - both)
+
+
+def boxes(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for image in range(30):
+        for k in range(rng.randrange(1, 14)):
+            rows.append((image, k, rng.choice(["face", "badge"]), "vision_object", rng.randrange(100) / 100, (float(rng.randrange(60)), float(rng.randrange(40)), float(rng.randrange(20, 90)), float(rng.randrange(20, 90)))))
+    return rows, spark.createDataFrame(rows, "image_id bigint, id bigint, category string, finding_type string, score double, box struct<x:double,y:double,w:double,h:double>").repartition(3)
+
+
+def test_finding_merge_in_input_order(spark):
+    rows, df = boxes(spark, 1)
+    want = set()
+    for image in range(30):
+        kept = []
+        for r in [r for r in rows if r[0] == image]:
+            hit = next((k for k in kept if k[2] == r[2] and iou_of(k[5], r[5])[1] > 0.5), None)
+            if hit is None:
+                kept.append(r)
+            elif r[4] > hit[4]:
+                kept.remove(hit)
+                kept.append(r)
+        want |= {(image, place, r[1]) for place, r in enumerate(kept)}
+    assert {(r["image_id"], r["place"], r["id"]) for r in picture.merged(df).collect()} == want
+
+
+def test_box_dedup_prefers_smaller_faces(spark):
+    rows, df = boxes(spark, 2)
+    area = lambda r: r[5][2] * r[5][3]
+    want = set()
+    for image in range(30):
+        kept = []
+        for r in sorted([r for r in rows if r[0] == image], key=lambda r: (-r[4], r[1])):
+            inside = lambda k: iou_of(k[5], r[5])[0] / min(area(k), area(r)) >= 0.85
+            at = next((i for i, k in enumerate(kept) if k[2] == r[2] and (iou_of(k[5], r[5])[1] >= 0.82 or (inside(k) and max(area(k), area(r)) >= 2 * min(area(k), area(r))))), None)
+            if at is None:
+                kept.append(r)
+            elif r[2] == "face" and inside(kept[at]) and area(r) < area(kept[at]) and r[4] >= kept[at][4] * 0.7:
+                kept[at] = r
+        want |= {(image, r[1]) for r in kept}
+    assert {(r["image_id"], r["id"]) for r in vision.box_dedup(df).collect()} == want
+
+
+def test_temporal_merge_against_going_one_by_one(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        box = None if rng.random() < 0.3 else (float(rng.randrange(400)), float(rng.randrange(300)), float(rng.randrange(20, 80)), float(rng.randrange(20, 80)))
+        start = rng.randrange(40000)
+        rows.append((rng.randrange(3), k, rng.choice(["content.violence", "privacy.face", "privacy.badge", "visual.other"]), rng.choice(["visual", "safety", "audio", "ocr_text"]), "", start, start + rng.randrange(2000), rng.choice(["low", "high"]), rng.randrange(100) / 100, box))
+    df = spark.createDataFrame(rows, "asset_id bigint, risk_id bigint, category string, modality string, text_span string, start_ms bigint, end_ms bigint, severity string, confidence double, box struct<x:double,y:double,w:double,h:double>").repartition(4)
+    thing = lambda m, b: b is not None and (m["cat"].startswith("privacy.") or m["mod"] in ("visual", "ocr_text"))
+
+    def fits(m, r):
+        a, b = m["box"], r[9]
+        if r[5] - m["end"] > 1000 or thing(m, a) != thing(m, b):
+            return False
+        both, none = a is not None and b is not None, a is None and b is None
+        near = both and iou_of(a, b)[1] >= 0.35
+        if m["mod"] not in ("visual", "safety"):
+            return not both or near
+        if both:
+            centre = math.dist((a[0] + a[2] / 2, a[1] + a[3] / 2), (b[0] + b[2] / 2, b[1] + b[3] / 2))
+            sizes = sorted([a[2] * a[3], b[2] * b[3]])
+            moved = thing(m, a) and m["cat"] != "privacy.face" and sizes[0] >= 0.2 * sizes[1] and centre <= max(120, 3 * math.hypot(a[2], a[3]))
+            return near or moved
+        return none and m["cat"].startswith("content.") and m["mod"] == "safety"
+
+    want = set()
+    for key in {(r[0], r[2], r[3]) for r in rows}:
+        out = []
+        for r in sorted([r for r in rows if (r[0], r[2], r[3]) == key], key=lambda r: (r[5], r[1])):
+            hit = next((m for m in reversed(out) if fits(m, r)), None)
+            if hit is None:
+                out.append({"cat": key[1], "mod": key[2], "id": r[1], "start": r[5], "end": r[6], "sev": r[7], "conf": r[8], "box": r[9], "n": 1})
+            else:
+                hit.update(end=max(hit["end"], r[6]), sev=min(hit["sev"], r[7]), conf=max(hit["conf"], r[8]), box=r[9] or hit["box"], n=hit["n"] + 1)
+        want |= {(key[0], m["id"], m["start"], m["end"], m["sev"], m["conf"], m["n"]) for m in out}
+    got = {(r["asset_id"], r["risk_id"], r["start_ms"], r["end_ms"], r["severity"], r["confidence"], r["parts"]) for r in video.temporal_merge(df).collect()}
+    assert got == want and any(m[-1] > 2 for m in want)
+
+
+def test_nearest_frame_over_stretches(spark):
+    rng = random.Random(7)
+    frames = [(a, k, rng.randrange(100000)) for a in range(3) for k in range(40)]
+    points = [(a, k, rng.randrange(-20000, 120000)) for a in range(4) for k in range(60)]
+    got = video.nearest_frame(spark.createDataFrame(points, "asset_id int, point_id bigint, at_ms bigint"), spark.createDataFrame(frames, "asset_id int, frame_id bigint, pts_ms bigint"), bucket=7000).collect()
+    for r, (a, k, t) in zip(sorted(got, key=lambda r: (r["asset_id"], r["point_id"])), points):
+        assert r["nearest_ms"] == min((p for x, _, p in frames if x == a), key=lambda p: (abs(p - t), p), default=None)
+
+
+def test_policies_of_a_file(spark, tmp_path):
+    f = tmp_path / "policies.jsonl"
+    one = {"policy_id": "p", "labels": ["content.x"], "least": "low", "contexts": [], "audience": "", "priority": 5, "p_risk": "C1", "p_action": "P2", "p_training": "T1", "p_route": "r", "p_allow": True, "p_review": False}
+    f.write_text("\n".join(json.dumps(x) for x in (one, one | {"policy_id": "off", "enabled": False})))
+    p = policies.policies_from(spark, str(f))
+    assert [r["policy_id"] for r in p.collect()] == ["p"] and policies.policies_from(spark, str(tmp_path / "none")).count() == 0
+    d = spark.createDataFrame([(1, 0, "content.x.y", "x", "low", "", ""), (2, 0, "content.xy", "x", "low", "", "")], "doc_id int, ord int, policy_tag string, risk_type string, severity string, context_type string, audience string")
+    assert {(r["doc_id"], r["policy_id"]) for r in policies.content_policy_hits(d, p).collect()} == {(1, "p"), (2, None)}
 
 
 def test_greedy_dedup_keeps_order(spark):

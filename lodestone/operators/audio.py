@@ -74,3 +74,40 @@ def overall_decision(units: DataFrame, by: list[str], decision: str = "decision"
 def evidence_counters(units: DataFrame, by: str) -> DataFrame:
     """Units, flagged units, distinct speakers and characters of each source."""
     return units.groupBy(by).agg(F.count("*").alias("units"), F.count_if(F.col("flagged")).alias("flagged"), F.countDistinct("speaker_id").alias("speakers"), F.sum(F.length("text")).alias("chars"))
+
+
+def first_value(*sources: Column) -> Column:
+    """The first value that is neither null nor empty: of the manifest, the quality record, the metadata, the probe."""
+    return F.coalesce(*[F.when(F.trim(s.cast("string")) != "", s) for s in sources])
+
+
+def speaker_segments(records: DataFrame, rows: DataFrame) -> DataFrame:
+    """source_id, speaker_id, start_time, end_time, confidence, engine: sidecar rows with defaults; a record without any is one segment of speaker_0."""
+    j = records.select("source_id", "duration").join(rows.withColumn("_there", F.lit(True)), "source_id", "left")
+    end = F.when(F.coalesce("end_time", F.lit(0.0)) == 0, F.col("duration")).otherwise(F.col("end_time"))
+    there = F.col("_there").isNotNull()
+    return j.select(
+        "source_id", F.coalesce(F.when(there, F.when(F.col("speaker_id") != "", F.col("speaker_id"))), F.lit("speaker_0")).alias("speaker_id"), F.coalesce(F.when(there, F.col("start_time")), F.lit(0.0)).alias("start_time"),
+        F.when(there, end).otherwise(F.col("duration")).alias("end_time"), F.coalesce(F.when(there, F.col("confidence")), F.lit(0.0)).alias("confidence"), F.when(there, F.coalesce("engine", F.lit("sidecar"))).otherwise("fallback").alias("engine"),
+    )
+
+
+# Families of keywords in the order in which they are asked, with level and category.
+FAMILIES = [
+    ("unsafe", "violent_content", ["bomb", "kill", "terrorism", "attack", "exploit", "murder", "weapon", "炸弹", "恐怖袭击", "带刀", "拿刀", "堵人", "打死", "杀了", "改成绩", "盗号"]),
+    ("controversial", "politically_sensitive", ["political", "protest", "censorship", "classified", "隐瞒", "集合", "游行", "公共事件"]),
+    ("unsafe", "sexual_content", ["sex", "porn", "explicit", "nsfw", "色情", "裸聊", "成人聊天群", "露骨"]),
+    ("unsafe", "suicide_self_harm", ["自杀", "自残", "轻生", "不想活", "伤害自己", "suicide", "self harm"]),
+    ("unsafe", "hate_speech", ["歧视", "外地学生", "滚出学校", "racial hatred", "genocide"]),
+]
+
+
+def moderation(text: Column) -> Column:
+    """struct<level, category> of a unit: the first family with a word in the text, else safe."""
+    low, out = F.lower(F.coalesce(text, F.lit(""))), F.struct(F.lit("safe").alias("level"), F.lit("").alias("category"))
+    for level, category, words in reversed(FAMILIES):
+        met = F.lit(False)
+        for w in words:
+            met = met | low.contains(w)
+        out = F.when(met, F.struct(F.lit(level).alias("level"), F.lit(category).alias("category"))).otherwise(out)
+    return out

@@ -126,12 +126,14 @@ def ocr_summary(blocks: DataFrame, image: str = "image_id") -> DataFrame:
 
 
 def char_box(line: Column, text: Column, start: Column, end: Column) -> Column:
-    """Part of a line's box that characters start..end take; wide characters weigh 2, blanks and narrow marks a half."""
-    weight = lambda c: F.when(c.rlike("[⺀-鿿＀-￯]"), 2.0).when(c.rlike(r"[ .,:;'|!]"), 0.5).otherwise(1.0)
+    """Part of a line's box that characters start..end take by their widths; one pixel at least."""
+    # Widths of characters.
+    weight = lambda c: F.when(c.rlike(r"(?U)\s"), 0.35).when(c.rlike(r"(?U)\d"), 0.62).when(c.rlike("[A-Za-z]"), 0.58).when(c.rlike("[一-鿿]"), 1.0).when(c.rlike(r"(?U)\W"), 0.36).otherwise(0.75)
     total = lambda t: F.aggregate(F.transform(F.split(t, ""), weight), F.lit(0.0), lambda s, x: s + x)
     part = lambda a, b: F.when(b > a, total(F.substr(text, a + 1, b - a))).otherwise(0.0)
     whole = total(text)
-    return g.box(line["x"] + line["w"] * part(F.lit(0), start) / whole, line["y"], line["w"] * part(start, end) / whole, line["h"])
+    x = line["x"] + line["w"] * part(F.lit(0), start) / whole
+    return g.box(x, line["y"], F.greatest(F.lit(1.0), line["w"] * part(start, end) / whole), F.greatest(F.lit(1.0), line["h"]))
 
 
 def union_box(blocks: DataFrame, by: str) -> DataFrame:
@@ -149,3 +151,42 @@ def top_per_category(findings: DataFrame, k: dict[str, int], other: int, image:
 def route(width: Column, height: Column, colour_std: Column) -> Column:
     aspect = width / height
     return F.when((aspect < 0.6) | (aspect > 1.8), "document").when(colour_std < 40, "document").when(colour_std > 70, "photo").otherwise("mixed")
+
+
+def text_region(box: Column) -> Column:
+    """A text's box with padding of 0.08 of its height, 3 to 16 pixels."""
+    pad = F.greatest(F.lit(3.0), F.least(F.lit(16.0), box["h"] * 0.08))
+    return g.box(box["x"] - pad, box["y"] - pad, F.greatest(F.lit(1.0), box["w"] + 2 * pad), F.greatest(F.lit(1.0), box["h"] + 2 * pad))
+
+
+def reasonable_region(box: Column, text: Column, width: Column | float, height: Column | float) -> Column:
+    """Whether a region is small enough for its text: 0.08 of the picture for up to 40 characters, else 0.2."""
+    n = F.length(F.regexp_replace(text, "(?U)\\W+", ""))
+    return F.greatest(F.lit(1.0), g.area(box)) / (F.lit(width) * F.lit(height)) <= F.when((n > 0) & (n <= 40), 0.08).otherwise(0.2)
+
+
+# Kinds of text that may stand beside a code.
+BESIDE = ("phone_number", "bank_card", "student_id", "account", "social_account", "bank_account", "pii_entity", "combined_identity")
+
+
+def without_code_texts(text: DataFrame, vision: DataFrame, image: str = "image_id") -> DataFrame:
+    """Text findings but for numbers attached to a code: under, over or inside its box."""
+    c = vision.filter((F.col("finding_type") == "vision_object") & F.col("category").isin("qr_code", "barcode") & F.col("box").isNotNull()).select(F.col(image).alias("_i"), F.col("box").alias("c"))
+    compact = F.regexp_replace("text", r"[\s\-_.]", "")
+    letters, digits = F.length(F.regexp_replace(compact, "[^A-Za-z0-9]", "")), F.length(F.regexp_replace(compact, "\\D", ""))
+    number = F.col("category").isin(*BESIDE) & F.col("box").isNotNull() & (F.length(compact) >= 6) & (letters >= 6) & (digits / F.greatest(F.lit(1), letters) >= 0.65)
+    t, k = F.col("box"), F.col("c")
+    across = F.greatest(F.lit(0.0), F.least(t["x"] + t["w"], k["x"] + k["w"]) - F.greatest(t["x"], k["x"])) / F.least(F.greatest(F.lit(1.0), t["w"]), F.greatest(F.lit(1.0), k["w"]))
+    px, py = k["w"] * 0.15, k["h"] * 0.25
+    inside = (t["x"] >= k["x"] - px) & (t["y"] >= k["y"] - py) & (t["x"] + t["w"] <= k["x"] + k["w"] + px) & (t["y"] + t["h"] <= k["y"] + k["h"] + py)
+    below = (t["y"] >= k["y"]) & (t["y"] <= k["y"] + k["h"] + F.greatest(F.lit(8.0), k["h"] * 0.55))
+    above = (t["y"] + t["h"] <= k["y"] + k["h"]) & (t["y"] + t["h"] >= k["y"] - F.greatest(F.lit(6.0), k["h"] * 0.25))
+    return text.join(c, (F.col(image) == F.col("_i")) & number & (across >= 0.45) & (inside | below | above), "left_anti")
+
+
+def localisation_quality(box: Column, hint: Column, confidence: Column, dangerous: Column, width: float, height: float) -> Column:
+    """Confidence, more by overlap with a hint (or a centre near it), less for large boxes."""
+    cx, cy = box["x"] + box["w"] / 2, box["y"] + box["h"] / 2
+    near = cx.between(hint["x"] - hint["w"] * 0.75, hint["x"] + hint["w"] * 1.75) & cy.between(hint["y"] - hint["h"] * 0.75, hint["y"] + hint["h"] * 1.75)
+    size = F.greatest(F.lit(0.0), g.area(box) / (width * height) - F.when(dangerous, 0.2).otherwise(0.35)) * 2
+    return confidence + F.greatest(g.iou(box, hint) * 2, F.when(near, 0.35).otherwise(0.0)) - size

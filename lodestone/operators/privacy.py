@@ -146,3 +146,18 @@ def document_results(docs: DataFrame, findings: DataFrame, low: float = 0.35, hi
     need = F.coalesce("needs_adjudication", F.lit(False))
     status = F.when(F.coalesce("n_findings", F.lit(0)) == 0, "clear").when(need | score.between(low, high), "hard_case").otherwise("flagged")
     return out.select("doc_id", F.coalesce("n_findings", F.lit(0)).cast("bigint").alias("n_findings"), score.alias("risk_score"), need.alias("needs_adjudication"), status.alias("status"))
+
+
+# Other names of risk types, for selections.
+ALIASES = {
+    "phone": "phone_number", "id_number": "id_card", "bank_account": "bank_card", "payment_account": "bank_card", "guardian_contact": "parent_contact", "score_record": "education_record", "disciplinary_record": "education_record",
+    "psychological_record": "medical_record", "health_record": "medical_record", "api_key": "secret", "token": "secret", "password": "secret", "credential": "secret",
+}
+
+
+def selected_entities(findings: DataFrame, selected: list[str]) -> DataFrame:
+    """Findings whose risk type is selected, by any of its names; all where nothing is selected."""
+    if not selected:
+        return findings
+    wanted = [*{*selected, *(ALIASES.get(s, s) for s in selected)}]
+    return findings.filter(F.col("risk_type").isin(*wanted) | F.coalesce(lookup(F.col("risk_type"), ALIASES), F.col("risk_type")).isin(*wanted))

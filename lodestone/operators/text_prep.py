@@ -110,3 +110,18 @@ def label_chain(label: Column) -> Column:
     """a.b.c -> [a.b, a.b.c]."""
     parts = F.split(label, r"\.")
     return F.transform(F.sequence(F.least(F.lit(2), F.size(parts)), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+
+
+def document_views(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, text, text_hash of documents that have text."""
+    return docs.filter(F.trim(F.col(text)) != "").select("doc_id", F.col(text).alias("text"), text_hash(F.col(text)).alias("text_hash"))
+
+
+# Source types that are looked through for licences.
+LICENSED = ("code", "plain", "repo", "archive")
+
+
+def scannable(docs: DataFrame, kinds: tuple[str, ...] = LICENSED, text: str = "text") -> DataFrame:
+    """Documents of source types that are scanned, without further copies of a text (the first one stands for all)."""
+    first = docs.groupBy(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return docs.join(first, "doc_id", "left_semi").filter(F.col("source_type").isin(*kinds))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import geometry as g
-from lodestone.ranks import SEVERITY, code, rank
+from lodestone.ranks import SEVERITY, code, lookup, rank
 
 
 def scene_boundaries(frames: DataFrame, asset: str = "asset_id", least: float = 0.18, gap: int = 1000) -> DataFrame:
@@ -204,3 +204,88 @@ def review_items(risks: DataFrame, policy: DataFrame, plan: DataFrame, asset: st
 
 def quality_report(risks: DataFrame, asset: str = "asset_id") -> DataFrame:
     return risks.groupBy(asset).agg(F.count("*").alias("risks"), F.count_if(F.col("box").isNull()).alias("unlocated"), F.count_if(F.col("confidence") < 0.65).alias("low_confidence"), F.countDistinct("category").alias("categories"))
+
+
+def frame_results(frames: DataFrame, results: DataFrame, asset: str = "asset_id") -> DataFrame:
+    """asset, frame_id, result: a frame's own, else that of the frame it was cached from (source_frame), else the last one before; without any the frame goes."""
+    own = results.select(F.col("frame_id").alias("_f"), F.col("result").alias("_own"))
+    src = results.select(F.col("frame_id").alias("_s"), F.col("result").alias("_src"))
+    j = frames.join(own, F.col("frame_id") == F.col("_f"), "left").join(src, F.col("source_frame") == F.col("_s"), "left").withColumn("_r", F.coalesce("_own", "_src"))
+    w = Window.partitionBy(asset).orderBy("pts_ms", "frame_id").rowsBetween(Window.unboundedPreceding, 0)
+    return j.withColumn("result", F.last("_r", True).over(w)).filter("result is not null").select(asset, "frame_id", "result")
+
+
+def aggregate_policy(frames: DataFrame, audio: DataFrame, asset: str = "asset_id") -> DataFrame:
+    """asset, decision of frames' decisions (pass_raw, pass_redacted, drop) and the audio decision: the gravest, where quarantined sound drops and doubtful sound is redacted."""
+    order = ["pass_raw", "pass_redacted", "drop"]
+    f = frames.groupBy(asset).agg(F.max(rank(F.col("decision"), order)).alias("f"))
+    a = audio.select(asset, F.when(F.col("audio").isin("reject", "quarantine"), 2).when(F.col("audio") == "review", 1).otherwise(0).alias("a"))
+    return f.join(a, asset, "left").select(asset, code(F.greatest("f", F.coalesce("a", F.lit(0))), order).alias("decision"))
+
+
+# Categories of findings of pictures, and severities by category.
+FOUND = {
+    "face": "privacy.face", "id_card": "privacy.id_card", "badge": "privacy.badge", "signature": "privacy.signature", "stamp": "privacy.stamp", "qr_code": "privacy.qr_code", "barcode": "privacy.barcode",
+    "license_plate": "privacy.license_plate", "avatar": "privacy.face", "account_region": "privacy.account_region", "school_class_identifier": "privacy.school_class_identifier", "phone": "privacy.phone",
+    "phone_number": "privacy.phone", "address": "privacy.address", "screen_sensitive": "privacy.screen_sensitive",
+}
+CRITICAL, GRAVE, PLAIN = ("content.sexual_minor", "content.graphic_violence"), ("privacy.id_card", "privacy.phone", "privacy.address"), ("privacy.face", "privacy.license_plate", "privacy.qr_code")
+
+
+def category_of(category: Column, reason: Column) -> Column:
+    """Category of a picture's finding: by its name, else by words of its reason, else as a visual of that name."""
+    c, r = F.lower(F.trim(category)), F.lower(F.trim(reason))
+    words = [("sexual|porn", "content.sexual"), ("violence|violent", "content.violence"), ("hate", "content.hate"), ("self_harm|suicide", "content.self_harm"), ("phone", "privacy.phone"), ("address", "privacy.address")]
+    out = lookup(c, FOUND)
+    said = F.concat(F.lit("visual."), F.when(c == "", "unknown").otherwise(c))
+    for rx, name in reversed(words):
+        said = F.when(r.rlike(rx), name).otherwise(said)
+    return F.coalesce(out, said)
+
+
+def severity_of(category: Column, confidence: Column, review: Column) -> Column:
+    sure = F.when(confidence >= 0.7, "high").otherwise("medium")
+    return F.when(category.isin(*CRITICAL), "critical").when(category.startswith("content.") | category.isin(*GRAVE), sure).when(category.isin(*PLAIN), F.when(confidence >= 0.5, "medium").otherwise("low")).when(review, "medium").otherwise("low")
+
+
+def allowed_by_selection(risks: DataFrame, disabled_operators: list[str], disabled_targets: list[str]) -> DataFrame:
+    """Risks of whose operators (operator_id, source_operator_id) none is disabled, nor their target or category."""
+    ops = F.array(F.upper(F.trim("operator_id")), F.upper(F.trim("source_operator_id")))
+    goals = F.array(F.lower(F.trim("target_type")), F.lower(F.trim("category")))
+    named = lambda xs, f: F.array(*[F.lit(f(x.strip())) for x in xs]).cast("array<string>")
+    return risks.filter(~F.arrays_overlap(ops, named(disabled_operators, str.upper)) & ~F.arrays_overlap(goals, named(disabled_targets, str.lower)))
+
+
+def unstable_tracks(series: DataFrame, track: str = "track_id") -> DataFrame:
+    """track, unstable: whether any two boxes in a row barely overlap and differ much in size, or lie far apart."""
+    w = Window.partitionBy(track).orderBy("pts_ms", "frame_id")
+    a, b = F.col("_a"), F.col("box")
+    size = F.least(F.greatest(g.area(a), F.lit(1.0)), F.greatest(g.area(b), F.lit(1.0))) / F.greatest(F.greatest(g.area(a), F.lit(1.0)), F.greatest(g.area(b), F.lit(1.0)))
+    jump = a.isNotNull() & b.isNotNull() & (g.iou(a, b) < 0.02) & ((size < 0.18) | (g.centre_distance(a, b) > F.greatest(F.lit(80.0), 4 * F.sqrt(a["w"] * a["w"] + a["h"] * a["h"]))))
+    return series.withColumn("_a", F.lag("box").over(w)).groupBy(track).agg(F.coalesce(F.bool_or(jump), F.lit(False)).alias("unstable"))
+
+
+def supported_events(events: DataFrame, risks: DataFrame, tolerance: int = 250, asset: str = "asset_id") -> DataFrame:
+    """asset, event_id, supports: how many risks lie within ``tolerance`` ms of an event and name it as parent, or are objects or safety findings of its category."""
+    r = risks.select(F.col(asset).alias("_a"), F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), F.col("category").alias("_c"), "modality", "parent_id")
+    near = (F.col("_a") == F.col(asset)) & (F.col("_s") <= F.col("end_ms") + tolerance) & (F.col("start_ms") <= F.col("_e") + tolerance)
+    fits = F.coalesce(F.col("parent_id") == F.col("event_id"), F.lit(False)) | (F.col("modality").isin("video_object", "safety", "visual_safety") & (F.col("_c") == F.col("category")))
+    return events.join(r, near & fits, "left").groupBy(asset, "event_id").agg(F.count("_s").alias("supports"))
+
+
+def display_order(risks: DataFrame, asset: str = "asset_id") -> DataFrame:
+    """asset, place, risk_id: each risk once, by start, role and id."""
+    role = lookup(F.col("role"), {"primary_event": 0, "primary_privacy": 1, "primary_object": 2}, 3)
+    first = risks.groupBy(asset, "risk_id").agg(F.min(F.struct("start_ms", role.alias("k"))).alias("o"))
+    return first.select(asset, "risk_id", (F.row_number().over(Window.partitionBy(asset).orderBy("o", "risk_id")) - 1).alias("place"))
+
+
+def hash_distance(a: Column, b: Column) -> Column:
+    """Share of the 64 bits in which two average hashes differ."""
+    return F.bit_count(a.bitwiseXOR(b)) / 64.0
+
+
+def distinct_regions(regions: Column) -> Column:
+    """The first of regions (struct<frame_id, box>) that agree in frame and in box to a thousandth."""
+    key = lambda r: F.struct(r["frame_id"], *[F.round(r["box"][n] * 1000).cast("bigint") for n in "xywh"])
+    return F.filter(regions, lambda r, i: F.array_position(F.transform(regions, key), key(r)) == i + 1)

@@ -104,9 +104,10 @@ def ocr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picture.ocr_summary(c)
 
 
-@query("""SELECT p_partkey, round(10 + 100 * (len(regexp_extract_all(left(p_name, 3), '[^ .,:;''|!]')) + 0.5 * len(regexp_extract_all(left(p_name, 3), '[ .,:;''|!]'))) / t, 6) AS x,
-  round(100 * (len(regexp_extract_all(substr(p_name, 4, 5), '[^ .,:;''|!]')) + 0.5 * len(regexp_extract_all(substr(p_name, 4, 5), '[ .,:;''|!]'))) / t, 6) AS w
-FROM (SELECT *, len(regexp_extract_all(p_name, '[^ .,:;''|!]')) + 0.5 * len(regexp_extract_all(p_name, '[ .,:;''|!]')) AS t FROM part)""")
+_WIDE = lambda t: f"(0.35 * len(regexp_extract_all({t}, ' ')) + 0.62 * len(regexp_extract_all({t}, '[0-9]')) + 0.58 * len(regexp_extract_all({t}, '[A-Za-z]')) + 0.36 * len(regexp_extract_all({t}, '[^ 0-9A-Za-z_]')) + 0.75 * len(regexp_extract_all({t}, '_')))::DOUBLE"
+
+
+@query(f"""SELECT p_partkey, round(10 + 100 * {_WIDE("left(p_name, 3)")} / t, 6) AS x, round(greatest(1, 100 * {_WIDE("substr(p_name, 4, 5)")} / t), 6) AS w FROM (SELECT *, {_WIDE("p_name")} AS t FROM part)""")
 def ocr_char_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = g.box(F.lit(10), F.lit(0), F.lit(100), F.lit(12))
     b = picture.char_box(line, F.col("p_name"), F.lit(3), F.lit(8))

@@ -39,7 +39,7 @@ def near_boxes(a: DataFrame, b: DataFrame, image: str = "image_id", least_iou: f
     j = flat(a, "p").join(flat(b, "q"), meet)
     both = (F.least("pr", "qr") - F.greatest("px", "qx")) * (F.least("pb", "qb") - F.greatest("py", "qy"))
     j = j.withColumn("o", both).withColumn("sp", F.col("pw") * F.col("ph")).withColumn("sq", F.col("qw") * F.col("qh"))
-    out = j.select(F.col("pi").alias(image), F.col("pid").alias("id"), F.col("qid").alias("other"), (F.col("o") / (F.col("sp") + F.col("sq") - F.col("o"))).alias("iou"), (F.col("o") / F.least("sp", "sq")).alias("containment"))
+    out = j.select(F.col("pi").alias(image), F.col("pid").alias("id"), F.col("qid").alias("other"), F.try_divide("o", F.col("sp") + F.col("sq") - F.col("o")).alias("iou"), F.try_divide(F.col("o"), F.least("sp", "sq")).alias("containment"))
     return out.filter((F.col("iou") > least_iou) | (F.col("containment") >= least_in))
 
 

@@ -14,7 +14,6 @@ from lodestone.plans.video_queries import _E, _R, frames, risks
 from lodestone.queries import query, table
 
 _SEV = ["low", "medium", "high", "critical"]
-D = F.col("doc_id")
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,15 +28,15 @@ def document_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT d.doc_id FROM documents d JOIN (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text) f USING (doc_id) WHERE d.doc_id % 5 IN (0, 2, 3)""")
 def scannable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ["code", "audio", "plain", "repo", "html"]
-    return text_prep.scannable(table(spark, sf_dir, "documents").withColumn("source_type", pick(kinds, D % 5))).select("doc_id")
+    return text_prep.scannable(table(spark, sf_dir, "documents").withColumn("source_type", pick(kinds, F.col("doc_id") % 5))).select("doc_id")
 
 
 @query("""SELECT doc_id, ord, f.finding_id, action FROM (SELECT doc_id, ord, doc_id * 2 + ord AS finding_id FROM labels, (VALUES (0), (1)) o(ord)) f
 LEFT JOIN (SELECT finding_id, arg_min(action, n) AS action FROM (SELECT doc_id * 2 AS finding_id, n, ['redact', 'keep', 'manual_review'][(doc_id + n) % 3 + 1] AS action FROM labels, (VALUES (3), (1), (2)) k(n)) GROUP BY finding_id) a USING (finding_id)""")
 def first_adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = labels(spark, sf_dir)
-    f = lab.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ord")).withColumn("finding_id", D * 2 + F.col("ord"))
-    a = lab.select((D * 2).alias("finding_id"), "doc_id", F.explode(F.array(F.lit(3), F.lit(1), F.lit(2))).alias("n")).withColumn("action", pick(["redact", "keep", "manual_review"], (D + F.col("n")) % 3))
+    f = lab.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ord")).withColumn("finding_id", F.col("doc_id") * 2 + F.col("ord"))
+    a = lab.select((F.col("doc_id") * 2).alias("finding_id"), "doc_id", F.explode(F.array(F.lit(3), F.lit(1), F.lit(2))).alias("n")).withColumn("action", pick(["redact", "keep", "manual_review"], (F.col("doc_id") + F.col("n")) % 3))
     return evidence.with_first(f, a.drop("doc_id"), "finding_id", "n", ["action"])
 
 
@@ -45,27 +44,27 @@ def first_adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT doc_id AS event_id, doc_id % 7 * 1000 + doc_id AS ord, unnest([doc_id, doc_id + 1, doc_id * 2]) AS finding_id FROM labels WHERE doc_id % 3 = 0) GROUP BY finding_id) e USING (finding_id)""")
 def target_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = labels(spark, sf_dir)
-    e = lab.filter("doc_id % 3 = 0").select(D.alias("event_id"), (D % 7 * 1000 + D).alias("ord"), F.array(D, D + 1, D * 2).alias("finding_refs"))
-    return evidence.target_events(lab.select(D.alias("finding_id"), F.lit(-1).cast("bigint").alias("event_id")), e)
+    e = lab.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("event_id"), (F.col("doc_id") % 7 * 1000 + F.col("doc_id")).alias("ord"), F.array(F.col("doc_id"), F.col("doc_id") + 1, F.col("doc_id") * 2).alias("finding_refs"))
+    return evidence.target_events(lab.select(F.col("doc_id").alias("finding_id"), F.lit(-1).cast("bigint").alias("event_id")), e)
 
 
 @query("SELECT s.doc_id, coalesce(p.source_id, s.doc_id % 9) AS source_id FROM labels s LEFT JOIN (SELECT doc_id % 50 AS path, min(doc_id % 9 + 100) AS source_id FROM labels WHERE doc_id % 4 = 0 GROUP BY ALL) p ON s.doc_id % 60 = p.path")
 def located_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = labels(spark, sf_dir)
-    src = lab.filter("doc_id % 4 = 0").select((D % 50).alias("path"), (D % 9 + 100).alias("source_id"))
-    return evidence.located_secrets(lab.select("doc_id", (D % 60).alias("path"), (D % 9).alias("scan_source")), src).select("doc_id", "source_id")
+    src = lab.filter("doc_id % 4 = 0").select((F.col("doc_id") % 50).alias("path"), (F.col("doc_id") % 9 + 100).alias("source_id"))
+    return evidence.located_secrets(lab.select("doc_id", (F.col("doc_id") % 60).alias("path"), (F.col("doc_id") % 9).alias("scan_source")), src).select("doc_id", "source_id")
 
 
 @query("SELECT d.doc_id, h.hit FROM (SELECT doc_id, doc_id % 20 AS source_id FROM documents) d JOIN (SELECT doc_id AS hit, doc_id % 25 AS source_id FROM labels WHERE doc_id % 10 = 0) h USING (source_id)")
 def own_source_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = labels(spark, sf_dir).filter("doc_id % 10 = 0").select(D.alias("hit"), (D % 25).alias("source_id"))
-    return evidence.of_own_source(hits, table(spark, sf_dir, "documents").select("doc_id", (D % 20).alias("source_id"))).select("doc_id", "hit")
+    hits = labels(spark, sf_dir).filter("doc_id % 10 = 0").select(F.col("doc_id").alias("hit"), (F.col("doc_id") % 25).alias("source_id"))
+    return evidence.of_own_source(hits, table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 20).alias("source_id"))).select("doc_id", "hit")
 
 
 @query("""WITH f AS (SELECT doc_id % 40 AS doc_id, doc_id AS finding_id, CASE WHEN doc_id % 6 <> 0 THEN doc_id % 100 END AS start FROM labels), p AS (SELECT doc_id, finding_id FROM f WHERE finding_id % 4 = 1)
 SELECT doc_id, finding_id FROM f WHERE start IS NULL OR finding_id IN (SELECT finding_id FROM p) OR doc_id NOT IN (SELECT doc_id FROM p)""")
 def planned_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = labels(spark, sf_dir).select((D % 40).alias("doc_id"), D.alias("finding_id"), F.when(D % 6 != 0, D % 100).alias("start"))
+    f = labels(spark, sf_dir).select((F.col("doc_id") % 40).alias("doc_id"), F.col("doc_id").alias("finding_id"), F.when(F.col("doc_id") % 6 != 0, F.col("doc_id") % 100).alias("start"))
     return evidence.planned_or_unlocated(f, f.filter("finding_id % 4 = 1").select("doc_id", "finding_id")).select("doc_id", "finding_id")
 
 
@@ -116,7 +115,7 @@ def rule_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT doc_id, CASE WHEN t IS NULL THEN 'none' ELSE {_SEV}[t] END AS risk_level, CASE WHEN t IS NULL THEN 'passed' WHEN t >= 3 THEN 'failed' ELSE 'review' END AS conclusion
 FROM documents LEFT JOIN (SELECT doc_id, max(doc_id % 4 + 1) AS t FROM labels GROUP BY doc_id) USING (doc_id)""")
 def conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.conclusions(labels(spark, sf_dir).select("doc_id", pick(_SEV, D % 4).alias("severity")), table(spark, sf_dir, "documents"))
+    return evidence.conclusions(labels(spark, sf_dir).select("doc_id", pick(_SEV, F.col("doc_id") % 4).alias("severity")), table(spark, sf_dir, "documents"))
 
 
 @query("""WITH h AS (SELECT l_orderkey AS image_id, (l_partkey % 256)::INTEGER AS level, l_suppkey % 5 AS n FROM lineitem), s AS (SELECT image_id, level, sum(n) AS n FROM h GROUP BY ALL),
@@ -139,16 +138,16 @@ x AS (SELECT doc_id, CASE WHEN chain = 'privacy' THEN CASE action WHEN 'redact'
 @query(_FLOORS + " SELECT d.doc_id, 'P' || coalesce(max(f), 0) AS disposition FROM documents d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id")
 def document_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = labels(spark, sf_dir)
-    fr = lab.filter("doc_id % 5 = 0").select("doc_id", F.when(D % 2 == 0, "privacy").otherwise("content").alias("chain"), pick(_ACT, D % 7).alias("action"))
-    lo = lab.filter("doc_id % 3 = 0").select("doc_id", (D % 9 == 0).alias("degraded"), pick(_SEV, D % 4).alias("severity"))
-    aa = lab.filter("doc_id % 2 = 0").select("doc_id", F.when(D % 4 < 2, "privacy").otherwise("content").alias("chain"), pick(_ACT, D % 11 % 7).alias("action"), (D % 13 != 0).alias("may_raise"))
-    ev = lab.select("doc_id", F.when(D % 3 == 0, "privacy").otherwise("content").alias("chain"), (D % 5).cast("int").alias("floor"))
+    fr = lab.filter("doc_id % 5 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "privacy").otherwise("content").alias("chain"), pick(_ACT, F.col("doc_id") % 7).alias("action"))
+    lo = lab.filter("doc_id % 3 = 0").select("doc_id", (F.col("doc_id") % 9 == 0).alias("degraded"), pick(_SEV, F.col("doc_id") % 4).alias("severity"))
+    aa = lab.filter("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 4 < 2, "privacy").otherwise("content").alias("chain"), pick(_ACT, F.col("doc_id") % 11 % 7).alias("action"), (F.col("doc_id") % 13 != 0).alias("may_raise"))
+    ev = lab.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "privacy").otherwise("content").alias("chain"), (F.col("doc_id") % 5).cast("int").alias("floor"))
     return evidence.document_floor(table(spark, sf_dir, "documents"), fr, lo, aa, ev)
 
 
 @query("SELECT doc_id, " + ", ".join("CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{evidence.DONE[f'P{i}'][k]}'" for i in range(6)) + f" END AS {n}" for k, n in enumerate(("actions", "strategy", "escalation"))) + " FROM labels")
 def disposition_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels(spark, sf_dir).select("doc_id", *evidence.actions_of(F.concat(F.lit("P"), (D % 6).cast("string"))))
+    return labels(spark, sf_dir).select("doc_id", *evidence.actions_of(F.concat(F.lit("P"), (F.col("doc_id") % 6).cast("string"))))
 
 
 @query("""WITH t AS (SELECT doc_id % 60 AS doc_id, doc_id AS finding_id, doc_id AS ord FROM labels WHERE doc_id % 60 < 45), r AS (SELECT doc_id AS finding_id, CASE WHEN doc_id % 4 = 1 THEN '' ELSE 'mask' || doc_id % 3 END AS action, CASE WHEN doc_id % 5 = 1 THEN '' ELSE 'blocked' || doc_id % 2 END AS training FROM labels WHERE doc_id % 3 <> 1),
@@ -157,15 +156,15 @@ SELECT d.doc_id, coalesce(x, 'retain') AS action, coalesce(y, 'allowed') AS trai
   CASE WHEN coalesce(m, 0) > 0 THEN 'human_review' ELSE 'initial_policy_decision' END AS source FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id < 60) d LEFT JOIN a USING (doc_id)""")
 def privacy_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = labels(spark, sf_dir)
-    t = lab.select((D % 60).alias("doc_id"), D.alias("finding_id"), D.alias("ord")).filter("doc_id < 45")
-    r = lab.filter("doc_id % 3 <> 1").select(D.alias("finding_id"), F.lit(1).alias("submitted"), F.when(D % 4 == 1, "").otherwise(F.concat(F.lit("mask"), (D % 3).cast("string"))).alias("action"), F.when(D % 5 == 1, "").otherwise(F.concat(F.lit("blocked"), (D % 2).cast("string"))).alias("training"))
+    t = lab.select((F.col("doc_id") % 60).alias("doc_id"), F.col("doc_id").alias("finding_id"), F.col("doc_id").alias("ord")).filter("doc_id < 45")
+    r = lab.filter("doc_id % 3 <> 1").select(F.col("doc_id").alias("finding_id"), F.lit(1).alias("submitted"), F.when(F.col("doc_id") % 4 == 1, "").otherwise(F.concat(F.lit("mask"), (F.col("doc_id") % 3).cast("string"))).alias("action"), F.when(F.col("doc_id") % 5 == 1, "").otherwise(F.concat(F.lit("blocked"), (F.col("doc_id") % 2).cast("string"))).alias("training"))
     d = table(spark, sf_dir, "documents").filter("doc_id < 60").select("doc_id", F.lit("retain").alias("action"), F.lit("allowed").alias("training")).distinct()
     return evidence.privacy_final(d, t, r)
 
 
 @query("""WITH f AS (SELECT doc_id % 30 AS doc_id, doc_id AS id, 'r' || (doc_id % 2) AS risk_type, doc_id % 200 AS start, doc_id % 200 + 9 AS "end" FROM labels) SELECT id FROM f n WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM f o WHERE o.id % 2 = 0 AND o.doc_id = n.doc_id AND o.risk_type = n.risk_type AND n.start < o."end" AND n."end" > o.start)""")
 def new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = labels(spark, sf_dir).select((D % 30).alias("doc_id"), D.alias("id"), F.concat(F.lit("r"), (D % 2).cast("string")).alias("risk_type"), (D % 200).alias("start"), (D % 200 + 9).alias("end"))
+    f = labels(spark, sf_dir).select((F.col("doc_id") % 30).alias("doc_id"), F.col("doc_id").alias("id"), F.concat(F.lit("r"), (F.col("doc_id") % 2).cast("string")).alias("risk_type"), (F.col("doc_id") % 200).alias("start"), (F.col("doc_id") % 200 + 9).alias("end"))
     return evidence.without_overlap(f.filter("id % 2 = 1"), f.filter("id % 2 = 0")).select("id")
 
 
@@ -173,8 +172,8 @@ def new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (SELECT *, e <= length(text) AND (v = '' OR substr(text, (s + 1)::INT, 8) = v) AS there, strpos(text, v) AS p FROM d)
 SELECT doc_id, coalesce(CASE WHEN there THEN s WHEN v <> '' AND p > 0 AND strpos(substr(text, p + 1), v) = 0 THEN p - 1 END, -1)::INTEGER AS start, coalesce(CASE WHEN there THEN e WHEN v <> '' AND p > 0 AND strpos(substr(text, p + 1), v) = 0 THEN p - 1 + length(v) END, -1)::INTEGER AS "end" FROM x""")
 def repaired_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, s = F.col("text"), (D % 50).cast("int")
-    v = F.when(D % 4 == 0, F.substr(t, s + 1, F.lit(8))).when(D % 4 == 1, F.substring(t, 3, 12)).when(D % 4 == 2, "the").otherwise("")
+    t, s = F.col("text"), (F.col("doc_id") % 50).cast("int")
+    v = F.when(F.col("doc_id") % 4 == 0, F.substr(t, s + 1, F.lit(8))).when(F.col("doc_id") % 4 == 1, F.substring(t, 3, 12)).when(F.col("doc_id") % 4 == 2, "the").otherwise("")
     r = evidence.repaired_span(t, s, s + 8, v)
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(r["start"], F.lit(-1)).alias("start"), F.coalesce(r["end"], F.lit(-1)).alias("end"))
 
@@ -208,7 +207,7 @@ _KINDS = [*privacy.IDENTITY, "phone", "api_key", "secret", "score_record", "educ
 
 @query(f"SELECT doc_id, r AS risk_type FROM (SELECT doc_id, {_KINDS}[doc_id % {len(_KINDS)} + 1] AS r FROM labels) WHERE r IN ('phone', 'phone_number', 'credential', 'secret', 'api_key', 'token', 'password', 'education_record', 'score_record', 'disciplinary_record')")
 def selected_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.selected_entities(labels(spark, sf_dir).select("doc_id", pick(_KINDS, D % len(_KINDS)).alias("risk_type")), _SEL)
+    return privacy.selected_entities(labels(spark, sf_dir).select("doc_id", pick(_KINDS, F.col("doc_id") % len(_KINDS)).alias("risk_type")), _SEL)
 
 
 # ---- video

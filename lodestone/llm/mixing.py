@@ -8,7 +8,8 @@ a prefix, in the seeded order of the next epoch, of texts whose tokens still fit
 
 Only figures per leaf reach the driver (``MAX_LEAVES`` at most, else an error). A
 leaf's prefix is found without sorting the leaf: its order is cut into ``BINS`` equal
-hash ranges, whose sums say in which bin the prefix ends, and only that bin is sorted.
+hash ranges, whose sums say in which bin the prefix ends; that bin is cut into as many
+again, and only the part in which the prefix ends is sorted.
 
 Edge cases: null or empty texts have no tokens and are taken with the prefix they
 fall in; null languages and sources count as ''; equal rows have equal places in the
@@ -27,12 +28,24 @@ from pyspark.sql.window import Window
 from lodestone.llm.common import written
 
 MAX_LEAVES = 100_000
+#: a power of two
 BINS = 4096
 Path = tuple[str, ...]
 #: weight of a child: (path of the child, tokens below it) -> weight
 Weight = Callable[[Path, int], float]
 
 
+def stated(weights: dict[str, dict[str, float]], other: Weight) -> Weight:
+    """Target weights by level and name: {"domain": {name: weight}, "lang": ...}, levels in the order of the tree; names left out weigh 0, levels left out weigh as ``other`` says."""
+    levels = list(weights.values())
+
+    def weight(path: Path, tokens: int) -> float:
+        k = len(path) - 1
+        return levels[k].get(path[-1], 0.0) if k < len(levels) else other(path, tokens)
+
+    return weight
+
+
 def tempered(power: float) -> Weight:
     """Weights that grow with the tokens at hand to a power below 1, so that small sources gain."""
     return lambda path, tokens: float(tokens) ** power
@@ -94,28 +107,44 @@ def mixed(docs: DataFrame, share: float, weight: Weight, max_epochs: int = 2, se
     kind = ", ".join(f"{n} string" for n in names)
     rows = [(*p, *(divmod(b, tokens[p]) if tokens[p] else (max_epochs, 0))) for p, b in plan.items()]
     leaves = F.broadcast(spark.createDataFrame(rows, f"{kind}, _full bigint, _rest bigint"))  # MAX_LEAVES rows at most
-    order = F.xxhash64(F.lit(seed), F.col("_full"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    dealt = out.join(leaves, names).withColumn("_order", order).withColumn("_bin", F.shiftright(F.col("_order"), 52).cast("int") + BINS // 2)
-    bins = dealt.groupBy(*names, "_bin").agg(F.sum("n_tokens").alias("t"), F.first("_rest").alias("r"))
-    run = Window.partitionBy(*names).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows a leaf at most
-    ends = bins.withColumn("c", F.sum("t").over(run)).filter("c > r").groupBy(*names).agg(F.min(F.struct("_bin", (F.col("c") - F.col("t")).alias("before"))).alias("x"))
-    ends = written(ends.select(*names, F.col("x._bin").alias("_end"), F.col("x.before").alias("_before")), "ends")
-    dealt = dealt.join(F.broadcast(ends), names, "left")  # a row a leaf
-    whole = dealt.filter(F.col("_end").isNull() | (F.col("_bin") != F.col("_end")))
-    taken = (F.col("_end").isNull() | (F.col("_bin") < F.col("_end"))) & (F.col("_full") < max_epochs)
-    whole = whole.withColumn("n_copies", F.col("_full") + taken.cast("long"))
+    order = F.xxhash64(F.lit(seed), F.col("_full"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    dealt = out.join(leaves, names).withColumn("_order", order)
+    bits = BINS.bit_length() - 1
+
+    def ended(rows: DataFrame, shift: int, before: Column) -> tuple[DataFrame, DataFrame]:
+        """Rows outside the bin in which their leaf's prefix ends, with n_copies, and those in it, with _before (tokens of the prefix before the bin)."""
+        rows = rows.withColumn("_bin", F.shiftright("_order", shift).bitwiseAND(BINS - 1).cast("int"))
+        if shift == 64 - bits:  # the sign stands in front
+            rows = rows.withColumn("_bin", F.pmod(F.col("_bin") + BINS // 2, F.lit(BINS)))
+        bins = rows.groupBy(*names, "_bin").agg(F.sum("n_tokens").alias("t"), F.first("_rest").alias("r"), F.first(before).alias("b"))
+        run = Window.partitionBy(*names).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows a leaf at most
+        ends = bins.withColumn("c", F.col("b") + F.sum("t").over(run)).filter("c > r").groupBy(*names).agg(F.min(F.struct("_bin", (F.col("c") - F.col("t")).alias("before"))).alias("x"))
+        ends = written(ends.select(*names, F.col("x._bin").alias("_end"), F.col("x.before").alias("_until")), "ends")
+        rows = rows.join(F.broadcast(ends), names, "left")  # a row a leaf
+        apart = rows.filter(F.col("_end").isNull() | (F.col("_bin") != F.col("_end")))
+        taken = (F.col("_end").isNull() | (F.col("_bin") < F.col("_end"))) & (F.col("_full") < max_epochs)
+        inside = rows.filter(F.col("_bin") == F.col("_end")).drop("_before").withColumnRenamed("_until", "_before").drop("_bin", "_end")
+        return apart.withColumn("n_copies", F.col("_full") + taken.cast("long")).drop("_bin", "_end", "_until", "_before"), inside
+
+    whole, rest = ended(dealt, 64 - bits, F.lit(0).cast("bigint"))
+    more, last = ended(rest, 64 - 2 * bits, F.col("_before"))
     so_far = Window.partitionBy(*names).orderBy("_order", F.col(doc_id), F.col(text)).rowsBetween(Window.unboundedPreceding, 0)
-    last = dealt.filter(F.col("_bin") == F.col("_end"))
-    last = last.withColumn("n_copies", F.col("_full") + (F.col("_before") + F.sum("n_tokens").over(so_far) <= F.col("_rest")).cast("long"))
+    last = last.withColumn("n_copies", F.col("_full") + (F.col("_before") + F.sum("n_tokens").over(so_far) <= F.col("_rest")).cast("long")).drop("_before")
+    whole = whole.unionByName(more)
     both = whole.unionByName(last).withColumn("domain", F.col(names[0]))
-    return both.drop(*names, "_full", "_rest", "_order", "_bin", "_end", "_before")
+    return both.drop(*names, "_full", "_rest", "_order")
 
 
-#: production parameters: share of all tokens to take, and the power of the tempered weights
+#: production parameters: share of all tokens to take, target weights of domains and languages, and the power by which sources are tempered
 SHARE, POWER = 0.9, 0.7
+TARGETS = {"domain": {"domain0": 0.5, "domain1": 0.15, "domain2": 0.2, "domain3": 0.15}, "lang": {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}}
+
+
+def production() -> Weight:
+    return stated(TARGETS, tempered(POWER))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mixture takes each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return mixed(docs, SHARE, tempered(POWER)).select("doc_id", "domain", "lang", "source", "n_tokens", "n_copies")
+    return mixed(docs, SHARE, production()).select("doc_id", "domain", "lang", "source", "n_tokens", "n_copies")

@@ -163,10 +163,16 @@ def fit(sample: DataFrame) -> ToxicityModel:
                 s = shared.value.token_scores(at, y[i:j][w.doc].astype(float))
                 hist = np.bincount(np.round((s[y[i:j][w.doc] == 0] - LOW) / (HIGH - LOW) * (bins - 1)).astype(int), minlength=bins)
                 best = [segments(s[a:z]) for a, z in zip(w.first, w.first[1:])]
-                rows = [(max((x[0] for x in f), default=0.0), int(z - a), [x[0] for x in f]) for f, a, z in zip(best, w.first, w.first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(y[i:j].astype(np.int32)), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([hist.tolist()] + [None] * (j - i - 1), pa.list_(pa.int64()))], names=["y", "s", "n", "all", "hist"])
-
-    got = sample.select("text", "y").mapInArrow(tidied(kernel), "y int, s double, n bigint, all array<double>, hist array<bigint>").toArrow()
+                sure = fitted.value if fitted else None
+                rows = []
+                for f, a, z in zip(best, w.first, w.first[1:]):
+                    base = sure[1] + np.log(max(int(z - a), 1)) if sure else 0.0
+                    rows.append((max((x[0] for x in f), default=0.0), int(z - a), sum(sure[0] * x[0] - base > 4.6 for x in f) if sure else 0))
+                yield pa.RecordBatch.from_arrays([pa.array(y[i:j].astype(np.int32)), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([hist.tolist()] + [None] * (j - i - 1), pa.list_(pa.int64()))], names=["y", "s", "n", "many", "hist"])
+
+    fitted = None
+    kinds = "y int, s double, n bigint, many bigint, hist array<bigint>"
+    got = sample.select("text", "y").mapInArrow(tidied(kernel), kinds).toArrow()
     y, s, n = got["y"].to_numpy().astype(float), got["s"].to_numpy(), got["n"].to_numpy()
     hist = np.sum([h for h in got["hist"].to_pylist() if h], axis=0) + 1e-9
     values = LOW + np.arange(bins) * (HIGH - LOW) / (bins - 1)
@@ -179,9 +185,12 @@ def fit(sample: DataFrame) -> ToxicityModel:
     quiet = (y == 0) & (n > 0) & (s > 0)
     # the mean of lambda s - ln n of chance maxima is ln K + Euler's constant
     model.log_k = float((model.lam * s[quiet] - np.log(n[quiet])).mean() - 0.5772156649) if quiet.sum() >= 20 else -1.0
+    # the second look counts significant segments where they are, so that a few numbers a text go to the driver
+    fitted = sample.sparkSession.sparkContext.broadcast((model.lam, model.log_k))
+    got = sample.select("text", "y").mapInArrow(tidied(kernel), kinds).drop("hist").toArrow()
+    y, s, n, many = got["y"].to_numpy().astype(float), got["s"].to_numpy(), got["n"].to_numpy(), got["many"].to_numpy().astype(float)
     base = model.log_k + np.log(np.maximum(n, 1))
     best = np.where(s > 0, np.clip(model.lam * s - base, -5, 40), -5.0)
-    many = np.array([sum(model.lam * x - b > 4.6 for x in f) for f, b in zip(got["all"].to_pylist(), base)], float)
     x = np.column_stack([np.ones(len(y)), best, np.log1p(many)])
     order = np.lexsort((n, many, best, y))  # sums in one order
     x, y = x[order], y[order]

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import katz, mixing, piece_sampling, quality_fm, secret_scan, toxicity
+from lodestone.llm import katz, mixing, piece_sampling, quality_fm, secret_scan, spotsigs, toxicity
 from lodestone.llm.common import text_buffers
 
 HEXES = "0123456789abcdef"
@@ -197,23 +197,120 @@ def test_budgets_go_to_siblings_first():
     assert sum(mixing.budgets(t, 10**6, even, 2).values()) == 2820 and mixing.budgets({}, 5, even, 1) == {}
 
 
-def test_mixture_takes_token_prefixes(spark):
+def plain_mixture(rows, share, weight, most, seed, order):
+    """n_copies of every row: budgets handed down the tree, then whole epochs and the prefix of the seeded order."""
+    leaf = lambda r: (r["domain"], r["lang"] or "", r["source"] or "")
+    leaves = {}
+    for k, r in enumerate(rows):
+        leaves.setdefault(leaf(r), []).append(k)
+    tokens = {p: sum(rows[k]["n_tokens"] for k in ks) for p, ks in leaves.items()}
+    plan = mixing.budgets(tokens, int(share * sum(tokens.values())), weight, most)
+    out = {}
+    for p, ks in leaves.items():
+        full, rest = divmod(plan[p], tokens[p]) if tokens[p] else (most, 0)
+        so_far = 0
+        for k in sorted(ks, key=lambda k: (order[k], rows[k]["doc_id"] is not None, rows[k]["doc_id"] or 0, rows[k]["text"] or "")):
+            so_far += rows[k]["n_tokens"]
+            out[k] = full + (so_far <= rest and full < most)
+    return out
+
+
+@pytest.mark.parametrize("bins", [4096, 4])
+def test_mixture_takes_token_prefixes(spark, monkeypatch, bins):
+    monkeypatch.setattr(mixing, "BINS", bins)
     rng = random.Random(6)
-    rows = [(i, "w " * rng.randrange(0, 40), rng.choice(["en", "de", None]), rng.choice(["s1", "s1", "s1", "s2"])) for i in range(500)] + [(7, None, "en", "s1")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("domain", F.lit("clash"))
-    out = mixing.mixed(docs, 0.8, mixing.tempered(0.5)).toPandas()
-    assert len(out) == len(rows)
-    leaf = lambda r: (r.domain, r.lang or "", r.source)
-    tokens, taken = collections.Counter(), collections.Counter()
-    for r in out.itertuples():
-        tokens[leaf(r)] += r.n_tokens
-        taken[leaf(r)] += r.n_tokens * r.n_copies
-    plan = mixing.budgets(dict(tokens), int(0.8 * sum(tokens.values())), mixing.tempered(0.5), 2)
-    for k, b in plan.items():
-        assert b - 40 < taken[k] <= b
-    again = mixing.mixed(docs.repartition(7), 0.8, mixing.tempered(0.5)).toPandas()
-    assert sorted(zip(out.doc_id, out.n_copies)) == sorted(zip(again.doc_id, again.n_copies))
-    assert mixing.mixed(docs.limit(0), 0.8, mixing.tempered(0.5)).count() == 0
+    rows = [(i if i % 40 else None, "w " * rng.randrange(0, 40), rng.choice(["en", "de", None]), rng.choice(["s1", "s1", "s1", "s2", None])) for i in range(500)] + [(7, None, "en", "s1")] + [(9, "same row of six words here", "en", "s1")] * 30
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("domain", F.lit("clash")).withColumn("_order", F.lit(3))
+    weight = mixing.stated({"domain": {f"domain{k}": 1.0 + k for k in range(4)}, "lang": {"en": 3.0, "de": 1.0, "": 0.5}}, mixing.tempered(0.5))
+    out = [r.asDict() for r in mixing.mixed(docs.drop("_order"), 0.8, weight).collect()]
+    assert len(out) == len(rows) and collections.Counter((r["doc_id"], r["text"]) for r in out) == collections.Counter(r[:2] for r in rows)
+    # the order is that of the hash of seed, epoch, id and text
+    leaf = lambda r: (r["domain"], r["lang"] or "", r["source"] or "")
+    tokens = collections.Counter()
+    for r in out:
+        tokens[leaf(r)] += r["n_tokens"]
+    plan = mixing.budgets(dict(tokens), int(0.8 * sum(tokens.values())), weight, 2)
+    full = {p: plan[p] // n if n else 2 for p, n in tokens.items()}
+    keyed = spark.createDataFrame([(k, full[leaf(r)], str(r["doc_id"]) if r["doc_id"] is not None else "", r["text"] or "") for k, r in enumerate(out)], "k int, f bigint, i string, t string")
+    order = {r["k"]: r["h"] for r in keyed.select("k", F.xxhash64(F.lit(11), "f", "i", "t").alias("h")).collect()}
+    assert plain_mixture(out, 0.8, weight, 2, 11, order) == {k: r["n_copies"] for k, r in enumerate(out)}
+    taken = collections.Counter()
+    for r in out:
+        taken[leaf(r)] += r["n_tokens"] * r["n_copies"]
+    assert all(b - 40 < taken[p] <= b for p, b in plan.items())
+    again = mixing.mixed(docs.drop("_order").repartition(7), 0.8, weight).collect()
+    assert collections.Counter((r["doc_id"], r["text"], r["n_copies"]) for r in again) == collections.Counter((r["doc_id"], r["text"], r["n_copies"]) for r in out)
+    assert mixing.mixed(docs.limit(0), 0.8, weight).count() == 0
+
+
+def test_planted_secrets_are_found_and_prose_is_left(spark):
+    """Random strings of every alphabet planted in real texts: recall and false alarms of the model alone."""
+    rng = random.Random(8)
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").orderBy("doc_id").collect() if r["text"]]
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF"]
+    rows, planted = [], []
+    for k in range(300):
+        words = rng.choice(docs).split(" ")[:200]
+        key = "".join(rng.choice(alphabets[k % 5]) for _ in range(rng.choice([20, 24, 32, 40, 64])))
+        at = rng.randrange(len(words) + 1)
+        before = " ".join(words[:at])
+        planted.append((len(before) + (1 if at else 0), key))
+        rows.append((k, " ".join([*words[:at], key, *words[at:]])))
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    hit = sum(f"markov:{s}:{s + len(key)}" in got[k].split(",") for k, (s, key) in enumerate(planted))
+    every = sum(x.startswith("markov") for v in got.values() for x in v.split(",") if x)
+    clean = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "doc_id bigint, text string")
+    false = secret_scan.scan(clean).agg(F.sum("n_markov")).first()[0]
+    assert hit / len(planted) >= 0.95 and hit / every >= 0.95 and false <= 2, (hit, every, false)
+
+
+def test_operators_on_odd_rows(spark):
+    """Null ids and texts, repeated rows, a long text and columns with clashing names give a row each; empty tables none."""
+    long = "word other thing " * 20000
+    rows = [(None, "one text"), (None, None), (1, "the a b"), (1, "the a b"), (2, ""), (3, long), (4, "Å ü \u3000 😀 " * 3), (-(2**63), "least id"), (2**63 - 1, "most")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in ("score", "held", "s", "n", "blob", "key", "vocab", "_key", "_block", "fingerprint")})
+    lab = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 5)] + [(None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    model = piece_sampling.model_bytes()
+    for f in (
+        lambda d: secret_scan.scan(d), lambda d: toxicity.scored(d, toxicity.fitted_on(d, lab)), lambda d: quality_fm.scored(d, quality_fm.fit(quality_fm.training_sample(d, lab, "quality", 3, 1, 10))),
+        lambda d: katz.score_texts(d.withColumn("held", F.lit(False))), lambda d: katz.score_texts(d.withColumn("held", F.lit(True))), lambda d: spotsigs.with_next(d, 3), lambda d: piece_sampling.encoded(d, model).filter("sample = 1"),
+    ):
+        assert f(docs).count() == len(rows) and f(docs.limit(0)).count() == 0
+    one = spark.createDataFrame([(5, "only row of the table")], "doc_id bigint, text string")
+    r = spotsigs.with_next(one, 3).first()
+    assert r["next_text"] == "only row of the table"
+    got = katz.score_texts(docs.withColumn("held", F.lit(True))).agg(F.max("train_tokens"), F.max("n_known")).first()
+    assert tuple(got) == (0, 0)
+
+
+def test_fingerprint_query_against_a_plain_version(spark, tmp_path):
+    rng = random.Random(3)
+    texts = ["the cat sat on the mat " * 3, "The dog of the house! and a bone", "", None, "é😀x", "a", "one two three four five", "the cat sat on the mat " * 3] + [" ".join(rng.choice(["the", "of", "cat", "dog", "sun", "a", "tree"]) for _ in range(rng.randrange(60))) for _ in range(30)]
+    rows = [(k * 3 - 20, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in spotsigs.op10_document_fingerprints(spark, str(tmp_path)).collect()}
+    ids = sorted((i for i, _ in rows), reverse=True)
+    text = {i: t or "" for i, t in rows}
+    edited = {i: text[i][: len(text[i]) - len(text[i]) // 2] + text[ids[(k + 1) % len(ids)]][: len(text[i]) // 2] for k, i in enumerate(ids)}
+    every = [*text.values(), *edited.values()]
+    sigs = {r["t"]: set(r["s"]) for r in spark.createDataFrame([(t,) for t in set(every)], "t string").select("t", spotsigs.signatures(F.col("t")).alias("s")).collect()}
+    like = lambda a, b: len(sigs[a] & sigs[b]) / len(sigs[a] | sigs[b])
+    print_of = lambda t: ",".join(str(x) for x in sorted(sigs[t]))
+    for k, i in enumerate(ids):
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(text[i]), hashlib.sha256(edited[i].encode()).hexdigest(), print_of(text[i]), print_of(edited[i]))
+        assert r["near_edited"] == pytest.approx(like(text[i], edited[i])) and r["near_next"] == pytest.approx(like(text[i], text[ids[(k + 1) % len(ids)]]))
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "a text without an id here", "en", "s1", 3), (1, None, None, None, 0), (2, "same words in both of them " * 4, "en", "s1", 9), (2, "same words in both of them " * 4, "en", "s1", 9), (3, "", "de", "s2", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() >= 0 and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        assert k == 4 or out.columns == docs.columns
+    kept = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()
+    assert collections.Counter(r["doc_id"] for r in kept) == {None: 1, 1: 1, 2: 1, 3: 1}
 
 
 VOCAB = [" ", "a", "b", " a", "ab", "ba", "aab", " ab", "é"]

@@ -34,7 +34,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture, as often as it takes them."""
-    mixed = mixing.mixed(docs, mixing.SHARE, mixing.tempered(mixing.POWER)).filter("n_copies > 0")
+    mixed = mixing.mixed(docs, mixing.SHARE, mixing.production()).filter("n_copies > 0")
     return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("n_copies").cast("int")))).select(*docs.columns)
 
 

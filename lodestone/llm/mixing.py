@@ -29,7 +29,7 @@ from lodestone.llm.common import written
 
 MAX_LEAVES = 100_000
 #: a power of two
-BINS = 4096
+BINS = 512
 Path = tuple[str, ...]
 #: weight of a child: (path of the child, tokens below it) -> weight
 Weight = Callable[[Path, int], float]

@@ -117,23 +117,24 @@ def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, p - 1 AS start, substr(text, greatest(p - 40, 1), p - greatest(p - 40, 1)) AS context_before, substr(text, p + 5, 40) AS context_after
-FROM (SELECT doc_id, text, strpos(lower(text), 'idiot') AS p FROM documents) WHERE p > 0
+WITH h AS (SELECT doc_id, text, unnest(list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * 5))::BIGINT AS start
+  FROM (SELECT doc_id, text, string_split(lower(text), 'idiot') AS p FROM documents WHERE contains(lower(text), 'idiot')))
+SELECT doc_id, start, substr(text, greatest(start - 40, 0) + 1, start - greatest(start - 40, 0)) AS context_before, substr(text, start + 6, 40) AS context_after FROM h
 """)
 def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    first = scans.keyword_spans(docs, ["idiot"]).groupBy("doc_id").agg(F.min("start").cast("bigint").alias("start"))
+    hits = scans.keyword_spans(docs, ["idiot"]).select("doc_id", F.col("start").cast("bigint").alias("start"))
     before, after = scans.context(F.col("text"), F.col("start").cast("int"), F.col("start").cast("int") + 5, 40)
-    return docs.join(first, "doc_id").select("doc_id", "start", before.alias("context_before"), after.alias("context_after"))
+    return docs.join(hits, "doc_id").select("doc_id", "start", before.alias("context_before"), after.alias("context_after"))
 
 
 SECRETS = "|".join(f"(?:{scans.NAMED[k]})" for k in scans.SECRET_NAMES)  # a flag holds within its group
-_SECRETS = "|".join(f"(?:{scans.NAMED[k].replace('(?i)', '')})" for k in scans.SECRET_NAMES)
+# the same patterns, with the flag's group written as both engines read it
+_SECRETS = "|".join(f"(?i:{scans.NAMED[k].removeprefix('(?i)')})" if scans.NAMED[k].startswith("(?i)") else f"(?:{scans.NAMED[k]})" for k in scans.SECRET_NAMES)
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{_SECRETS.replace(chr(39), chr(39) * 2)}'))::INTEGER AS secrets FROM documents WHERE regexp_matches(text, '{_SECRETS.replace(chr(39), chr(39) * 2)}')")
 def secret_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL reads key names in lower case alone; the operator reads them in any case."""
     d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(SECRETS))
     return d.select("doc_id", F.size(scans.spans(F.col("text"), SECRETS)).alias("secrets"))
 

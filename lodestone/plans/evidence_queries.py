@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import geometry as g
-from lodestone.operators import audio, evidence, picture, privacy, text_prep, video
+from lodestone.operators import audio, entities, evidence, picture, privacy, text_prep, video
 from lodestone.plans.picture_queries import _F as _PIC
 from lodestone.plans.picture_queries import findings as pictures
 from lodestone.plans.policy_queries import pick
@@ -346,3 +346,16 @@ def audio_moderation(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.coalesce("text", F.lit("")), F.when(t % 5 == 1, " protest").when(t % 5 == 2, " self harm").when(t % 5 == 3, " 歧视").otherwise(""))
     m = audio.moderation(said)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", m["level"].alias("level"), m["category"].alias("category"))
+
+
+@query()
+def transcript_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "documents")
+    return entities.without_overlaps(entities.recalled(c)).drop("match")
+
+
+@query("SELECT user_id, event_type, regexp_matches(v, '清华大学|北京大学|北大') OR regexp_matches(v, '(学院|公司)$') AS public FROM (SELECT user_id, event_type, CASE event_id % 4 WHEN 0 THEN '北 大' WHEN 1 THEN event_type || '公司 ' WHEN 2 THEN '公司' || event_type ELSE event_type END AS w, replace(w, ' ', '') AS v FROM events)")
+def public_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, t = F.col("event_id"), F.col("event_type")
+    v = F.when(e % 4 == 0, "北 大").when(e % 4 == 1, F.concat(t, F.lit("公司 "))).when(e % 4 == 2, F.concat(F.lit("公司"), t)).otherwise(t)
+    return table(spark, sf_dir, "events").select("user_id", "event_type", entities.public_organisation(v).alias("public"))

@@ -9,7 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import audio, content, decisions, dedup, picture, policies, privacy, scans, spans, text_prep, video, vision
+from lodestone.operators import audio, content, decisions, dedup, entities, picture, policies, privacy, scans, spans, text_prep, video, vision
 from lodestone.plans import profiles, text_queries
 from lodestone.sources import packages
 from lodestone.streaming import facade
@@ -337,3 +337,37 @@ def test_streams(spark, tmp_path):
     assert {r["key"] for r in spark.table("uniq").collect()} == {"k", "j"} and spark.table("uniq").count() == 2
     assert sorted((r["key"], r["parts"]) for r in spark.table("sess").collect()) == [("j", 1), ("k", 1), ("k", 2)]
     assert spark.table("slide").filter("key = 'k'").agg(F.max("n")).first()[0] == 2
+
+
+def test_transcript_entities_against_a_plain_version(spark):
+    rng = random.Random(5)
+    parts = ["电话 13812345678", "a.b@c.org", "身份证 11010519491231002X", "11010519491231002A", "4111 1111 1111 1111", "卡号 4111111111111112", "QQ: 12345678", "京A12345", "010-12345678", "联系方式 010-12345678", "212-555-0123", "123-45-6789", "北京市海淀区中关村路", "student id: ab_12", "words"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(6))) for _ in range(60)] + [None, ""]
+
+    def good(entity, v):
+        if entity == "CN_ID_CARD":
+            return "10X98765432"[sum(int(c) * w for c, w in zip(v, (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2))) % 11] == v[-1].upper()
+        if entity == "CREDIT_CARD":
+            d = [int(c) for c in v if c.isdigit()]
+            total = sum(x if (len(d) - k) % 2 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(d))
+            return 12 <= len(d) <= 19 and total % 10 == 0
+        return True
+
+    want = set()
+    for k, t in enumerate(texts):
+        found = []
+        for entity, rx, i, g, low, high in entities.PATTERNS:
+            for m in re.finditer(rx, t or "", re.I if i else 0):
+                near = t[max(0, m.start(g) - 24) : m.end(g) + 24].lower()
+                score = high if any(w in near for w in entities.CONTEXT.get(entity, ())) else low
+                if score and good(entity, m[g]):
+                    found.append((-score, m.start(g), -(m.end(g) - m.start(g)), entity, m.end(g)))
+        kept = []
+        for e in sorted(found, key=lambda e: e[:3]):
+            if not any(e[1] < x[4] and e[4] > x[1] for x in kept):
+                kept.append(e)
+        want |= {(k, e[3], e[1], e[4], -e[0]) for e in kept}
+    got = {(r["doc_id"], r["entity"], r["start"], r["end"], r["score"]) for r in entities.without_overlaps(entities.recalled(docs(spark, *texts))).collect()}
+    assert got == want and len({x[1] for x in want}) >= 9
+    names = spark.createDataFrame([("北大 附中",), ("某某出版社",), ("张三",), (None,)], "v string").select(entities.public_organisation(F.col("v")).alias("p"))
+    assert [r["p"] for r in names.collect()] == [True, True, False, False]

@@ -77,3 +77,23 @@ def public_organisation(value: Column) -> Column:
     """Whether a name is that of a public organisation, holds one, or ends like one."""
     v = F.regexp_replace(F.coalesce(value, F.lit("")), "(?U)\\s+", "")
     return v.rlike("|".join(PUBLIC)) | v.rlike(f"(?:{'|'.join(ENDINGS)})$")
+
+
+# Entity of an external recogniser -> (risk type, policy tag, severity, replacement), and the least score.
+RECOGNISED = {
+    "EMAIL_ADDRESS": ("email", "pii.email", "low", "<EMAIL>"), "PHONE_NUMBER": ("phone", "pii.phone", "medium", "<PHONE>"), "PERSON": ("person_name", "pii.person_name", "low", "<PERSON>"),
+    "ORGANIZATION": ("organization", "pii.organization", "low", "<ORGANIZATION>"), "LOCATION": ("address", "pii.address", "medium", "<ADDRESS>"), "CREDIT_CARD": ("bank_card", "pii.bank_card", "high", "<BANK_CARD>"),
+    "CRYPTO": ("crypto_wallet", "pii.crypto_wallet", "high", "<CRYPTO_WALLET>"), "IBAN_CODE": ("bank_account", "pii.bank_account", "high", "<BANK_ACCOUNT>"), "BANK_ACCOUNT": ("bank_account", "pii.bank_account", "high", "<BANK_ACCOUNT>"),
+    "IP_ADDRESS": ("ip_address", "pii.ip_address", "low", "<IP_ADDRESS>"), "URL": ("url", "pii.url", "low", "<URL>"), "ID_CARD": ("id_card", "pii.id_card", "high", "<ID_CARD>"), "PASSPORT": ("id_card", "pii.id_card", "high", "<ID_CARD>"),
+    "DRIVER_LICENSE": ("id_card", "pii.id_card", "high", "<ID_CARD>"), "US_SSN": ("id_card", "pii.id_card", "high", "<ID_CARD>"), "US_DRIVER_LICENSE": ("id_card", "pii.id_card", "high", "<ID_CARD>"), "US_PASSPORT": ("id_card", "pii.id_card", "high", "<ID_CARD>"),
+    "CN_ID_CARD": ("id_card", "pii.id_card", "high", "<ID_CARD>"), "CN_PHONE_NUMBER": ("phone", "pii.phone", "medium", "<PHONE>"), "STUDENT_ID": ("student_id", "pii.student_id", "medium", "<STUDENT_ID>"),
+    "PARENT_CONTACT": ("parent_contact", "pii.parent_contact", "high", "<PARENT_CONTACT>"), "EDUCATION_RECORD": ("education_record", "pii.education_record", "medium", "<EDU_RECORD>"), "WECHAT_ID": ("social_account", "pii.social_account.wechat", "medium", "<WECHAT_ID>"),
+    "QQ_NUMBER": ("social_account", "pii.social_account.qq", "medium", "<QQ_NUMBER>"), "ALIPAY_ID": ("payment_account", "pii.payment_account.alipay", "high", "<ALIPAY_ID>"), "LICENSE_PLATE": ("vehicle_identifier", "pii.vehicle.license_plate", "medium", "<LICENSE_PLATE>"),
+}
+LEAST_SCORE = 0.45
+
+
+def as_findings(entities: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """Entities (entity, score) as findings: risk_type, policy_tag, severity, replacement; unknown entities and low scores go."""
+    named = {n: lookup(F.col("entity"), {e: v[k] for e, v in RECOGNISED.items()}) for k, n in enumerate(("risk_type", "policy_tag", "severity", "replacement"))}
+    return entities.filter(F.col("score") >= least).withColumns(named).filter("risk_type is not null")

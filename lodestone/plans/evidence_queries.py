@@ -359,3 +359,13 @@ def public_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, t = F.col("event_id"), F.col("event_type")
     v = F.when(e % 4 == 0, "北 大").when(e % 4 == 1, F.concat(t, F.lit("公司 "))).when(e % 4 == 2, F.concat(F.lit("公司"), t)).otherwise(t)
     return table(spark, sf_dir, "events").select("user_id", "event_type", entities.public_organisation(v).alias("public"))
+
+
+_ENT = [*entities.RECOGNISED, "DATE_TIME", "NRP"]
+_MAP = ", ".join(str((e, *v)) for e, v in entities.RECOGNISED.items())
+
+
+@query(f"SELECT o_orderkey, risk_type, policy_tag, severity, replacement FROM (SELECT o_orderkey, {_ENT}[o_orderkey % {len(_ENT)} + 1] AS entity, o_custkey % 100 / 100.0 AS score FROM orders) JOIN (VALUES {_MAP}) m(entity, risk_type, policy_tag, severity, replacement) USING (entity) WHERE score >= 0.45")
+def recognised_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "orders").select("o_orderkey", pick(_ENT, F.col("o_orderkey") % len(_ENT)).alias("entity"), (F.col("o_custkey") % 100 / 100.0).alias("score"))
+    return entities.as_findings(e).select("o_orderkey", "risk_type", "policy_tag", "severity", "replacement")

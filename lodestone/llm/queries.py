@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.alignment import op12_tokenizer_alignment
+from lodestone.llm.chat_format import OP11_SQL, op11_chat_formatting
 from lodestone.llm.exact_topk import OP8_SQL, op8_exact_topk
+from lodestone.llm.filter_audit import OP13_SQL, op13_filter_audit
 from lodestone.llm.jaccard_join import OP4_SQL, op4_ngram_jaccard_join
 from lodestone.llm.katz import op7_lm_scoring
 from lodestone.llm.mixing import op9_mixing
@@ -30,9 +33,14 @@ QUERIES: dict[str, Query] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_mixing": op9_mixing,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_chat_formatting": op11_chat_formatting,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_ngram_jaccard_join": OP4_SQL,
     "op8_exact_topk": OP8_SQL,
+    "op11_chat_formatting": OP11_SQL,
+    "op13_filter_audit": OP13_SQL,
 }

@@ -34,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,9 @@ CHUNK_BYTES = 1 << 24
 WIDE = 1 << 12
 # Fixed value: how the byte-level tokenizer cuts text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: white space in a row that the faster library is not given
+LONG_BLANK = 100_000
+BLANK_RUN = re.compile(rf"\s{{{LONG_BLANK}}}")
 #: labels of a byte: no token ends there, one of A, one of B, both
 LABELS = np.frombuffer(b".ab=", np.uint8)
 SPAN = re.compile(rb"[^=]*=")
@@ -71,9 +75,17 @@ class ByteLevel:
         for b, i in of.items():
             self.bytes[i] = b
         self._bpe = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=of, special_tokens={})
+        self._source, self._slow = source, None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self._bpe.encode_ordinary(t) for t in texts]
+        return [self._blank(t) if len(t) > LONG_BLANK and BLANK_RUN.search(t) else self._bpe.encode_ordinary(t) for t in texts]
+
+    def _blank(self, text: str) -> list[int]:
+        """The same ids, from the library that reads the file itself: the faster one overflows its stack on such runs."""
+        if self._slow is None:
+            self._slow = tokenizers.Tokenizer.from_buffer(self._source)
+            self._slow.encode_special_tokens = True
+        return self._slow.encode(text, add_special_tokens=False).ids
 
 
 class PieceModel:

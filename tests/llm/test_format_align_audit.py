@@ -176,6 +176,12 @@ def test_wide_groups_are_linked_by_ids():
     assert dict(zip(pair.tolist(), times.tolist())) == {13: 3000, 14: 2000, 23: 3000, 24: 2000}
 
 
+def test_long_runs_of_white_space():
+    a = alignment.ByteLevel(alignment.file_bytes(alignment.BYTE_LEVEL))
+    long, short = (a.encode(["x" + " " * n + "y <|endoftext|>"])[0] for n in (700_000, 70))
+    assert long[:1] == short[:1] and long[-8:] == short[-8:] and b"".join(map(a.bytes.__getitem__, long)) == b"x" + b" " * 700_000 + b"y <|endoftext|>"
+
+
 def test_label_string_and_spans():
     import numpy as np
 

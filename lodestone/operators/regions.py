@@ -92,9 +92,19 @@ def plain(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)\\W+", ""))
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is made once: the lambda binds it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def letters_of(t: Column) -> Column:
+    return F.filter(F.split(t, ""), lambda c: c != "")
+
+
 def pairs_of(t: Column) -> Column:
     """Distinct pairs of neighbouring characters; the text itself if shorter."""
-    return F.when(F.length(t) <= 2, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))))
+    pairs = lambda c: F.array_distinct(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.concat(a, b)))
+    return F.when(F.length(t) <= 2, F.array(t)).otherwise(once(letters_of(t), pairs))
 
 
 def alike(spans: DataFrame, units: DataFrame) -> DataFrame:
@@ -111,32 +121,31 @@ def alike(spans: DataFrame, units: DataFrame) -> DataFrame:
     few = F.greatest(F.col("n") - F.ceil(F.col("n") * F.lit(FUZZY) - 1e-9) + 1, F.lit(1)).cast("int")
     first = ranked.select("image_id", "side", "id", F.explode(F.slice("o", F.lit(1), few)).alias("x")).select("image_id", "side", "id", F.col("x.p").alias("p"))
     rare = ranked.select("image_id", "side", "id", F.col("o")[0]["p"].alias("p"))
-    letters = F.when(F.length("norm") > 1, F.array_distinct(F.split("norm", ""))).otherwise(F.array().cast("array<string>"))
-    whole = every.select("image_id", "side", "id", F.explode(F.array_union("two", F.filter(letters, lambda c: c != ""))).alias("p"))
+    whole = every.select("image_id", "side", "id", F.explode(F.array_union("two", letters_of(F.col("norm")))).alias("p"))
 
     def met(a: DataFrame, b: DataFrame) -> DataFrame:
         x = a.filter("side = 0").select("image_id", "p", F.col("id").alias("span_id"))
         return x.join(b.filter("side = 1").select("image_id", "p", F.col("id").alias("unit_id")), ["image_id", "p"]).select("image_id", "span_id", "unit_id")
 
     found = met(rare, whole).unionByName(met(whole, rare)).unionByName(met(first, first)).distinct()
-    found = found.join(s.select("image_id", F.col("id").alias("span_id"), F.col("norm").alias("a")), ["image_id", "span_id"]).join(u.select("image_id", F.col("id").alias("unit_id"), F.col("norm").alias("b")), ["image_id", "unit_id"])
+    text = lambda side, name, t: every.filter(F.col("side") == side).select("image_id", F.col("id").alias(name), F.col("norm").alias(t), F.col("two").alias(f"{t}2"))
+    found = found.join(text(0, "span_id", "a"), ["image_id", "span_id"]).join(text(1, "unit_id", "b"), ["image_id", "unit_id"])
     a, b = F.col("a"), F.col("b")
     held = F.contains(a, b) | F.contains(b, a)
-    both = F.size(F.array_intersect(pairs_of(a), pairs_of(b)))
+    both = F.size(F.array_intersect("a2", "b2"))
     ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
-    likeness = F.when(held, ratio).otherwise(both / (F.size(pairs_of(a)) + F.size(pairs_of(b)) - both))
+    alike_by = once(both, lambda n: n / (F.size("a2") + F.size("b2") - n))
+    likeness = F.when(held, ratio).otherwise(alike_by)
     return found.select("image_id", "span_id", "unit_id", held.alias("held"), likeness.alias("likeness")).filter((F.col("held")) | (F.col("likeness") >= FUZZY))
 
 
-def local_span(text: Column, part: Column) -> Column:
-    """Where ``part`` stands in ``text``: struct of start and end, as it is or else without marks and in small letters; null if nowhere."""
-    at = F.instr(text, part)
+def local_span(text: Column, part: Column, norm: Column, part_norm: Column) -> Column:
+    """Where ``part`` stands in ``text``: struct of start and end, as it is or else without marks and in small letters (``norm``); null if nowhere."""
+    at, p = F.instr(text, part), F.instr(norm, part_norm)
     direct = F.struct((at - 1).alias("start"), (at - 1 + F.length(part)).alias("end"))
-    words = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: (x["c"] != "") & x["c"].rlike("(?U)\\w"))
-    p = F.instr(plain(text), plain(part))
-    end = F.least(F.size(words), p + F.length(plain(part)) - 1)
-    loose = F.struct(F.get(words, p - 1)["i"].alias("start"), (F.get(words, end - 1)["i"] + 1).alias("end"))
-    return F.when((text == "") | (part == ""), None).when(at > 0, direct).when((plain(part) != "") & (p > 0), loose)
+    words = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["c"].rlike("(?U)\\w"))
+    loose = lambda w: F.struct(F.get(w, p - 1)["i"].alias("start"), (F.get(w, F.least(F.size(w), p + F.length(part_norm) - 1) - 1)["i"] + 1).alias("end"))
+    return F.when((text == "") | (part == ""), None).when(at > 0, direct).when((part_norm != "") & (p > 0), once(words, loose))
 
 
 def char_region(unit: Column, start: Column, end: Column, source: str) -> Column:
@@ -178,7 +187,7 @@ def spotted(spans: DataFrame, instances: DataFrame) -> DataFrame:
     j = j.join(i.select("image_id", "unit_id", "norm", "source", F.struct(*_UNIT).alias("u")), ["image_id", "unit_id"])
     bonus = F.when(F.contains("source", F.lit("char")), 2.0).when(F.contains("source", F.lit("rec_poly")), 1.5).when(F.contains("source", F.lit("spotting")), 1.0).otherwise(0.0)
     score = F.when(F.col("held"), quality(F.col("span_norm"), F.col("u"), F.col("norm"))).otherwise(F.col("likeness")) + F.coalesce(bonus, F.lit(0.0))
-    j = j.withColumn("at", local_span(F.col("u.text"), F.col("span_text"))).withColumn("score", score)
+    j = j.withColumn("at", local_span(F.col("u.text"), F.col("span_text"), F.col("norm"), F.col("span_norm"))).withColumn("score", score)
     region = F.when(F.col("at").isNotNull(), char_region(F.col("u"), F.col("at.start"), F.col("at.end"), "spotting")).when(F.contains("norm", "span_norm"), _full(F.col("u"), "spotting_full_instance"))
     return j.withColumn("region", region).filter("region is not null").groupBy("image_id", "span_id").agg(F.min_by("region", F.struct(-F.col("score"), "unit_id")).alias("region"))
 
@@ -222,7 +231,7 @@ def by_text(spans: DataFrame, met: DataFrame, blocks: DataFrame, images: DataFra
     loose = spans.filter("norm != ''").join(first, "image_id").select("image_id", "span_id", F.when(short, F.col("b0")).otherwise(F.col("b1")).alias("unit_id")).filter("unit_id is not null")
     j = met.filter("held").select("image_id", "span_id", "unit_id").unionByName(loose)
     j = j.join(spans.select("image_id", "span_id", F.col("text").alias("span_text"), F.col("norm").alias("span_norm")), ["image_id", "span_id"]).join(blocks.select("image_id", "unit_id", "norm", F.struct(*_UNIT).alias("u")), ["image_id", "unit_id"]).join(images, "image_id", "left")
-    j = j.withColumn("at", local_span(F.col("u.text"), F.col("span_text"))).withColumn("score", quality(F.col("span_norm"), F.col("u"), F.col("norm")))
+    j = j.withColumn("at", local_span(F.col("u.text"), F.col("span_text"), F.col("norm"), F.col("span_norm"))).withColumn("score", quality(F.col("span_norm"), F.col("u"), F.col("norm")))
     j = j.withColumn("part", char_region(F.col("u"), F.col("at.start"), F.col("at.end"), "text_match"))
     region = F.when(F.col("at").isNotNull(), F.when(_small(F.col("part.box"), F.col("span_text")), F.col("part"))).when(_small(F.col("u.box"), F.col("span_text")), _full(F.col("u"), "text_match_full_block"))
     return j.withColumn("region", region).filter("region is not null").groupBy("image_id", "span_id").agg(F.min_by("region", F.struct(-F.col("score"), "unit_id")).alias("region"))

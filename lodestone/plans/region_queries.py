@@ -106,7 +106,7 @@ def _local(t: str, p: str) -> str:
 
 def _cut(rows: str, name: str) -> str:
     """From rows with unit columns and ``at``: what of the unit it takes, as x, y, w, h, conf, source columns prefixed by p."""
-    return f"""(SELECT *, CASE WHEN taken > 0 THEN ((seen + lo) * 8)::DOUBLE WHEN lo <= 0 AND hi >= length(t) THEN x ELSE x + w * {_wide("t", "lo")} / {_wide("t", "length(t)")} END AS px, y AS py,
+    return f"""(SELECT *, CASE WHEN taken > 0 THEN ((seen + lo) * 8)::DOUBLE WHEN lo <= 0 AND hi >= length(t) THEN x ELSE x + w * {_wide("t", "lo")} / {_wide("t", "length(t)")} END AS px, CASE WHEN taken > 0 THEN (b * 60)::DOUBLE ELSE y END AS py,
       CASE WHEN taken > 0 THEN greatest(1.0, taken * 8) WHEN lo <= 0 AND hi >= length(t) THEN w ELSE greatest(1.0, w * ({_wide("t", "hi")} - {_wide("t", "lo")}) / {_wide("t", "length(t)")}) END::DOUBLE AS pw,
       CASE WHEN taken > 0 THEN 16.0 WHEN lo <= 0 AND hi >= length(t) THEN h ELSE greatest(1.0, h) END::DOUBLE AS ph, CASE WHEN taken > 0 OR (lo <= 0 AND hi >= length(t)) THEN conf ELSE greatest(0.01, conf * 0.82) END::DOUBLE AS pc,
       '{name}_' || CASE WHEN taken > 0 THEN 'char_boxes' WHEN lo <= 0 AND hi >= length(t) THEN 'full_block' ELSE 'weighted_estimate' END AS src
@@ -134,7 +134,7 @@ sp0 AS (SELECT i, b * 10 AS id, '' AS text, (b * 50 + 3)::BIGINT AS ss, (b * 90
   UNION ALL SELECT i, b * 10 + 2, substr(text, 1, 30) || substr(text, 45), NULL, NULL FROM c UNION ALL SELECT i, b * 10 + 3, CASE WHEN b = 0 THEN lower(concat_ws('-', string_split(text, ' ')[3], string_split(text, ' ')[4])) ELSE '' END, NULL, NULL FROM c
   UNION ALL SELECT i, b * 10 + 4, 'zzzz qqqq', NULL, NULL FROM c),
 sp AS (SELECT *, {_n("text")} AS sn FROM sp0), sp2 AS (SELECT *, {_two("sn")} AS s2 FROM sp),
-n0 AS (SELECT i, trim(concat_ws(' ', string_split(text, ' ')[3], string_split(text, ' ')[4]), E' \\t\\n\\r') AS t, 5.0::DOUBLE AS x, (i % 50)::DOUBLE AS y, 90.0::DOUBLE AS w, 18.0::DOUBLE AS h, 0.9::DOUBLE AS conf, 0 AS nvis, 0 AS seen FROM c WHERE b = 0),
+n0 AS (SELECT i, trim(concat_ws(' ', string_split(text, ' ')[3], string_split(text, ' ')[4]), E' \\t\\n\\r') AS t, 5.0::DOUBLE AS x, (i % 50)::DOUBLE AS y, 90.0::DOUBLE AS w, 18.0::DOUBLE AS h, 0.9::DOUBLE AS conf, 0 AS b, 0 AS nvis, 0 AS seen FROM c WHERE b = 0),
 n AS (SELECT *, {_n("t")} AS un FROM n0), n2 AS (SELECT *, {_two("un")} AS u2 FROM n WHERE un <> ''),
 m1 AS (SELECT *, {like} AS likeness, contains(sn, un) OR contains(un, sn) AS held FROM (SELECT sp2.*, n2.* EXCLUDE (i) FROM sp2 JOIN n2 ON sp2.i = n2.i WHERE sn <> '')),
 a1 AS (SELECT *, {_local("t", "text")} AS pos FROM m1 WHERE held OR likeness >= 0.72),

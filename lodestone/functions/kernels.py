@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -83,11 +84,12 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select("path", content).mapInArrow(kernel, "path string, text string")
 
 
-def shingle_sets(texts: pa.Array, n: int) -> pa.ListArray:
-    """Hashes of the distinct n-character shingles of each lower-cased text (the whole text if shorter)."""
+def shingle_sets(texts: pa.Array, n: int, fold: bool = True) -> pa.ListArray:
+    """Hashes of the distinct n-character shingles of each text, lower-cased if ``fold`` (the whole text if shorter)."""
 
     def hashes(t: str) -> np.ndarray:
-        c = np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        t = t or ""
+        c = np.frombuffer((t.lower() if fold else t).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         width = min(n, len(c)) or 1
         out = np.full(max(len(c) - width + 1, 1), width, np.uint64)
         with np.errstate(over="ignore"):
@@ -102,12 +104,12 @@ def shingle_sets(texts: pa.Array, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, flat)
 
 
-def shingles(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """doc_id, g: hashes of the distinct n-character shingles of the lower-cased text (the whole text if shorter)."""
+def shingles(docs: DataFrame, n: int, text: str = "text", fold: bool = True) -> DataFrame:
+    """doc_id, g: hashes of the distinct n-character shingles of the text, lower-cased if ``fold`` (the whole text if shorter)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), shingle_sets(b.column(1), n)], names=["doc_id", "g"])
+            yield pa.RecordBatch.from_arrays([b.column(0), shingle_sets(b.column(1), n, fold)], names=["doc_id", "g"])
 
     return docs.select("doc_id", text).mapInArrow(kernel, f"doc_id {dict(docs.dtypes)['doc_id']}, g array<bigint>")
 
@@ -132,13 +134,39 @@ def overlaps(lists: pa.ListArray, left: np.ndarray, right: np.ndarray, width: in
     return out.astype(np.int64)
 
 
-def near_in_tile(t: pa.Table, least: float, n: int) -> pa.Table:
+def near_rows(pairs: DataFrame, n: int, least: float) -> DataFrame:
+    """a, b, jaccard of rows (a, b, left, right) whose texts have n-character shingle sets are alike by ``least`` or more.
+
+    Rows that follow each other with the same left text share its set.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for t in batches:
+            out = []
+            for k in range(t.num_rows):
+                if t.column(0)[k] != last:
+                    last, own = t.column(0)[k], shingle_sets(t.column(2).slice(k, 1), n, False).values.to_numpy()
+                other = shingle_sets(t.column(3).slice(k, 1), n, False).values.to_numpy()
+                if min(len(own), len(other)) < least * max(len(own), len(other)):  # lengths alone rule it out
+                    out.append(0.0)
+                    continue
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                out.append(both / (len(own) + len(other) - both))
+            j = pa.array(out, pa.float64())
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), j], names=["a", "b", "jaccard"]).filter(pc.greater_equal(j, least))
+
+    kind = dict(pairs.dtypes)["a"]
+    return pairs.select("a", "b", "left", "right").mapInArrow(kernel, f"a {kind}, b {kind}, jaccard double")
+
+
+def near_in_tile(t: pa.Table, least: float, n: int, fold: bool = True) -> pa.Table:
     """a, b, jaccard of the near pairs between two parts of a group (or within one) that no group of a smaller number gives."""
     t = t.combine_chunks()
     one, two, grp = t["one"][0].as_py(), t["two"][0].as_py(), t["grp"][0].as_py()
     part = t["part"].to_numpy()
     left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
-    g, groups = shingle_sets(t["text"].chunk(0), n), t["groups"].chunk(0)
+    g, groups = shingle_sets(t["text"].chunk(0), n, fold), t["groups"].chunk(0)
     shared = overlaps(g, left, right)
     size = g.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     near = shared / (size[left][:, None] + size[right][None, :] - shared)

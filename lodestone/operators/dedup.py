@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import kernels
+from lodestone.tables import Steps
 
 TILE = 512
 
@@ -74,20 +75,26 @@ def exact_then_within(rows: DataFrame, group: str, order: str, text: str, least:
     return exact.unionByName(near.select(group, order, F.when(F.col("duplicate_of").isNotNull(), F.col(group)).alias("duplicate_of_group"), "duplicate_of"))
 
 
-def near_pairs(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4, text: str = "text") -> DataFrame:
+def buckets(docs: DataFrame, shingle: int, bands: int, rows: int, text: str = "text", fold: bool = True) -> DataFrame:
+    """doc_id, key: the MinHash band buckets of each text; texts that are alike share one."""
+    own = kernels.shingles(docs, shingle, text, fold)
+    # one-permutation MinHash: each bin of the hash space keeps its least shingle
+    bins = own.select("doc_id", F.explode("g").alias("x")).withColumn("bin", F.pmod("x", F.lit(bands * rows))).groupBy("doc_id", "bin").agg(F.min("x").alias("x"))
+    banded = bins.groupBy("doc_id", F.floor(F.col("bin") / rows).alias("band")).agg(F.xxhash64(F.array_sort(F.collect_list("x"))).alias("sig"))
+    return banded.select("doc_id", F.xxhash64("band", "sig").alias("key"))
+
+
+def near_pairs(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4, text: str = "text", fold: bool = True) -> DataFrame:
     """All pairs of distinct texts whose character-shingle Jaccard reaches ``least``: MinHash bands propose, exact sets decide.
 
     Texts that share a band bucket belong to the group of the bucket's smallest id. Every two texts of a group are
     compared, in tiles of at most ``TILE`` texts a side, so no group has to fit a task; a pair of several common
     groups is given by one of them. Pairs, and the work for them, grow with the square of a family of near copies.
     """
-    low = F.sha2(F.lower(F.coalesce(F.col(text), F.lit(""))), 256)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    low = F.sha2(F.lower(whole) if fold else whole, 256)
     one = docs.groupBy(low.alias("h")).agg(F.min_by(F.struct("doc_id", text), "doc_id").alias("d")).select("d.*")
-    own = kernels.shingles(one, shingle, text)
-    # one-permutation MinHash: each bin of the hash space keeps its least shingle
-    bins = own.select("doc_id", F.explode("g").alias("x")).withColumn("bin", F.pmod("x", F.lit(bands * rows))).groupBy("doc_id", "bin").agg(F.min("x").alias("x"))
-    banded = bins.groupBy("doc_id", F.floor(F.col("bin") / rows).alias("band")).agg(F.xxhash64(F.array_sort(F.collect_list("x"))).alias("sig"))
-    banded = banded.select("doc_id", F.xxhash64("band", "sig").alias("key"))
+    banded = buckets(one, shingle, bands, rows, text, fold)
     lead = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # small rows (two numbers a text and group), asked three times
     members = banded.join(lead, "key").select("doc_id", F.xxhash64("lead").alias("grp")).distinct().persist()
@@ -100,5 +107,87 @@ def near_pairs(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int
     texts = one.select("doc_id", F.col(text).alias("text")).join(groups, "doc_id")
     work = dealt.join(texts, "doc_id").select("grp", "one", "two", "part", "doc_id", "groups", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    found = work.groupBy("grp", "one", "two").applyInArrow(lambda t: kernels.near_in_tile(t, least, shingle), f"a {kind}, b {kind}, jaccard double")
+    found = work.groupBy("grp", "one", "two").applyInArrow(lambda t: kernels.near_in_tile(t, least, shingle, fold), f"a {kind}, b {kind}, jaccard double")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+
+
+def near_map(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4, text: str = "text") -> DataFrame:
+    """doc_id, duplicate_of, score of every document, as when documents are taken one by one in order of their ids.
+
+    A text that came before makes a document its duplicate (score 1). Else the document is dropped for the first kept one
+    whose character-shingle Jaccard reaches ``least``, and kept if there is none: kept documents are the first maximal
+    independent set of the graph of near pairs. MinHash buckets propose pairs, exact sets decide.
+
+    The set is found in rounds. A document that is the smallest open one in all its buckets is kept, for no open document
+    can drop it; it is compared with its buckets, and what it drops leaves them, so a family of near copies costs its size
+    times its kept members, not its pairs. Once the open documents of all buckets make few pairs, the near ones among
+    those are found, and the rest is settled on these links, again all at once that no open smaller link holds back.
+
+    Edge cases: null texts are empty; of equal ids with different texts either may come first; an empty table gives no rows.
+    """
+    steps = Steps(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
+    given = steps.keep(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.sha2("text", 256)))
+    first = steps.keep(given.groupBy("h").agg(F.min("doc_id").alias("first")))
+    one = steps.keep(given.join(first, (given["h"] == first["h"]) & (F.col("doc_id") == F.col("first"))).select("doc_id", "text").dropDuplicates(["doc_id"]))
+    keys = buckets(one, shingle, bands, rows)
+    keys = steps.keep(keys)
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    keys = steps.keep(keys.join(shared, "key"))
+    open_ = steps.keep(keys.select("doc_id").distinct())
+    n_open, near, settled = open_.count(), [], []
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Near ones of distinct pairs (a, b); rows of one a stand together, so its set is made once."""
+        texts = lambda by, name: one.select(F.col("doc_id").alias(by), F.col("text").alias(name))
+        return steps.keep(kernels.near_rows(pairs.join(texts("b", "right"), "b").join(texts("a", "left"), "a").sortWithinPartitions("a"), shingle, least))
+
+    while n_open:
+        live = keys.join(open_, "doc_id")
+        lead = steps.keep(live.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).filter("n > 1"))
+        pairs = lead.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        if pairs <= 16 * n_open:
+            break
+        led = live.join(lead, "key", "left").groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("doc_id") == F.col("lead"), F.lit(True))).alias("first"))
+        kept = steps.keep(led.filter("first").select("doc_id"))
+        mates = keys.join(kept, "doc_id").select(F.col("doc_id").alias("a"), "key").join(keys.select(F.col("doc_id").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct()
+        found = compared(mates)
+        near.append(found)
+        settled.append(kept)
+        after = steps.keep(open_.join(kept, "doc_id", "left_anti").join(found.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"))
+        left = after.count()
+        stuck, n_open, open_ = left > 0.9 * n_open, left, after
+        if stuck:
+            break
+    if n_open:
+        links = steps.keep(near_pairs(one.join(open_, "doc_id"), least, shingle, bands, rows, "text", False))
+        rest, edges, last = open_, links, []
+        while True:
+            free = steps.keep(rest.join(edges.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"))
+            last.append(free)
+            gone = edges.join(free, edges["a"] == free["doc_id"], "left_semi").select(F.col("b").alias("doc_id")).distinct()
+            rest = steps.keep(rest.join(free, "doc_id", "left_anti").join(gone, "doc_id", "left_anti"))
+            if rest.isEmpty():
+                break
+            edges = steps.keep(edges.join(rest.withColumnRenamed("doc_id", "a"), "a").join(rest.withColumnRenamed("doc_id", "b"), "b"))
+        late = last[0]
+        for x in last[1:]:
+            late = late.unionByName(x)
+        late = steps.keep(late)
+        near.append(steps.keep(links.join(late.withColumnRenamed("doc_id", "a"), "a").select("a", "b", "jaccard")))
+        if len(near) > 1:  # a document that went before may have a smaller kept neighbour among these
+            went = near[0]
+            for x in near[1:-1]:
+                went = went.unionByName(x)
+            went = went.groupBy("b").agg(F.min("a").alias("by"))
+            mates = keys.join(late, "doc_id").select(F.col("doc_id").alias("a"), "key").join(keys.select(F.col("doc_id").alias("b"), "key"), "key").filter("a < b").join(went, "b").filter("a < by").select("a", "b").distinct()
+            near.append(compared(mates))
+    every = docs.sparkSession.createDataFrame([], f"a {kind}, b {kind}, jaccard double")
+    for x in near:
+        every = every.unionByName(x)
+    owner = every.groupBy("b").agg(F.min(F.struct("a", "jaccard")).alias("o"))
+    lot = given.join(first, "h").join(owner, F.col("doc_id") == F.col("b"), "left")
+    copy = F.col("doc_id") > F.col("first")
+    out = steps.keep(lot.select("doc_id", F.when(copy, F.col("first")).otherwise(F.col("o.a")).alias("duplicate_of"), F.when(copy, 1.0).otherwise(F.round("o.jaccard", 4)).alias("score")))
+    steps.leave(out)
+    return out

@@ -83,6 +83,12 @@ def near_dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_pairs(table(spark, sf_dir, "documents"))
 
 
+@query()
+def near_dedup_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of every document when they are taken one by one and near copies of kept ones are dropped."""
+    return dedup.near_map(table(spark, sf_dir, "documents"))
+
+
 @query()
 def token_jaccard_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_then_within(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 0.8)

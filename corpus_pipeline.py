@@ -20,10 +20,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity of 0.8 or more): that of the smallest id."""
-    verdict = jaccard_join.jaccard_classes(docs, n=5, num=4, den=5)
-    stay = verdict.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near copies (5-word shingles, similarity of 0.8 or more): that of the smallest id.
+
+    A null id says nothing of a document, so its text stands in for one, behind all ids that are given; documents that
+    share an id stay or go together.
+    """
+    stand_in = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 62) - 1)
+    key = F.coalesce(F.col("doc_id").cast("bigint"), stand_in)
+    verdict = jaccard_join.jaccard_classes(docs.select(key.alias("doc_id"), "text"), n=5, num=4, den=5)
+    stay = verdict.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
+    return docs.join(stay, key == F.col("_stay"), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A tree of domain, language and source carries weights; a token budget is handed down
 it. A child whose share exceeds what it can give (its tokens times ``max_epochs``) is
 held at that, and its shortage goes to its siblings by weight; only what a whole
-subtree cannot give reaches the parent's siblings. A leaf then takes whole epochs and
+subtree cannot give reaches the parent's siblings. Children whose names have no stated weight
+share ``REST``, so data of a new language or domain is mixed in and not lost. A leaf then takes whole epochs and
 a prefix, in the seeded order of the next epoch, of texts whose tokens still fit.
 
 Only figures per leaf reach the driver (``MAX_LEAVES`` at most, else an error). A
@@ -31,17 +32,19 @@ MAX_LEAVES = 100_000
 #: a power of two
 BINS = 512
 Path = tuple[str, ...]
-#: weight of a child: (path of the child, tokens below it) -> weight
-Weight = Callable[[Path, int], float]
+#: weight of a child: (path of the child, tokens below it) -> weight, or None if nothing is stated for it
+Weight = Callable[[Path, int], float | None]
+#: what all children without a stated weight have together, as a share of their siblings' stated weights
+REST = 0.05
 
 
 def stated(weights: dict[str, dict[str, float]], other: Weight) -> Weight:
-    """Target weights by level and name: {"domain": {name: weight}, "lang": ...}, levels in the order of the tree; names left out weigh 0, levels left out weigh as ``other`` says."""
+    """Target weights by level and name: {"domain": {name: weight}, "lang": ...}, levels in the order of the tree; names left out share ``REST``, levels left out weigh as ``other`` says."""
     levels = list(weights.values())
 
-    def weight(path: Path, tokens: int) -> float:
+    def weight(path: Path, tokens: int) -> float | None:
         k = len(path) - 1
-        return levels[k].get(path[-1], 0.0) if k < len(levels) else other(path, tokens)
+        return levels[k].get(path[-1]) if k < len(levels) else other(path, tokens)
 
     return weight
 
@@ -51,6 +54,15 @@ def tempered(power: float) -> Weight:
     return lambda path, tokens: float(tokens) ** power
 
 
+def weights_of(kids: dict[Path, int], weight: Weight) -> dict[Path, float]:
+    """Weights of the children of a node; those without a stated one share ``REST`` by their tokens."""
+    said = {c: weight(c, n) for c, n in kids.items()}
+    rest = {c: kids[c] for c, w in said.items() if w is None}
+    whole, below = sum(max(0.0, w) for w in said.values() if w is not None), sum(rest.values())
+    share = REST * whole if whole > 0 else 1.0
+    return {c: max(0.0, w) if w is not None else share * (rest[c] / below if below else 1 / len(rest)) for c, w in said.items()}
+
+
 def budgets(tokens: dict[Path, int], total: int, weight: Weight, max_epochs: int) -> dict[Path, int]:
     """The token budget of each leaf; they sum to ``total`` but for rounding, or to all that can be given."""
     if not tokens:
@@ -66,8 +78,9 @@ def budgets(tokens: dict[Path, int], total: int, weight: Weight, max_epochs: int
         for node in sorted(p for p in below if len(p) == k):
             kids, left = below[node], given[node]
             open_ = sorted(kids)
+            every = weights_of(kids, weight)
             while open_:
-                w = {c: max(0.0, weight(c, kids[c])) for c in open_}
+                w = {c: every[c] for c in open_}
                 whole = sum(w.values())
                 if whole <= 0:
                     w, whole = {c: 1.0 for c in open_}, float(len(open_))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,10 +114,24 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def left_over(buf: np.ndarray, a: int, b: int, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """What of the run buf[a:b] no base span covers, without the joining marks where it was cut."""
+def joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order and apart."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for p, q in sorted(spans):
+        if starts and p <= ends[-1]:
+            ends[-1] = max(ends[-1], q)
+        else:
+            starts.append(p)
+            ends.append(q)
+    return starts, ends
+
+
+def left_over(buf: np.ndarray, a: int, b: int, starts: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """What of the run buf[a:b] nothing covers, without the joining marks where it was cut; only what overlaps the run is looked at."""
     at, cut = a, False
-    for p, q in [*sorted(x for x in base if x[0] < b and x[1] > a), (b, b)]:
+    near = range(bisect_right(ends, a), bisect_left(starts, b))
+    for p, q in [*((starts[k], ends[k]) for k in near), (b, b)]:
         x, y = at, min(p, b)
         while cut and x < y and JOIN[buf[x]]:
             x += 1
@@ -169,8 +184,11 @@ def scan_slice(buf: np.ndarray, off: np.ndarray, model: MarkovPair) -> list[list
                     found[i].append((m.start(), 1, m.end()))
             seen = i
         at = raw.find(b"AKIA", at + 4)
-    for a, b, i in zip(*by_text(TOKEN[buf], model.least_len)):
-        for x, y in left_over(buf, int(a), int(b), [(off[i] + p, off[i] + q) for p, k, q in found[i] if k < 3]):
+    of, covered = -1, ([], [])
+    for a, b, i in zip(*(v.tolist() for v in by_text(TOKEN[buf], model.least_len))):
+        if i != of:  # runs come in order; a text's spans are joined once
+            of, covered = i, joined([(int(off[i]) + p, int(off[i]) + q) for p, k, q in found[i] if k < 3])
+        for x, y in left_over(buf, a, b, *covered):
             run = buf[x:y]
             total = model.first[run[0]] + model.step[run[:-1], run[1:]].sum()
             if y - x >= model.least_len and total >= max(model.least_total, model.least_mean * (y - x)):

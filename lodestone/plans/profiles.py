@@ -37,7 +37,7 @@ class Run:
 
         n = self.targets.groupBy("doc_id").agg(F.count("*").alias("n_targets"))
         d = self.decisions.join(n, "doc_id", "left").join(self.redacted(), "doc_id")
-        urgent = F.when(F.col("disposition").isin("P4", "P5"), "urgent").when(F.col("disposition") == "P3", "high").when(F.col("disposition") == "P2", "normal").otherwise("low")
+        urgent = F.when(F.col("disposition").isin("P4", "P5"), "critical").when(F.col("disposition") == "P3", "high").when(F.col("disposition") == "P2", "normal").otherwise("low")
         reason = export_gate(F.col("decision"), F.col("disposition"), F.lit(False))
         return d.select("doc_id", "disposition", "decision", F.coalesce("n_targets", F.lit(0)).cast("bigint").alias("n_targets"), urgent.alias("priority"), reason.alias("skip_reason"), F.sha2("redacted", 256).alias("redacted_sha256"))
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once: a lambda binds it, so no rule of the optimiser writes it out again at each use."""
+    return F.transform(F.array(value), f)[0]
+
+
 def box(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.struct(*[c.cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (w, "w"), (h, "h"))])
 

@@ -92,11 +92,6 @@ def plain(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)\\W+", ""))
 
 
-def once(value: Column, f) -> Column:
-    """f of a value that is made once: the lambda binds it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def letters_of(t: Column) -> Column:
     return F.filter(F.split(t, ""), lambda c: c != "")
 
@@ -104,7 +99,7 @@ def letters_of(t: Column) -> Column:
 def pairs_of(t: Column) -> Column:
     """Distinct pairs of neighbouring characters; the text itself if shorter."""
     pairs = lambda c: F.array_distinct(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.concat(a, b)))
-    return F.when(F.length(t) <= 2, F.array(t)).otherwise(once(letters_of(t), pairs))
+    return F.when(F.length(t) <= 2, F.array(t)).otherwise(g.once(letters_of(t), pairs))
 
 
 def alike(spans: DataFrame, units: DataFrame) -> DataFrame:
@@ -134,7 +129,7 @@ def alike(spans: DataFrame, units: DataFrame) -> DataFrame:
     held = F.contains(a, b) | F.contains(b, a)
     both = F.size(F.array_intersect("a2", "b2"))
     ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
-    alike_by = once(both, lambda n: n / (F.size("a2") + F.size("b2") - n))
+    alike_by = g.once(both, lambda n: n / (F.size("a2") + F.size("b2") - n))
     likeness = F.when(held, ratio).otherwise(alike_by)
     return found.select("image_id", "span_id", "unit_id", held.alias("held"), likeness.alias("likeness")).filter((F.col("held")) | (F.col("likeness") >= FUZZY))
 
@@ -145,7 +140,7 @@ def local_span(text: Column, part: Column, norm: Column, part_norm: Column) -> C
     direct = F.struct((at - 1).alias("start"), (at - 1 + F.length(part)).alias("end"))
     words = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["c"].rlike("(?U)\\w"))
     loose = lambda w: F.struct(F.get(w, p - 1)["i"].alias("start"), (F.get(w, F.least(F.size(w), p + F.length(part_norm) - 1) - 1)["i"] + 1).alias("end"))
-    return F.when((text == "") | (part == ""), None).when(at > 0, direct).when((part_norm != "") & (p > 0), once(words, loose))
+    return F.when((text == "") | (part == ""), None).when(at > 0, direct).when((part_norm != "") & (p > 0), g.once(words, loose))
 
 
 def char_region(unit: Column, start: Column, end: Column, source: str) -> Column:

@@ -256,8 +256,19 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def near_in_sketch(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Pairs of a block of a star (or of two blocks) in different components whose sketches let them link, and how far they differ."""
-    star, cid, n, part = pd.factorize(pdf["pivot"])[0], pdf["cid"].to_numpy(), pdf["n"].to_numpy(), pdf["part"].to_numpy()
+    """Pairs of a block of a star (or of two blocks) in different components whose sketches let them link, and how far they differ.
+
+    A pair of several common stars is given by the one of the least number alone.
+    """
+    star, cid, n, part = pdf["star"].to_numpy(), pdf["cid"].to_numpy(), pdf["n"].to_numpy(), pdf["part"].to_numpy()
+    every, lower = pdf["stars"].to_numpy(), {}
+
+    def below(i: int) -> frozenset[int]:
+        """The stars of a class that have smaller numbers than the one at hand."""
+        if i not in lower:
+            lower[i] = frozenset(every[i][every[i] < star[i]].tolist())
+        return lower[i]
+
     halves = int(pdf["one"].iloc[0]) != int(pdf["two"].iloc[0])
     label = pd.factorize(pdf["label"])[0]
     text = pdf["sketch"].to_numpy()
@@ -285,6 +296,7 @@ def near_in_sketch(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
                 if len(j):
                     apart = (y[j] != x[k]).sum(axis=1)
                     near = apart <= (n[others[j]] + n[i]) * (den - num) // (den + num)
+                    near[near] = [below(i).isdisjoint(below(o)) for o in others[j[near]].tolist()]
                     found.append((np.full(int(near.sum()), i), others[j[near]], apart[near]))
     i, j, apart = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
     low = np.array([cid[a] <= cid[b] for a, b in zip(i, j)], bool)
@@ -388,10 +400,11 @@ def linked(docs: DataFrame, edges: DataFrame, classes: DataFrame, n: int, num: i
     held = each.withColumn("salt", F.pmod(F.hash("cid"), F.lit(SALTS))).join(salted, ["pivot", "salt"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     work = held.withColumn("other", other).withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
-    work = work.join(side.hint("merge"), "cid").select("pivot", "blocks", "one", "two", "part", "cid", "n", "label", "sketch")
+    stars_of = each.join(open_.select("pivot"), "pivot").groupBy("cid").agg(F.collect_set(F.xxhash64("pivot")).alias("stars"))  # as many as a class has keys
+    work = work.join(side.hint("merge"), "cid").join(stars_of.hint("merge"), "cid").select(F.xxhash64("pivot").alias("star"), "stars", "blocks", "one", "two", "part", "cid", "n", "label", "sketch")
     # small stars of a range share a task; a star of several blocks has a task for each two of them
     ranges = n_ranges(docs, BUCKET_BYTES)
-    work = work.withColumn("range", F.when(F.col("blocks") > 1, F.xxhash64("pivot")).otherwise(F.pmod(F.xxhash64("pivot"), F.lit(ranges))))
+    work = work.withColumn("range", F.when(F.col("blocks") > 1, F.col("star")).otherwise(F.pmod(F.col("star"), F.lit(ranges))))
     near = work.groupBy("range", "one", "two").applyInPandas(lambda pdf: near_in_sketch(pdf, num, den), PAIRS)
     left = written(near.dropDuplicates(["a", "b"]), "near")
     dropped(edges)

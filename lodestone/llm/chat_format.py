@@ -172,7 +172,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one of control strings, formatted and read back."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id bigint, turn bigint, role string, text string")
+    probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     parts = formatted(rows.unionByName(probe))
     parts = parts.select("conv_id", "part", "formatted", under_loss(F.col("formatted"), F.col("loss")).alias("learnt"))
     whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "formatted", "learnt"))).alias("parts"))

@@ -27,4 +27,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-from lodestone.plans import adjudication_queries, audio_queries, clip_queries, evidence_queries, governance_queries, layout_queries, picture_queries, policy_queries, region_queries, run_queries, text_queries, track_queries, video_queries  # noqa: E402, F401
+from lodestone.plans import adjudication_queries, audio_queries, clip_queries, evidence_queries, governance_queries, intake_queries, layout_queries, picture_queries, policy_queries, region_queries, run_queries, text_queries, track_queries, video_queries  # noqa: E402, F401

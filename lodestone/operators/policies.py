@@ -135,13 +135,36 @@ def governed(action: Column) -> dict[str, Column]:
     return {"action": action} | {n: lookup(action, {k: v[i] for k, v in GOVERNED.items()}) for i, n in enumerate(names)}
 
 
-def content_decisions(findings: DataFrame, policies: DataFrame, custom: dict[str, str] | None = None) -> DataFrame:
+# Words by which a policy in plain text asks for exclusion, words that name everything, and scopes that it may name.
+STRICT_WORDS = ("exclude", "block", "ban", "reject", "禁止", "阻止", "剔除", "排除")
+ALL_WORDS = ("all", "全部")
+INJECTION = ("jailbreak", "prompt injection", "prompt-injection")
+SCOPES = ("violence", "violent", "hate", "porn", "self_harm")
+
+
+def text_policy(said: str, about: Column) -> Column:
+    """The condition that a policy in plain text compiles to, on what is said about a finding (tag, type, explanation): whether it is to be excluded."""
+    text, low = said.strip().lower(), F.lower(about)
+    if not any(w in text for w in STRICT_WORDS):
+        return F.lit(False)
+    if any(w in text for w in ALL_WORDS):
+        return F.lit(True)
+    out = F.lit(False)
+    if any(w in text for w in INJECTION):
+        out = F.contains(low, F.lit("jailbreak")) | F.contains(low, F.lit("prompt"))
+    for w in SCOPES:
+        if w in text:
+            out = out | F.contains(low, F.lit(w))
+    return out
+
+
+def content_decisions(findings: DataFrame, policies: DataFrame, custom: dict[str, str] | None = None, policy_text: str = "") -> DataFrame:
     """doc_id, ord, policy_id, risk, action, training, route, allow, review of every content finding.
 
     findings as for :func:`content_policy_hits`, with needs_adjudication, downstream_use, and of a semantic adjudicator
     sem_decision ('' for none), sem_upgrade, sem_downgrade, sem_risk, sem_action, sem_training, sem_route. In order: what severity
     says, the first policy, the adjudicator (up as far as it says, down to review at most, and never for minors), a young
-    audience, the custom actions (label -> disposition; labels match both ways), the use in training.
+    audience, a policy in plain text (``policy_text``), the custom actions (label -> disposition; labels match both ways), the use in training.
     """
     out = first_hit(content_policy_hits(findings, policies))
     sev, need, met = F.col("severity"), F.col("needs_adjudication"), F.col("policy_id").isNotNull()
@@ -161,6 +184,10 @@ def content_decisions(findings: DataFrame, policies: DataFrame, custom: dict[str
     block = governed(F.lit("P4"))
     out = out.withColumns({n: F.when(young & sev.isin("high", "critical"), block[n]).otherwise(now[n]) for n in names})
 
+    if policy_text.strip():
+        about = F.concat_ws(" ", *[F.col(c) for c in ("policy_tag", "risk_type", "explanation", "matched_label") if c in out.columns])
+        on = F.coalesce(text_policy(policy_text, about), F.lit(False))
+        out = out.withColumns(stricter(now, block, CONTENT_ORDERS, on))
     if custom:
         labels = F.array(F.lower("policy_tag"), F.lower("risk_type"))
         picks = [F.when(related(labels, F.array(F.lit(k.lower()))), F.lit(DISPOSITION.index(v))) for k, v in custom.items() if v in DISPOSITION]

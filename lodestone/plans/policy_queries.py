@@ -89,6 +89,17 @@ def content_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _content(spark, sf_dir)
 
 
+_SAID = "Exclude hate speech and anything violent, please"
+_TEXT = f"""SELECT * REPLACE (CASE WHEN y2 THEN 'C3' ELSE risk END AS risk, CASE WHEN y2 THEN greatest(action, 'P4') ELSE action END AS action, CASE WHEN y2 THEN 'T3' ELSE training END AS training, CASE WHEN y2 AND action <= 'P4' THEN 'exclude_from_training' ELSE route END AS route, allow AND NOT y2 AS allow)
+  FROM (SELECT *, contains(lower(policy_tag || ' ' || risk_type), 'hate') OR contains(lower(policy_tag || ' ' || risk_type), 'violent') AS y2 FROM ({_D3}))"""
+
+
+@query(_CD.replace(f"({_D3})", f"({_TEXT})"))
+def text_policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content decisions under a policy in plain text as well."""
+    return policies.content_decisions(content_findings(spark, sf_dir), policies.rule_table(spark, policies.CONTENT_POLICIES, policies.CONTENT_KIND), _CUSTOM, _SAID)
+
+
 @query(f"""SELECT d.doc_id, coalesce(max(risk), 'C0') AS risk, coalesce(max(action), 'P0') AS action, coalesce(max(training), 'T0') AS training, coalesce(arg_max(route, ord), 'general_training') AS route, coalesce(bool_and(allow), true) AS allow,
   coalesce(bool_or(review), false) AS review, count(ord) AS findings FROM documents d LEFT JOIN ({_CD}) c USING (doc_id) GROUP BY d.doc_id""")
 def content_governance_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

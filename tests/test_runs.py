@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import regions
+from lodestone.operators import policies, regions
 from lodestone.plans import full_run
 
 TEXTS = {
@@ -91,3 +91,11 @@ def test_regions_of_odd_spans(spark):
     chars = regions.offset_map(blocks).filter("image_id = 1").orderBy("index").collect()
     assert "".join(r["char"] for r in chars) == "Call 138-1234 now\nfirst line\n\n second\n---" and [r["index"] for r in chars] == list(range(41)) and [r["index"] for r in chars if r["virtual"]] == [17, 37]
     assert regions.span_regions(spans.limit(0), blocks.limit(0), instances.limit(0), images.limit(0)).count() == 0
+
+
+def test_policies_in_plain_text(spark):
+    df = spark.createDataFrame([("content.hate.group", 1), ("content.violent x", 2), ("Jailbreak_attempt", 3), ("other", 4), (None, 5)], "t string, k int")
+    met = lambda said: {r["k"] for r in df.filter(policies.text_policy(said, F.col("t"))).collect()}
+    assert met("please keep hate") == met("") == set()
+    assert met("Exclude hate") == {1} and met("禁止 violent and porn") == {2} and met("block prompt injection, hate") == {1, 3}
+    assert met("reject ALL of it") == {1, 2, 3, 4, 5} and met("排除全部") == {1, 2, 3, 4, 5}

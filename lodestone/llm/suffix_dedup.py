@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.blobs import pack, pack_sorted, unpack, unpack_sorted
-from lodestone.llm.common import BASE, BASE_INV, BYTE_CODE, U64, dropped, mix, n_partitions, powers, slices, text_buffers, written
+from lodestone.llm.common import BASE, BASE_INV, BYTE_CODE, U64, dropped, mix, n_ranges, powers, slices, text_buffers, written
 
 SPAN, Q = 100, 32
 WINDOW = SPAN - Q + 1
@@ -44,6 +44,8 @@ LEFT = SPAN - Q
 WIDTH = LEFT + SPAN
 HOT = 16384
 STRETCH = 16 << 20
+#: bytes of input for each group of samples or contexts, so that groups do not grow with the input
+RANGE_BYTES = 4 << 20
 LAST = 2**63 - 1
 FIELDS = "doc_id bigint, s int, e int, key bigint, n bigint"
 
@@ -275,8 +277,7 @@ def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, s, e: byte ranges to remove (they may overlap); docs has doc_id (not null) and text."""
-    spark = docs.sparkSession
-    buckets = 8 * n_partitions(spark)
+    buckets = n_ranges(docs, RANGE_BYTES)
     passed = written(docs.mapInArrow(lambda it: stretches(it, buckets), "doc_id bigint, s int, e int, bucket int, blob binary"), "passed")
     judged = written(passed.filter("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInPandas(refined_by_context, FIELDS), "judged")
     asks = judged.filter("key is not null").groupBy("doc_id").agg(F.collect_list(F.struct("s", "key", "n")).alias("asks"))

@@ -84,6 +84,55 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
     return raw if raw is not None else spark.createDataFrame([], "doc_id string, text string, text_hash string, source_path string, metadata string")
 
 
+def _named(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """path, text of the files under a directory that match, without a byte order mark; none where there are none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return kernels.decoded(files)
+
+
+#: metadata and manifest files of a package, by name
+META = r"(?i)/(metadata|manifest)[^/]*$"
+#: what a unit takes from its package, and what it has where neither says anything
+PACKAGE_KEYS = {"task_id": "", "tenant_id": "", "profile_id": "", "source_type": ""}
+
+
+def package_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """One row, meta map<string,string>: the objects of all metadata and manifest files, in order of their paths and lines; a later value of a key wins.
+
+    Files and lines that are no object are left out; values that are no strings are their JSON.
+    """
+    files = _named(spark, path, "*.{json,jsonl}").filter(F.col("path").rlike(META))
+    whole = F.when(F.lower("path").endswith(".jsonl"), F.split("text", "\r?\n")).otherwise(F.array("text"))
+    said = files.select("path", F.posexplode(whole).alias("line", "v")).filter(F.ltrim("v").startswith("{")).select("path", "line", F.from_json("v", "map<string,string>").alias("m"))
+    one = said.filter("m is not null").select("path", "line", F.explode("m")).groupBy("key").agg(F.max_by("value", F.struct("path", "line")).alias("value"))
+    return one.agg(F.coalesce(F.map_from_entries(F.collect_list(F.struct("key", "value"))), F.create_map().cast("map<string,string>")).alias("meta"))  # as many as a package's keys
+
+
+def package(spark: SparkSession, path: str) -> DataFrame:
+    """Units of a package directory: those of its JSON lines and JSON documents, or of its text files where these give none.
+
+    Besides the columns of a unit: package_id, package_kind, parser_name, and task_id, tenant_id, profile_id, source_type. A
+    unit's metadata are the package's, with its own over them, as a JSON object of strings.
+    """
+    lines = _named(spark, path, "*.jsonl").filter(~F.col("path").rlike(META))
+    lines = lines.select(F.col("path").alias("source_path"), F.posexplode(F.split(F.regexp_replace("text", "^\ufeff", ""), "\r?\n")).alias("line", "record")).withColumn("line", F.col("line") + 1).filter(F.trim("record") != "")
+    files = _named(spark, path, "*.json").filter(~F.col("path").rlike(META)).select(F.regexp_replace("text", "^\ufeff", "").alias("v"), F.col("path").alias("source_path"))
+    many = F.coalesce(_field(F.col("v"), "documents"), _field(F.col("v"), "records"), F.when(F.ltrim("v").startswith("["), F.col("v")))
+    items = files.select("source_path", F.posexplode(F.when(many.isNotNull(), F.from_json(many, "array<string>")).otherwise(F.array("v"))).alias("line", "record")).withColumn("line", F.col("line") + 1)
+    units = _units(lines).unionByName(_units(items))
+    if not units.limit(1).count():
+        raw = _named(spark, path, "*.{txt,text,md}").withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).filter("text != ''")
+        stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+        units = raw.select(stem.alias("doc_id"), "text", text_hash(F.col("text")).alias("text_hash"), F.col("path").alias("source_path"), F.lit("{}").alias("metadata"))
+    own = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    meta = package_metadata(spark, path).first()["meta"]  # what the package's few metadata files say
+    shared = F.create_map(*[F.lit(x) for kv in sorted(meta.items()) for x in kv]).cast("map<string,string>")
+    out = units.withColumn("_own", own)
+    out = out.withColumn("_all", F.map_concat(F.map_filter(shared, lambda k, v: ~F.map_contains_key("_own", k)), F.col("_own")))
+    given = [F.coalesce(F.col("_all")[k], F.lit(other)).alias(k) for k, other in PACKAGE_KEYS.items()]
+    return out.select("doc_id", "text", "text_hash", "source_path", F.to_json("_all").alias("metadata"), F.concat(F.lit("pkg_"), F.substring(F.sha2(F.lit(path.rstrip("/")), 256), 1, 12)).alias("package_id"), F.lit("directory").alias("package_kind"), F.lit("directory_package").alias("parser_name"), *given)
+
+
 PARSERS: list[tuple[Callable[[str], bool], Callable[[SparkSession, str], DataFrame]]] = [
     (lambda p: p.endswith(".jsonl"), json_lines),
     (lambda p: p.endswith(".json"), json_document),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import tolerant_json
 from lodestone.operators import picture_hash
 from lodestone.plans.lineage import Lineage
-from lodestone.sources import audio_package
+from lodestone.sources import audio_package, packages
 
 
 @pytest.mark.parametrize(
@@ -64,3 +64,25 @@ def test_lineage_of_steps_that_end_and_that_fail(spark, tmp_path):
     got = {r["step"]: (r["state"], r["rows"], bool(r["error"])) for r in line.runs().collect()}
     assert got == {"numbers": ("COMPLETE", 7, False), "broken": ("FAIL", None, True), "open": ("RUNNING", None, False)}
     assert line.events().count() == 5
+
+
+def test_packages_merge_their_metadata_into_units(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "metadata.json").write_text('{"task_id": "t1", "tenant_id": "a", "deep": {"x": 1}, "n": 3}')
+    (tmp_path / "manifest_2.jsonl").write_text('no object\n{"tenant_id": "b"}\n\n{"profile_id": "p"}\n{broken')
+    (tmp_path / "in" / "a.jsonl").write_text('{"id": "one", "text": "first", "metadata": {"task_id": "own", "k": "v"}}\n\n{"id": "two", "content": "second"}\n[1]\n{"id": "three"}')
+    (tmp_path / "in" / "b.json").write_text('{"records": [{"uid": "four", "body": "fourth", "metadata": {"source_type": "book"}}]}')
+    (tmp_path / "note.txt").write_text("not a unit beside others")
+    got = {r["doc_id"]: r for r in packages.package(spark, str(tmp_path)).collect()}
+    assert set(got) == {"one", "two", "four"}
+    # a later file wins, "manifest" stands before "metadata"
+    assert [(got[k]["task_id"], got[k]["tenant_id"], got[k]["profile_id"], got[k]["source_type"]) for k in ("one", "two", "four")] == [("own", "a", "p", ""), ("t1", "a", "p", ""), ("t1", "a", "p", "book")]
+    assert json.loads(got["one"]["metadata"]) == {"task_id": "own", "k": "v", "tenant_id": "a", "profile_id": "p", "deep": '{"x":1}', "n": "3"}
+    assert len({r["package_id"] for r in got.values()}) == 1 and got["one"]["package_kind"] == "directory"
+
+
+def test_packages_of_texts_alone(spark, tmp_path):
+    (tmp_path / "metadata.json").write_text('{"task_id": "t"}')
+    (tmp_path / "x.md").write_text("  words \n")
+    (tmp_path / "y.txt").write_text("  ")
+    assert [(r["doc_id"], r["text"], r["task_id"]) for r in packages.package(spark, str(tmp_path)).collect()] == [("x", "words", "t")]

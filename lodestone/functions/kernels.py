@@ -114,6 +114,60 @@ def shingles(docs: DataFrame, n: int, text: str = "text", fold: bool = True) ->
     return docs.select("doc_id", text).mapInArrow(kernel, f"doc_id {dict(docs.dtypes)['doc_id']}, g array<bigint>")
 
 
+def band_keys(docs: DataFrame, n: int, bands: int, rows: int, text: str = "text", fold: bool = True) -> DataFrame:
+    """doc_id, key, sketch: a row for each MinHash band of a text, and one with its sketch (key null).
+
+    One-permutation bins keep their least shingle, the bins of a band make its key, and a byte of each bin makes the sketch
+    (0 for an empty bin). Sets stay within the kernel.
+    """
+    odd = np.uint64(0x9E3779B97F4A7C15)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, keys, sketches = [], [], []
+            for k in range(b.num_rows):
+                x = shingle_sets(b.column(1).slice(k, 1), n, fold).values.to_numpy()
+                of = x % (bands * rows)  # as pmod: never negative
+                order = np.lexsort((x, of))
+                x, of = x[order], of[order]
+                first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                least, band = x[first].view(np.uint64), of[first] // rows
+                with np.errstate(over="ignore"):
+                    mixed = (least ^ (least >> np.uint64(31))) * odd
+                    mixed = (mixed ^ (mixed >> np.uint64(29))) * odd
+                    start = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
+                    key = np.add.reduceat(mixed, start) * odd + band[start].astype(np.uint64)
+                    key = (key ^ (key >> np.uint64(32))) * odd
+                at.append(np.full(len(key), k))
+                keys.append(key)
+                sketch = np.zeros(bands * rows, np.uint8)
+                sketch[of[first]] = 1 + mixed % np.uint64(255)
+                sketches.append(sketch.tobytes())
+            at = np.concatenate(at) if at else np.zeros(0, np.int64)
+            key = pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64))
+            names = ["doc_id", "key", "sketch"]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), key, pa.nulls(len(key), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(b.num_rows, pa.int64()), pa.array(sketches, pa.binary())], names=names)
+
+    return docs.select("doc_id", text).mapInArrow(kernel, f"doc_id {dict(docs.dtypes)['doc_id']}, key bigint, sketch binary")
+
+
+def alike_in_sketch(pairs: DataFrame, least: float, sure: int = 32) -> DataFrame:
+    """a, b of the pairs (a, b, sa, sb) whose sketches agree in a share of ``least`` of the bins that either fills; texts of fewer than ``sure`` bins pass."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if t.num_rows:
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(t.num_rows, -1) for c in (t.column(2), t.column(3)))
+                filled = ((x > 0) | (y > 0)).sum(axis=1)
+                same = ((x == y) & (x > 0)).sum(axis=1)
+                ok = (filled < sure) | (same >= least * filled)
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    kind = dict(pairs.dtypes)["a"]
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(kernel, f"a {kind}, b {kind}")
+
+
 def overlaps(lists: pa.ListArray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
     """Sizes of the intersections of lists of distinct numbers, left by right."""
     flat = lists.flatten().to_numpy(zero_copy_only=False)

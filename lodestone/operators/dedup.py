@@ -9,6 +9,8 @@ from lodestone.functions import kernels
 from lodestone.tables import Steps
 
 TILE = 512
+#: how much below the limit a sketch's estimate may lie: more than five standard deviations of 128 bins
+SLACK = 0.2
 
 
 def exact_map(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
@@ -116,7 +118,7 @@ def near_map(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int =
 
     A text that came before makes a document its duplicate (score 1). Else the document is dropped for the first kept one
     whose character-shingle Jaccard reaches ``least``, and kept if there is none: kept documents are the first maximal
-    independent set of the graph of near pairs. MinHash buckets propose pairs, exact sets decide.
+    independent set of the graph of near pairs. MinHash buckets and sketches propose pairs, exact sets decide.
 
     The set is found in rounds. A document that is the smallest open one in all its buckets is kept, for no open document
     can drop it; it is compared with its buckets, and what it drops leaves them, so a family of near copies costs its size
@@ -127,20 +129,26 @@ def near_map(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int =
     """
     steps = Steps(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    given = steps.keep(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.sha2("text", 256)))
+    texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))  # read where they are, and never written
+    given = steps.keep(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h")))
     first = steps.keep(given.groupBy("h").agg(F.min("doc_id").alias("first")))
-    one = steps.keep(given.join(first, (given["h"] == first["h"]) & (F.col("doc_id") == F.col("first"))).select("doc_id", "text").dropDuplicates(["doc_id"]))
-    keys = buckets(one, shingle, bands, rows)
-    keys = steps.keep(keys)
+    both = steps.keep(kernels.band_keys(texts, shingle, bands, rows, "text", False).join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"))
+    keys, sketches = both.filter("key is not null").select("doc_id", "key").distinct(), both.filter("key is null").groupBy("doc_id").agg(F.min("sketch").alias("sketch"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     keys = steps.keep(keys.join(shared, "key"))
     open_ = steps.keep(keys.select("doc_id").distinct())
     n_open, near, settled = open_.count(), [], []
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Near ones of distinct pairs (a, b); rows of one a stand together, so its set is made once."""
-        texts = lambda by, name: one.select(F.col("doc_id").alias(by), F.col("text").alias(name))
-        return steps.keep(kernels.near_rows(pairs.join(texts("b", "right"), "b").join(texts("a", "left"), "a").sortWithinPartitions("a"), shingle, least))
+        """Near ones of distinct pairs (a, b): those that sketches leave, by their sets; rows of one a stand together, so its set is made once."""
+        of = lambda by, name: sketches.select(F.col("doc_id").alias(by), F.col("sketch").alias(name))
+        pairs = steps.keep(kernels.alike_in_sketch(pairs.join(of("b", "sb"), "b").join(of("a", "sa"), "a"), least - SLACK))
+        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        some = texts.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        of = lambda by, name: some.select(F.col("doc_id").alias(by), F.col("text").alias(name))
+        out = steps.keep(kernels.near_rows(pairs.join(of("b", "right"), "b").join(of("a", "left"), "a").sortWithinPartitions("a"), shingle, least))
+        steps.free()
+        return out
 
     while n_open:
         live = keys.join(open_, "doc_id")
@@ -160,7 +168,7 @@ def near_map(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int =
         if stuck:
             break
     if n_open:
-        links = steps.keep(near_pairs(one.join(open_, "doc_id"), least, shingle, bands, rows, "text", False))
+        links = steps.keep(near_pairs(texts.join(open_, "doc_id", "left_semi").dropDuplicates(["doc_id"]), least, shingle, bands, rows, "text", False))
         rest, edges, last = open_, links, []
         while True:
             free = steps.keep(rest.join(edges.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"))

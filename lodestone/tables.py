@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,11 @@ class Steps:
         out._step = path
         return out
 
+    def free(self) -> None:
+        """Shuffle files of steps that are done go, once the driver has forgotten their plans."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def leave(self, *tables: DataFrame) -> None:
         """Delete every table of these steps but the given ones."""
         used = {t._step for t in tables}

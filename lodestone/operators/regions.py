@@ -10,9 +10,9 @@ text_match: blocks that hold the span's text or are held by it;
 fuzzy_block: the one block alike to it;
 fuzzy_union: all blocks alike to it, if there are several.
 
-Texts are compared without marks and in small letters. Candidates of the text stages
-come from shared character pairs: a text that holds another holds its rarest pair, and
-two alike ones share a pair among the rarest of each, so only such pairs of rows meet.
+Texts are compared without marks and in small letters. Spans and
+units of a picture of few are compared as they are; in larger pictures they meet through
+shared character pairs, so that no picture makes pairs of all its rows.
 
 Edge cases: null texts are empty; spans without words skip the text stages, spans
 without a start skip char_span; an empty end is one character after the start; spans
@@ -35,6 +35,8 @@ STRETCH = 1024
 _ENDS = "\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{85}\\x{2028}\\x{2029}"
 LINE = f"[^{_ENDS}]*(?:\\r\\n|[{_ENDS}])|[^{_ENDS}]+"
 FUZZY, ALIKE = 0.56, 0.72
+#: spans times units of a picture that are compared as they are; those of larger pictures meet through shared pairs of characters
+FEW = 4096
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:
@@ -109,29 +111,45 @@ def alike(spans: DataFrame, units: DataFrame) -> DataFrame:
     """
     s = spans.filter("norm != ''").select("image_id", F.lit(0).alias("side"), F.col("span_id").alias("id"), "norm").distinct()
     u = units.filter("norm != ''").select("image_id", F.lit(1).alias("side"), F.col("unit_id").alias("id"), "norm")
-    every = s.unionByName(u).withColumn("two", pairs_of(F.col("norm")))
-    one = every.select("image_id", "side", "id", F.size("two").alias("n"), F.explode("two").alias("p"))
-    often = one.groupBy("image_id", "p").agg(F.count("*").alias("f"))
-    ranked = one.join(often, ["image_id", "p"]).groupBy("image_id", "side", "id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "p"))).alias("o"))  # as many as a text's pairs
-    few = F.greatest(F.col("n") - F.ceil(F.col("n") * F.lit(FUZZY) - 1e-9) + 1, F.lit(1)).cast("int")
-    first = ranked.select("image_id", "side", "id", F.explode(F.slice("o", F.lit(1), few)).alias("x")).select("image_id", "side", "id", F.col("x.p").alias("p"))
-    rare = ranked.select("image_id", "side", "id", F.col("o")[0]["p"].alias("p"))
-    whole = every.select("image_id", "side", "id", F.explode(F.array_union("two", letters_of(F.col("norm")))).alias("p"))
+    steps = Steps(spans.sparkSession)
+    every = steps.keep(s.unionByName(u).withColumn("two", pairs_of(F.col("norm"))))
+    sides = steps.keep(every.groupBy("image_id").agg(F.count_if(F.col("side") == 0).alias("ns"), F.count_if(F.col("side") == 1).alias("nu")))
+    text = lambda side, name, t: every.filter(F.col("side") == side).select("image_id", F.col("id").alias(name), F.col("norm").alias(t), F.col("two").alias(f"{t}2"))
+    few = sides.filter(F.col("ns") * F.col("nu") <= FEW).select("image_id")
+    near = text(0, "span_id", "a").join(few, "image_id").join(text(1, "unit_id", "b"), "image_id")
+    found = candidates(every.join(sides.filter(F.col("ns") * F.col("nu") > FEW).select("image_id"), "image_id"))
+    far = found.join(text(0, "span_id", "a"), ["image_id", "span_id"]).join(text(1, "unit_id", "b"), ["image_id", "unit_id"])
+    met = near.unionByName(far)
+    a, b = F.col("a"), F.col("b")
+    held = F.contains(a, b) | F.contains(b, a)
+    n, m = F.size("a2"), F.size("b2")
+    ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
+    # sizes alone rule out most pairs
+    alike_by = F.when(F.least(n, m) >= F.greatest(n, m) * FUZZY, g.once(F.size(F.array_intersect("a2", "b2")), lambda both: both / (n + m - both))).otherwise(0.0)
+    met = met.select("image_id", "span_id", "unit_id", held.alias("held"), F.when(held, ratio).otherwise(alike_by).alias("likeness"))
+    out = steps.keep(met.filter(F.col("held") | (F.col("likeness") >= FUZZY)))
+    steps.leave(out)
+    return out
+
+
+def candidates(every: DataFrame) -> DataFrame:
+    """Pairs (image_id, span_id, unit_id) that can be alike, by shared pairs of characters in one order over all texts.
+
+    A text that holds another holds its first pair in that order; two texts alike enough share one among the first of each.
+    every: image_id, side (0 spans, 1 units), id, norm, two (pairs).
+    """
+    number = lambda xs: F.transform(xs, lambda p: F.xxhash64(p))
+    ranked = every.select("image_id", "side", "id", F.array_sort(number(F.col("two"))).alias("o"), number(letters_of(F.col("norm"))).alias("l"))
+    n = F.size("o")
+    few = F.greatest(n - F.ceil(n * F.lit(FUZZY) - 1e-9) + 1, F.lit(1)).cast("int")
+    of = lambda xs: ranked.select("image_id", "side", "id", F.explode(xs).alias("p"))
+    rare, whole, first = of(F.slice("o", F.lit(1), F.lit(1))), of(F.array_union("o", "l")), of(F.slice("o", F.lit(1), few))
 
     def met(a: DataFrame, b: DataFrame) -> DataFrame:
         x = a.filter("side = 0").select("image_id", "p", F.col("id").alias("span_id"))
         return x.join(b.filter("side = 1").select("image_id", "p", F.col("id").alias("unit_id")), ["image_id", "p"]).select("image_id", "span_id", "unit_id")
 
-    found = met(rare, whole).unionByName(met(whole, rare)).unionByName(met(first, first)).distinct()
-    text = lambda side, name, t: every.filter(F.col("side") == side).select("image_id", F.col("id").alias(name), F.col("norm").alias(t), F.col("two").alias(f"{t}2"))
-    found = found.join(text(0, "span_id", "a"), ["image_id", "span_id"]).join(text(1, "unit_id", "b"), ["image_id", "unit_id"])
-    a, b = F.col("a"), F.col("b")
-    held = F.contains(a, b) | F.contains(b, a)
-    both = F.size(F.array_intersect("a2", "b2"))
-    ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
-    alike_by = g.once(both, lambda n: n / (F.size("a2") + F.size("b2") - n))
-    likeness = F.when(held, ratio).otherwise(alike_by)
-    return found.select("image_id", "span_id", "unit_id", held.alias("held"), likeness.alias("likeness")).filter((F.col("held")) | (F.col("likeness") >= FUZZY))
+    return met(rare, whole).unionByName(met(whole, rare)).unionByName(met(first, first)).distinct()
 
 
 def local_span(text: Column, part: Column, norm: Column, part_norm: Column) -> Column:

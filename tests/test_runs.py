@@ -99,3 +99,20 @@ def test_policies_in_plain_text(spark):
     assert met("please keep hate") == met("") == set()
     assert met("Exclude hate") == {1} and met("禁止 violent and porn") == {2} and met("block prompt injection, hate") == {1, 3}
     assert met("reject ALL of it") == {1, 2, 3, 4, 5} and met("排除全部") == {1, 2, 3, 4, 5}
+
+
+def test_candidates_lose_no_pair(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    words += [w[: len(w) // 2] for w in words[:20]] + [w[:3] + "x" + w[3:] for w in words[20:40]] + ["a", "b", "", "ab"]
+    spans = spark.createDataFrame([(k % 2, k, w) for k, w in enumerate(words)], "image_id bigint, span_id int, norm string")
+    units = spark.createDataFrame([(k % 2, k, w) for k, w in enumerate(reversed(words))], "image_id bigint, unit_id int, norm string")
+    run = lambda: sorted(map(tuple, regions.alike(spans, units).collect()))
+    plain = run()
+    monkeypatch.setattr(regions, "FEW", 0)
+    assert run() == plain and len(plain) > 200
+    two = lambda t: {t[i : i + 2] for i in range(max(len(t) - 1, 1))}
+    want = {(k % 2, k, j) for k, a in enumerate(words) for j, b in enumerate(reversed(words)) if a and b and k % 2 == j % 2 and (a in b or b in a or len(two(a) & two(b)) / len(two(a) | two(b)) >= 0.56)}
+    assert {x[:3] for x in plain} == want

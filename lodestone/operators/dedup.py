@@ -9,6 +9,8 @@ from lodestone.functions import kernels
 from lodestone.tables import Steps
 
 TILE = 512
+#: pairs within buckets, for each open document, at which pairs are looked at as they are
+PAIRS_EACH = 16
 #: how much below the limit a sketch's estimate may lie: more than five standard deviations of 128 bins
 SLACK = 0.2
 
@@ -122,8 +124,8 @@ def near_map(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int =
 
     The set is found in rounds. A document that is the smallest open one in all its buckets is kept, for no open document
     can drop it; it is compared with its buckets, and what it drops leaves them, so a family of near copies costs its size
-    times its kept members, not its pairs. Once the open documents of all buckets make few pairs, the near ones among
-    those are found, and the rest is settled on these links, again all at once that no open smaller link holds back.
+    times its kept members, not its pairs. Once the open documents of all buckets make few pairs (``PAIRS_EACH`` a document), the
+    near ones among those are found, and the rest is settled on these links, again all at once that no open smaller link holds back.
 
     Edge cases: null texts are empty; of equal ids with different texts either may come first; an empty table gives no rows.
     """
@@ -137,7 +139,7 @@ def near_map(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int =
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     keys = steps.keep(keys.join(shared, "key"))
     open_ = steps.keep(keys.select("doc_id").distinct())
-    n_open, near, settled = open_.count(), [], []
+    n_open, near, stuck = open_.count(), [], False
 
     def compared(pairs: DataFrame) -> DataFrame:
         """Near ones of distinct pairs (a, b): those that sketches leave, by their sets; rows of one a stand together, so its set is made once."""
@@ -154,21 +156,24 @@ def near_map(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int =
         live = keys.join(open_, "doc_id")
         lead = steps.keep(live.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).filter("n > 1"))
         pairs = lead.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-        if pairs <= 16 * n_open:
+        if pairs <= PAIRS_EACH * n_open:
             break
         led = live.join(lead, "key", "left").groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("doc_id") == F.col("lead"), F.lit(True))).alias("first"))
         kept = steps.keep(led.filter("first").select("doc_id"))
         mates = keys.join(kept, "doc_id").select(F.col("doc_id").alias("a"), "key").join(keys.select(F.col("doc_id").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct()
         found = compared(mates)
         near.append(found)
-        settled.append(kept)
         after = steps.keep(open_.join(kept, "doc_id", "left_anti").join(found.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"))
         left = after.count()
         stuck, n_open, open_ = left > 0.9 * n_open, left, after
         if stuck:
             break
     if n_open:
-        links = steps.keep(near_pairs(texts.join(open_, "doc_id", "left_semi").dropDuplicates(["doc_id"]), least, shingle, bands, rows, "text", False))
+        if stuck:  # many open ones that no kept one drops: their pairs are compared in tiles
+            links = steps.keep(near_pairs(texts.join(open_, "doc_id", "left_semi").dropDuplicates(["doc_id"]), least, shingle, bands, rows, "text", False))
+        else:
+            live = steps.keep(keys.join(open_, "doc_id"))
+            links = compared(live.select(F.col("doc_id").alias("a"), "key").join(live.select(F.col("doc_id").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct())
         rest, edges, last = open_, links, []
         while True:
             free = steps.keep(rest.join(edges.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"))

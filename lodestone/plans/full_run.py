@@ -1,6 +1,6 @@
 """One text run from recall to packages: context, localisation, adjudication, assessments, evidence, decision.
 
-Every table is keyed by doc_id and lazy but for the two recalls, which are written once;
+Every table is keyed by doc_id; what several steps read is written once, above all the two recalls;
 :meth:`FullRun.done` deletes what was written.
 """
 
@@ -181,10 +181,10 @@ def run(docs: DataFrame, profile: str = "full", circulated: Column | None = None
     if profile not in ("full", "privacy_only", "safety_only"):
         raise ValueError(profile)
     steps = Steps(docs.sparkSession)
-    contexts = adjudication.document_context(docs)
-    hits, found_p = content.keyword_findings(docs), privacy.post_processed(privacy.recall(docs), docs)
-    hits = steps.keep(hits.filter(F.lit(profile != "privacy_only")))
-    found_p = steps.keep(found_p.filter(F.lit(profile != "safety_only")))
+    contexts = steps.keep(adjudication.document_context(docs))
+    hits = steps.keep(content.keyword_findings(docs).filter(F.lit(profile != "privacy_only")))
+    recalled = steps.keep(privacy.recall(docs).filter(F.lit(profile != "safety_only")))  # what follows reads it several times
+    found_p = steps.keep(privacy.post_processed(recalled, docs))
     windows = content.candidate_windows(docs, hits)
     if answers is not None:  # a model also answers for windows without hits
         asked = content.packed_windows(docs).join(answers.select("doc_id", "window").distinct(), ["doc_id", "window"], "left_semi").withColumn("labels", F.lit("model"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import kernels
 from lodestone.operators import dedup, scans, text_prep
 from lodestone.queries import query, table
 
@@ -33,6 +34,17 @@ def language_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text_prep.language(t).alias("language"), text_prep.language_by_share(t).alias("language_by_share"))
 
 
+@query("""
+SELECT doc_id, sha256(c) AS nfc_sha256, length(c)::INTEGER AS nfc_chars
+FROM (SELECT doc_id, nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776))) AS c FROM documents)
+""")
+def nfc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with two letters taken apart into letter and mark, put together again."""
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    d = kernels.nfc(table(spark, sf_dir, "documents").select("doc_id", apart.alias("text")))
+    return d.select("doc_id", F.sha2("text", 256).alias("nfc_sha256"), F.length("text").alias("nfc_chars"))
+
+
 @query("""
 SELECT doc_id::VARCHAR AS given_id, 'doc_' || left(sha256('docs.jsonl:' || doc_id || ':' || text), 12) AS made_id, sha256(text) AS text_hash
 FROM documents WHERE trim(text) <> ''

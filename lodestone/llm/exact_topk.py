@@ -33,6 +33,8 @@ from lodestone.llm.common import n_partitions
 BLOCK, QUERY_BLOCK = 1024, 512
 #: vectors of greatest length that give every query its first bound
 HEAD = 2048
+#: queries whose best partners a task holds at a time
+HELD = 1 << 16
 FOCUS = 8
 EXACT = float(2**53)
 
@@ -178,6 +180,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list[tuple[int, int]]] = {}
+
+        def told() -> pa.RecordBatch:
+            """The best of the queries held, which are then forgotten; the ranking goes over all that tasks tell."""
+            rows = [(i, v, max(-(2**63), min(s, 2**63 - 1)), order_key(s)) for i, have in kept.items() for s, v in heapq.nsmallest(k, have, key=lambda x: (-x[0], x[1]))]
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows], pa.binary() if m == 3 else pa.int64()) for m in range(4)], names=["query_id", "vec_id", "score", "key"])
+
         for b in batches:
             for r in range(b.num_rows):
                 at = {n: b.column(m)[r] for m, n in enumerate(b.schema.names)}
@@ -189,8 +198,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     have += top
                     if len(have) > 8 * k:
                         have[:] = heapq.nsmallest(k, have, key=lambda x: (-x[0], x[1]))
-        rows = [(i, v, max(-(2**63), min(s, 2**63 - 1)), order_key(s)) for i, have in kept.items() for s, v in heapq.nsmallest(k, have, key=lambda x: (-x[0], x[1]))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows], pa.binary() if m == 3 else pa.int64()) for m in range(4)], names=["query_id", "vec_id", "score", "key"])
+                if len(kept) > HELD:
+                    yield told()
+        yield told()
 
     found = pairs.select("dim", "qid", "q", "qn", "theta", "cid", "c", "cn").mapInArrow(kernel, "query_id bigint, vec_id bigint, score bigint, key binary")
     order = Window.partitionBy("query_id").orderBy(F.col("key").desc(), "vec_id")

@@ -153,6 +153,7 @@ def test_repeated_strings_empty_table(spark):
 @pytest.mark.parametrize("block", [1024, 16])
 def test_exact_topk_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(exact_topk, "BLOCK", block)
+    monkeypatch.setattr(exact_topk, "HELD", 1 << 16 if block > 16 else 1)
     rng = random.Random(3)
     rows = [(k, [rng.gauss(0, 1) * (1 + k % 7) for _ in range(8)]) for k in range(300)]
     rows += [(300, None), (301, [1.0] * 7 + [None]), (302, [float("nan")] * 8), (None, [1.0] * 8), (303, [float("inf")] * 8), (304, [0.0] * 8), (350, [1.0] * 8), (350, [1.0] * 8), (351, [1.0, 2.0]), (400, [2.0, 1.0]), (450, [1e20] * 8), (451, [1e20] * 7 + [-1e20]), (452, [-1e150] * 8), (500, [1e160] + [1.0] * 7)]

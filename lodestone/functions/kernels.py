@@ -168,6 +168,33 @@ def alike_in_sketch(pairs: DataFrame, least: float, sure: int = 32) -> DataFrame
     return pairs.select("a", "b", "sa", "sb").mapInArrow(kernel, f"a {kind}, b {kind}")
 
 
+def alike_in_tile(t: pa.Table, least: float, sure: int = 32) -> pa.Table:
+    """a, b (a below b) of the rows of two parts of each group (or within one part) whose sketches agree as in :func:`alike_in_sketch`."""
+    t = t.combine_chunks()
+    one, two, grp, part = t["one"][0].as_py(), t["two"][0].as_py(), t["grp"].to_numpy(), t["part"].to_numpy()
+    x = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    full = x > 0
+    order = np.argsort(grp, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], grp[order][1:] != grp[order][:-1], [True])))
+    left, right = [], []
+    for s, e in zip(edge, edge[1:]):
+        own = order[s:e]
+        rows, others = own[part[own] == one], own[part[own] == two]
+        for k, i in enumerate(rows.tolist()):
+            o = others[k + 1 :] if one == two else others
+            if len(o):
+                filled = (full[o] | full[i]).sum(axis=1)
+                same = ((x[o] == x[i]) & full[i]).sum(axis=1)
+                near = o[(filled < sure) | (same >= least * filled)]
+                left.append(np.full(len(near), i))
+                right.append(near)
+    i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+    ids = t["doc_id"].chunk(0)
+    a, b = ids.take(pa.array(i, pa.int64())), ids.take(pa.array(j, pa.int64()))
+    low = pc.less(a, b)
+    return pa.table({"a": pc.if_else(low, a, b), "b": pc.if_else(low, b, a)})
+
+
 def overlaps(lists: pa.ListArray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
     """Sizes of the intersections of lists of distinct numbers, left by right."""
     flat = lists.flatten().to_numpy(zero_copy_only=False)

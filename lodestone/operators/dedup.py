@@ -115,6 +115,20 @@ def near_pairs(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
 
 
+def sketch_pairs(live: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """a, b of the rows (doc_id, key) that share a bucket and whose sketches agree: compared in tiles, so no bucket has to fit a task and only such pairs leave it."""
+    kind = dict(live.dtypes)["doc_id"]
+    lead = live.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = live.join(lead, "key").select("doc_id", F.xxhash64("lead").alias("grp")).distinct()
+    tiles = members.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = members.join(tiles, "grp").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # small groups of a range share a task
+    ranges = 8 * int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("doc_id", "grp", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), F.when(F.col("tiles") > 1, F.col("grp")).otherwise(F.pmod("grp", F.lit(ranges))).alias("range"))
+    work = dealt.join(sketches, "doc_id").select("range", "one", "two", "grp", "part", "doc_id", "sketch")
+    return work.groupBy("range", "one", "two").applyInArrow(lambda t: kernels.alike_in_tile(t, least), f"a {kind}, b {kind}").distinct()
+
+
 def near_map(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4, text: str = "text") -> DataFrame:
     """doc_id, duplicate_of, score of every document, as when documents are taken one by one in order of their ids.
 
@@ -141,10 +155,10 @@ def near_map(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int =
     open_ = steps.keep(keys.select("doc_id").distinct())
     n_open, near, stuck = open_.count(), [], False
 
-    def compared(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame, sketched: bool = False) -> DataFrame:
         """Near ones of distinct pairs (a, b): those that sketches leave, by their sets; rows of one a stand together, so its set is made once."""
         of = lambda by, name: sketches.select(F.col("doc_id").alias(by), F.col("sketch").alias(name))
-        pairs = steps.keep(kernels.alike_in_sketch(pairs.join(of("b", "sb"), "b").join(of("a", "sa"), "a"), least - SLACK))
+        pairs = steps.keep(pairs if sketched else kernels.alike_in_sketch(pairs.join(of("b", "sb"), "b").join(of("a", "sa"), "a"), least - SLACK))
         asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         some = texts.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         of = lambda by, name: some.select(F.col("doc_id").alias(by), F.col("text").alias(name))
@@ -169,10 +183,10 @@ def near_map(docs: DataFrame, least: float = 0.8, shingle: int = 5, bands: int =
         if stuck:
             break
     if n_open:
-        if stuck:  # many open ones that no kept one drops: their pairs are compared in tiles
-            links = steps.keep(near_pairs(texts.join(open_, "doc_id", "left_semi").dropDuplicates(["doc_id"]), least, shingle, bands, rows, "text", False))
+        live = steps.keep(keys.join(open_, "doc_id"))
+        if stuck:  # many open ones that no kept one drops: their sketches are compared in tiles
+            links = compared(sketch_pairs(live, sketches, least - SLACK), True)
         else:
-            live = steps.keep(keys.join(open_, "doc_id"))
             links = compared(live.select(F.col("doc_id").alias("a"), "key").join(live.select(F.col("doc_id").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct())
         rest, edges, last = open_, links, []
         while True:

@@ -16,9 +16,9 @@ def with_first(rows: DataFrame, other: DataFrame, key: str, order: str, columns:
 
 
 def target_events(targets: DataFrame, events: DataFrame) -> DataFrame:
-    """targets (finding_id, event_id) with the first event (event_id, ord, finding_refs array) that refers to their finding, else their own."""
+    """targets (finding_id, event_id) with the first event (event_id, ord, finding_refs array; of equals that of the smallest id) that refers to their finding, else their own."""
     refs = events.select("event_id", "ord", F.explode("finding_refs").alias("finding_id"))
-    first = refs.groupBy("finding_id").agg(F.min_by("event_id", "ord").alias("_e"))
+    first = refs.groupBy("finding_id").agg(F.min_by("event_id", F.struct("ord", "event_id")).alias("_e"))
     return targets.join(first, "finding_id", "left").withColumn("event_id", F.coalesce("_e", "event_id")).drop("_e")
 
 

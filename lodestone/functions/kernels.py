@@ -168,9 +168,8 @@ def alike_in_sketch(pairs: DataFrame, least: float, sure: int = 32) -> DataFrame
     return pairs.select("a", "b", "sa", "sb").mapInArrow(kernel, f"a {kind}, b {kind}")
 
 
-def alike_in_tile(t: pa.Table, least: float, sure: int = 32) -> pa.Table:
-    """a, b (a below b) of the rows of two parts of each group (or within one part) whose sketches agree as in :func:`alike_in_sketch`."""
-    t = t.combine_chunks()
+def alike_rows(t: pa.Table, least: float, sure: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of two parts of each group (or within one part) whose sketches agree as in :func:`alike_in_sketch`."""
     one, two, grp, part = t["one"][0].as_py(), t["two"][0].as_py(), t["grp"].to_numpy(), t["part"].to_numpy()
     x = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
     full = x > 0
@@ -188,7 +187,19 @@ def alike_in_tile(t: pa.Table, least: float, sure: int = 32) -> pa.Table:
                 near = o[(filled < sure) | (same >= least * filled)]
                 left.append(np.full(len(near), i))
                 right.append(near)
-    i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+
+
+def met_in_tile(t: pa.Table, least: float, sure: int = 32) -> pa.Table:
+    """grp, doc_id of the rows that agree with another one of their group (see :func:`alike_rows`)."""
+    t = t.combine_chunks()
+    return t.select(["grp", "doc_id"]).take(pa.array(np.unique(np.concatenate(alike_rows(t, least, sure))), pa.int64()))
+
+
+def alike_in_tile(t: pa.Table, least: float, sure: int = 32) -> pa.Table:
+    """a, b (a below b) of :func:`alike_rows`."""
+    t = t.combine_chunks()
+    i, j = alike_rows(t, least, sure)
     ids = t["doc_id"].chunk(0)
     a, b = ids.take(pa.array(i, pa.int64())), ids.take(pa.array(j, pa.int64()))
     low = pc.less(a, b)

@@ -190,20 +190,14 @@ def alike_rows(t: pa.Table, least: float, sure: int) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
 
 
-def met_in_tile(t: pa.Table, least: float, sure: int = 32) -> pa.Table:
-    """grp, doc_id of the rows that agree with another one of their group (see :func:`alike_rows`)."""
-    t = t.combine_chunks()
-    return t.select(["grp", "doc_id"]).take(pa.array(np.unique(np.concatenate(alike_rows(t, least, sure))), pa.int64()))
-
-
 def alike_in_tile(t: pa.Table, least: float, sure: int = 32) -> pa.Table:
-    """a, b (a below b) of :func:`alike_rows`."""
+    """a, b (a below b), grp of :func:`alike_rows`."""
     t = t.combine_chunks()
     i, j = alike_rows(t, least, sure)
     ids = t["doc_id"].chunk(0)
     a, b = ids.take(pa.array(i, pa.int64())), ids.take(pa.array(j, pa.int64()))
     low = pc.less(a, b)
-    return pa.table({"a": pc.if_else(low, a, b), "b": pc.if_else(low, b, a)})
+    return pa.table({"a": pc.if_else(low, a, b), "b": pc.if_else(low, b, a), "grp": t["grp"].chunk(0).take(pa.array(i, pa.int64()))})
 
 
 def overlaps(lists: pa.ListArray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:

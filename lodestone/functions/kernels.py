@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 #: digits (blanks and dashes between them) that any rule for long numbers asks for; the mark of such rules among hints
 LONG_NUMBER = re.compile(r"(?:\d[ -]?){7}")
 DIGITS = "0-9"
+#: texts that a kernel has as Python strings at once
+SLICE = 64
 
 
 def folded(t: str) -> str:
@@ -60,8 +62,10 @@ def nfc(docs: DataFrame, text: str = "text") -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text)
-            out = pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in b.column(at).to_pylist()], b.schema.field(at).type)
-            yield b.set_column(at, b.schema.field(at), out)
+            for k in range(0, b.num_rows, SLICE):  # texts as Python strings are several times as large
+                part = b.slice(k, SLICE)
+                out = pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in part.column(at).to_pylist()], b.schema.field(at).type)
+                yield part.set_column(at, b.schema.field(at), out)
 
     return docs.mapInArrow(kernel, docs.schema)
 

@@ -43,6 +43,22 @@ def test_texts_without_a_near_copy_do_not_move_for_near_pairs(spark, monkeypatch
     """Of many texts of one small vocabulary only those with a partner reach the comparison of sets."""
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(150)]
+    texts += [t + " tail" for t in texts[:5]]
+    sizes, real = {}, dedup.tiled
+
+    def noted(members, size):
+        sizes[size] = members.count()
+        return real(members, size)
+
+    monkeypatch.setattr(dedup, "tiled", noted)
+    rows = dedup.near_pairs(docs(spark, *texts)).collect()
+    assert {(r["a"], r["b"]) for r in rows} == {(k, 150 + k) for k in range(5)} and len(rows) == 5
+    assert sizes[dedup.TILE] < sizes[8 * dedup.TILE] / 2
+
+
+def test_composition_holds_few_texts_at_once(spark):
+    """A batch goes on in parts, with every row in its place."""
     texts = ["e\u0301" * (k % 5) + str(k) if k % 7 else None for k in range(300)]
     d = docs(spark, *texts).coalesce(1)
     got = {r["doc_id"]: r["text"] for r in kernels.nfc(d).collect()}

@@ -13,7 +13,7 @@ from lodestone.llm import jaccard_join, mixing, piece_sampling, secret_scan, tox
 from lodestone.llm.common import shared_dir, written
 
 #: texts that a worker of the last stage gets at once; its lattices need the rest of the memory
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document, with their piece ids."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # holds for what the session runs later too
-    return piece_sampling.encoded(docs.select("doc_id", "lang", "source", "text"), piece_sampling.model_bytes(), keep_text=False)
+    return piece_sampling.encoded(docs.select("doc_id", "lang", "source", "text"), piece_sampling.model_bytes(), keep_text=False, lean=True)
 
 
 STAGES = [

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import BASE, BASE_INV, BYTE_CODE, U64, added_schema, mix, powers, slices, text_buffers, tidied
+from lodestone.llm.common import BASE, BASE_INV, BYTE_CODE, U64, added_schema, given_back, mix, powers, slices, text_buffers, tidied
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
@@ -47,6 +47,8 @@ MARK = "▁"
 LONGER, PREFIX = 1 << 30, -2
 #: edges that a task keeps for later texts
 KEPT = 5 << 19
+#: bytes of a slice and edges that are kept where memory counts more than time
+LEAN = (1 << 16, 5 << 17)
 
 
 def salt(*parts: tuple[int, int]) -> np.uint64:
@@ -224,11 +226,12 @@ def built(p: Pieces, own: np.ndarray, edge: np.ndarray) -> dict[str, np.ndarray]
 
 
 class Kept:
-    """Lattices of units by their hash, in arrays that grow at the end."""
+    """Lattices of units by their hash, in arrays that grow at the end, up to ``most`` edges and those of one slice."""
 
     NAMES = ("buf", "char", "node0", "rem", "edge0", "degree", "node", "length", "piece", "n_ids", "p", "cum")
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = KEPT) -> None:
+        self.most = most
         self.hashes, self.order = np.zeros(0, U64), np.zeros(0, np.int64)
         self.edges = 0
         self.room: dict[str, np.ndarray] = {}
@@ -267,7 +270,7 @@ class Lattice:
 
     A unit is a run of spaces with what follows up to the next space: no piece reaches
     beyond it. Nodes are characters of distinct units; edges are grouped by node. Units
-    of earlier texts of the task stay, up to ``KEPT`` edges, so that common ones are built once.
+    of earlier texts of the task stay, up to ``Kept.most`` edges, so that common ones are built once.
     """
 
     def __init__(self, pieces: Pieces, data: np.ndarray, off: np.ndarray, i: int, j: int):
@@ -293,8 +296,8 @@ class Lattice:
         units, head, kind = np.unique(substring_hash(total, start, end), return_index=True, return_inverse=True)
         have = pieces.kept
         known = have.find(units)
-        if have.edges > KEPT:
-            have = pieces.kept = Kept()
+        if have.edges > have.most:
+            have = pieces.kept = Kept(have.most)
             known[:] = -1
         fresh = np.flatnonzero(known < 0)
         size = (end - start)[head[fresh]]
@@ -562,20 +565,25 @@ def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
 COLUMNS = "sample int, n_pieces bigint, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean"
 
 
-def encoded(df: DataFrame, model: bytes, k: int = SAMPLES, seed: int = SEED, text: str = "text", key: str = "doc_id", with_ids: bool = True, keep_text: bool = True) -> DataFrame:
-    """Each row up to k times: sample (from 1), figures of the segmentation, and its piece ids (array<int>) if asked for."""
+def encoded(df: DataFrame, model: bytes, k: int = SAMPLES, seed: int = SEED, text: str = "text", key: str = "doc_id", with_ids: bool = True, keep_text: bool = True, lean: bool = False) -> DataFrame:
+    """Each row up to k times: sample (from 1), figures of the segmentation, and its piece ids (array<int>) if asked for.
+
+    lean: the same rows with less than half of the memory for lattices, in up to twice the time; a slice's memory goes back at its end.
+    """
     shared = df.sparkSession.sparkContext.broadcast(Pieces.loaded(model))  # as large as the vocabulary
     names = [c.split()[0] for c in COLUMNS.split(", ")] + ["ids"] * with_ids
     gone = set() if keep_text else {text}
+    slice_bytes, most = LEAN if lean else (BATCH, KEPT)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
+        pieces.kept = Kept(most)
         for b in batches:
             data, off = text_buffers(b.column(b.schema.get_field_index(text)))
             keys = row_keys(b.column(b.schema.get_field_index(key)), seed)
             keep = [m for m, c in enumerate(b.schema.names) if c not in names and c not in gone]
             rest = b.select([b.schema.names[m] for m in keep])
-            for i, j in slices(off, BATCH):
+            for i, j in slices(off, slice_bytes):
                 lat, found = sample_texts(pieces, data, off, i, j, keys[i:j], k)
                 every = [(d, m, x) for d, own in enumerate(found) for m, x in enumerate(own)]
                 ids, at = lat.ids_of([x.path for _, _, x in every])
@@ -589,7 +597,9 @@ def encoded(df: DataFrame, model: bytes, k: int = SAMPLES, seed: int = SEED, tex
                     figures.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
                 t = rest.take(pa.array(i + text_of))
                 yield pa.RecordBatch.from_arrays(t.columns + figures, names=t.schema.names + names)
-                del lat, found, every
+                del lat, found, every, ids, figures, t
+                if lean:
+                    given_back()
         pieces.kept = Kept()
 
     return df.mapInArrow(tidied(kernel), added_schema(df.drop(*gone), COLUMNS + ", ids array<int>" * with_ids))

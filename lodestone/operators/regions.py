@@ -11,8 +11,9 @@ fuzzy_block: the one block alike to it;
 fuzzy_union: all blocks alike to it, if there are several.
 
 Texts are compared without marks and in small letters. Spans and
-units of a picture of few are compared as they are; in larger pictures they meet through
-shared character pairs, so that no picture makes pairs of all its rows.
+units of a picture of few are compared as they are; those of larger pictures are dealt into
+blocks, and two blocks at a time are compared by counts of shared character pairs, so that no
+picture is one task and only pairs that are found become rows.
 
 Edge cases: null texts are empty; spans without words skip the text stages, spans
 without a start skip char_span; an empty end is one character after the start; spans
@@ -22,6 +23,8 @@ number; pictures without a size are as large as their blocks reach.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,8 +38,10 @@ STRETCH = 1024
 _ENDS = "\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{85}\\x{2028}\\x{2029}"
 LINE = f"[^{_ENDS}]*(?:\\r\\n|[{_ENDS}])|[^{_ENDS}]+"
 FUZZY, ALIKE = 0.56, 0.72
-#: spans times units of a picture that are compared as they are; those of larger pictures meet through shared pairs of characters
+#: spans times units of a picture that are compared as they are; those of larger pictures are compared in blocks
 FEW = 4096
+#: rows of a block
+TILE = 256
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:
@@ -117,39 +122,55 @@ def alike(spans: DataFrame, units: DataFrame) -> DataFrame:
     text = lambda side, name, t: every.filter(F.col("side") == side).select("image_id", F.col("id").alias(name), F.col("norm").alias(t), F.col("two").alias(f"{t}2"))
     few = sides.filter(F.col("ns") * F.col("nu") <= FEW).select("image_id")
     near = text(0, "span_id", "a").join(few, "image_id").join(text(1, "unit_id", "b"), "image_id")
-    found = candidates(every.join(sides.filter(F.col("ns") * F.col("nu") > FEW).select("image_id"), "image_id"))
-    far = found.join(text(0, "span_id", "a"), ["image_id", "span_id"]).join(text(1, "unit_id", "b"), ["image_id", "unit_id"])
-    met = near.unionByName(far)
     a, b = F.col("a"), F.col("b")
     held = F.contains(a, b) | F.contains(b, a)
     n, m = F.size("a2"), F.size("b2")
     ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
     # sizes alone rule out most pairs
     alike_by = F.when(F.least(n, m) >= F.greatest(n, m) * FUZZY, g.once(F.size(F.array_intersect("a2", "b2")), lambda both: both / (n + m - both))).otherwise(0.0)
-    met = met.select("image_id", "span_id", "unit_id", held.alias("held"), F.when(held, ratio).otherwise(alike_by).alias("likeness"))
-    out = steps.keep(met.filter(F.col("held") | (F.col("likeness") >= FUZZY)))
+    met = near.select("image_id", "span_id", "unit_id", held.alias("held"), F.when(held, ratio).otherwise(alike_by).alias("likeness"))
+    far = alike_in_blocks(every, sides.filter(F.col("ns") * F.col("nu") > FEW))
+    out = steps.keep(met.filter(F.col("held") | (F.col("likeness") >= FUZZY)).unionByName(far))
     steps.leave(out)
     return out
 
 
-def candidates(every: DataFrame) -> DataFrame:
-    """Pairs (image_id, span_id, unit_id) that can be alike, by shared pairs of characters in one order over all texts.
+def alike_in_blocks(every: DataFrame, sides: DataFrame) -> DataFrame:
+    """Pairs as :func:`alike` gives them, of the pictures in ``sides`` (image_id, ns, nu: spans and units). every: image_id, side (0 spans, 1 units), id, norm.
 
-    A text that holds another holds its first pair in that order; two texts alike enough share one among the first of each.
-    every: image_id, side (0 spans, 1 units), id, norm, two (pairs).
+    Every block of spans meets every block of its picture's units; a task holds two blocks at a time.
     """
-    number = lambda xs: F.transform(xs, lambda p: F.xxhash64(p))
-    ranked = every.select("image_id", "side", "id", F.array_sort(number(F.col("two"))).alias("o"), number(letters_of(F.col("norm"))).alias("l"))
-    n = F.size("o")
-    few = F.greatest(n - F.ceil(n * F.lit(FUZZY) - 1e-9) + 1, F.lit(1)).cast("int")
-    of = lambda xs: ranked.select("image_id", "side", "id", F.explode(xs).alias("p"))
-    rare, whole, first = of(F.slice("o", F.lit(1), F.lit(1))), of(F.array_union("o", "l")), of(F.slice("o", F.lit(1), few))
-
-    def met(a: DataFrame, b: DataFrame) -> DataFrame:
-        x = a.filter("side = 0").select("image_id", "p", F.col("id").alias("span_id"))
-        return x.join(b.filter("side = 1").select("image_id", "p", F.col("id").alias("unit_id")), ["image_id", "p"]).select("image_id", "span_id", "unit_id")
-
-    return met(rare, whole).unionByName(met(whole, rare)).unionByName(met(first, first)).distinct()
+    kind = dict(every.dtypes)
+    blocks = lambda n: F.ceil(F.col(n) / TILE)
+    span = F.col("side") == 0
+    x = every.join(sides, "image_id").withColumn("own", F.pmod(F.xxhash64("id"), F.when(span, blocks("ns")).otherwise(blocks("nu"))))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(span, blocks("nu")).otherwise(blocks("ns")) - 1)))
+    x = x.select("image_id", "side", "id", "norm", F.when(span, F.col("own")).otherwise(F.col("other")).alias("sb"), F.when(span, F.col("other")).otherwise(F.col("own")).alias("ub"))
+    return x.groupBy("image_id", "sb", "ub").applyInArrow(_compared, f"image_id {kind['image_id']}, span_id {kind['id']}, unit_id {kind['id']}, held boolean, likeness double")
+
+
+def _compared(t: pa.Table) -> pa.Table:
+    """The pairs of two blocks: one holds the other, or shared pairs of characters reach ``FUZZY``."""
+    side = t["side"].to_numpy()
+    s, u = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    norm = t["norm"].to_pylist()
+    two = [{x} if len(x) <= 2 else set(map("".join, zip(x, x[1:]))) for x in norm]
+    number: dict[str, int] = {}
+    n, length = np.array([len(x) for x in two]), np.array([len(x) for x in norm])
+    has = np.zeros((len(norm), len(set().union(*two))), np.float32)
+    for k, own in enumerate(two):
+        has[k, [number.setdefault(x, len(number)) for x in own]] = 1
+    both = (has[s] @ has[u].T).astype(np.int64)
+    a, b = n[s][:, None], n[u][None, :]
+    # who holds a text of three characters or more has all its pairs
+    held = (both == np.minimum(a, b)) | (np.minimum(length[s][:, None], length[u][None, :]) <= 2)
+    for i, j in zip(*np.nonzero(held)):
+        x, y = norm[s[i]], norm[u[j]]
+        held[i, j] = x in y or y in x
+    ratio = np.minimum(length[s][:, None], length[u][None, :]) / np.maximum(length[s][:, None], length[u][None, :])
+    likeness = np.where(held, ratio, np.where(np.minimum(a, b) >= np.maximum(a, b) * FUZZY, both / (a + b - both), 0.0))
+    i, j = np.nonzero(held | (likeness >= FUZZY))
+    return pa.table({"image_id": t["image_id"].take(pa.array(s[i])), "span_id": t["id"].take(pa.array(s[i])), "unit_id": t["id"].take(pa.array(u[j])), "held": pa.array(held[i, j]), "likeness": pa.array(likeness[i, j], pa.float64())})
 
 
 def local_span(text: Column, part: Column, norm: Column, part_norm: Column) -> Column:
@@ -189,6 +210,12 @@ def quality(span: Column, unit: Column, norm: Column) -> Column:
 _UNIT = ("text", "box", "confidence", "char_boxes")
 
 
+def _best(j: DataFrame) -> DataFrame:
+    """image_id, span_id, region of the greatest score. A filter on ``region`` in front of the groups would be pushed down and make each region many times."""
+    own = F.when(F.col("region").isNotNull(), F.struct(-F.col("score"), "unit_id"))
+    return j.groupBy("image_id", "span_id").agg(F.min_by("region", own).alias("region")).filter("region is not null")
+
+
 def spotted(spans: DataFrame, instances: DataFrame) -> DataFrame:
     """image_id, span_id, region: the best instance that holds the span (or is held by it, else is alike) and has its place."""
     i = instances.filter(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("text", F.regexp_replace("text", "(?U)^[\\s\\x1C-\\x1F]+|[\\s\\x1C-\\x1F]+$", ""))
@@ -202,11 +229,11 @@ def spotted(spans: DataFrame, instances: DataFrame) -> DataFrame:
     score = F.when(F.col("held"), quality(F.col("span_norm"), F.col("u"), F.col("norm"))).otherwise(F.col("likeness")) + F.coalesce(bonus, F.lit(0.0))
     j = j.withColumn("at", local_span(F.col("u.text"), F.col("span_text"), F.col("norm"), F.col("span_norm"))).withColumn("score", score)
     region = F.when(F.col("at").isNotNull(), char_region(F.col("u"), F.col("at.start"), F.col("at.end"), "spotting")).when(F.contains("norm", "span_norm"), _full(F.col("u"), "spotting_full_instance"))
-    return j.withColumn("region", region).filter("region is not null").groupBy("image_id", "span_id").agg(F.min_by("region", F.struct(-F.col("score"), "unit_id")).alias("region"))
+    return _best(j.withColumn("region", region))
 
 
 def by_offsets(spans: DataFrame, units: DataFrame, images: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """image_id, span_id, region: the part of the one unit that a span's offsets overlap, or all of several. An interval join in stretches of offsets."""
+    """image_id, span_id, region: the part of the one unit that a span's offsets overlap, or all of several, or null where neither is of a fitting size. An interval join in stretches of offsets."""
     s = spans.filter("start is not null").select("image_id", "span_id", "text", F.col("start").cast("long").alias("s"), F.when(F.col("end") >= F.col("start"), F.col("end")).otherwise(F.col("start") + 1).cast("long").alias("e")).filter("s < e")
     over = lambda a, b: F.explode(F.sequence(F.floor(a / stretch), F.floor((b - 1) / stretch)))
     s = s.withColumn("b", over(F.col("s"), F.col("e")))
@@ -227,7 +254,7 @@ def by_offsets(spans: DataFrame, units: DataFrame, images: DataFrame, stretch: i
     union = g.box(F.col("x"), F.col("y"), F.greatest(F.lit(1.0), F.col("x1") - F.col("x")), F.greatest(F.lit(1.0), F.col("y1") - F.col("y")))
     several = F.struct(text_region(union).alias("box"), F.col("c").alias("confidence"), F.lit("char_span_multi_block_union").alias("source"))
     region = F.when(F.col("n") == 1, F.when(_small(F.col("part.box"), said) | ~covers, F.col("part"))).when(_small(union, F.col("text")), several)
-    return per.select("image_id", "span_id", region.alias("region")).filter("region is not null")
+    return per.select("image_id", "span_id", region.alias("region"))
 
 
 def _small(box: Column, text: Column) -> Column:
@@ -247,7 +274,7 @@ def by_text(spans: DataFrame, met: DataFrame, blocks: DataFrame, images: DataFra
     j = j.withColumn("at", local_span(F.col("u.text"), F.col("span_text"), F.col("norm"), F.col("span_norm"))).withColumn("score", quality(F.col("span_norm"), F.col("u"), F.col("norm")))
     j = j.withColumn("part", char_region(F.col("u"), F.col("at.start"), F.col("at.end"), "text_match"))
     region = F.when(F.col("at").isNotNull(), F.when(_small(F.col("part.box"), F.col("span_text")), F.col("part"))).when(_small(F.col("u.box"), F.col("span_text")), _full(F.col("u"), "text_match_full_block"))
-    return j.withColumn("region", region).filter("region is not null").groupBy("image_id", "span_id").agg(F.min_by("region", F.struct(-F.col("score"), "unit_id")).alias("region"))
+    return _best(j.withColumn("region", region))
 
 
 def by_likeness(spans: DataFrame, met: DataFrame, blocks: DataFrame, images: DataFrame) -> DataFrame:
@@ -287,7 +314,7 @@ def span_regions(spans: DataFrame, blocks: DataFrame, instances: DataFrame, imag
     def left(found: DataFrame) -> DataFrame:
         found = steps.keep(found)
         done.append(found)
-        return steps.keep(open_.join(found, ["image_id", "span_id"], "left_anti"))
+        return steps.keep(open_.join(found.filter("region is not null"), ["image_id", "span_id"], "left_anti"))
 
     open_ = left(spotted(open_, instances))
     open_ = left(by_offsets(open_, ocr_units(blocks), sizes))
@@ -298,6 +325,6 @@ def span_regions(spans: DataFrame, blocks: DataFrame, instances: DataFrame, imag
     every = None
     for k, found in enumerate(done):
         stage = F.when(F.col("region.source") == "fuzzy_text_match_union", 5).otherwise(k + 1)
-        own = found.select("image_id", "span_id", stage.alias("stage"), "region.source", "region.box", "region.confidence")
+        own = found.filter("region is not null").select("image_id", "span_id", stage.alias("stage"), "region.source", "region.box", "region.confidence")
         every = own if every is None else every.unionByName(own)
     return every

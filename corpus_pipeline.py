@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard_join, mixing, piece_sampling, secret_scan, toxicity
-from lodestone.llm.common import shared_dir, written
+from lodestone.llm.common import among, bitmap, shared_dir, written
 
 #: texts that a worker of the last stage gets at once; its lattices need the rest of the memory
 BATCH_BYTES = 1 << 20
@@ -26,13 +26,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of near copies (5-word shingles, similarity of 0.8 or more): that of the smallest id.
 
     A null id says nothing of a document, so its text stands in for one, behind all ids that are given; documents that
-    share an id stay or go together.
+    share an id stay or go together. Only texts that may go, or whose id is not theirs alone, leave their tasks.
     """
     stand_in = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 62) - 1)
     key = F.coalesce(F.col("doc_id").cast("bigint"), stand_in)
     verdict = jaccard_join.jaccard_classes(docs.select(key.alias("doc_id"), "text"), n=5, num=4, den=5)
-    stay = verdict.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, key == F.col("_stay"), "left_semi").dropDuplicates(["doc_id", "text"])
+    lots = verdict.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_stays"), F.count("*").alias("n"))
+    unsure = written(lots.filter("not _stays or n > 1").select("_id", "_stays"), "unsure")
+    may = among(bitmap(unsure, "_id"), key)
+    settled = docs.filter(may).join(unsure, key == F.col("_id"), "left").filter(F.coalesce("_stays", F.lit(True))).dropDuplicates(["doc_id", "text"])
+    return docs.filter(~may).unionByName(settled.select(*docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,6 +130,16 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & U64(1)).astype(bool)
 
 
+def among(bits: Broadcast, key: Column) -> Column:
+    """Whether a bigint key, not null, may be among those of the bitmap; rows are told so where they are."""
+
+    @F.pandas_udf("boolean")
+    def hit(k: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bits.value, k.to_numpy()))
+
+    return hit(key)
+
+
 def crc_mod(col: str, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % m

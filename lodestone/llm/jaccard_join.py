@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.blobs import pack, pack_sorted, unpack, unpack_sorted
-from lodestone.llm.common import U64, Words, bitmap, dropped, in_bitmap, mix, n_ranges, slices, text_buffers, tidied, written
+from lodestone.llm.common import U64, Words, among, bitmap, dropped, in_bitmap, mix, n_ranges, slices, text_buffers, tidied, written
 
 CUTS = 4
 #: least and most fragments of a sketch, as powers of two
@@ -370,12 +370,14 @@ def linked(docs: DataFrame, edges: DataFrame, classes: DataFrame, n: int, num: i
 
     def verified(pairs: DataFrame) -> None:
         """Partial overlaps are counted per fragment, and summed per pair; what links is kept."""
-        asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(sketches.select("cid", "src").hint("merge"), "cid")
-        own = fragments.select("cid", "src", "f", "grams").join(asked, ["cid", "src"], "left_semi").drop("src")
+        asked = written(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(sketches.select("cid", "src").hint("merge"), "cid"), "asked")
+        # sets that nobody asks for stay in their task
+        own = fragments.select("cid", "src", "f", "grams").filter(among(bitmap(asked, "src"), F.col("src"))).join(asked, ["cid", "src"], "left_semi").drop("src")
         one, two = own.toDF("a", "f", "ga"), own.toDF("b", "f", "gb")
         partial = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), ["b", "f"]).select("a", "b", "both", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
         found = partial.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("both").alias("both"))
         links.append(written(found.filter(F.col("o") * (num + den) >= F.col("both") * num).select("a", "b"), "links"))
+        dropped(asked)
 
     def labelled(old: DataFrame | None) -> DataFrame:
         """Components of the links so far; of several rounds, of the labels that the last round's links join."""

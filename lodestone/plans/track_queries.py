@@ -8,28 +8,29 @@ from pyspark.sql import functions as F
 from lodestone.functions import geometry as g
 from lodestone.operators import tracks
 from lodestone.queries import query, table
+from lodestone.tables import Steps
 
 
 _LINES = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber)"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each order and line number."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    """One row for each order and line number; points, keys and frames are read from this table, so lines are grouped once."""
+    return Steps(spark).keep(table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey")))
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(rows: DataFrame) -> DataFrame:
     o, n = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint")
-    return lines(spark, sf_dir).select(o.alias("asset_id"), (o * 10 + n).alias("frame_id"), (n * 400).alias("pts_ms"), F.lit(400).alias("duration_ms"), F.lit(640.0).alias("width"), F.lit(360.0).alias("height"))
+    return rows.select(o.alias("asset_id"), (o * 10 + n).alias("frame_id"), (n * 400).alias("pts_ms"), F.lit(400).alias("duration_ms"), F.lit(640.0).alias("width"), F.lit(360.0).alias("height"))
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def points(rows: DataFrame) -> DataFrame:
     """One point a line, a second one far off for every third supplier; some know only their time."""
     o, n, p, s = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint"), F.col("l_partkey"), F.col("l_suppkey")
     near = F.struct(F.lit(0).alias("k"), g.box(p % 50 * 3 + n * 4, s % 60, 40 + p % 30, 30 + s % 20).alias("box"), (p % 100 / 100.0).cast("double").alias("c"))
     far = F.struct(F.lit(1).alias("k"), g.box(p % 50 * 3 + 150 * (s % 4), s % 60 + 40, 80 + p % 60, 30 + s % 20).alias("box"), F.lit(0.9).alias("c"))
     both = F.explode(F.when(s % 3 == 0, F.array(near, far)).otherwise(F.array(near))).alias("x")
-    d = lines(spark, sf_dir).select(o.alias("risk_id"), o.alias("asset_id"), n.alias("n"), F.when(p % 5 != 0, o * 10 + n).alias("frame_id"), (n * 400 + 50).alias("pts_ms"), both)
+    d = rows.select(o.alias("risk_id"), o.alias("asset_id"), n.alias("n"), F.when(p % 5 != 0, o * 10 + n).alias("frame_id"), (n * 400 + 50).alias("pts_ms"), both)
     return d.select("risk_id", "asset_id", (F.col("n") * 2 + F.col("x.k")).alias("ord"), "frame_id", "pts_ms", "x.box", F.col("x.c").alias("confidence"))
 
 
@@ -71,23 +72,25 @@ z AS (SELECT r AS risk_id, r * 10 + n AS frame_id, n * 400 AS pts_ms, n * 2 + k
 @query(_TRACK + " SELECT * FROM z")
 def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The point of each frame that goes on from the last one chosen; points without a frame are placed by their time."""
-    placed = tracks.placed_points(points(spark, sf_dir), frames(spark, sf_dir))
+    rows = lines(spark, sf_dir)
+    placed = tracks.placed_points(points(rows), frames(rows))
     return tracks.selected_points(placed, seeds(spark, sf_dir)).select("risk_id", "frame_id", "pts_ms", "ord", "box.*", "confidence")
 
 
 @query(_TRACK + """, p AS (SELECT r, sum(len(items))::BIGINT AS points, count(*) AS frames, max(len(items)) AS most FROM fr GROUP BY r)
 SELECT r AS risk_id, points, coalesce(s, 0) AS selected, concat_ws(',', CASE WHEN most > 1 THEN 'ambiguous_points_same_frame' END, CASE WHEN coalesce(s, 0) < frames THEN 'unstable_track' END) AS flags FROM p LEFT JOIN (SELECT risk_id, count(*) AS s FROM z GROUP BY risk_id) ON r = risk_id""")
 def track_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = tracks.placed_points(points(spark, sf_dir), frames(spark, sf_dir))
+    rows = lines(spark, sf_dir)
+    placed = Steps(spark).keep(tracks.placed_points(points(rows), frames(rows)))
     return tracks.track_flags(placed, tracks.selected_points(placed, seeds(spark, sf_dir)))
 
 
 _KEYS = f"SELECT l_orderkey AS t, l_linenumber::BIGINT AS n, l_linenumber * 400 AS pts, (l_partkey % 200)::DOUBLE AS x, (l_suppkey % 150)::DOUBLE AS y, (40 + l_partkey % 60)::DOUBLE AS w, (30 + l_suppkey % 50)::DOUBLE AS h, (l_partkey % 100 / 100.0)::DOUBLE AS c, l_suppkey AS s FROM {_LINES}"
 
 
-def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+def keys(rows: DataFrame) -> DataFrame:
     o, n, p, s = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint"), F.col("l_partkey"), F.col("l_suppkey")
-    return lines(spark, sf_dir).select(o.alias("track_id"), o.alias("asset_id"), (o * 10 + n).alias("frame_id"), (n * 400).alias("pts_ms"), g.box(p % 200, s % 150, 40 + p % 60, 30 + s % 50).alias("box"), (p % 100 / 100.0).cast("double").alias("confidence"), s.alias("s"))
+    return rows.select(o.alias("track_id"), o.alias("asset_id"), (o * 10 + n).alias("frame_id"), (n * 400).alias("pts_ms"), g.box(p % 200, s % 150, 40 + p % 60, 30 + s % 50).alias("box"), (p % 100 / 100.0).cast("double").alias("confidence"), s.alias("s"))
 
 
 @query(f"""WITH k AS (SELECT *, lead(pts) OVER v AS t2, lead(x) OVER v AS x2, lead(y) OVER v AS y2, lead(w) OVER v AS w2, lead(h) OVER v AS h2, lead(c) OVER v AS c2 FROM ({_KEYS}) WHERE s % 2 = 0 WINDOW v AS (PARTITION BY t ORDER BY n)),
@@ -95,7 +98,8 @@ f AS (SELECT t AS a, n AS m, pts AS p FROM ({_KEYS})), j AS (SELECT k.*, m, p, (
 SELECT t AS track_id, t * 10 + n AS frame_id, pts AS pts_ms, x, y, w, h, c AS confidence, 'detected' AS source FROM k
 UNION ALL SELECT t, t * 10 + m, p, round(x + (x2 - x) * q, 6), round(y + (y2 - y) * q, 6), round(w + (w2 - w) * q, 6), round(h + (h2 - h) * q, 6), least(c, c2), 'interpolated' FROM j""")
 def full_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = tracks.full_series(keys(spark, sf_dir).filter("s % 2 = 0"), frames(spark, sf_dir), 1200)
+    rows = lines(spark, sf_dir)
+    s = tracks.full_series(keys(rows).filter("s % 2 = 0"), frames(rows), 1200)
     return s.select("track_id", "frame_id", "pts_ms", *[F.round(f"box.{d}", 6).alias(d) for d in "xywh"], "confidence", "source")
 
 
@@ -110,11 +114,12 @@ SELECT op AS operation_id, t * 10 + m AS frame_id, at_ms AS pts_ms, mode, round(
 FROM (SELECT *, {_GROW} FROM j) JOIN o ON t = op WHERE x1 - x0 > 1 AND y1 - y0 > 1""")
 def redaction_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two orders in three have a series, half of it by time alone; the rest have regions. One in six is muted."""
-    k = keys(spark, sf_dir)
+    rows = lines(spark, sf_dir)
+    k = keys(rows)
     n, b, part = (F.col("pts_ms") / 400).cast("int"), F.col("box"), F.col("s") % 4 == 0
     box = F.when(part, g.box(b["x"] / 400, b["y"] / 300, b["w"] / 400, b["h"] / 300)).otherwise(b)
     s = k.select(F.col("track_id").alias("operation_id"), F.when((F.col("track_id") % 3 == 0) | (n % 2 == 1), F.col("frame_id")).alias("frame_id"), F.when((F.col("track_id") % 3 == 0) | (n % 2 == 1), F.col("pts_ms")).otherwise(F.col("pts_ms") + F.col("s") % 600).alias("pts_ms"), box.alias("box"), "confidence", F.lit(None).cast("string").alias("source"))
     t = F.col("o_orderkey")
     ops = table(spark, sf_dir, "orders").select(t.alias("operation_id"), t.alias("asset_id"), F.when(t % 6 == 5, "mute").when(t % 4 == 0, "Gaussian_Blur ").when(t % 4 == 1, "pixelate").otherwise("cover").alias("operation"), F.lit("visual").alias("modality"))
-    r = tracks.redaction_points(ops, s.filter("operation_id % 3 > 0"), s.filter("operation_id % 3 = 0"), frames(spark, sf_dir))
+    r = tracks.redaction_points(ops, s.filter("operation_id % 3 > 0"), s.filter("operation_id % 3 = 0"), frames(rows))
     return r.select("operation_id", "frame_id", "pts_ms", "mode", *[F.round(f"box.{d}", 6).alias(d) for d in "xywh"], "confidence", "source")

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from lodestone.ranks import DISPOSITION, SEVERITY, code, lookup, rank
 
+#: documents and hits of a block of a source
+DOC_BLOCK, HIT_BLOCK = 1 << 13, 256
+
 
 def with_first(rows: DataFrame, other: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """Left join with the first row of ``other`` for each key; further ones are not seen."""
@@ -29,8 +32,18 @@ def located_secrets(secrets: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def of_own_source(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Hits of a source with its documents: a hit counts for the documents of its own source alone."""
-    return docs.select("doc_id", "source_id").join(hits, "source_id")
+    """Hits of a source with its documents: a hit counts for the documents of its own source alone.
+
+    Rows grow with documents times hits, so within a source both are dealt into blocks, of which every two are one key of
+    the join: no source has to fit a task, and what moves is each row once for every block of the other side. A document
+    stands beside the same few hits as its neighbours, which files store in little room.
+    """
+    size = lambda rows, most, name: rows.groupBy("source_id").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    blocks = size(docs, DOC_BLOCK, "_docs").join(size(hits, HIT_BLOCK, "_hits"), "source_id")
+    dealt = lambda rows, own, other, part, each: rows.join(blocks, "source_id").withColumn(part, F.pmod(F.xxhash64(*rows.columns), F.col(own)).cast("int")).withColumn(each, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_docs", "_hits")
+    d, h = dealt(docs.select("doc_id", "source_id"), "_docs", "_hits", "_d", "_h"), dealt(hits, "_hits", "_docs", "_h", "_d")
+    key, spread = ["source_id", "_d", "_h"], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # of few bytes many rows come
+    return d.repartition(spread, *key).join(h.repartition(spread, *key), key).drop("_d", "_h")
 
 
 def planned_or_unlocated(findings: DataFrame, plan: DataFrame, key: str = "finding_id", span: str = "start") -> DataFrame:

@@ -47,7 +47,8 @@ def run(docs: DataFrame, profile: str = "full") -> Run:
     if profile not in ("full", "privacy_only", "safety_only"):
         raise ValueError(profile)
     found_c = content.keyword_findings(docs)
-    found_p = privacy.post_processed(privacy.recall(docs), docs)
+    # its findings are compared with each other, so without this each side would run the kernel
+    found_p = privacy.post_processed(privacy.recall(docs).persist(), docs)
     if profile == "privacy_only":
         found_c = found_c.filter(F.lit(False))
     if profile == "safety_only":

@@ -17,6 +17,9 @@ LONG_NUMBER = re.compile(r"(?:\d[ -]?){7}")
 DIGITS = "0-9"
 #: texts that a kernel has as Python strings at once
 SLICE = 64
+#: bins of a sketch
+SKETCH = 128
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def folded(t: str) -> str:
@@ -100,7 +103,8 @@ def shingle_sets(texts: pa.Array, n: int, fold: bool = True) -> pa.ListArray:
             for k in range(min(width, len(c))):
                 out = (out ^ c[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
                 out ^= out >> np.uint64(29)
-        return np.unique(out).view(np.int64)
+        out.sort()  # np.unique hashes whole numbers first, which takes several times as long
+        return out[np.concatenate(([True], out[1:] != out[:-1]))].view(np.int64)
 
     sets = [hashes(t) for t in texts.to_pylist()]
     offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32))
@@ -118,42 +122,62 @@ def shingles(docs: DataFrame, n: int, text: str = "text", fold: bool = True) ->
     return docs.select("doc_id", text).mapInArrow(kernel, f"doc_id {dict(docs.dtypes)['doc_id']}, g array<bigint>")
 
 
-def band_keys(docs: DataFrame, n: int, bands: int, rows: int, text: str = "text", fold: bool = True) -> DataFrame:
-    """doc_id, key, sketch: a row for each MinHash band of a text, and one with its sketch (key null).
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits, each by another one."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * ODD
+        return (x ^ (x >> np.uint64(29))) * ODD
 
-    One-permutation bins keep their least shingle, the bins of a band make its key, and a byte of each bin makes the sketch
-    (0 for an empty bin). Sets stay within the kernel.
+
+def least_of_bins(x: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of the ascending numbers in each bin, and which bins have one."""
+    of = (x % np.uint64(bins)).astype(np.int64)
+    least, filled = np.zeros(bins, np.uint64), np.zeros(bins, bool)
+    least[of[::-1]] = x[::-1]  # the last one stays
+    filled[of] = True
+    return least, filled
+
+
+def band_keys(docs: DataFrame, n: int, bands: int, rows: int, text: str = "text", fold: bool = True, least: float = 0.8) -> DataFrame:
+    """doc_id, keys, size, low, high, sketch: the MinHash band keys of each text, the size of its shingle set, and its sketch.
+
+    One-permutation bins keep their least shingle, and the bins of a band make its key. Sets of no more shingles than bins
+    (and larger ones that are alike to such a set by ``least``) have the minimum of one permutation a bin instead: bins with one
+    shingle or none would make keys of what most texts hold. A byte of each of ``SKETCH`` bins makes the sketch (0 for
+    an empty bin), and a bit of each byte makes low and high. Sets stay within the kernel.
     """
-    odd = np.uint64(0x9E3779B97F4A7C15)
+    few = bands * rows
+
+    def keys_of(mins: np.ndarray, filled: np.ndarray, kind: int) -> np.ndarray:
+        some = filled.reshape(bands, rows).any(axis=1)
+        with np.errstate(over="ignore"):
+            key = np.where(filled, mixed(mins), np.uint64(0)).reshape(bands, rows).sum(axis=1) * ODD
+            key = key + (np.arange(bands) + kind * bands).astype(np.uint64)
+            return ((key ^ (key >> np.uint64(32))) * ODD)[some].view(np.int64)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = mixed(np.arange(1, few + 1, dtype=np.uint64)) | np.uint64(1)
         for b in batches:
-            at, keys, sketches = [], [], []
+            keys, ends, sizes, bits, sketches = [np.zeros(0, np.int64)], [0], [], [], []
             for k in range(b.num_rows):
-                x = shingle_sets(b.column(1).slice(k, 1), n, fold).values.to_numpy()
-                of = x % (bands * rows)  # as pmod: never negative
-                order = np.lexsort((x, of))
-                x, of = x[order], of[order]
-                first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-                least, band = x[first].view(np.uint64), of[first] // rows
-                with np.errstate(over="ignore"):
-                    mixed = (least ^ (least >> np.uint64(31))) * odd
-                    mixed = (mixed ^ (mixed >> np.uint64(29))) * odd
-                    start = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
-                    key = np.add.reduceat(mixed, start) * odd + band[start].astype(np.uint64)
-                    key = (key ^ (key >> np.uint64(32))) * odd
-                at.append(np.full(len(key), k))
-                keys.append(key)
-                sketch = np.zeros(bands * rows, np.uint8)
-                sketch[of[first]] = 1 + mixed % np.uint64(255)
+                x = shingle_sets(b.column(1).slice(k, 1), n, fold).values.to_numpy().view(np.uint64)
+                own = [keys_of(*least_of_bins(x, few), 0)] if len(x) > few else []
+                if len(x) * least <= few + 1e-6:
+                    with np.errstate(over="ignore"):
+                        own.append(keys_of((x[:, None] * salts).min(axis=0), np.ones(few, bool), 1))
+                keys += own
+                ends.append(ends[-1] + sum(len(v) for v in own))
+                mins, filled = least_of_bins(x, SKETCH)
+                sketch = np.where(filled, 1 + mixed(mins) % np.uint64(255), 0).astype(np.uint8)
+                sizes.append(len(x))
+                bits.append(np.packbits(sketch & 1).view(np.int64))
                 sketches.append(sketch.tobytes())
-            at = np.concatenate(at) if at else np.zeros(0, np.int64)
-            key = pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64))
-            names = ["doc_id", "key", "sketch"]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), key, pa.nulls(len(key), pa.binary())], names=names)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(b.num_rows, pa.int64()), pa.array(sketches, pa.binary())], names=names)
+            low, high = np.array(bits, np.int64).reshape(-1, 2).T
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
+            columns = [b.column(0), lists, pa.array(sizes, pa.int32()), pa.array(low), pa.array(high), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "keys", "size", "low", "high", "sketch"])
 
-    return docs.select("doc_id", text).mapInArrow(kernel, f"doc_id {dict(docs.dtypes)['doc_id']}, key bigint, sketch binary")
+    return docs.select("doc_id", text).mapInArrow(kernel, f"doc_id {dict(docs.dtypes)['doc_id']}, keys array<bigint>, size int, low bigint, high bigint, sketch binary")
 
 
 def alike_in_sketch(pairs: DataFrame, least: float, sure: int = 32) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.tables import merged
+
 # Words that tell a document's type (first type that has one), and that tell education or minors.
 TYPES = {
     "student_record": ("education", "student", 0.74, ["学号", "成绩", "班级", "家长", "监护人", "学生档案", "student id", "grade"]),
@@ -50,7 +52,7 @@ def _first(low: Column, values: dict, other) -> Column:
 
 def content_fragments(findings: DataFrame, context: DataFrame) -> DataFrame:
     """Role, action and eligibility of each content finding in its document's context."""
-    f = findings.join(context.select("doc_id", "document_type", "minor"), "doc_id", "left")
+    f = merged(findings, context.select("doc_id", "document_type", "minor"), "doc_id", "left")
     severe, t = F.col("severity").isin("high", "critical"), F.col("document_type")
     shielded = F.coalesce(t.isin("textbook_example", "news_report"), F.lit(False))
     role = F.when(shielded, F.when(t == "textbook_example", "teaching").otherwise("discussion")).when(F.col("needs_adjudication"), "uncertain").otherwise("propagating_risk")
@@ -61,7 +63,7 @@ def content_fragments(findings: DataFrame, context: DataFrame) -> DataFrame:
 
 def privacy_fragments(findings: DataFrame, context: DataFrame) -> DataFrame:
     """Truth and action of each privacy finding; strong kinds, and names in records of students or minors, are never kept."""
-    f = findings.join(context.select("doc_id", "document_type", "minor"), "doc_id", "left")
+    f = merged(findings, context.select("doc_id", "document_type", "minor"), "doc_id", "left")
     risk, t = F.col("risk_type"), F.coalesce("document_type", F.lit("other"))
     floor = risk.isin(*STRONG, "combined_identity") | ((risk == "person_name") & ((t == "student_record") | F.coalesce("minor", F.lit(False))))
     cautious = F.when(risk == "combined_identity", "manual_review").when(risk.isin(*GENERALISED), "generalize").otherwise("redact")
@@ -74,7 +76,7 @@ def privacy_fragments(findings: DataFrame, context: DataFrame) -> DataFrame:
 def content_assessment(docs: DataFrame, fragments: DataFrame) -> DataFrame:
     """recommended, operational_risk, training of each document, from its fragments."""
     a = fragments.groupBy("doc_id").agg(F.bool_or(F.col("action") == "reject").alias("r"), F.bool_or((F.col("action") == "manual_review") | F.col("protective")).alias("m"))
-    j = docs.select("doc_id").join(a, "doc_id", "left")
+    j = merged(docs.select("doc_id"), a, "doc_id", "left")
     rec = F.when(F.col("r").isNull(), "keep").when(F.col("r"), "reject").when(F.col("m"), "manual_review").otherwise("restricted_review")
     j = j.withColumn("recommended", rec)
     risk = F.when(F.col("recommended") == "keep", "low").when(F.col("recommended") == "reject", "high").otherwise("medium")
@@ -86,7 +88,7 @@ def privacy_assessment(docs: DataFrame, fragments: DataFrame, context: DataFrame
     """recommended, risk_level, training of each document, from its fragments."""
     has = lambda v: F.bool_or(F.col("action") == v)
     a = fragments.groupBy("doc_id").agg(F.bool_or(F.col("risk_type") == "combined_identity").alias("c"), has("exclude_from_training").alias("x"), has("manual_review").alias("m"), has("generalize").alias("g"))
-    j = docs.select("doc_id").join(a, "doc_id", "left").join(context.select("doc_id", "minor"), "doc_id", "left")
+    j = merged(merged(docs.select("doc_id"), a, "doc_id", "left"), context.select("doc_id", "minor"), "doc_id", "left")
     rec = F.when(F.col("c").isNull(), "keep").when(F.col("c") | F.col("x"), "exclude_from_training").when(F.col("m"), "manual_review").when(F.col("g"), "generalize").otherwise("redact")
     j = j.withColumn("recommended", rec)
     r = F.col("recommended")

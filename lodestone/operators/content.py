@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import kernels
 from lodestone.ranks import SEVERITY_WEIGHT, lookup
+from lodestone.tables import merged
 
 # Category -> (policy tag, risk type, severity, keywords).
 PACK = {
@@ -74,7 +75,8 @@ def packed_windows(docs: DataFrame, most: int = 360, text: str = "text") -> Data
 
 def candidate_windows(docs: DataFrame, hits: DataFrame, most: int = 360) -> DataFrame:
     """doc_id, window, start, end, labels of the windows that a hit begins or ends in, or covers; others are no candidates."""
-    near = windows_with_hits(packed_windows(docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), most), hits, "policy_tag")
+    met = docs.join(hits.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")  # texts are not sorted for it
+    near = windows_with_hits(packed_windows(met, most), hits, "policy_tag")
     return near.groupBy("doc_id", "window", "start", "end").agg(F.array_join(F.array_sort(F.collect_set("policy_tag")), ",").alias("labels"))
 
 
@@ -82,7 +84,7 @@ def windows_with_hits(windows: DataFrame, hits: DataFrame, what: str = "keyword"
     """Interval join within a document: a window for each hit that begins or ends in it, or covers it."""
     h = hits.select(F.col("doc_id").alias("_d"), F.col("start").alias("hit_start"), F.col("end").alias("hit_end"), what)
     meets = (F.col("doc_id") == F.col("_d")) & (F.col("hit_start") < F.col("end")) & (F.col("hit_end") > F.col("start"))
-    return windows.join(h, meets).drop("_d")
+    return merged(windows, h, meets).drop("_d")
 
 
 def document_results(docs: DataFrame, findings: DataFrame, low: float = 0.35, high: float = 0.85) -> DataFrame:

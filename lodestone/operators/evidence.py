@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.ranks import DISPOSITION, SEVERITY, code, lookup, rank
+from lodestone.tables import merged
 
 #: documents and hits of a block of a source
 DOC_BLOCK, HIT_BLOCK = 1 << 13, 256
@@ -133,13 +134,13 @@ def document_floor(docs: DataFrame, fragments: DataFrame, localised: DataFrame,
     An assessment that may raise takes the place of the events of its own chain.
     """
     adjudicated = fragments.filter("chain = 'content'").select("doc_id").distinct().withColumn("_adj", F.lit(True))
-    loc = localised.join(adjudicated, "doc_id", "left").select("doc_id", localised_floor(F.col("degraded"), F.col("severity"), F.coalesce("_adj", F.lit(False))).alias("f"))
+    loc = merged(localised, adjudicated, "doc_id", "left").select("doc_id", localised_floor(F.col("degraded"), F.col("severity"), F.coalesce("_adj", F.lit(False))).alias("f"))
     judged = assessments.filter("may_raise").select("doc_id", "chain").distinct()
-    left = events.join(judged, ["doc_id", "chain"], "left_anti").select("doc_id", F.col("floor").alias("f"))
+    left = merged(events, judged, ["doc_id", "chain"], "left_anti").select("doc_id", F.col("floor").alias("f"))
     every = fragments.select("doc_id", fragment_floor(F.col("chain"), F.col("action")).alias("f")).unionByName(loc).unionByName(left)
     every = every.unionByName(assessments.select("doc_id", assessment_floor(F.col("chain"), F.col("action"), F.col("may_raise")).alias("f")))
     top = every.groupBy("doc_id").agg(F.max("f").alias("f"))
-    return docs.select("doc_id").join(top, "doc_id", "left").select("doc_id", code(F.coalesce("f", F.lit(0)).cast("int"), DISPOSITION).alias("disposition"))
+    return merged(docs.select("doc_id"), top, "doc_id", "left").select("doc_id", code(F.coalesce("f", F.lit(0)).cast("int"), DISPOSITION).alias("disposition"))
 
 
 # What is done at each disposition.

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import kernels
 from lodestone.ranks import SEVERITY_WEIGHT, lookup
+from lodestone.tables import merged
 
 _DIGITS = "零〇○洞Oo幺一二两三四五六七八九0-9"
 _SUBJECTS = "语文|数学|英语|物理|化学|生物|历史|地理|政治"
@@ -117,9 +118,9 @@ def outside_stronger(f: DataFrame) -> DataFrame:
     strong = f.filter(F.col("risk_type").isin(*STRONG)).select(*[F.col(c).alias(f"s_{c}") for c in keep])
     inside = (F.col("doc_id") == F.col("s_doc_id")) & (F.col("s_start") <= F.col("start")) & (F.col("end") <= F.col("s_end"))
     other = (F.col("s_start") != F.col("start")) | (F.col("s_end") != F.col("end"))
-    out = f.join(strong, inside & other & (F.col("risk_type") == "phone_number"), "left_anti")
+    out = merged(f, strong, inside & other & (F.col("risk_type") == "phone_number"), "left_anti")
     holder = f.filter(F.col("risk_type").isin("email", "phone", "phone_number")).select(*[F.col(c).alias(f"s_{c}") for c in keep])
-    return out.join(holder, inside & (F.col("risk_type") == "parent_contact"), "left_anti")
+    return merged(out, holder, inside & (F.col("risk_type") == "parent_contact"), "left_anti")
 
 
 def deduplicated(f: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def document_results(docs: DataFrame, findings: DataFrame, low: float = 0.35, hi
     columns = ["doc_id", "severity", "confidence", "needs_adjudication"]
     every = findings.select(*columns).unionByName(combined.withColumn("needs_adjudication", F.lit(True)).select(*columns))
     agg = every.groupBy("doc_id").agg(F.count("*").alias("n_findings"), F.max(lookup(F.col("severity"), SEVERITY_WEIGHT, 0.3) * F.col("confidence")).alias("s"), F.bool_or("needs_adjudication").alias("needs_adjudication"))
-    out = docs.select("doc_id").join(agg, "doc_id", "left")
+    out = merged(docs.select("doc_id"), agg, "doc_id", "left")
     score = F.round(F.coalesce("s", F.lit(0.0)), 4)
     need = F.coalesce("needs_adjudication", F.lit(False))
     status = F.when(F.coalesce("n_findings", F.lit(0)) == 0, "clear").when(need | score.between(low, high), "hard_case").otherwise("flagged")

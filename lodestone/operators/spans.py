@@ -68,11 +68,14 @@ def targets(resolution: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, chosen: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, redacted: targets spliced in; selected spans never overlap, so one walk from left to right will do."""
+    """doc_id, redacted: targets spliced in; selected spans never overlap, so one walk from left to right will do.
+
+    Texts meet the hashed spans of their share of documents: neither are texts sorted nor spans sent through the driver.
+    """
     per = chosen.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("x"))
     t = F.col(text)
     init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substr(t, acc["at"] + 1, x["start"] - acc["at"]), x["replacement"]).alias("out"))
     none = F.array().cast("array<struct<start:int,end:int,replacement:string>>")
-    joined = docs.select("doc_id", text).join(per, "doc_id", "left").withColumn("r", F.aggregate(F.coalesce("x", none), init, step))
+    joined = docs.select("doc_id", text).join(per.hint("shuffle_hash"), "doc_id", "left").withColumn("r", F.aggregate(F.coalesce("x", none), init, step))
     return joined.select("doc_id", F.concat(F.col("r.out"), F.substr(t, F.col("r.at") + 1, F.length(t))).alias("redacted"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import adjudication, content, decisions, evidence, privacy, spans
 from lodestone.ranks import DISPOSITION, DISPOSITION_DECISION, DISPOSITION_RISK, code, lookup, rank
-from lodestone.tables import Steps
+from lodestone.tables import Steps, merged
 
 # Priority and delivery by disposition; who says what in a run without models; terms that tell self-harm, public events and illegal advice.
 PRIORITY = {"P2": "normal", "P3": "high", "P4": "critical", "P5": "critical"}
@@ -52,7 +52,7 @@ def localised(docs: DataFrame, windows: DataFrame, hits: DataFrame, answers: Dat
     """
     own = content.windows_with_hits(windows, hits.select("doc_id", "start", "end", F.struct("risk_type", "policy_tag", "severity", "confidence").alias("x")), "x")
     own = own.select("doc_id", "window", "x.risk_type", "x.policy_tag", "x.severity", "x.confidence", F.col("hit_start").alias("start"), F.col("hit_end").alias("end"), F.lit(False).alias("degraded"), F.lit("content_rule_localizer").alias("source"))
-    rest = windows.select("doc_id", "window", "start", "end").join(own.select("doc_id", "window").distinct(), ["doc_id", "window"], "left_anti")
+    rest = merged(windows.select("doc_id", "window", "start", "end"), own.select("doc_id", "window").distinct(), ["doc_id", "window"], "left_anti")
     if answers is not None:
         texts = rest.join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id").select("doc_id", "window", F.col("start").alias("_s"), F.substr("_t", F.col("start") + 1, F.col("end") - F.col("start")).alias("_w"))
         said = answers.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).filter("text != ''").join(texts, ["doc_id", "window"]).filter(F.contains("_w", "text"))
@@ -71,7 +71,7 @@ def assessments(content_said: DataFrame, privacy_said: DataFrame, content_found:
 
     def of(chain: str, said: DataFrame, found: DataFrame, sure: float, review: Column) -> DataFrame:
         seen = found.select("doc_id").distinct().withColumn("_seen", F.lit(True))
-        j = said.join(seen, "doc_id", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
+        j = merged(said, seen, "doc_id", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
         return j.select("doc_id", F.lit(chain).alias("chain"), F.col("recommended").alias("action"), F.col("_seen").alias("may_raise"), F.when(F.col("_seen"), sure).otherwise(0.92).alias("confidence"), review.alias("review"))
 
     r = F.col("recommended")
@@ -83,13 +83,13 @@ def evidence_events(content_found: DataFrame, privacy_found: DataFrame, judged:
     pick = ["doc_id", "risk_type", "policy_tag", "severity", "confidence"]
     found = content_found.select(*pick, F.lit("content_safety").alias("category"), F.lit("manual_review").alias("suggestion")).unionByName(privacy_found.select(*pick, F.lit("privacy").alias("category"), F.col("replacement").alias("suggestion")))
     case = cases.select("doc_id", "requires_manual_review", F.col("confidence").alias("_c"))
-    found = found.join(case, "doc_id", "left").withColumn("disputed", F.coalesce("requires_manual_review", F.lit(False))).drop("requires_manual_review", "_c")
+    found = merged(found, case, "doc_id", "left").withColumn("disputed", F.coalesce("requires_manual_review", F.lit(False))).drop("requires_manual_review", "_c")
     whole = judged.select(
         "doc_id", F.concat("chain", F.lit("_document_assessment")).alias("risk_type"), F.concat("chain", F.lit(".document_assessment")).alias("policy_tag"), F.when(F.col("review"), "medium").otherwise("low").alias("severity"),
         "confidence", F.concat("chain", F.lit("_document")).alias("category"), F.col("action").alias("suggestion"), F.col("review").alias("disputed"),
     )
     out = found.unionByName(whole)
-    alone = cases.join(out.select("doc_id").distinct(), "doc_id", "left_anti")
+    alone = merged(cases, out.select("doc_id").distinct(), "doc_id", "left_anti")
     return out.unionByName(alone.select("doc_id", F.lit("adjudication_only").alias("risk_type"), F.lit("hard_case.final_judgement").alias("policy_tag"), F.lit("medium").alias("severity"), "confidence", F.lit("hard_case").alias("category"), F.lit("manual_review").alias("suggestion"), F.col("requires_manual_review").alias("disputed")))
 
 
@@ -108,7 +108,7 @@ def decided(docs: DataFrame, fragments: DataFrame, local: DataFrame, judged: Dat
     said = judged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat("chain", F.lit("_doc:"), "action"))).alias("_said"))
     out = docs.select("doc_id", (circulated if circulated is not None else F.lit(False)).alias("_circ"))
     for t in (floor.withColumnRenamed("disposition", "_floor"), case, seen, parts, said):
-        out = out.join(t, "doc_id", "left")
+        out = merged(out, t, "doc_id", "left")
     top = F.greatest(rank(F.col("_floor"), DISPOSITION), F.coalesce("_case", F.lit(0)))
     top = F.when((top == 4) & F.coalesce("_circ", F.lit(False)), 5).otherwise(top)
     none = F.array().cast("array<string>")
@@ -148,10 +148,10 @@ class FullRun:
 
     def annotation(self) -> DataFrame:
         """What annotators get of each document: delivery, decision, priority, redacted text, its targets and conflicts, and up to five hints."""
-        n = self.targets.groupBy("doc_id").agg(F.count("*").alias("n_targets"))
-        lost = self.resolution.select("doc_id", F.size("lost").cast("bigint").alias("n_conflicts"))
+        n = self.resolution.select("doc_id", F.size("kept").alias("n_targets"), F.size("lost").alias("n_conflicts"))
         hints = self.events.groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("policy_tag")), 1, 5), ",").alias("hints"))
-        out = self.decisions.join(spans.redacted(self.docs, self.targets), "doc_id").join(n, "doc_id", "left").join(lost, "doc_id", "left").join(hints, "doc_id", "left")
+        told = merged(merged(self.decisions, n, "doc_id", "left"), hints, "doc_id", "left")
+        out = spans.redacted(self.docs, self.targets).join(told.hint("shuffle_hash"), "doc_id")  # texts move once and are not sorted
         return out.select("doc_id", lookup(F.col("disposition"), DELIVERY).alias("delivery"), "disposition", "decision", "priority", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_targets", "n_conflicts")], F.coalesce("hints", F.lit("")).alias("hints"), "redacted")
 
     def audit(self) -> DataFrame:

@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,6 +20,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the documents, sorted and merged.
+
+    Sizes are guessed by those of Parquet files, where a column of few values takes next to nothing: without the hint
+    tables of millions of rows would be sent through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 class Steps:
     """Tables of one operator's steps, in a folder of their own; :meth:`leave` deletes all but those that are still read."""
 

@@ -159,13 +159,13 @@ class FullRun:
         counts = {"n_windows": self.windows, "n_localised": self.localised, "n_content_fragments": self.content_fragments, "n_privacy_fragments": self.privacy_fragments, "n_targets": self.targets}
         out = self.decisions.select("doc_id", "disposition", "decision", "reasons", "n_events", "trust")
         for name, t in counts.items():
-            out = out.join(t.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left")
-        out = out.join(self.contexts.select("doc_id", "document_type", "minor"), "doc_id", "left")
+            out = merged(out, t.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left")
+        out = merged(out, self.contexts.select("doc_id", "document_type", "minor"), "doc_id", "left")
         for name, t in (("content", self.content_results), ("privacy", self.privacy_results)):
-            out = out.join(t.select("doc_id", F.col("status").alias(f"{name}_status"), F.col("risk_score").alias(f"{name}_score")), "doc_id", "left")
+            out = merged(out, t.select("doc_id", F.col("status").alias(f"{name}_status"), F.col("risk_score").alias(f"{name}_score")), "doc_id", "left")
         said = self.assessments.groupBy("doc_id").pivot("chain", ["content", "privacy"]).agg(F.first("action"))
-        out = out.join(said.withColumnsRenamed({"content": "content_action", "privacy": "privacy_action"}), "doc_id", "left")
-        out = out.join(self.cases.select("doc_id", F.lit("heuristic").alias("hard_case_provider")), "doc_id", "left")
+        out = merged(out, said.withColumnsRenamed({"content": "content_action", "privacy": "privacy_action"}), "doc_id", "left")
+        out = merged(out, self.cases.select("doc_id", F.lit("heuristic").alias("hard_case_provider")), "doc_id", "left")
         summary = F.concat("disposition", F.lit(" / "), "decision", F.lit(" with "), F.col("n_events").cast("string"), F.lit(" evidence events."))
         return out.fillna(0, [*counts]).fillna("", ["hard_case_provider"]).withColumn("audit_summary", summary)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import content, decisions, privacy, spans
-from lodestone.plans import profiles
+from lodestone.plans import full_run, profiles
 from lodestone.queries import query, table
 from lodestone.ranks import CONTENT_RISK, code
 
@@ -190,7 +190,8 @@ def hard_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def evidence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = profiles.run(table(spark, sf_dir, "documents"), "full").events
+    """Events of all kinds: of findings, of both chains' assessments of every document, and of cases that have neither."""
+    e = full_run.run(table(spark, sf_dir, "documents")).events
     return e.groupBy("category", "risk_type", "severity", "disputed").agg(F.count("*").alias("events"), F.max("confidence").alias("confidence"))
 
 
